@@ -274,3 +274,145 @@ UNION ALL SELECT '{c}', round(g33 * (g11*g22 - g12*g12) / det, 6) FROM d"""
 @query("vif_uncentered", _vif_sql())
 def q_vif_uncentered(spark, d):
     return r6(profile.vif(lineitem(spark, d), VIF_COLS))
+
+
+# --------------------------------------------------------------------------- splits
+
+MD5_EV = "md5(CAST(event_id AS VARCHAR) || ':42')"
+MD5_OR = "md5(CAST(o_orderkey AS VARCHAR) || ':42')"
+
+QUOTA_SQL = f"""c AS (SELECT label, count(*) AS n_c FROM ev GROUP BY 1),
+t AS (SELECT sum(n_c) AS n, (sum(n_c) + 4) // 5 AS n_test FROM c),
+qq AS (SELECT label, (n_c * n_test) // n AS base, (n_c * n_test) % n AS rem, n_test FROM c, t),
+qr AS (SELECT *, row_number() OVER (ORDER BY rem DESC, label) AS rr,
+              n_test - sum(base) OVER () AS leftover FROM qq),
+quota AS (SELECT label, base + CASE WHEN rr <= leftover THEN 1 ELSE 0 END AS quota FROM qr),
+sp AS (SELECT ev.*, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY {MD5_EV}, event_id) <= quota
+                        THEN 'test' ELSE 'train' END AS split
+       FROM ev JOIN quota USING (label))"""
+
+
+def split_events(spark, d):
+    from trellis.operators import split
+    return split.stratified_split(events(spark, d), "event_id", "label")
+
+
+@query("stratified_split", f"""
+WITH {EV_SQL}, {QUOTA_SQL}
+SELECT event_id, label, split FROM sp""")
+def q_stratified_split(spark, d):
+    return split_events(spark, d).select("event_id", "label", "split")
+
+
+@query("split_verification", f"""
+WITH {EV_SQL}, {QUOTA_SQL},
+per AS (SELECT label AS class, count(*) FILTER (WHERE split = 'train') AS train_n,
+               count(*) FILTER (WHERE split = 'test') AS test_n FROM sp GROUP BY 1),
+pct AS (SELECT class, train_n, test_n,
+               CAST(train_n AS DOUBLE) * 100.0 / CAST(sum(train_n) OVER () AS DOUBLE) AS train_pct,
+               CAST(test_n AS DOUBLE) * 100.0 / CAST(sum(test_n) OVER () AS DOUBLE) AS test_pct FROM per)
+SELECT class, train_n, test_n, round(train_pct, 6) AS train_pct, round(test_pct, 6) AS test_pct,
+       round(abs(train_pct - test_pct), 6) AS diff_pp, abs(train_pct - test_pct) <= 0.5 AS within_tol
+FROM pct""")
+def q_split_verification(spark, d):
+    return r6(profile.split_verification(split_events(spark, d), "label"))
+
+
+@query("random_split", f"""
+WITH n AS (SELECT (count(*) + 4) // 5 AS n_test FROM orders)
+SELECT o_orderkey, CASE WHEN row_number() OVER (ORDER BY {MD5_OR}, o_orderkey) <= n_test
+                        THEN 'test' ELSE 'train' END AS split
+FROM orders, n""")
+def q_random_split(spark, d):
+    from trellis.operators import split
+    return split.random_split(read_table(spark, d, "orders").select("o_orderkey"), "o_orderkey")
+
+
+@query("stratified_kfold", f"""
+WITH {EV_SQL}
+SELECT event_id, label,
+       CAST((row_number() OVER (PARTITION BY label ORDER BY {MD5_EV}, event_id) - 1) % 3 AS INTEGER) AS fold
+FROM ev""")
+def q_stratified_kfold(spark, d):
+    from trellis.operators import split
+    return split.stratified_kfold(events(spark, d), "event_id", "label", k=3) \
+        .select("event_id", "label", "fold")
+
+
+@query("kfold", f"""
+SELECT o_orderkey, CAST((row_number() OVER (ORDER BY {MD5_OR}, o_orderkey) - 1) % 5 AS INTEGER) AS fold
+FROM orders""")
+def q_kfold(spark, d):
+    from trellis.operators import split
+    return split.kfold(read_table(spark, d, "orders").select("o_orderkey"), "o_orderkey", k=5)
+
+
+def _fracs_sql() -> str:
+    from trellis.operators.split import LEARNING_FRACTIONS
+    return ", ".join(f"CAST({repr(x)} AS DOUBLE)" for x in LEARNING_FRACTIONS)
+
+
+@query("learning_subsets", f"""
+WITH {EV_SQL},
+fo AS (SELECT event_id, label, {MD5_EV} AS h,
+              (row_number() OVER (PARTITION BY label ORDER BY {MD5_EV}, event_id) - 1) % 5 AS fold FROM ev),
+ff AS (SELECT unnest(range(5)) AS f),
+tr AS (SELECT ff.f, fo.label, row_number() OVER (PARTITION BY ff.f ORDER BY fo.h, fo.event_id) AS pos,
+              count(*) OVER (PARTITION BY ff.f) AS n_train
+       FROM fo, ff WHERE fo.fold <> ff.f),
+sz AS (SELECT unnest(range(5)) AS size_idx, unnest([{_fracs_sql()}]) AS frac),
+tz AS (SELECT DISTINCT f, n_train FROM tr),
+grid AS (SELECT f, size_idx, CAST(floor(frac * n_train) AS BIGINT) AS train_size FROM tz, sz)
+SELECT CAST(grid.f AS INTEGER) AS fold, CAST(grid.size_idx AS INTEGER) AS size_idx, grid.train_size,
+       count(tr.pos) AS n_rows, CAST(coalesce(sum(tr.label), 0) AS BIGINT) AS n_pos
+FROM grid LEFT JOIN tr ON tr.f = grid.f AND tr.pos <= grid.train_size
+GROUP BY ALL""")
+def q_learning_subsets(spark, d):
+    from trellis.operators import split
+    folded = split.stratified_kfold(events(spark, d), "event_id", "label", k=5)
+    pos = split.learning_positions(folded, "event_id", 5)
+    return split.learning_subset_counts(pos, "label", 5)
+
+
+@query("fixed_sample", f"""
+WITH {EV_SQL}
+SELECT event_id, label FROM ev ORDER BY {MD5_EV}, event_id LIMIT 1000""")
+def q_fixed_sample(spark, d):
+    return prep.fixed_sample(events(spark, d).select("event_id", "label"), "event_id", 1000)
+
+
+# --------------------------------------------------------------------------- transformers
+
+EVN_SQL = f"""{EV_SQL}, evn AS (SELECT event_id, label, CASE WHEN event_type = 'error' THEN NULL ELSE value END AS value FROM ev),
+{QUOTA_SQL.replace('FROM ev GROUP BY 1', 'FROM evn GROUP BY 1').replace('sp AS (SELECT ev.*', 'sp AS (SELECT evn.*').replace('FROM ev JOIN quota', 'FROM evn JOIN quota')}"""
+
+
+def events_with_gaps(spark, d):
+    """``value`` is missing for error events: a data-driven gap pattern."""
+    from trellis.operators import split
+    ev = events(spark, d).select(
+        "event_id", "label", F.when(F.col("event_type") == "error", F.lit(None).cast("double"))
+        .otherwise(F.col("value")).alias("value"))
+    return split.stratified_split(ev, "event_id", "label")
+
+
+@query("median_impute", f"""
+WITH {EVN_SQL},
+m AS (SELECT quantile_cont(value, 0.5) AS med FROM sp WHERE split = 'train')
+SELECT event_id, split, round(coalesce(value, med), 6) AS value_imputed FROM sp, m""")
+def q_median_impute(spark, d):
+    from trellis.operators.transform import fit_median_imputer
+    sp = events_with_gaps(spark, d)
+    model = fit_median_imputer(sp.where(F.col("split") == "train"), ["value"], suffix="_imputed")
+    return r6(model.transform(sp).select("event_id", "split", "value_imputed"))
+
+
+@query("standard_scale", f"""
+WITH {EV_SQL}, {QUOTA_SQL},
+m AS (SELECT avg(value) AS mu, coalesce(nullif(stddev_pop(value), 0), 1) AS sd FROM sp WHERE split = 'train')
+SELECT event_id, split, round((value - mu) / sd, 6) AS value_scaled FROM sp, m""")
+def q_standard_scale(spark, d):
+    from trellis.operators.transform import fit_standard_scaler
+    sp = split_events(spark, d)
+    model = fit_standard_scaler(sp.where(F.col("split") == "train"), ["value"], suffix="_scaled")
+    return r6(model.transform(sp).select("event_id", "split", "value_scaled"))
