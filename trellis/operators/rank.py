@@ -98,3 +98,22 @@ def quantile_buckets(df: DataFrame, col: str, n_buckets: int = 256,
     if descending:
         res = res.withColumn(out, F.lit(len(splits)) - F.col(out))
     return res
+
+
+def with_next(df: DataFrame, order: Sequence[str | Column], bucket_col: str, cols: Sequence[str],
+              partition_cols: Sequence[str] = (), prefix: str = "next_") -> DataFrame:
+    """Add the values of ``cols`` on the following row in ``order`` (``lead``)
+    without a single-task window: ``lead`` inside each bucket, and for the
+    last row of a bucket the first row of the next non-empty bucket, taken
+    from a table with one row per bucket."""
+    parts = list(partition_cols)
+    w = Window.partitionBy(*parts, bucket_col).orderBy(*order)
+    x = df.select("*", *[F.lead(c).over(w).alias(f"_nx_{c}") for c in cols],
+                  F.row_number().over(w).alias("_rn"))
+    firsts = x.where(F.col("_rn") == 1).select(*parts, bucket_col,
+                                               *[F.col(c).alias(f"_f_{c}") for c in cols])
+    wb = Window.partitionBy(*parts).orderBy(bucket_col)
+    nxt = firsts.select(*parts, bucket_col, *[F.lead(f"_f_{c}").over(wb).alias(f"_nb_{c}") for c in cols])
+    out = x.join(nxt, on=[*parts, bucket_col], how="inner")
+    return out.select(*df.columns, *[F.coalesce(F.col(f"_nx_{c}"), F.col(f"_nb_{c}")).alias(prefix + c)
+                                     for c in cols])

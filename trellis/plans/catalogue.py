@@ -416,3 +416,335 @@ def q_standard_scale(spark, d):
     sp = split_events(spark, d)
     model = fit_standard_scaler(sp.where(F.col("split") == "train"), ["value"], suffix="_scaled")
     return r6(model.transform(sp).select("event_id", "split", "value_scaled"))
+
+
+# --------------------------------------------------------------------------- scored table
+
+SC_SQL = f"""{EV_SQL}, sc AS (
+  SELECT event_id, label, value,
+         least(CAST(1 AS DOUBLE), greatest(CAST(0 AS DOUBLE), value / 100)) AS s,
+         CASE WHEN least(CAST(1 AS DOUBLE), greatest(CAST(0 AS DOUBLE), value / 100)) >= 0.5 THEN 1 ELSE 0 END AS prediction
+  FROM ev)"""
+
+CURVE_SQL = f"""{SC_SQL},
+dd AS (SELECT s AS score, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label = 0) AS neg
+       FROM sc GROUP BY 1),
+cc AS (SELECT *, sum(pos) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tps,
+               sum(neg) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS fps,
+               lead(pos) OVER (ORDER BY score DESC) AS next_pos, lead(neg) OVER (ORDER BY score DESC) AS next_neg,
+               row_number() OVER (ORDER BY score DESC) AS rn
+       FROM dd),
+tt AS (SELECT sum(pos) AS P, sum(neg) AS N FROM dd),
+auc AS (SELECT CAST(sum(pos * (2 * N - 2 * fps + neg)) AS DOUBLE) / CAST(2 * P * N AS DOUBLE) AS roc_auc FROM cc, tt GROUP BY P, N),
+pr AS (SELECT score AS threshold, CAST(tps AS DOUBLE) / CAST(tps + fps AS DOUBLE) AS precision,
+              CAST(tps AS DOUBLE) / CAST(P AS DOUBLE) AS recall FROM cc, tt),
+prf AS (SELECT *, CASE WHEN precision + recall = 0 THEN 0.0 ELSE 2.0 * precision * recall / (precision + recall) END AS f1 FROM pr)"""
+
+
+def scored_events(spark, d):
+    s = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("value") / 100))
+    return events(spark, d).select("event_id", "label", "value", s.alias("s"),
+                                   F.when(s >= 0.5, 1).otherwise(0).alias("prediction"))
+
+
+def _counts_sql(pred: str = "prediction", src: str = "sc") -> str:
+    return (f"SELECT count(*) FILTER (WHERE label = 1 AND {pred} = 1) AS tp, count(*) FILTER (WHERE label = 0 AND {pred} = 1) AS fp, "
+            f"count(*) FILTER (WHERE label = 1 AND {pred} = 0) AS fn, count(*) FILTER (WHERE label = 0 AND {pred} = 0) AS tn FROM {src}")
+
+
+def _metric_cols_sql() -> str:
+    return ("round(CAST(tp + tn AS DOUBLE) / CAST(tp + fp + fn + tn AS DOUBLE), 6) AS accuracy, "
+            "round(coalesce(CAST(tp AS DOUBLE) / nullif(CAST(tp + fp AS DOUBLE), 0), 0), 6) AS precision, "
+            "round(coalesce(CAST(tp AS DOUBLE) / nullif(CAST(tp + fn AS DOUBLE), 0), 0), 6) AS recall, "
+            "round(coalesce(2.0 * tp / nullif(2.0 * tp + fp + fn, 0), 0), 6) AS f1")
+
+
+@query("confusion_matrix", f"""
+WITH {SC_SQL}, c AS ({_counts_sql()})
+SELECT 1 AS actual, 1 AS predicted, tp AS n FROM c UNION ALL SELECT 0, 1, fp FROM c
+UNION ALL SELECT 1, 0, fn FROM c UNION ALL SELECT 0, 0, tn FROM c""")
+def q_confusion_matrix(spark, d):
+    from trellis.operators.metrics import confusion_matrix
+    return confusion_matrix(scored_events(spark, d))
+
+
+@query("binary_metrics", f"""
+WITH {CURVE_SQL}, c AS ({_counts_sql()})
+SELECT 'score_rule' AS model, {_metric_cols_sql()}, round(roc_auc, 6) AS roc_auc FROM c, auc""")
+def q_binary_metrics(spark, d):
+    from trellis.operators.metrics import binary_metrics
+    return r6(binary_metrics(scored_events(spark, d), "label", "prediction", "s", "score_rule"))
+
+
+@query("classification_report", f"""
+WITH {SC_SQL}, c AS ({_counts_sql()}),
+per AS (SELECT '0' AS class, CAST(tn AS DOUBLE) / nullif(tn + fn, 0) AS precision, CAST(tn AS DOUBLE) / nullif(tn + fp, 0) AS recall, tn + fp AS support FROM c
+        UNION ALL SELECT '1', CAST(tp AS DOUBLE) / nullif(tp + fp, 0), CAST(tp AS DOUBLE) / nullif(tp + fn, 0), tp + fn FROM c),
+pf AS (SELECT class, coalesce(precision, 0) AS precision, coalesce(recall, 0) AS recall,
+              coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1, support FROM per)
+SELECT class, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support FROM pf
+UNION ALL SELECT 'accuracy', NULL, NULL, round(CAST(tp + tn AS DOUBLE) / (tp + fp + fn + tn), 6), tp + fp + fn + tn FROM c
+UNION ALL SELECT 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6), CAST(sum(support) AS BIGINT) FROM pf
+UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support), 6), round(sum(recall * support) / sum(support), 6),
+                 round(sum(f1 * support) / sum(support), 6), CAST(sum(support) AS BIGINT) FROM pf""")
+def q_classification_report(spark, d):
+    from trellis.operators.metrics import classification_report
+    return r6(classification_report(scored_events(spark, d)))
+
+
+@query("roc_auc", f"""
+WITH {CURVE_SQL}
+SELECT round(roc_auc, 6) AS roc_auc FROM auc""")
+def q_roc_auc(spark, d):
+    from trellis.operators.curves import roc_auc
+    return r6(roc_auc(scored_events(spark, d), "label", "s"))
+
+
+@query("roc_curve", f"""
+WITH {CURVE_SQL}
+SELECT CAST(NULL AS DOUBLE) AS threshold, CAST(0 AS DOUBLE) AS fpr, CAST(0 AS DOUBLE) AS tpr
+UNION ALL
+SELECT round(score, 6), round(CAST(fps AS DOUBLE) / CAST(N AS DOUBLE), 6), round(CAST(tps AS DOUBLE) / CAST(P AS DOUBLE), 6)
+FROM cc, tt WHERE rn = 1 OR next_pos IS NULL OR next_pos <> pos OR next_neg <> neg""")
+def q_roc_curve(spark, d):
+    from trellis.operators.curves import roc_curve
+    return r6(roc_curve(scored_events(spark, d), "label", "s"))
+
+
+@query("pr_curve", f"""
+WITH {CURVE_SQL}
+SELECT round(threshold, 6) AS threshold, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM prf""")
+def q_pr_curve(spark, d):
+    from trellis.operators.curves import pr_curve
+    return r6(pr_curve(scored_events(spark, d), "label", "s"))
+
+
+@query("best_threshold", f"""
+WITH {CURVE_SQL}
+SELECT round(threshold, 6) AS threshold, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1
+FROM prf ORDER BY f1 DESC, threshold ASC LIMIT 1""")
+def q_best_threshold(spark, d):
+    from trellis.operators.curves import best_threshold
+    return r6(best_threshold(scored_events(spark, d), "label", "s"))
+
+
+@query("tuned_metrics", f"""
+WITH {CURVE_SQL}, bt AS (SELECT threshold FROM prf ORDER BY f1 DESC, threshold ASC LIMIT 1),
+tp AS (SELECT sc.*, CASE WHEN s >= bt.threshold THEN 1 ELSE 0 END AS tuned FROM sc, bt),
+c AS ({_counts_sql('tuned', 'tp')})
+SELECT 'score_rule_tuned' AS model, {_metric_cols_sql()}, round(roc_auc, 6) AS roc_auc, round(bt.threshold, 6) AS threshold
+FROM c, auc, bt""")
+def q_tuned_metrics(spark, d):
+    from trellis.operators.curves import best_threshold_value, tuned_metrics
+    sc = scored_events(spark, d)
+    t = best_threshold_value(sc, "label", "s")
+    return r6(tuned_metrics(sc, "label", "s", t, "score_rule_tuned"))
+
+
+def _calib_sql() -> str:
+    from trellis.operators.curves import calibration_edges
+    edges = calibration_edges()[1:-1]
+    return " + ".join(f"CASE WHEN s > CAST({repr(e)} AS DOUBLE) THEN 1 ELSE 0 END" for e in edges)
+
+
+@query("calibration_bins", f"""
+WITH {SC_SQL}
+SELECT CAST({_calib_sql()} AS INTEGER) AS bin, count(*) AS n, round(avg(s), 6) AS mean_predicted,
+       round(avg(CAST(label AS DOUBLE)), 6) AS fraction_positive
+FROM sc GROUP BY 1""")
+def q_calibration_bins(spark, d):
+    from trellis.operators.curves import calibration_bins
+    return r6(calibration_bins(scored_events(spark, d), "label", "s"))
+
+
+@query("first_positive", f"""
+WITH {SC_SQL}
+SELECT event_id, round(s, 6) AS s, prediction FROM sc ORDER BY prediction DESC, event_id LIMIT 1""")
+def q_first_positive(spark, d):
+    return r6(prep.first_positive(scored_events(spark, d), "event_id").select("event_id", "s", "prediction"))
+
+
+# --------------------------------------------------------------------------- regression
+
+REG_SQL = f"""{LI_SQL}, rg AS (SELECT l_quantity AS actual, l_extendedprice / 1500 AS predicted,
+                                     l_quantity - l_extendedprice / 1500 AS e FROM li)"""
+
+
+def regression_frame(spark, d):
+    li = lineitem(spark, d)
+    return li.select(F.col("l_quantity").alias("actual"), (F.col("l_extendedprice") / 1500).alias("predicted"))
+
+
+@query("regression_metrics", f"""
+WITH {REG_SQL}
+SELECT count(*) AS n, round(avg(e * e), 6) AS mse, round(sqrt(avg(e * e)), 6) AS rmse, round(avg(abs(e)), 6) AS mae,
+       round(1 - sum(e * e) / (var_pop(actual) * count(actual)), 6) AS r2 FROM rg""")
+def q_regression_metrics(spark, d):
+    from trellis.operators.metrics import regression_metrics
+    return r6(regression_metrics(regression_frame(spark, d)))
+
+
+@query("residual_hist", f"""
+WITH {REG_SQL}, b AS (SELECT min(e) AS mn, max(e) AS mx FROM rg),
+h AS (SELECT CAST(least(floor((e - mn) * 30 / (mx - mn)), 29) AS INTEGER) AS bin, count(*) AS n FROM rg, b GROUP BY 1),
+bins AS (SELECT CAST(unnest(range(30)) AS INTEGER) AS bin)
+SELECT bins.bin, round(mn + bins.bin * (mx - mn) / 30, 6) AS lo, round(mn + (bins.bin + 1) * (mx - mn) / 30, 6) AS hi,
+       coalesce(n, 0) AS n
+FROM bins CROSS JOIN b LEFT JOIN h ON h.bin = bins.bin""")
+def q_residual_hist(spark, d):
+    from trellis.operators.metrics import histogram
+    rf = regression_frame(spark, d).select((F.col("actual") - F.col("predicted")).alias("e"))
+    return r6(histogram(rf, "e", 30))
+
+
+# --------------------------------------------------------------------------- fold scores
+
+FOLD_SQL = f"""{SC_SQL},
+fo AS (SELECT sc.*, CASE WHEN value >= 30 THEN 1 ELSE 0 END AS pred_b,
+              (row_number() OVER (PARTITION BY label ORDER BY {MD5_EV}, event_id) - 1) % 10 AS fold FROM sc),
+fc AS (SELECT fold,
+              count(*) FILTER (WHERE label = 1 AND prediction = 1) AS tp_a, count(*) FILTER (WHERE label = 0 AND prediction = 1) AS fp_a,
+              count(*) FILTER (WHERE label = 1 AND prediction = 0) AS fn_a,
+              count(*) FILTER (WHERE label = 1 AND pred_b = 1) AS tp_b, count(*) FILTER (WHERE label = 0 AND pred_b = 1) AS fp_b,
+              count(*) FILTER (WHERE label = 1 AND pred_b = 0) AS fn_b FROM fo GROUP BY fold),
+fs AS (SELECT 'rule_a' AS model, CAST(fold AS INTEGER) AS fold, coalesce(2.0 * tp_a / nullif(2.0 * tp_a + fp_a + fn_a, 0), 0) AS score FROM fc
+       UNION ALL SELECT 'rule_b', CAST(fold AS INTEGER), coalesce(2.0 * tp_b / nullif(2.0 * tp_b + fp_b + fn_b, 0), 0) FROM fc)"""
+
+
+def fold_score_table(spark, d):
+    from trellis.operators import split
+    from trellis.operators.metrics import fold_scores
+    sc = scored_events(spark, d).withColumn("pred_b", F.when(F.col("value") >= 30, 1).otherwise(0))
+    folded = split.stratified_kfold(sc, "event_id", "label", k=10)
+    return fold_scores(folded, {"rule_a": "prediction", "rule_b": "pred_b"})
+
+
+@query("cv_scores", f"""
+WITH {FOLD_SQL}
+SELECT model, fold, round(score, 6) AS score FROM fs""")
+def q_cv_scores(spark, d):
+    return r6(fold_score_table(spark, d))
+
+
+@query("cv_summary", f"""
+WITH {FOLD_SQL}
+SELECT model, count(*) AS n_folds, round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS std FROM fs GROUP BY model""")
+def q_cv_summary(spark, d):
+    from trellis.operators.metrics import cv_summary
+    return r6(cv_summary(fold_score_table(spark, d)))
+
+
+def _t_p_sql(t: str, dof: int) -> str:
+    """Closed-form two-sided p for odd ``dof`` (Abramowitz & Stegun 26.7.4)."""
+    theta = f"atan(abs({t}) / sqrt({dof}))"
+    c2 = f"pow(cos({theta}), 2)"
+    terms, coef = ["1.0"], 1.0
+    power = "1.0"
+    for j in range(1, (dof - 1) // 2):
+        coef *= (2.0 * j) / (2.0 * j + 1.0)
+        power = f"({power} * {c2})"
+        terms.append(f"CAST({repr(coef)} AS DOUBLE) * {power}")
+    series = " + ".join(terms)
+    return f"1.0 - (2.0 / pi()) * ({theta} + sin({theta}) * cos({theta}) * ({series}))"
+
+
+@query("paired_t_test", f"""
+WITH {FOLD_SQL},
+pp AS (SELECT fold, max(score) FILTER (WHERE model = 'rule_a') AS a, max(score) FILTER (WHERE model = 'rule_b') AS b FROM fs GROUP BY fold),
+st AS (SELECT count(*) AS n, avg(a - b) AS mean_diff, stddev_samp(a - b) AS sd FROM pp),
+tt AS (SELECT *, mean_diff / (sd / sqrt(n)) AS t_stat FROM st)
+SELECT 'rule_a' AS model_a, 'rule_b' AS model_b, n, round(mean_diff, 6) AS mean_diff, round(t_stat, 6) AS t_stat,
+       round({_t_p_sql('t_stat', 9)}, 6) AS p_value,
+       ({_t_p_sql('t_stat', 9)}) < 0.05 AS significant, n >= 5 AS reliable
+FROM tt""")
+def q_paired_t_test(spark, d):
+    from trellis.operators.metrics import paired_t_test
+    return r6(paired_t_test(fold_score_table(spark, d), "rule_a", "rule_b"))
+
+
+@query("box_stats", f"""
+WITH {FOLD_SQL},
+q AS (SELECT model, quantile_cont(score, 0.25) AS q1, quantile_cont(score, 0.5) AS median, quantile_cont(score, 0.75) AS q3 FROM fs GROUP BY model)
+SELECT model, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3,
+       round(min(score) FILTER (WHERE score >= q1 - 1.5 * (q3 - q1)), 6) AS whisker_low,
+       round(max(score) FILTER (WHERE score <= q3 + 1.5 * (q3 - q1)), 6) AS whisker_high,
+       count(*) FILTER (WHERE score < q1 - 1.5 * (q3 - q1) OR score > q3 + 1.5 * (q3 - q1)) AS n_fliers
+FROM fs JOIN q USING (model) GROUP BY model, q1, median, q3""")
+def q_box_stats(spark, d):
+    from trellis.operators.metrics import box_stats
+    return r6(box_stats(fold_score_table(spark, d)))
+
+
+@query("majority_baseline", f"""
+WITH {EV_SQL}, {QUOTA_SQL},
+mj AS (SELECT label AS majority FROM sp WHERE split = 'train' GROUP BY label ORDER BY count(*) DESC, label LIMIT 1),
+te AS (SELECT sp.label, mj.majority AS pred FROM sp, mj WHERE split = 'test'),
+cm AS ({_counts_sql('pred', 'te')})
+SELECT 'Baseline (majority)' AS model, {_metric_cols_sql()}, CAST(0.5 AS DOUBLE) AS roc_auc FROM cm""")
+def q_majority_baseline(spark, d):
+    from trellis.operators.metrics import majority_baseline
+    sp = split_events(spark, d)
+    return r6(majority_baseline(sp.where(F.col("split") == "train"), sp.where(F.col("split") == "test")))
+
+
+@query("model_comparison", f"""
+WITH {FOLD_SQL},
+ca AS ({_counts_sql('prediction', 'fo')}), cb AS ({_counts_sql('pred_b', 'fo')})
+SELECT 'rule_a' AS model, {_metric_cols_sql()}, CAST(0.5 AS DOUBLE) AS roc_auc, 0 AS ord FROM ca
+UNION ALL SELECT 'rule_b', {_metric_cols_sql()}, CAST(0.5 AS DOUBLE), 1 FROM cb""")
+def q_model_comparison(spark, d):
+    from trellis.operators.metrics import binary_metrics, compare_models
+    sc = scored_events(spark, d).withColumn("pred_b", F.when(F.col("value") >= 30, 1).otherwise(0))
+    return r6(compare_models([binary_metrics(sc, "label", "prediction", None, "rule_a"),
+                              binary_metrics(sc, "label", "pred_b", None, "rule_b")]))
+
+
+# --------------------------------------------------------------------------- linear attributions
+
+LINEAR_COEF = {"l_quantity": 0.02, "l_extendedprice": 0.00001, "l_discount": -1.5, "l_tax": 2.0}
+
+
+def _lin_sql() -> str:
+    means = ", ".join(f"avg({c}) AS m_{c}" for c in LINEAR_COEF)
+    rows = " UNION ALL ".join(
+        f"SELECT l_orderkey, l_linenumber, label, '{c}' AS feature, {c} AS value, "
+        f"CAST({repr(w)} AS DOUBLE) * ({c} - m_{c}) AS phi, l_quantity, l_extendedprice, l_discount, l_tax FROM lil, m"
+        for c, w in LINEAR_COEF.items())
+    return f"{LI_SQL}, m AS (SELECT {means} FROM li), att AS ({rows})"
+
+
+def linear_attr_frame(spark, d):
+    from trellis.operators.explain import linear_attributions
+    return linear_attributions(labelled_lineitem(spark, d), ["l_orderkey", "l_linenumber", "label"], LINEAR_COEF)
+
+
+@query("linear_shap", f"""
+WITH {_lin_sql()}
+SELECT l_orderkey, l_linenumber, feature, round(value, 6) AS value, round(phi, 6) AS phi FROM att""")
+def q_linear_shap(spark, d):
+    return r6(linear_attr_frame(spark, d).drop("label"))
+
+
+@query("linear_shap_global", f"""
+WITH {_lin_sql()}
+SELECT feature, round(avg(abs(phi)), 6) AS mean_abs_phi FROM att GROUP BY feature""")
+def q_linear_shap_global(spark, d):
+    from trellis.operators.explain import global_importance
+    return r6(global_importance(linear_attr_frame(spark, d)))
+
+
+@query("local_explanation", f"""
+WITH {_lin_sql()},
+pick AS (SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax FROM lil
+         ORDER BY label DESC, l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax LIMIT 1)
+SELECT feature, round(value, 6) AS value, round(phi, 6) AS phi,
+       CAST(row_number() OVER (ORDER BY abs(phi) DESC, feature) AS INTEGER) AS rank
+FROM att JOIN pick USING (l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax)""")
+def q_local_explanation(spark, d):
+    from trellis.operators.explain import linear_attributions, local_explanation
+    li = labelled_lineitem(spark, d)
+    order = [F.col("label").desc(), "l_orderkey", "l_linenumber", *FEATURES]
+    pick = li.orderBy(*order).limit(1)   # the P9 row: first positive, else first
+    att = linear_attributions(pick, ["l_orderkey", "l_linenumber"], LINEAR_COEF, background=li)
+    return r6(local_explanation(att, keys=["l_orderkey", "l_linenumber"])
+              .select("feature", "value", "phi", F.col("rank").cast("int")))
