@@ -135,3 +135,14 @@ def fixed_sample(df: DataFrame, key: str, n: int = 1000, seed: int = 42) -> Data
     """
     return (df.withColumn("_h", hash_order(key, seed))
             .orderBy(F.col("_h"), F.col(key)).limit(n).drop("_h"))
+
+
+def row_key(df: DataFrame, out: str = "row_key", cols: Sequence[str] | None = None) -> DataFrame:
+    """Stable row identity from the row content (md5 of its JSON form).
+
+    After full-row dedup this is unique (a 128-bit hash), independent of
+    partitioning and file order -- the explicit key that splits, folds and
+    attributions need when a table has none.
+    """
+    use = list(cols) if cols is not None else df.columns
+    return df.withColumn(out, F.md5(F.to_json(F.struct(*[F.col(c) for c in use]))))

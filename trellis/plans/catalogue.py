@@ -748,3 +748,21 @@ def q_local_explanation(spark, d):
     att = linear_attributions(pick, ["l_orderkey", "l_linenumber"], LINEAR_COEF, background=li)
     return r6(local_explanation(att, keys=["l_orderkey", "l_linenumber"])
               .select("feature", "value", "phi", F.col("rank").cast("int")))
+
+
+# --------------------------------------------------------------------------- models (rows-only checks)
+
+MODEL_FEATURES = ["l_extendedprice", "l_discount", "l_tax"]
+
+
+def flagship(spark, d):
+    """Model comparison (baseline, LR, RF, GBT) on a leak-safe split."""
+    from trellis.plans import workflow
+    df = workflow.lineitem_frame(spark, d)
+    res = workflow.classification(df, "row_key", "label", MODEL_FEATURES, workflow.ModelSizes.small())
+    return r6(res.comparison)
+
+
+@query("ml_model_comparison")
+def q_ml_model_comparison(spark, d):
+    return flagship(spark, d)
