@@ -766,3 +766,38 @@ def flagship(spark, d):
 @query("ml_model_comparison")
 def q_ml_model_comparison(spark, d):
     return flagship(spark, d)
+
+
+# --------------------------------------------------------------------------- SMOTE
+
+def labelled_documents(spark, d):
+    """``labels`` joined to ``documents``; label 1 = quality; length features
+    standardised on the whole table (SMOTE runs after the scaler)."""
+    from trellis.operators.transform import fit_standard_scaler
+    lab = read_table(spark, d, "labels").select("doc_id", F.col("quality").alias("label"))
+    doc = read_table(spark, d, "documents").select(
+        "doc_id", F.col("n_chars").cast("double").alias("n_chars"),
+        F.size(F.split(F.col("text"), r"\s+")).cast("double").alias("n_words"))
+    df = lab.join(doc, on="doc_id", how="inner")
+    sc = fit_standard_scaler(df, ["n_chars", "n_words"])
+    return sc.transform(df)
+
+
+@query("smote")
+def q_smote(spark, d):
+    from trellis.operators.resample import smote
+    return r6(smote(labelled_documents(spark, d), "doc_id", "label", ["n_chars", "n_words"]))
+
+
+@query("smote_counts", """
+WITH j AS (SELECT l.quality AS label FROM labels l JOIN documents d USING (doc_id)),
+c AS (SELECT label, count(*) AS n FROM j GROUP BY label),
+m AS (SELECT min(n) AS n_min, max(n) AS n_max FROM c),
+mi AS (SELECT label FROM c, m WHERE n = n_min ORDER BY CAST(label AS VARCHAR) LIMIT 1)
+SELECT c.label, false AS synthetic, c.n FROM c
+UNION ALL
+SELECT mi.label, true, n_max - n_min FROM mi, m WHERE n_max > n_min""")
+def q_smote_counts(spark, d):
+    from trellis.operators.resample import smote
+    out = smote(labelled_documents(spark, d), "doc_id", "label", ["n_chars", "n_words"])
+    return out.groupBy("label", "synthetic").agg(F.count(F.lit(1)).alias("n"))
