@@ -14,6 +14,7 @@ global summary is a ``groupBy(feature)`` and a local explanation a filter.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -55,3 +56,189 @@ def local_explanation(attributions: DataFrame, max_display: int = LOCAL_MAX_DISP
         F.sum("phi").alias("phi"), F.lit(max_display).alias("rank"))
     return top.unionByName(rest.select(*keys, "feature", "value", "phi", F.col("rank").cast("int")),
                            allowMissingColumns=False)
+
+
+# --------------------------------------------------------------------------- tree ensembles
+
+def _model_nodes(model, spark):
+    """Node table of a fitted tree ensemble via Spark ML persistence: the model
+    is written to the shared checkpoint folder and its ``data`` parquet (one
+    row per node, bounded by the model size) is read back."""
+    import uuid
+
+    from trellis.session import checkpoint_dir
+    path = f"{checkpoint_dir(spark).rstrip('/')}/trees-{uuid.uuid4().hex}"
+    model.write().overwrite().save(path)
+    rows = spark.read.parquet(f"{path}/data").select(
+        "treeID", "nodeData.id", "nodeData.prediction", "nodeData.impurityStats",
+        "nodeData.leftChild", "nodeData.rightChild", "nodeData.split.featureIndex",
+        "nodeData.split.leftCategoriesOrThreshold", "nodeData.split.numCategories").collect()
+    return rows
+
+
+def tree_leaf_paths(model, spark, output: str = "auto"):
+    """Leaf paths of a Spark tree ensemble for path-dependent TreeSHAP.
+
+    Returns ``(leaves, kind)``; every leaf is ``(value, [(feature, lo, hi,
+    zero_fraction), ...])`` with one entry per distinct feature on its path
+    (intervals ``lo < x <= hi`` and cover fractions merged per feature).
+    ``value`` already carries the tree weight, so the model output is the sum
+    of reached leaf values:
+
+    * boosted classifier: margin ``F`` (``p = 1 / (1 + exp(-2F))``);
+    * random-forest classifier: probability of class 1 (mean over trees);
+    * forest / boosted regressor: the prediction.
+    """
+    name = type(model).__name__
+    weights = list(model.treeWeights)
+    n_trees = len(weights)
+    boosted = name.startswith("GBT")
+    classifier = "Classification" in name
+    kind = "margin" if boosted and classifier else ("probability" if classifier else "prediction")
+    by_tree: dict[int, dict[int, object]] = {}
+    for r in _model_nodes(model, spark):
+        by_tree.setdefault(r["treeID"], {})[r["id"]] = r
+    leaves = []
+    for t, nodes in by_tree.items():
+        def cover(n):
+            st = n["impurityStats"]
+            return float(st[0]) if (boosted or not classifier) else float(sum(st))
+
+        def leaf_value(n):
+            if classifier and not boosted:
+                st = n["impurityStats"]
+                tot = float(sum(st))
+                return (st[1] / tot if tot > 0 and len(st) > 1 else 0.0) / n_trees
+            w = weights[t] if boosted else 1.0 / n_trees
+            return w * float(n["prediction"])
+
+        stack = [(0, {})]
+        while stack:
+            nid, conds = stack.pop()
+            n = nodes[nid]
+            if n["leftChild"] < 0:
+                leaves.append((leaf_value(n), [(f, lo, hi, z) for f, (lo, hi, z) in conds.items()]))
+                continue
+            if n["numCategories"] is not None and n["numCategories"] > 0:
+                raise ValueError("categorical splits are not supported by tree attributions")
+            f = int(n["featureIndex"])
+            thr = float(n["leftCategoriesOrThreshold"][0])
+            parent = cover(n)
+            for child, is_left in ((n["leftChild"], True), (n["rightChild"], False)):
+                c = nodes[child]
+                lo, hi, z = conds.get(f, (-math.inf, math.inf, 1.0))
+                if is_left:
+                    hi = min(hi, thr)
+                else:
+                    lo = max(lo, thr)
+                frac = cover(c) / parent if parent > 0 else 0.0
+                nc = dict(conds)
+                nc[f] = (lo, hi, z * frac)
+                stack.append((child, nc))
+    return leaves, kind
+
+
+def _pack_leaves(leaves):
+    """Group leaves by path length into dense arrays for vectorised evaluation."""
+    import numpy as np
+    groups = {}
+    for v, conds in leaves:
+        groups.setdefault(len(conds), []).append((v, conds))
+    packed = []
+    for m, items in groups.items():
+        v = np.array([it[0] for it in items], dtype=float)
+        if m == 0:
+            packed.append((0, v, None, None, None, None))
+            continue
+        f = np.array([[c[0] for c in it[1]] for it in items], dtype=np.int64)
+        lo = np.array([[c[1] for c in it[1]] for it in items], dtype=float)
+        hi = np.array([[c[2] for c in it[1]] for it in items], dtype=float)
+        z = np.array([[c[3] for c in it[1]] for it in items], dtype=float)
+        packed.append((m, v, f, lo, hi, z))
+    return packed
+
+
+def shap_values_numpy(X, packed, n_features: int, leaf_chunk: int = 256):
+    """Exact path-dependent TreeSHAP for a block of rows (leaf-path form).
+
+    Per leaf with distinct path features F (|F| = m), one-fractions o_j (the
+    row satisfies every split on feature j) and zero-fractions z_j (product of
+    cover ratios): ``phi_i += v (o_i - z_i) sum_S w(|S|, m) prod_{S} o_j
+    prod_{F minus S, i} z_j`` with Shapley weights ``w(s, m) = s!(m-s-1)!/m!``. The
+    product polynomial ``prod_j (z_j + o_j t)`` is built once per leaf and
+    divided by feature i's factor. Returns (phi [n x d], base value).
+    """
+    import numpy as np
+    n = X.shape[0]
+    phi = np.zeros((n, n_features))
+    base = 0.0
+    for m, v, f, lo, hi, z in packed:
+        if m == 0:
+            base += float(v.sum())
+            continue
+        base += float((v * z.prod(axis=1)).sum())
+        w = np.array([math.factorial(s) * math.factorial(m - s - 1) / math.factorial(m) for s in range(m)])
+        for a in range(0, len(v), leaf_chunk):
+            vv, ff, ll, hh, zz = v[a:a + leaf_chunk], f[a:a + leaf_chunk], lo[a:a + leaf_chunk], \
+                hi[a:a + leaf_chunk], z[a:a + leaf_chunk]
+            L = len(vv)
+            xv = X[:, ff]                                   # n x L x m
+            o = ((xv > ll[None]) & (xv <= hh[None])).astype(float)
+            zb = np.broadcast_to(zz[None], o.shape)
+            poly = np.zeros((n, L, m + 1))
+            poly[:, :, 0] = 1.0
+            for j in range(m):                              # multiply by (z_j + o_j t)
+                nxt = poly * zb[:, :, j:j + 1]
+                nxt[:, :, 1:] += poly[:, :, :-1] * o[:, :, j:j + 1]
+                poly = nxt
+            for i in range(m):
+                oi, zi = o[:, :, i], zb[:, :, i]
+                # divide by (z_i + o_i t): o_i = 1 -> synthetic division, o_i = 0 -> / z_i
+                q = np.zeros((n, L, m))
+                q[:, :, m - 1] = poly[:, :, m]
+                for s in range(m - 1, 0, -1):
+                    q[:, :, s - 1] = poly[:, :, s] - zi * q[:, :, s]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    q0 = np.where(zi[..., None] > 0, poly[:, :, :m] / zi[..., None], 0.0)
+                q = np.where(oi[..., None] > 0, q, q0)
+                contrib = vv[None] * (oi - zi) * (q @ w)       # n x L
+                onehot = np.zeros((L, n_features))
+                onehot[np.arange(L), ff[:, i]] = 1.0
+                phi += contrib @ onehot
+    return phi, base
+
+
+def tree_attributions(df: DataFrame, keys: Sequence[str], features: Sequence[str], model,
+                      ) -> tuple[DataFrame, float, str]:
+    """Exact TreeSHAP for every row of ``df``: long ``(keys..., feature, value,
+    phi)``, plus the base value and the explained output (see
+    ``tree_leaf_paths``). The leaf paths (bounded by the model size) travel
+    with the task closure; rows are processed in Arrow batches by
+    ``mapInPandas``, so any number of rows can be explained."""
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+
+    spark = df.sparkSession
+    leaves, kind = tree_leaf_paths(model, spark)
+    packed = _pack_leaves(leaves)
+    feats = list(features)
+    d = len(feats)
+    key_fields = [df.schema[k] for k in keys]
+    schema = StructType([*key_fields, StructField("feature", StringType()),
+                         StructField("value", DoubleType()), StructField("phi", DoubleType())])
+
+    def run(it):
+        for pdf in it:
+            X = pdf[feats].to_numpy(dtype=float)
+            phi, _ = shap_values_numpy(X, packed, d)
+            n = len(pdf)
+            out = {k: np.repeat(pdf[k].to_numpy(), d) for k in keys}
+            out["feature"] = np.tile(np.array(feats, dtype=object), n)
+            out["value"] = X.reshape(-1)
+            out["phi"] = phi.reshape(-1)
+            yield pd.DataFrame(out)
+
+    base = shap_values_numpy(np.zeros((1, d)), packed, d)[1]
+    att = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in feats]).mapInPandas(run, schema)
+    return att, base, kind

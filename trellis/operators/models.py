@@ -32,7 +32,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
@@ -198,16 +198,35 @@ def grid_search(pipeline_stages: Sequence, estimator, grid: dict, train: DataFra
     return fitted.bestModel, table
 
 
+def _parallel(fn, items, parallelism: int):
+    """Run independent fits as concurrent Spark jobs (as ``CrossValidator``
+    does with ``parallelism``); results keep the input order."""
+    from concurrent.futures import ThreadPoolExecutor
+    items = list(items)
+    if parallelism <= 1:
+        return [fn(x) for x in items]
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        futures = [pool.submit(fn, x) for x in items]
+    out = []
+    for x, fut in zip(items, futures):
+        try:
+            out.append(fut.result())
+        except Exception:  # a concurrent fit lost a broadcast block: refit alone
+            out.append(fn(x))
+    return out
+
+
 def cv_fold_scores(pipeline: Pipeline | Estimator, df: DataFrame, fold_col: str, k: int, name: str,
-                   label: str = "label") -> DataFrame:
+                   label: str = "label", parallelism: int = 4) -> DataFrame:
     """Positive-class F1 of ``pipeline`` on every held-out fold: long
     ``(model, fold, score)`` (M7). The same fold column for every model keeps
     the paired test valid."""
     ev = PositiveF1Evaluator(label, "prediction")
-    rows = []
-    for f in range(k):
+
+    def one(f):
         m = pipeline.fit(df.where(F.col(fold_col) != f))
-        rows.append((name, f, ev.evaluate(m.transform(df.where(F.col(fold_col) == f)))))
+        return (name, f, ev.evaluate(m.transform(df.where(F.col(fold_col) == f))))
+    rows = _parallel(one, range(k), parallelism)
     return df.sparkSession.createDataFrame(rows, "model string, fold int, score double")
 
 
@@ -234,7 +253,7 @@ def feature_importance(model, features: Sequence[str], spark) -> DataFrame:
 
 
 def learning_curve(pipeline: Pipeline, positions: DataFrame, k: int, label: str = "label",
-                   fold_col: str = "fold") -> DataFrame:
+                   fold_col: str = "fold", parallelism: int = 4) -> DataFrame:
     """Training and CV F1 per training-subset size (M9): for every fold and
     size, fit on the first ``size`` training rows (hash order) and score both
     the subset and the held-out fold. Sizes and subsets come from
@@ -243,13 +262,16 @@ def learning_curve(pipeline: Pipeline, positions: DataFrame, k: int, label: str
     ev = PositiveF1Evaluator(label, "prediction")
     per_fold = {r[fold_col]: r["count"] for r in positions.groupBy(fold_col).count().collect()}
     n = sum(per_fold.values())
-    rows = []
-    for f in range(k):
+    tasks = [(f, j, size) for f in range(k)
+             for j, size in enumerate(learning_sizes(n - per_fold.get(f, 0)))]
+
+    def one(task):
+        f, j, size = task
         held = positions.where(F.col(fold_col) == f)
-        for j, size in enumerate(learning_sizes(n - per_fold.get(f, 0))):
-            sub = positions.where(F.col(f"pos_{f}") <= size)
-            m = pipeline.fit(sub)
-            rows.append((j, size, f, ev.evaluate(m.transform(sub)), ev.evaluate(m.transform(held))))
+        sub = positions.where(F.col(f"pos_{f}") <= size)
+        m = pipeline.fit(sub)
+        return (j, size, f, ev.evaluate(m.transform(sub)), ev.evaluate(m.transform(held)))
+    rows = _parallel(one, tasks, parallelism)
     per = positions.sparkSession.createDataFrame(
         rows, "size_idx int, train_size long, fold int, train_f1 double, cv_f1 double")
     return per.groupBy("size_idx").agg(F.avg("train_size").alias("mean_train_size"),

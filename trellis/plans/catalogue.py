@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trellis.functions.columns import round_doubles
+from trellis.session import cut_lineage
 from trellis.operators import prep, profile
 from trellis.sources.io import read_table
 
@@ -801,3 +802,179 @@ def q_smote_counts(spark, d):
     from trellis.operators.resample import smote
     out = smote(labelled_documents(spark, d), "doc_id", "label", ["n_chars", "n_words"])
     return out.groupBy("label", "synthetic").agg(F.count(F.lit(1)).alias("n"))
+
+
+def model_split(spark, d):
+    """Prepared lineitem modelling table with its exact stratified split."""
+    from trellis.plans import workflow
+    df = workflow.lineitem_frame(spark, d)
+    return workflow.prepare(df, "row_key", "label", MODEL_FEATURES + ["q10"], checkpoint=True)
+
+
+def _train_test(spark, d):
+    sp = model_split(spark, d)
+    return sp.where(F.col("split") == "train"), sp.where(F.col("split") == "test")
+
+
+@query("lr_coefficients")
+def q_lr_coefficients(spark, d):
+    from pyspark.ml import Pipeline
+
+    from trellis.operators import models, profile
+    from trellis.operators.transform import fit_standard_scaler
+    train, _ = _train_test(spark, d)
+    train = profile.with_class_weights(train, "label", "weight")
+    sc = fit_standard_scaler(train, MODEL_FEATURES, suffix="__z")
+    n_w = train.agg(F.sum("weight")).first()[0]
+    pipe = Pipeline(stages=[sc.as_stage(), models.assembler([f + "__z" for f in MODEL_FEATURES]),
+                            models.logistic_regression(n_w, "label", "weight")]).fit(train)
+    lr = pipe.stages[-1]
+    rows = [(f, float(c)) for f, c in zip(MODEL_FEATURES, lr.coefficients.toArray())]
+    rows.append(("intercept", float(lr.intercept)))
+    return spark.createDataFrame(rows, "feature string, coefficient double")
+
+
+def _tree_pipeline(kind: str, weight: str | None = "weight"):
+    from pyspark.ml import Pipeline
+
+    from trellis.operators import models
+    est = models.random_forest(20, 8, 5, "label", weight) if kind == "rf" else \
+        models.boosted_trees(20, 4, 0.1, "label", weight)
+    return Pipeline(stages=[models.assembler(MODEL_FEATURES), est])
+
+
+@query("rf_feature_importance")
+def q_rf_feature_importance(spark, d):
+    from trellis.operators import models, profile
+    train, _ = _train_test(spark, d)
+    m = _tree_pipeline("rf").fit(profile.with_class_weights(train, "label", "weight"))
+    return models.feature_importance(m, MODEL_FEATURES, spark)
+
+
+@query("gbt_feature_importance")
+def q_gbt_feature_importance(spark, d):
+    from trellis.operators import models
+    train, _ = _train_test(spark, d)
+    pw = train.agg(F.try_divide(F.count(F.when(F.col("label") == 0, 1)),
+                                F.count(F.when(F.col("label") == 1, 1)))).first()[0] or 1.0
+    m = _tree_pipeline("gbt").fit(models.with_positive_weight(train, "label", pw))
+    return models.feature_importance(m, MODEL_FEATURES, spark)
+
+
+@query("rf_regression_metrics")
+def q_rf_regression_metrics(spark, d):
+    """Score regression: a forest predicts the 0-9 score from the features."""
+    from pyspark.ml import Pipeline
+
+    from trellis.operators import metrics, models, split
+    from trellis.plans import workflow
+    df = workflow.lineitem_frame(spark, d).withColumn("score", F.col("q10").cast("double"))
+    sp = split.random_split(df, "row_key")
+    pipe = Pipeline(stages=[models.assembler(MODEL_FEATURES),
+                            models.rf_regressor(20, "score", max_depth=8)])
+    m = pipe.fit(sp.where(F.col("split") == "train"))
+    pred = m.transform(sp.where(F.col("split") == "test")).select(
+        F.col("score").alias("actual"), F.col("prediction").alias("predicted"))
+    return r6(metrics.regression_metrics(pred))
+
+
+@query("grid_search_f1")
+def q_grid_search_f1(spark, d):
+    from trellis.operators import models, split
+    train, _ = _train_test(spark, d)
+    folded = cut_lineage(split.stratified_kfold(train, "row_key", "label", k=3))
+    pw = folded.agg(F.try_divide(F.count(F.when(F.col("label") == 0, 1)),
+                                 F.count(F.when(F.col("label") == 1, 1)))).first()[0] or 1.0
+    folded = models.with_positive_weight(folded, "label", pw)
+    est = models.boosted_trees(10, 3, 0.1, "label", "weight")
+    _, table = models.grid_search([models.assembler(MODEL_FEATURES)], est,
+                                  {"maxDepth": [2, 3], "stepSize": [0.05, 0.1]}, folded, "fold", 3)
+    return r6(table)
+
+
+def _ml_fold_scores(spark, d):
+    from trellis.operators import models, profile, split
+    train, _ = _train_test(spark, d)
+    folded = split.stratified_kfold(train, "row_key", "label", k=10)
+    folded = cut_lineage(profile.with_class_weights(folded, "label", "weight"))
+    a = models.cv_fold_scores(_tree_pipeline("rf"), folded, "fold", 10, "Random Forest")
+    b = models.cv_fold_scores(_tree_pipeline("gbt"), folded, "fold", 10, "Gradient Boosted Trees")
+    return a.unionByName(b)
+
+
+@query("ml_cv_t_test")
+def q_ml_cv_t_test(spark, d):
+    from trellis.operators.metrics import paired_t_test
+    return r6(paired_t_test(_ml_fold_scores(spark, d), "Random Forest", "Gradient Boosted Trees"))
+
+
+@query("learning_curve")
+def q_learning_curve(spark, d):
+    from pyspark.ml import Pipeline
+
+    from trellis.operators import models, split
+    from trellis.operators import profile
+    train, _ = _train_test(spark, d)
+    folded = split.stratified_kfold(train, "row_key", "label", k=5)
+    pos = split.learning_positions(folded, "row_key", 5)
+    pos = cut_lineage(profile.with_class_weights(pos, "label", "weight"))
+    return r6(models.learning_curve(_tree_pipeline("rf"), pos, 5))
+
+
+def _gbt_for_shap(spark, d):
+    train, test = _train_test(spark, d)
+    model = _tree_pipeline("gbt", None).fit(train)
+    return model.stages[-1], test
+
+
+@query("tree_shap")
+def q_tree_shap(spark, d):
+    from trellis.operators.explain import tree_attributions
+    gbt, test = _gbt_for_shap(spark, d)
+    att, _, _ = tree_attributions(test, ["row_key"], MODEL_FEATURES, gbt)
+    return r6(att)
+
+
+@query("tree_shap_global")
+def q_tree_shap_global(spark, d):
+    from trellis.operators.explain import global_importance, tree_attributions
+    gbt, test = _gbt_for_shap(spark, d)
+    att, _, _ = tree_attributions(test, ["row_key"], MODEL_FEATURES, gbt)
+    return r6(global_importance(att))
+
+
+@query("model_roundtrip")
+def q_model_roundtrip(spark, d):
+    """Save the fitted pipeline, load it back, compare predictions."""
+    import uuid
+
+    from trellis.sources.io import load_pipeline, save_model
+    from trellis.session import checkpoint_dir
+    train, test = _train_test(spark, d)
+    model = _tree_pipeline("rf", None).fit(train)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/model-{uuid.uuid4().hex}"
+    save_model(model, path)
+    again = load_pipeline(path)
+    a = model.transform(test).select("row_key", F.col("prediction").alias("p1"))
+    b = again.transform(test).select("row_key", F.col("prediction").alias("p2"))
+    return a.join(b, "row_key").agg(F.count(F.lit(1)).alias("n_rows"),
+                                    F.count(F.when(F.col("p1") == F.col("p2"), 1)).alias("n_equal"))
+
+
+@query("multiclass_report")
+def q_multiclass_report(spark, d):
+    """Vector features: multinomial logistic regression on ``embeddings``
+    (10 classes), per-class report on an exact stratified test split."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    from trellis.operators import metrics, split
+    emb = read_table(spark, d, "embeddings").select(
+        "vec_id", "label", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    sp = split.stratified_split(emb, "vec_id", "label")
+    n = sp.where(F.col("split") == "train").count()
+    lr = LogisticRegression(maxIter=200, regParam=1.0 / max(n, 1), family="multinomial")
+    m = lr.fit(sp.where(F.col("split") == "train"))
+    pred = m.transform(sp.where(F.col("split") == "test")).select(
+        "label", F.col("prediction").cast("int").alias("prediction"))
+    return r6(metrics.classification_report(pred))
