@@ -9,40 +9,50 @@ window ever holds the whole table in one task.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trellis.functions.columns import safe_div
 from trellis.operators.metrics import confusion_counts, metrics_from_counts
-from trellis.operators.rank import running_sums, with_next
+from trellis.operators.rank import ROWS_PER_BUCKET, running_sums, with_next
+from trellis.session import cut_lineage
 
 # Fixed values of the reference workflow.
 CALIBRATION_BINS = 10
 FALLBACK_THRESHOLD = 0.5
-CURVE_BUCKETS = 256
+MIN_CURVE_BUCKETS = 16
+MAX_CURVE_BUCKETS = 65_536
 
 
-def score_counts(scored: DataFrame, label: str, score: str, n_buckets: int = CURVE_BUCKETS
+def score_counts(scored: DataFrame, label: str, score: str, n_buckets: int | None = None
                  ) -> tuple[DataFrame, int, int]:
-    """Distinct scores (descending buckets) with ``pos``/``neg`` counts and the
-    descending running counts ``tps``/``fps`` (sklearn's binary curve), plus
-    the class totals P and N. One aggregate gives P, N and the bucket cut
-    points together; the rest is lazy."""
+    """Distinct scores with ``pos``/``neg`` counts and the descending running
+    counts ``tps``/``fps`` (sklearn's binary curve), plus the class totals P
+    and N.
+
+    The raw table is read once: its distinct-score table is written to the
+    shared checkpoint folder, and every later pass (totals, bucket cut points,
+    running sums, next-point lookup) reads that smaller table. Bucket cut
+    points are approximate quantiles of the *distinct* scores, so every
+    bucket holds about the same number of curve points, and the number of
+    buckets grows with the number of distinct scores.
+    """
     s = F.col(score).cast("double")
+    base = scored.select(s.alias("score"), F.col(label).alias("_y")).where(F.col("score").isNotNull())
+    dist = cut_lineage(base.groupBy("score").agg(F.count(F.when(F.col("_y") == 1, 1)).alias("pos"),
+                                                 F.count(F.when(F.col("_y") == 0, 1)).alias("neg")))
+    head = dist.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"), F.count(F.lit(1)).alias("m")).first()
+    P, N, m = int(head["P"] or 0), int(head["N"] or 0), int(head["m"])
+    if n_buckets is None:
+        n_buckets = int(min(MAX_CURVE_BUCKETS, max(MIN_CURVE_BUCKETS, math.ceil(m / ROWS_PER_BUCKET))))
     probs = [i / n_buckets for i in range(1, n_buckets)]
-    head = scored.where(s.isNotNull()).agg(
-        F.count(F.when(F.col(label) == 1, 1)).alias("P"),
-        F.count(F.when(F.col(label) == 0, 1)).alias("N"),
-        F.percentile_approx(s, probs, 4 * n_buckets).alias("cuts")).first()
-    P, N = int(head["P"]), int(head["N"])
-    cuts = sorted({float(c) for c in (head["cuts"] or [])})
-    splits = [float("-inf"), *cuts, float("inf")]
+    cuts = dist.approxQuantile("score", probs, 1.0 / (4 * n_buckets)) if m else []
+    splits = [float("-inf"), *sorted({float(c) for c in cuts}), float("inf")]
     if len(splits) < 3:
         splits = [float("-inf"), 0.0, float("inf")]
-    base = scored.select(s.alias("score"), F.col(label).alias("_y")).where(F.col("score").isNotNull())
-    dist = base.groupBy("score").agg(F.count(F.when(F.col("_y") == 1, 1)).alias("pos"),
-                                     F.count(F.when(F.col("_y") == 0, 1)).alias("neg"))
     b = Bucketizer(splits=splits, inputCol="score", outputCol="_b", handleInvalid="keep")
     # bucket ids grow as the score falls: the order of the curve
     dist = b.transform(dist).withColumn("_bucket", (F.lit(len(splits)) - F.col("_b")).cast("int")).drop("_b")

@@ -20,6 +20,7 @@ hint so AQE can broadcast it after measuring its real size.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -61,13 +62,28 @@ def running_sums(df: DataFrame, order: Sequence[str | Column], sum_cols: Sequenc
     return out
 
 
+ROWS_PER_BUCKET = 1 << 21
+
+
+def auto_digits(n_rows: int | None, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
+    """Hex digits of hash prefix so that a bucket holds ~``rows_per_bucket``
+    rows: 3 (4,096 buckets) up to 10^10 rows, then growing with the data."""
+    if not n_rows:
+        return 3
+    need = max(1.0, n_rows / rows_per_bucket)
+    return int(min(7, max(3, math.ceil(math.log(need, 16)))))
+
+
 def hash_rank(df: DataFrame, key: str, seed: int, partition_cols: Sequence[str] = (),
-              digits: int = 3, rank_col: str = "rank") -> DataFrame:
+              digits: int | None = None, rank_col: str = "rank", n_rows: int | None = None
+              ) -> DataFrame:
     """1-based rank of every row in ``md5(key:seed)`` order within ``partition_cols``.
 
     Buckets are the leading ``digits`` hex digits of the hash: uniform by
-    construction, 16**digits ranges. Keys must be unique (row identity).
+    construction, 16**digits ranges (sized from ``n_rows`` when not given).
+    Keys must be unique (row identity).
     """
+    digits = digits or auto_digits(n_rows)
     h = df.withColumn(ORDER_HASH, hash_order(key, seed))
     h = h.withColumn(BUCKET, hex_bucket(F.col(ORDER_HASH), digits)).withColumn("_one", F.lit(1))
     ranked = running_sums(h, [F.col(ORDER_HASH), F.col(key)], ["_one"], BUCKET,

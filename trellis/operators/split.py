@@ -55,7 +55,7 @@ def _lookup(col: str, mapping: dict) -> Column:
 
 
 def stratified_split(df: DataFrame, key: str, label: str, test_fraction: float = TEST_FRACTION,
-                     seed: int = SEED, split_col: str = "split", digits: int = 3) -> DataFrame:
+                     seed: int = SEED, split_col: str = "split", digits: int | None = None) -> DataFrame:
     """Exact stratified train/test split as a ``split`` column.
 
     Class counts (one row per class) reach the driver to fix the quotas; each
@@ -63,39 +63,43 @@ def stratified_split(df: DataFrame, key: str, label: str, test_fraction: float =
     """
     counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
     quotas = stratum_quotas(counts, test_fraction)
-    ranked = hash_rank(df, key, seed, [label], digits=digits, rank_col="_rank")
+    ranked = hash_rank(df, key, seed, [label], digits=digits, rank_col="_rank",
+                       n_rows=max(counts.values(), default=0))
     return ranked.withColumn(
         split_col, F.when(F.col("_rank") <= _lookup(label, quotas), "test").otherwise("train")
     ).drop("_rank", ORDER_HASH)
 
 
 def random_split(df: DataFrame, key: str, test_fraction: float = TEST_FRACTION, seed: int = SEED,
-                 split_col: str = "split", digits: int = 3) -> DataFrame:
+                 split_col: str = "split", digits: int | None = None) -> DataFrame:
     """Exact-size random split: the ``ceil(f * n)`` first rows in hash order are
     the test part (R2)."""
     n = df.count()
     n_test = _ceil_fraction(n, test_fraction)
-    ranked = hash_rank(df, key, seed, digits=digits, rank_col="_rank")
+    ranked = hash_rank(df, key, seed, digits=digits, rank_col="_rank", n_rows=n)
     return ranked.withColumn(split_col, F.when(F.col("_rank") <= n_test, "test").otherwise("train")) \
         .drop("_rank", ORDER_HASH)
 
 
 def stratified_kfold(df: DataFrame, key: str, label: str, k: int = 5, seed: int = SEED,
-                     fold_col: str = "fold", digits: int = 3) -> DataFrame:
-    """Per-class balanced folds: ``fold = (rank in class - 1) mod k``."""
-    ranked = hash_rank(df, key, seed, [label], digits=digits, rank_col="_rank")
+                     fold_col: str = "fold", digits: int | None = None,
+                     n_rows: int | None = None) -> DataFrame:
+    """Per-class balanced folds: ``fold = (rank in class - 1) mod k``.
+    ``n_rows`` (largest class) sizes the hash buckets; 4,096 when unknown."""
+    ranked = hash_rank(df, key, seed, [label], digits=digits, rank_col="_rank", n_rows=n_rows)
     return ranked.withColumn(fold_col, ((F.col("_rank") - 1) % k).cast("int")).drop("_rank", ORDER_HASH)
 
 
 def kfold(df: DataFrame, key: str, k: int = 5, seed: int = SEED, fold_col: str = "fold",
-          digits: int = 3) -> DataFrame:
+          digits: int | None = None, n_rows: int | None = None) -> DataFrame:
     """Balanced folds without classes: ``fold = (rank - 1) mod k``."""
-    ranked = hash_rank(df, key, seed, digits=digits, rank_col="_rank")
+    ranked = hash_rank(df, key, seed, digits=digits, rank_col="_rank", n_rows=n_rows)
     return ranked.withColumn(fold_col, ((F.col("_rank") - 1) % k).cast("int")).drop("_rank", ORDER_HASH)
 
 
 def learning_positions(folded: DataFrame, key: str, k: int, fold_col: str = "fold",
-                       seed: int = SEED, digits: int = 3) -> DataFrame:
+                       seed: int = SEED, digits: int | None = None, n_rows: int | None = None
+                       ) -> DataFrame:
     """Position of every row inside the training part of every fold.
 
     Training rows of fold f are ordered by the global hash order; the
@@ -103,6 +107,8 @@ def learning_positions(folded: DataFrame, key: str, k: int, fold_col: str = "fol
     sum of k fold indicators gives all k positions at once. ``pos_f`` is NULL
     for rows that belong to fold f.
     """
+    from trellis.operators.rank import auto_digits
+    digits = digits or auto_digits(n_rows)
     ind = [f"_in{f}" for f in range(k)]
     h = folded.withColumn(ORDER_HASH, hash_order(key, seed))
     h = h.withColumn(BUCKET, hex_bucket(F.col(ORDER_HASH), digits))
