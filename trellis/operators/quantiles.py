@@ -4,17 +4,20 @@
 on a global aggregate that is every value of the table. Here each order
 statistic is found by bracketing:
 
-1. one aggregate gives ``count`` and ``percentile_approx`` cut points around
-   every wanted rank (rank error <= n / accuracy);
-2. one aggregate counts, per bracket ``[a, b]``, the rows below ``a`` and
-   inside the bracket (verifying that the wanted rank is really inside);
-3. only the distinct values inside the brackets (with their counts) come back
-   to the driver -- at most ``max_collect`` per bracket; a wider bracket is
-   narrowed by another ``percentile_approx`` round restricted to it.
-
-Every step is a partial aggregate or a filtered scan, so nothing unbounded
-moves to one task or the driver, and a value that holds a third of the rows
-collapses to one (value, count) pair.
+1. one aggregate gives ``count`` and ``percentile_approx`` cut points just
+   below and above every wanted rank (rank error <= n / accuracy);
+2. one grouped pass keys every row at or below a bracket's upper end by
+   (target, value) -- rows under the lower end share one key per target, so
+   map-side combining turns them into a single counter -- and returns only
+   the distinct values inside the brackets with their counts;
+3. the driver walks those few (value, count) pairs to the exact rank and
+   interpolates.
+
+When a bracket would be too wide to return (enormous tables, or an
+approximation that missed the rank), the bracket is narrowed by further
+``percentile_approx`` rounds restricted to it before the final pass. Nothing
+unbounded moves to one task or the driver, and a value that holds a third of
+the rows collapses to one (value, count) pair.
 """
 
 from __future__ import annotations
@@ -28,121 +31,167 @@ from pyspark.sql import functions as F
 INF = float("inf")
 
 
-def _approx(df: DataFrame, specs: list[tuple[str, float | None, float | None, list[float]]],
-            accuracy: int) -> list[list[float]]:
+def _plan(n: int, p: float) -> tuple[int, int, float]:
+    h = (n - 1) * p
+    lo, hi = math.floor(h), math.ceil(h)
+    return lo, hi, h - lo
+
+
+def _collect_brackets(df: DataFrame, brackets: dict[int, tuple[str, float, float]]
+                      ) -> dict[int, tuple[int, list[tuple[float, int]]]]:
+    """One grouped pass: per target id, rows below the bracket (counted) and
+    the distinct values inside it with their counts."""
+    items = []
+    for t, (c, a, b) in brackets.items():
+        x = F.col(c).cast("double")
+        keep = x.isNotNull() & (x <= F.lit(b))
+        items.append(F.when(keep, F.struct(F.lit(t).alias("t"),
+                                           F.when(x >= F.lit(a), x).alias("v"))))
+    long = df.select(F.explode(F.array(*items)).alias("e")).where(F.col("e").isNotNull()) \
+        .select("e.t", "e.v")
+    rows = long.groupBy("t", "v").count().collect()
+    out: dict[int, tuple[int, list[tuple[float, int]]]] = {t: (0, []) for t in brackets}
+    for r in rows:
+        below, vals = out[r["t"]]
+        if r["v"] is None:
+            out[r["t"]] = (below + int(r["count"]), vals)
+        else:
+            vals.append((float(r["v"]), int(r["count"])))
+    for t in out:
+        out[t][1].sort()
+    return out
+
+
+def _bracket_counts(df: DataFrame, brackets: dict[int, tuple[str, float, float]]
+                    ) -> dict[int, tuple[int, int]]:
     aggs = []
-    for i, (c, a, b, probs) in enumerate(specs):
+    for t, (c, a, b) in brackets.items():
         x = F.col(c)
-        if a is not None:
-            x = F.when((F.col(c) >= F.lit(a)) & (F.col(c) <= F.lit(b)), F.col(c))
-        aggs.append(F.percentile_approx(x, [min(max(p, 0.0), 1.0) for p in probs],
-                                        accuracy).alias(f"q{i}"))
-    row = df.agg(*aggs).collect()[0]
-    return [list(row[f"q{i}"] or []) for i in range(len(specs))]
-
-
-def exact_order_statistics(df: DataFrame, targets: Sequence[tuple[str, int]],
-                           accuracy: int = 10_000, max_collect: int = 100_000
-                           ) -> dict[tuple[str, int], float]:
-    """Value at 0-based rank ``r`` (ascending, nulls skipped) for each (column, r)."""
-    targets = list(dict.fromkeys(targets))
-    if not targets:
-        return {}
-    eps = 1.0 / accuracy
-    cols = sorted({c for c, _ in targets})
-    counts = df.agg(*[F.count(F.col(c)).alias(c) for c in cols]).collect()[0]
-    n = {c: int(counts[c]) for c in cols}
-    # state per target: (a, b, below) -- rows < a, bracket [a, b]
-    state: dict[tuple[str, int], list] = {t: [-INF, INF, 0, n[t[0]]] for t in targets}
-    first = True
-    for _ in range(8):
-        wide = [t for t in targets if state[t][3] > max_collect]
-        if not wide:
-            break
-        specs = []
-        for c, r in wide:
-            a, b, below, inside = state[(c, r)]
-            m = max(inside - 1, 1)
-            p = (r - below) / m
-            specs.append((c, None if first else a, None if first else b,
-                          [p - 2 * eps, p + 2 * eps]))
-        qs = _approx(df, specs, accuracy)
-        proposals = {}
-        for (c, r), q in zip(wide, qs):
-            if len(q) == 2:
-                proposals[(c, r)] = (float(q[0]), float(q[1]))
-        aggs = []
-        keys = list(proposals)
-        for i, (c, r) in enumerate(keys):
-            a, b = proposals[(c, r)]
-            x = F.col(c)
-            aggs.append(F.count(F.when(x < F.lit(a), 1)).alias(f"lo{i}"))
-            aggs.append(F.count(F.when((x >= F.lit(a)) & (x <= F.lit(b)), 1)).alias(f"in{i}"))
-        if aggs:
-            row = df.agg(*aggs).collect()[0]
-            for i, t in enumerate(keys):
-                lo, inside = int(row[f"lo{i}"]), int(row[f"in{i}"])
-                # keep the proposal only if the wanted rank is really inside it
-                if lo <= t[1] < lo + inside and inside < state[t][3]:
-                    state[t] = [proposals[t][0], proposals[t][1], lo, inside]
-                elif inside >= state[t][3]:
-                    state[t][3] = min(state[t][3], max_collect)  # cannot narrow: collect
-        first = False
-    # collect distinct (value, count) inside every bracket
-    stacked = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"))
-        for c in cols])).alias("kv")).select("kv.feature", "kv.value")
-    cond = F.lit(False)
-    for (c, r) in targets:
-        a, b = state[(c, r)][0], state[(c, r)][1]
-        cond = cond | ((F.col("feature") == c) & (F.col("value") >= F.lit(a))
-                       & (F.col("value") <= F.lit(b)))
-    pairs = (stacked.where(F.col("value").isNotNull() & cond)
-             .groupBy("feature", "value").count().collect())
-    by_col: dict[str, list[tuple[float, int]]] = {}
-    for p in pairs:
-        by_col.setdefault(p["feature"], []).append((p["value"], p["count"]))
-    for v in by_col.values():
-        v.sort()
-    out = {}
-    for (c, r) in targets:
-        a, b, below, _ = state[(c, r)]
-        cum = below
-        for v, k in by_col.get(c, []):
-            if v < a or v > b:
-                continue
-            cum += k
-            if cum > r:
-                out[(c, r)] = v
-                break
-    return out
+        aggs += [F.count(F.when(x < F.lit(a), 1)).alias(f"lo{t}"),
+                 F.count(F.when((x >= F.lit(a)) & (x <= F.lit(b)), 1)).alias(f"in{t}")]
+    row = df.agg(*aggs).first()
+    return {t: (int(row[f"lo{t}"]), int(row[f"in{t}"])) for t in brackets}
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                    accuracy: int = 10_000, max_collect: int = 100_000
+                    accuracy: int = 2_000, max_collect: int = 100_000
                     ) -> dict[tuple[str, float], float | None]:
     """Exact linear-interpolation quantiles (``quantile_cont`` / pandas default)."""
     cols = list(cols)
-    n_row = df.agg(*[F.count(F.col(c)).alias(c) for c in cols]).collect()[0]
-    plan = {}
-    targets = []
-    for c in cols:
-        n = int(n_row[c])
+    probs = list(probs)
+    eps = 1.0 / accuracy
+    wide = sorted({min(max(x, 0.0), 1.0) for p in probs for x in (p - 2 * eps, p + 2 * eps)})
+    head = df.agg(*[F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(cols)],
+                  *[F.percentile_approx(F.col(c), wide, accuracy).alias(f"q{i}")
+                    for i, c in enumerate(cols)]).first()
+    brackets: dict[int, tuple[str, float, float]] = {}   # id -> (column, a, b)
+    ranks: dict[int, list[int]] = {}                      # id -> wanted ranks inside
+    plans: dict[tuple[str, float], tuple[int, int, float] | None] = {}
+    n_of = {}
+    for i, c in enumerate(cols):
+        n = n_of[c] = int(head[f"n{i}"])
+        approx = dict(zip(wide, head[f"q{i}"] or []))
+        whole = None
         for p in probs:
             if n == 0:
-                plan[(c, p)] = None
+                plans[(c, p)] = None
                 continue
-            h = (n - 1) * p
-            lo, hi = math.floor(h), math.ceil(h)
-            plan[(c, p)] = (lo, hi, h - lo)
-            targets += [(c, lo), (c, hi)]
-    stats = exact_order_statistics(df, targets, accuracy, max_collect)
+            lo, hi, d = _plan(n, p)
+            plans[(c, p)] = (lo, hi, d)
+            if n <= max_collect:       # small column: one bracket holds every value
+                if whole is None:
+                    whole = len(brackets)
+                    brackets[whole], ranks[whole] = (c, -INF, INF), []
+                ranks[whole] += [lo, hi]
+                continue
+            t = len(brackets)
+            a = approx.get(min(max(p - 2 * eps, 0.0), 1.0), -INF)
+            b = approx.get(min(max(p + 2 * eps, 0.0), 1.0), INF)
+            brackets[t], ranks[t] = (c, float(a), float(b)), [lo, hi]
+    # expected bracket size is ~4n/accuracy; narrow first only if that is large
+    big = {t: br for t, br in brackets.items()
+           if br[1] != -INF and 4.0 * eps * n_of[br[0]] > max_collect}
+    if big:
+        narrowed = {}
+        for t, br in big.items():  # lo and hi ranks may need separate brackets
+            sub = _narrow(df, {0: br}, {0: ranks[t][0]}, accuracy, max_collect)[0]
+            narrowed[t] = (br[0], sub[1], _narrow(df, {0: br}, {0: ranks[t][-1]}, accuracy,
+                                                   max_collect)[0][2])
+        brackets.update(narrowed)
+    values = _walk(_collect_brackets(df, brackets), brackets, ranks)
+    missing = [(brackets[t][0], r) for t in brackets for r in ranks[t] if (brackets[t][0], r) not in values]
+    if missing:  # the approximation missed: narrow from the full range, then collect
+        retry = {i: (c, -INF, INF) for i, (c, _) in enumerate(missing)}
+        rr = {i: [r] for i, (_, r) in enumerate(missing)}
+        narrowed = {i: _narrow(df, {0: retry[i]}, {0: rr[i][0]}, accuracy, max_collect)[0]
+                    for i in retry}
+        values.update(_walk(_collect_brackets(df, narrowed), narrowed, rr))
     out: dict[tuple[str, float], float | None] = {}
-    for key, spec in plan.items():
+    for (c, p), spec in plans.items():
         if spec is None:
-            out[key] = None
+            out[(c, p)] = None
             continue
         lo, hi, d = spec
-        v_lo, v_hi = stats[(key[0], lo)], stats[(key[0], hi)]
-        out[key] = v_lo if lo == hi else v_lo + (v_hi - v_lo) * d
+        v_lo, v_hi = values[(c, lo)], values[(c, hi)]
+        out[(c, p)] = v_lo if lo == hi else v_lo + (v_hi - v_lo) * d
     return out
+
+
+def _walk(got, brackets, ranks) -> dict[tuple[str, int], float]:
+    """Exact rank lookup inside collected brackets (below-count + sorted pairs)."""
+    values = {}
+    for t, (c, _, _) in brackets.items():
+        below, vals = got[t]
+        for r in sorted(set(ranks[t])):
+            if below > r:
+                continue
+            cum = below
+            for v, k in vals:
+                cum += k
+                if cum > r:
+                    values[(c, r)] = v
+                    break
+    return values
+
+
+def _n_of(head, cols, c) -> int:
+    return int(head[f"n{cols.index(c)}"])
+
+
+def _narrow(df: DataFrame, brackets: dict[int, tuple[str, float, float]], ranks: dict[int, int],
+            accuracy: int, max_collect: int, rounds: int = 8) -> dict[int, tuple[str, float, float]]:
+    """Shrink brackets by ``percentile_approx`` rounds restricted to each
+    bracket until it holds at most ``max_collect`` rows (or stops shrinking,
+    which means it is made of a few repeated values -- cheap to collect)."""
+    eps = 1.0 / accuracy
+    state = {}
+    counts = _bracket_counts(df, brackets)
+    for t, (c, a, b) in brackets.items():
+        below, inside = counts[t]
+        state[t] = [c, a, b, below, inside]
+    for _ in range(rounds):
+        todo = [t for t, s in state.items() if s[4] > max_collect]
+        if not todo:
+            break
+        aggs = []
+        for t in todo:
+            c, a, b, below, inside = state[t]
+            p = (ranks[t] - below) / max(inside - 1, 1)
+            x = F.when((F.col(c) >= F.lit(a)) & (F.col(c) <= F.lit(b)), F.col(c))
+            aggs.append(F.percentile_approx(x, [min(max(p - 2 * eps, 0.0), 1.0),
+                                                min(max(p + 2 * eps, 0.0), 1.0)], accuracy).alias(f"q{t}"))
+        row = df.agg(*aggs).first()
+        proposal = {t: (state[t][0], float(row[f"q{t}"][0]), float(row[f"q{t}"][1])) for t in todo
+                    if row[f"q{t}"]}
+        checked = _bracket_counts(df, proposal)
+        progressed = False
+        for t, (c, a, b) in proposal.items():
+            below, inside = checked[t]
+            if below <= ranks[t] < below + inside and inside < state[t][4]:
+                state[t] = [c, a, b, below, inside]
+                progressed = True
+            else:
+                state[t][4] = 0  # cannot narrow further: collect as is
+        if not progressed:
+            break
+    return {t: (s[0], s[1], s[2]) for t, s in state.items()}
