@@ -48,9 +48,16 @@ class ClassificationResult:
 
 def prepare(df: DataFrame, key: str, label: str, features: Sequence[str], test_fraction: float = 0.2,
             seed: int = 42, checkpoint: bool = True) -> DataFrame:
-    """Split exactly and keep only what the models need; cut the lineage."""
-    sp = split.stratified_split(df.select(key, label, *features), key, label, test_fraction, seed)
-    return cut_lineage(sp) if checkpoint else sp
+    """Split exactly and keep only what the models need; cut the lineage.
+
+    The input is written once first: the split reads it three times (class
+    counts, bucket totals, ranks) and must not recompute upstream shuffles
+    such as the dedup for each read."""
+    base = df.select(key, label, *features)
+    if checkpoint:
+        base = cut_lineage(base, "input")
+    sp = split.stratified_split(base, key, label, test_fraction, seed)
+    return cut_lineage(sp, "split") if checkpoint else sp
 
 
 def classification(df: DataFrame, key: str, label: str, features: Sequence[str],
@@ -70,6 +77,8 @@ def classification(df: DataFrame, key: str, label: str, features: Sequence[str],
     if balanced:
         train = profile.with_class_weights(train, label, "weight")
     weight = "weight" if balanced else None
+    if checkpoint:  # every learner reads the cleaned, weighted training rows
+        train = cut_lineage(train, "train")
 
     scaler = fit_standard_scaler(train, features, suffix="__z")
     scaled = [f + "__z" for f in features]

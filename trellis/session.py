@@ -57,12 +57,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/S3/ABFS) before running")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` into the shared checkpoint folder (reliable checkpoint).
+def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` as a parquet table into the shared checkpoint folder and
+    read it back: the lineage ends here.
 
-    Used after the split so that fold loops and model fits re-read a written
-    table instead of recomputing the whole lineage, and so that a lost
-    executor only costs the re-read of checkpoint files.
+    Used where a result is read several times (the split before the fold
+    loops and model fits, the distinct-score table of the curves), so each
+    read scans a written columnar table -- with column pruning and real size
+    statistics for the optimizer -- instead of recomputing upstream shuffles.
+    A lost executor then only costs re-reading files from shared storage.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    import uuid
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
