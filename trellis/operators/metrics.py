@@ -264,3 +264,44 @@ def student_t_p(t: float, dof: int) -> float:
         a = math.sin(theta) * series
     return 1.0 - a
 
+
+
+KDE_GRID = 200
+
+
+def gaussian_kde(df: DataFrame, col: str, grid_points: int = KDE_GRID) -> DataFrame:
+    """Gaussian kernel density on an even grid from min to max with Scott's
+    bandwidth ``h = sd(x, ddof=1) * n^(-1/5)`` (A24).
+
+    Exact: values are first collapsed to distinct (value, count) pairs (a hot
+    value is one row), then every Arrow batch adds its contribution to the
+    whole grid with numpy and emits ``grid_points`` partial sums, which one
+    small aggregation adds up. No row x grid expansion, no join.
+    """
+    import numpy as np
+    import pandas as pd
+
+    x = F.col(col).cast("double")
+    st = df.where(x.isNotNull()).agg(F.count(F.lit(1)).alias("n"), F.stddev_samp(x).alias("sd"),
+                                     F.min(x).alias("mn"), F.max(x).alias("mx")).first()
+    n, sd, mn, mx = st["n"], st["sd"], st["mn"], st["mx"]
+    schema = "idx int, x double, density double"
+    if not n or not sd:
+        return df.sparkSession.createDataFrame([], schema)
+    h = float(sd) * float(n) ** (-0.2)
+    grid = np.linspace(mn, mx, grid_points)
+    norm = 1.0 / (n * h * math.sqrt(2.0 * math.pi))
+
+    def partial(it):
+        for pdf in it:
+            v = pdf["v"].to_numpy(dtype=float)
+            c = pdf["c"].to_numpy(dtype=float)
+            z = (grid[:, None] - v[None, :]) / h
+            s = (np.exp(-0.5 * z * z) * c[None, :]).sum(axis=1)
+            yield pd.DataFrame({"idx": np.arange(grid_points, dtype=np.int32), "s": s})
+
+    distinct = df.where(x.isNotNull()).groupBy(x.alias("v")).agg(F.count(F.lit(1)).cast("double").alias("c"))
+    parts = distinct.mapInPandas(partial, "idx int, s double")
+    sums = parts.groupBy("idx").agg(F.sum("s").alias("s"))
+    return sums.select("idx", (F.lit(float(mn)) + F.col("idx") * F.lit(float((mx - mn) / (grid_points - 1))))
+                       .alias("x"), (F.col("s") * F.lit(norm)).alias("density"))

@@ -146,3 +146,20 @@ def row_key(df: DataFrame, out: str = "row_key", cols: Sequence[str] | None = No
     """
     use = list(cols) if cols is not None else df.columns
     return df.withColumn(out, F.md5(F.to_json(F.struct(*[F.col(c) for c in use]))))
+
+
+def load_dataset(spark, path: str, label: str = "target", score: str = "quality",
+                 threshold: float = DEFAULT_LABEL_THRESHOLD, schema=None,
+                 drop: Sequence[str] = DEFAULT_LEAK_COLUMNS, sep: str | None = None) -> DataFrame:
+    """The reference's loader as one lazy plan (S1, S3, S4, U1, P1, P2): CSV
+    with a sniffed delimiter, full-row dedup *before* anything else, label
+    ``score >= threshold`` when the label is absent, leak columns dropped.
+    The label stays in the same DataFrame (no separate X / y)."""
+    from trellis.sources.io import read_csv
+    df = read_csv(spark, path, schema=schema, sep=sep)
+    df = clean_numeric(df)
+    df = dedup(df)
+    if label not in df.columns and score not in df.columns:
+        raise ValueError(f"target column {label!r} not found and no {score!r} to derive it from")
+    df = binary_label(df, score, label, threshold)
+    return drop_leaks(df, [c for c in drop if c != label])

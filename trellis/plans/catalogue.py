@@ -978,3 +978,64 @@ def q_multiclass_report(spark, d):
     pred = m.transform(sp.where(F.col("split") == "test")).select(
         "label", F.col("prediction").cast("int").alias("prediction"))
     return r6(metrics.classification_report(pred))
+
+
+# --------------------------------------------------------------------------- density and 2-D counts
+
+@query("residual_kde", f"""
+WITH {REG_SQL}, st AS (SELECT count(e) AS n, stddev_samp(e) AS sd, min(e) AS mn, max(e) AS mx FROM rg),
+bw AS (SELECT *, sd * pow(CAST(n AS DOUBLE), -0.2) AS h FROM st),
+g AS (SELECT CAST(unnest(range(200)) AS INTEGER) AS idx),
+gx AS (SELECT idx, mn + idx * ((mx - mn) / 199) AS x, h, n FROM g, bw)
+SELECT idx, round(x, 6) AS x,
+       round(sum(exp(-0.5 * ((x - e) / h) * ((x - e) / h))) / (n * h * sqrt(2 * pi())), 6) AS density
+FROM gx, rg GROUP BY idx, x, h, n""")
+def q_residual_kde(spark, d):
+    from trellis.operators.metrics import gaussian_kde
+    rf = regression_frame(spark, d).select((F.col("actual") - F.col("predicted")).alias("e"))
+    return r6(gaussian_kde(rf, "e"))
+
+
+@query("actual_vs_predicted", f"""
+WITH {REG_SQL}, b AS (SELECT least(min(actual), min(predicted)) AS mn, greatest(max(actual), max(predicted)) AS mx FROM rg)
+SELECT CAST(least(floor((actual - mn) * 30 / (mx - mn)), 29) AS INTEGER) AS bin_x,
+       CAST(least(floor((predicted - mn) * 30 / (mx - mn)), 29) AS INTEGER) AS bin_y, count(*) AS n
+FROM rg, b GROUP BY 1, 2""")
+def q_actual_vs_predicted(spark, d):
+    from trellis.operators.metrics import joint_counts
+    return joint_counts(regression_frame(spark, d), "actual", "predicted")
+
+
+# --------------------------------------------------------------------------- entries B and C
+
+@query("combined_polarity")
+def q_combined_polarity(spark, d):
+    """Entry B on two sources (line status F and O as the two data sets)."""
+    from trellis.plans import workflow
+    li = lineitem(spark, d)
+    li = prep.binary_label(li, "q10", "label", LABEL_THRESHOLD)
+    cols = ["label", *MODEL_FEATURES]
+    f = li.where(F.col("l_linestatus") == "F").select(*cols)
+    o = li.where(F.col("l_linestatus") == "O").select(*cols)
+    out = workflow.combined([f, o], [0, 1], "row_key", "label", MODEL_FEATURES,
+                            sizes=workflow.ModelSizes.small())
+    return r6(out["comparison"])
+
+
+@query("score_regression_cv")
+def q_score_regression_cv(spark, d):
+    """Entry C (score): forest regressor on the 0-9 score, 5-fold RMSE summary."""
+    from trellis.plans import workflow
+    df = workflow.lineitem_frame(spark, d).withColumn("score", F.col("q10").cast("double"))
+    out = workflow.score_regression(df, "row_key", "score", MODEL_FEATURES, k=5, trees=20, max_depth=8)
+    return r6(out["cv"])
+
+
+@query("type_prediction_report")
+def q_type_prediction_report(spark, d):
+    """Entry C (type): which source (line status) does a row come from."""
+    from trellis.plans import workflow
+    df = workflow.lineitem_frame(spark, d).withColumn(
+        "is_open", F.when(F.col("l_linestatus") == "O", 1).otherwise(0))
+    out = workflow.type_prediction(df, "row_key", "is_open", MODEL_FEATURES, workflow.ModelSizes.small())
+    return r6(out["report"])

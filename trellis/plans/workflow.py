@@ -116,3 +116,74 @@ def lineitem_frame(spark, sf_dir: str) -> DataFrame:
     li = prep.dedup(li)
     li = prep.binary_label(li, "q10", "label", 7)
     return prep.row_key(li, "row_key")
+
+
+def combined(frames: Sequence[DataFrame], markers: Sequence[int], key: str, label: str,
+             features: Sequence[str], marker: str = "type", group_check: bool = True,
+             sizes: ModelSizes | None = None, checkpoint: bool = True) -> dict:
+    """Entry B: pool several sources (dedup per source, then a source marker
+    column), model with the marker as a feature, and check the feature-label
+    relation per source against the pooled one (Simpson's paradox, A28).
+    The IQR rule skips the 0/1 marker by default, so a rare source is not
+    removed as an outlier."""
+    pooled = prep.union_sources(frames, marker=marker, markers=markers)
+    pooled = prep.row_key(pooled, key) if key not in pooled.columns else pooled
+    feats = [*features, marker]
+    res = classification(pooled, key, label, feats, sizes, learners=("rf", "gbt"), checkpoint=checkpoint)
+    out = {"comparison": res.comparison, "split_check": res.split_check, "fitted": res.fitted}
+    if group_check:
+        out["polarity"] = profile.polarity_check(pooled, label, marker, list(features))
+        out["correlation"] = profile.corr_matrix(pooled, [*features, marker, label])
+    return out
+
+
+def score_regression(df: DataFrame, key: str, target: str, features: Sequence[str], k: int = 5,
+                     trees: int = models.RF_REGRESSOR_TREES, max_depth: int | None = None,
+                     checkpoint: bool = True) -> dict:
+    """Entry C (score): exact random 80/20 split, scaler fitted on train, forest
+    regressor, test metrics (MSE, RMSE, MAE, R^2), k-fold RMSE mean and
+    population std, residual histogram and density, importances."""
+    base = df.select(key, target, *features)
+    base = cut_lineage(base, "input") if checkpoint else base
+    sp = split.random_split(base, key)
+    sp = cut_lineage(sp, "split") if checkpoint else sp
+    train = sp.where(F.col("split") == "train")
+    test = sp.where(F.col("split") == "test")
+    scaler = fit_standard_scaler(train, features, suffix="__z")
+    scaled = [f + "__z" for f in features]
+    pipe = Pipeline(stages=[scaler.as_stage(), models.assembler(scaled),
+                            models.rf_regressor(trees, target, max_depth=max_depth)])
+    model = pipe.fit(train)
+    pred = model.transform(test).select(F.col(target).alias("actual"), F.col("prediction").alias("predicted"))
+    resid = pred.select((F.col("actual") - F.col("predicted")).alias("residual"))
+    folded = split.kfold(train, key, k)
+    folded = cut_lineage(folded, "folds") if checkpoint else folded
+    cv = models.cv_regression_scores(pipe, folded, "fold", k, "Random Forest Regressor", target)
+    return {"metrics": metrics.regression_metrics(pred), "cv": metrics.cv_summary(cv), "cv_scores": cv,
+            "residual_hist": metrics.histogram(resid, "residual"),
+            "residual_kde": metrics.gaussian_kde(resid, "residual"),
+            "actual_vs_predicted": metrics.joint_counts(pred, "actual", "predicted"),
+            "importance": models.feature_importance(model, features, df.sparkSession), "model": model}
+
+
+def type_prediction(df: DataFrame, key: str, label: str, features: Sequence[str],
+                    sizes: ModelSizes | None = None, checkpoint: bool = True) -> dict:
+    """Entry C (type): exact stratified split, boosted trees with the fixed
+    parameters and ``scale_pos_weight = neg/pos``, accuracy, per-class report,
+    confusion matrix, ROC curve and AUC, importances."""
+    from trellis.operators import curves
+    sizes = sizes or ModelSizes()
+    prepared = prepare(df, key, label, features, checkpoint=checkpoint)
+    train = prepared.where(F.col("split") == "train")
+    test = prepared.where(F.col("split") == "test")
+    pw = profile.pos_weight(train, label).first()["pos_weight"] or 1.0
+    train = models.with_positive_weight(train, label, pw)
+    model = Pipeline(stages=[models.assembler(features),
+                             models.boosted_trees(sizes.gbt_iter, sizes.gbt_depth, sizes.gbt_step,
+                                                  label, "weight")]).fit(train)
+    scored = models.score(model, test, label, [key])
+    return {"report": metrics.classification_report(scored, label),
+            "confusion": metrics.confusion_matrix(scored, label),
+            "roc_curve": curves.roc_curve(scored, label, "p1"),
+            "metrics": metrics.binary_metrics(scored, label, "prediction", "p1", "Gradient Boosted Trees"),
+            "importance": models.feature_importance(model, features, df.sparkSession), "model": model}
