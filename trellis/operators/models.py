@@ -198,7 +198,7 @@ def grid_search(pipeline_stages: Sequence, estimator, grid: dict, train: DataFra
     return fitted.bestModel, table
 
 
-def _parallel(fn, items, parallelism: int):
+def run_parallel(fn, items, parallelism: int):
     """Run independent fits as concurrent Spark jobs (as ``CrossValidator``
     does with ``parallelism``); results keep the input order."""
     from concurrent.futures import ThreadPoolExecutor
@@ -226,7 +226,7 @@ def cv_fold_scores(pipeline: Pipeline | Estimator, df: DataFrame, fold_col: str,
     def one(f):
         m = pipeline.fit(df.where(F.col(fold_col) != f))
         return (name, f, ev.evaluate(m.transform(df.where(F.col(fold_col) == f))))
-    rows = _parallel(one, range(k), parallelism)
+    rows = run_parallel(one, range(k), parallelism)
     return df.sparkSession.createDataFrame(rows, "model string, fold int, score double")
 
 
@@ -271,7 +271,7 @@ def learning_curve(pipeline: Pipeline, positions: DataFrame, k: int, label: str
         sub = positions.where(F.col(f"pos_{f}") <= size)
         m = pipeline.fit(sub)
         return (j, size, f, ev.evaluate(m.transform(sub)), ev.evaluate(m.transform(held)))
-    rows = _parallel(one, tasks, parallelism)
+    rows = run_parallel(one, tasks, parallelism)
     per = positions.sparkSession.createDataFrame(
         rows, "size_idx int, train_size long, fold int, train_f1 double, cv_f1 double")
     return per.groupBy("size_idx").agg(F.avg("train_size").alias("mean_train_size"),

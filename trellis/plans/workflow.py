@@ -63,7 +63,7 @@ def prepare(df: DataFrame, key: str, label: str, features: Sequence[str], test_f
 def classification(df: DataFrame, key: str, label: str, features: Sequence[str],
                    sizes: ModelSizes | None = None, iqr: bool = True, balanced: bool = True,
                    learners: Sequence[str] = ("baseline", "lr", "rf", "gbt"),
-                   checkpoint: bool = True) -> ClassificationResult:
+                   checkpoint: bool = True, parallelism: int = 3) -> ClassificationResult:
     """Entry A of the reference as one function: split, verify, clean train,
     scale, fit baseline / logistic regression / random forest / boosted
     trees and compare them on the test rows."""
@@ -82,29 +82,33 @@ def classification(df: DataFrame, key: str, label: str, features: Sequence[str],
 
     scaler = fit_standard_scaler(train, features, suffix="__z")
     scaled = [f + "__z" for f in features]
-    fitted, rows = {}, []
-    for name in learners:
-        if name == "baseline":
-            rows.append(metrics.majority_baseline(train, test, label))
-            continue
+    n_w = None
+    if "lr" in learners:
+        n_w = train.agg(F.sum(weight) if weight else F.count(F.lit(1))).first()[0] or 1.0
+
+    def build(name):
         if name == "lr":
-            n_w = train.agg(F.sum(weight) if weight else F.count(F.lit(1))).first()[0] or 1.0
-            stages = [scaler.as_stage(), models.assembler(scaled),
-                      models.logistic_regression(float(n_w), label, weight)]
-            title = "Logistic Regression"
-        elif name == "rf":
-            stages = [models.assembler(features),
-                      models.random_forest(sizes.rf_trees, sizes.rf_depth, sizes.rf_min_split, label, weight)]
-            title = "Random Forest"
-        elif name == "gbt":
-            stages = [models.assembler(features),
-                      models.boosted_trees(sizes.gbt_iter, sizes.gbt_depth, sizes.gbt_step, label, weight)]
-            title = "Gradient Boosted Trees"
-        else:
-            raise ValueError(f"unknown learner {name!r}")
+            return "Logistic Regression", [scaler.as_stage(), models.assembler(scaled),
+                                           models.logistic_regression(float(n_w), label, weight)]
+        if name == "rf":
+            return "Random Forest", [models.assembler(features), models.random_forest(
+                sizes.rf_trees, sizes.rf_depth, sizes.rf_min_split, label, weight)]
+        if name == "gbt":
+            return "Gradient Boosted Trees", [models.assembler(features), models.boosted_trees(
+                sizes.gbt_iter, sizes.gbt_depth, sizes.gbt_step, label, weight)]
+        raise ValueError(f"unknown learner {name!r}")
+
+    def fit(name):
+        if name == "baseline":
+            return None, None, metrics.majority_baseline(train, test, label)
+        title, stages = build(name)
         model = Pipeline(stages=stages).fit(train)
-        fitted[title] = model
-        rows.append(models.evaluate(model, test, title, label))
+        return title, model, models.evaluate(model, test, title, label)
+
+    # independent learners run as concurrent Spark jobs; rows keep the order
+    results = models.run_parallel(fit, list(learners), parallelism)
+    fitted = {t: m for t, m, _ in results if m is not None}
+    rows = [r for _, _, r in results]
     return ClassificationResult(prepared, check, metrics.compare_models(rows), fitted)
 
 
