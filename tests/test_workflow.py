@@ -14,3 +14,17 @@ def test_classification_workflow_smoke(spark):
     assert all(r.within_tol for r in check.values())
     test_n = sum(r.test_n for r in check.values())
     assert test_n == 120
+
+
+def test_full_report_tables(spark):
+    rows = [(float(i % 13), float((i * 3) % 7), 5 + (i * 7) % 4) for i in range(500)]
+    raw = spark.createDataFrame(rows, "a double, b double, quality int")
+    from trellis.operators import prep
+    labelled = prep.binary_label(raw, "quality", "target", 7)
+    out = workflow.full_report(labelled.drop("quality"), "target", ["a", "b"],
+                               sizes=workflow.ModelSizes.small(), cv_folds=3)
+    for name in ("comparison", "split_check", "vif", "tuned_metrics", "calibration", "roc_curve",
+                 "t_test", "cv_box", "attribution_summary", "local_explanation"):
+        assert out[name].count() > 0, name
+    t = out["t_test"].first()
+    assert t.n == 3 and t.reliable is False

@@ -191,3 +191,72 @@ def type_prediction(df: DataFrame, key: str, label: str, features: Sequence[str]
             "roc_curve": curves.roc_curve(scored, label, "p1"),
             "metrics": metrics.binary_metrics(scored, label, "prediction", "p1", "Gradient Boosted Trees"),
             "importance": models.feature_importance(model, features, df.sparkSession), "model": model}
+
+
+def full_report(raw: DataFrame, label: str, features: Sequence[str], score: str | None = None,
+                key: str | None = None, sizes: ModelSizes | None = None, cv_folds: int = 10,
+                thresholds: Sequence[int] = (6, 7, 8), tune_on: str = "train",
+                out_dir: str | None = None) -> dict:
+    """The single-source script end to end, every table as a DataFrame.
+
+    ``raw`` is the loaded, *not yet deduplicated* table (the threshold table
+    is computed on it, as the reference does); everything else runs on the
+    deduplicated rows. The decision threshold is tuned on ``tune_on``
+    ('train' = out-of-fold-free training predictions, or 'test' to mirror the
+    reference, which tuned on the test rows). With ``out_dir`` the model
+    bundle is saved there.
+    """
+    from trellis.operators import curves, explain
+    from trellis.sources.io import save_bundle
+    sizes = sizes or ModelSizes()
+    spark = raw.sparkSession
+    out: dict = {}
+    if score is not None and score in raw.columns:
+        out["threshold_sensitivity"] = profile.threshold_sensitivity(raw, score, thresholds)
+    df = prep.dedup(raw)
+    if key is None:
+        key = "row_key"
+        df = prep.row_key(df, key)
+    res = classification(df, key, label, features, sizes)
+    out.update(comparison=res.comparison, split_check=res.split_check)
+    prepared = res.prepared
+    train = prepared.where(F.col("split") == "train")
+    test = prepared.where(F.col("split") == "test")
+    out["correlation"] = profile.corr_matrix(train, [*features, label])
+    out["label_correlation"] = profile.label_correlation(train, label, features)
+    out["vif"] = profile.vif(train, features)
+    out["class_distribution"] = profile.class_distribution(prepared, label)
+    rf = res.fitted.get("Random Forest")
+    gbt = res.fitted.get("Gradient Boosted Trees")
+    if rf is not None:
+        scored_test = models.score(rf, test, label, [key])
+        tune_rows = models.score(rf, train, label, [key]) if tune_on == "train" else scored_test
+        t = curves.best_threshold_value(tune_rows, label, "p1")
+        out["tuned_metrics"] = curves.tuned_metrics(scored_test, label, "p1", t, "Random Forest (tuned)")
+        out["calibration"] = curves.calibration_bins(scored_test, label, "p1")
+        out["roc_curve"] = curves.roc_curve(scored_test, label, "p1")
+        out["confusion_rf"] = metrics.confusion_matrix(scored_test, label)
+        out["importance_rf"] = models.feature_importance(rf, features, spark)
+    if rf is not None and gbt is not None:
+        folded = split.stratified_kfold(train, key, label, k=cv_folds)
+        folded = cut_lineage(profile.with_class_weights(folded, label, "weight"), "folds")
+        scores = models.cv_fold_scores(Pipeline(stages=[models.assembler(features), models.random_forest(
+            sizes.rf_trees, sizes.rf_depth, sizes.rf_min_split, label, "weight")]), folded, "fold", cv_folds,
+            "Random Forest", label).unionByName(models.cv_fold_scores(Pipeline(stages=[
+                models.assembler(features), models.boosted_trees(sizes.gbt_iter, sizes.gbt_depth, sizes.gbt_step,
+                                                                 label, "weight")]), folded, "fold", cv_folds,
+                "Gradient Boosted Trees", label))
+        out["cv_scores"] = scores
+        out["cv_summary"] = metrics.cv_summary(scores)
+        out["t_test"] = metrics.paired_t_test(scores, "Random Forest", "Gradient Boosted Trees")
+        out["cv_box"] = metrics.box_stats(scores)
+        att, base, kind = explain.tree_attributions(test, [key], features, gbt.stages[-1])
+        out["attributions"] = att
+        out["attribution_summary"] = explain.global_importance(att)
+        pick = prep.first_positive(models.score(gbt, test, label, [key]), key).select(key)
+        out["local_explanation"] = explain.local_explanation(att.join(pick, key), keys=[key])
+        out["attribution_base"] = spark.createDataFrame([(base, kind)], "base double, output string")
+        if out_dir:
+            save_bundle(spark, gbt, f"{out_dir}/bundle_gbt")
+            save_bundle(spark, rf, f"{out_dir}/bundle_rf")
+    return out

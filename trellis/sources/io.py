@@ -32,9 +32,10 @@ def sniff_delimiter(header_line: str, candidates: Sequence[str] = CANDIDATE_DELI
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | None = None,
-             sep: str | None = None) -> DataFrame:
+             sep: str | None = None, infer: bool = False) -> DataFrame:
     """CSV scan with header (S1/S2). With ``sep=None`` the delimiter is sniffed
-    from the first line only (a one-row read), never from the data.
+    from the first line only (a one-row read), never from the data. Without a
+    schema, columns are strings unless ``infer`` asks for an inference pass.
 
     A missing file raises ``AnalysisException`` at once (S3); malformed rows
     fail the job (``FAILFAST``) instead of turning silently into NULLs.
@@ -45,10 +46,9 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | None = None,
     reader = spark.read.option("header", True).option("sep", sep).option("mode", "FAILFAST")
     if schema is not None:
         reader = reader.schema(schema)
-    else:
-        # without a schema every column is a string; the caller casts. No
-        # inferSchema pass over the data.
-        pass
+    elif infer:
+        # one extra pass over the file; jobs should pass an explicit schema
+        reader = reader.option("inferSchema", True)
     return reader.csv(path)
 
 
