@@ -42,3 +42,10 @@ def test_learning_positions_are_training_prefix_positions(spark):
         tr = pos[pos.fold != fold].sort_values("h")
         assert list(tr[f"pos_{fold}"]) == list(range(1, len(tr) + 1))
         assert pos[pos.fold == fold][f"pos_{fold}"].isna().all()
+
+
+def test_composite_key_split(spark):
+    df = spark.range(600).select((F.col("id") % 20).alias("a"), (F.col("id") / 20).cast("int").alias("b"),
+                                 (F.col("id") % 3 == 0).cast("int").alias("y"))
+    out = split.stratified_split(df, ["a", "b"], "y")
+    assert out.where(F.col("split") == "test").count() == 120

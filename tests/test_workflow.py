@@ -28,3 +28,13 @@ def test_full_report_tables(spark):
         assert out[name].count() > 0, name
     t = out["t_test"].first()
     assert t.n == 3 and t.reliable is False
+
+
+def test_classification_with_tuning(spark):
+    rows = [(f"k{i}", 1 if (i * 7) % 10 < 3 else 0, float(i % 13), float((i * 3) % 7)) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, label int, a double, b double")
+    res = workflow.classification(df, "k", "label", ["a", "b"], workflow.ModelSizes.small(),
+                                  learners=("rf", "gbt"), tune=True,
+                                  rf_grid={"numTrees": [5], "maxDepth": [3, 4], "min_samples_split": [5]},
+                                  gbt_grid={"maxIter": [3], "maxDepth": [2], "stepSize": [0.1]})
+    assert [r.model for r in res.comparison.collect()] == ["Random Forest", "Gradient Boosted Trees"]

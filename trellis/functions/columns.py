@@ -43,13 +43,18 @@ def safe_div(num: Column, den: Column, zero: float | None = 0.0) -> Column:
     return q if zero is None else F.coalesce(q, F.lit(float(zero)))
 
 
-def hash_order(key: str | Column, seed: int) -> Column:
+def hash_order(key, seed: int) -> Column:
     """Portable pseudo-random order key: md5 of ``key:seed`` as lowercase hex.
 
     It depends on the key only, never on partitioning or file order, and the
-    same expression in DuckDB gives the same order.
+    same expression in DuckDB gives the same order. A composite key (a list
+    of columns) is joined with an unprintable separator first.
     """
-    return F.md5(F.concat(col_(key).cast("string"), F.lit(f":{seed}")))
+    if isinstance(key, (list, tuple)):
+        k = F.concat_ws("\u0001", *[F.coalesce(col_(c).cast("string"), F.lit("\u0000")) for c in key])
+    else:
+        k = col_(key).cast("string")
+    return F.md5(F.concat(k, F.lit(f":{seed}")))
 
 
 def hex_bucket(hex_col: Column, digits: int) -> Column:

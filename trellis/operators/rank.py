@@ -74,7 +74,7 @@ def auto_digits(n_rows: int | None, rows_per_bucket: int = ROWS_PER_BUCKET) -> i
     return int(min(7, max(3, math.ceil(math.log(need, 16)))))
 
 
-def hash_rank(df: DataFrame, key: str, seed: int, partition_cols: Sequence[str] = (),
+def hash_rank(df: DataFrame, key: str | Sequence[str], seed: int, partition_cols: Sequence[str] = (),
               digits: int | None = None, rank_col: str = "rank", n_rows: int | None = None
               ) -> DataFrame:
     """1-based rank of every row in ``md5(key:seed)`` order within ``partition_cols``.
@@ -84,9 +84,10 @@ def hash_rank(df: DataFrame, key: str, seed: int, partition_cols: Sequence[str]
     Keys must be unique (row identity).
     """
     digits = digits or auto_digits(n_rows)
+    keys = list(key) if isinstance(key, (list, tuple)) else [key]
     h = df.withColumn(ORDER_HASH, hash_order(key, seed))
     h = h.withColumn(BUCKET, hex_bucket(F.col(ORDER_HASH), digits)).withColumn("_one", F.lit(1))
-    ranked = running_sums(h, [F.col(ORDER_HASH), F.col(key)], ["_one"], BUCKET,
+    ranked = running_sums(h, [F.col(ORDER_HASH), *[F.col(k) for k in keys]], ["_one"], BUCKET,
                           partition_cols, prefix="_cum")
     return ranked.withColumnRenamed("_cum_one", rank_col).drop("_one", BUCKET)
 

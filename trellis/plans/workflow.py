@@ -63,10 +63,18 @@ def prepare(df: DataFrame, key: str, label: str, features: Sequence[str], test_f
 def classification(df: DataFrame, key: str, label: str, features: Sequence[str],
                    sizes: ModelSizes | None = None, iqr: bool = True, balanced: bool = True,
                    learners: Sequence[str] = ("baseline", "lr", "rf", "gbt"),
-                   checkpoint: bool = True, parallelism: int = 3) -> ClassificationResult:
+                   checkpoint: bool = True, parallelism: int = 3, tune: bool = False,
+                   rf_grid: dict | None = None, gbt_grid: dict | None = None,
+                   rf_folds: int = 5, gbt_folds: int = 3) -> ClassificationResult:
     """Entry A of the reference as one function: split, verify, clean train,
     scale, fit baseline / logistic regression / random forest / boosted
-    trees and compare them on the test rows."""
+    trees and compare them on the test rows.
+
+    With ``tune`` the forest and the boosted trees are grid-searched on the
+    training rows (positive-class F1 over exact stratified folds, refit on
+    all training rows): the forest over ``rf_grid`` (default: the
+    reference's grid), the boosted trees over ``gbt_grid`` crossed with a
+    positive-class weight of 1 or neg/pos (``scale_pos_weight``)."""
     sizes = sizes or ModelSizes()
     prepared = prepare(df, key, label, features, checkpoint=checkpoint)
     check = profile.split_verification(prepared, label)
@@ -77,6 +85,10 @@ def classification(df: DataFrame, key: str, label: str, features: Sequence[str],
     if balanced:
         train = profile.with_class_weights(train, label, "weight")
     weight = "weight" if balanced else None
+    if tune and "gbt" in learners:
+        pw = profile.pos_weight(train, label).first()["pos_weight"] or 1.0
+        train = train.withColumn("w_one", F.lit(1.0)).withColumn(
+            "w_spw", F.when(F.col(label) == 1, F.lit(float(pw))).otherwise(F.lit(1.0)))
     if checkpoint:  # every learner reads the cleaned, weighted training rows
         train = cut_lineage(train, "train")
 
@@ -98,11 +110,24 @@ def classification(df: DataFrame, key: str, label: str, features: Sequence[str],
                 sizes.gbt_iter, sizes.gbt_depth, sizes.gbt_step, label, weight)]
         raise ValueError(f"unknown learner {name!r}")
 
+    def tuned(name):
+        k = rf_folds if name == "rf" else gbt_folds
+        folded = split.stratified_kfold(train, key, label, k=k)
+        folded = cut_lineage(folded, f"{name}-folds") if checkpoint else folded
+        title, stages = build(name)
+        grid = dict(rf_grid or models.RF_GRID_RED) if name == "rf" else \
+            {**(gbt_grid or models.GBT_GRID), "weightCol": ["w_one", "w_spw"]}
+        best, _ = models.grid_search(stages[:-1], stages[-1], grid, folded, "fold", k, label)
+        return title, best
+
     def fit(name):
         if name == "baseline":
             return None, None, metrics.majority_baseline(train, test, label)
-        title, stages = build(name)
-        model = Pipeline(stages=stages).fit(train)
+        if tune and name in ("rf", "gbt"):
+            title, model = tuned(name)
+        else:
+            title, stages = build(name)
+            model = Pipeline(stages=stages).fit(train)
         return title, model, models.evaluate(model, test, title, label)
 
     # independent learners run as concurrent Spark jobs; rows keep the order
