@@ -1,0 +1,9 @@
+"""trellis: leak-safe tabular model analytics as lazy Spark DataFrame operators.
+
+Modules: ``operators`` (prep, split, profile, quantiles, metrics, curves,
+resample, transform, models, explain), ``sources`` (io), ``functions``
+(column helpers, report strings), ``plans`` (workflows, driver catalogue,
+command line), ``streaming`` (stream scoring), ``session``.
+"""
+
+__version__ = "0.1.0"

@@ -68,6 +68,8 @@ def binary_metrics(scored: DataFrame, label: str = "label", prediction: str = "p
     if probability is not None:
         from trellis.operators.curves import roc_auc_value
         auc = roc_auc_value(scored, label, probability)
+        if auc is None:  # one class only: undefined; the reference reports 0.5
+            auc = 0.5
     return metrics_from_counts(confusion_counts(scored, label, prediction), model, auc)
 
 

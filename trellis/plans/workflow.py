@@ -25,9 +25,11 @@ from trellis.session import cut_lineage
 
 @dataclass
 class ModelSizes:
-    """Learner sizes. Defaults are the reference's; ``small()`` is for smoke runs."""
+    """Learner sizes. ``small()`` is for smoke runs. The untuned forest uses
+    depth 20 (the middle of the reference's grid): Spark grows trees level by
+    level, and "no limit" (depth 30) is only reached through ``tune=True``."""
     rf_trees: int = 100
-    rf_depth: int | None = None
+    rf_depth: int | None = 20
     rf_min_split: int = 5
     gbt_iter: int = 200
     gbt_depth: int = 6
