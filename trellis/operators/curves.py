@@ -61,13 +61,13 @@ def score_counts(scored: DataFrame, label: str, score: str, n_buckets: int | Non
     return cum, P, N
 
 
-def roc_auc_value(scored: DataFrame, label: str, score: str) -> float | None:
+def roc_auc_value(scored: DataFrame, label: str, score: str, counts=None) -> float | None:
     """Exact ROC-AUC (trapezoid = Mann-Whitney with mid-ranks for ties).
 
     ``AUC = sum_s pos(s) * (neg_below(s) + neg(s)/2) / (P*N)``; integer sums in
     decimal(38) so nothing overflows. ``None`` when a class is missing.
     """
-    cum, P, N = score_counts(scored, label, score)
+    cum, P, N = counts or score_counts(scored, label, score)
     if P == 0 or N == 0:
         return None
     dec = "decimal(38,0)"
@@ -108,10 +108,10 @@ def roc_curve(scored: DataFrame, label: str, score: str, drop_intermediate: bool
     return origin.unionByName(curve)
 
 
-def pr_curve(scored: DataFrame, label: str, score: str) -> DataFrame:
+def pr_curve(scored: DataFrame, label: str, score: str, counts=None) -> DataFrame:
     """Precision, recall and F1 at every distinct threshold (predict ``>= t``),
     ascending (A16). F1 of 0/0 is 0; recall is 1 when there is no positive."""
-    cum, P, _ = score_counts(scored, label, score)
+    cum, P, _ = counts or score_counts(scored, label, score)
     precision = safe_div(F.col("tps"), F.col("tps") + F.col("fps"))
     recall = F.lit(1.0) if P == 0 else safe_div(F.col("tps"), F.lit(P))
     out = cum.select(F.col("score").alias("threshold"), precision.alias("precision"),
@@ -120,14 +120,14 @@ def pr_curve(scored: DataFrame, label: str, score: str) -> DataFrame:
                                          F.col("precision") + F.col("recall")))
 
 
-def best_threshold(scored: DataFrame, label: str, score: str) -> DataFrame:
+def best_threshold(scored: DataFrame, label: str, score: str, counts=None) -> DataFrame:
     """F1-optimal threshold; ties go to the lowest threshold (A16). A top-1
     over the curve: each task keeps one candidate."""
-    return pr_curve(scored, label, score).orderBy(F.col("f1").desc(), F.col("threshold").asc()).limit(1)
+    return pr_curve(scored, label, score, counts).orderBy(F.col("f1").desc(), F.col("threshold").asc()).limit(1)
 
 
-def best_threshold_value(scored: DataFrame, label: str, score: str) -> float:
-    row = best_threshold(scored, label, score).first()
+def best_threshold_value(scored: DataFrame, label: str, score: str, counts=None) -> float:
+    row = best_threshold(scored, label, score, counts).first()
     return float(row["threshold"]) if row is not None else FALLBACK_THRESHOLD
 
 

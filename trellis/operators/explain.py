@@ -212,8 +212,8 @@ def tree_attributions(df: DataFrame, keys: Sequence[str], features: Sequence[str
                       ) -> tuple[DataFrame, float, str]:
     """Exact TreeSHAP for every row of ``df``: long ``(keys..., feature, value,
     phi)``, plus the base value and the explained output (see
-    ``tree_leaf_paths``). The leaf paths (bounded by the model size) travel
-    with the task closure; rows are processed in Arrow batches by
+    ``tree_leaf_paths``). The leaf paths (bounded by the model size) are a
+    broadcast variable; rows are processed in Arrow batches by
     ``mapInPandas``, so any number of rows can be explained."""
     import numpy as np
     import pandas as pd
@@ -228,10 +228,13 @@ def tree_attributions(df: DataFrame, keys: Sequence[str], features: Sequence[str
     schema = StructType([*key_fields, StructField("feature", StringType()),
                          StructField("value", DoubleType()), StructField("phi", DoubleType())])
 
+    bc = spark.sparkContext.broadcast(packed)   # leaf paths: once per executor
+
     def run(it):
+        leaves_packed = bc.value
         for pdf in it:
             X = pdf[feats].to_numpy(dtype=float)
-            phi, _ = shap_values_numpy(X, packed, d)
+            phi, _ = shap_values_numpy(X, leaves_packed, d)
             n = len(pdf)
             out = {k: np.repeat(pdf[k].to_numpy(), d) for k in keys}
             out["feature"] = np.tile(np.array(feats, dtype=object), n)

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import (BooleanType, DoubleType, IntegerType, LongType, StringType,
+from pyspark.sql.types import (DoubleType, StringType,
                                StructField, StructType)
 
 from trellis.functions.columns import any_true, numeric_columns, pairwise_corr, safe_div

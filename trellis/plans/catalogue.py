@@ -536,10 +536,12 @@ c AS ({_counts_sql('tuned', 'tp')})
 SELECT 'score_rule_tuned' AS model, {_metric_cols_sql()}, round(roc_auc, 6) AS roc_auc, round(bt.threshold, 6) AS threshold
 FROM c, auc, bt""")
 def q_tuned_metrics(spark, d):
-    from trellis.operators.curves import best_threshold_value, tuned_metrics
+    from trellis.operators.curves import best_threshold_value, roc_auc_value, score_counts, tuned_metrics
     sc = scored_events(spark, d)
-    t = best_threshold_value(sc, "label", "s")
-    return r6(tuned_metrics(sc, "label", "s", t, "score_rule_tuned"))
+    counts = score_counts(sc, "label", "s")   # one distinct-score table for both
+    t = best_threshold_value(sc, "label", "s", counts)
+    auc = roc_auc_value(sc, "label", "s", counts)
+    return r6(tuned_metrics(sc, "label", "s", t, "score_rule_tuned", auc))
 
 
 def _calib_sql() -> str:
