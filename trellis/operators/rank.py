@@ -35,22 +35,26 @@ BUCKET = "_bucket"
 
 def running_sums(df: DataFrame, order: Sequence[str | Column], sum_cols: Sequence[str],
                  bucket_col: str, partition_cols: Sequence[str] = (),
-                 prefix: str = "cum_", exclusive: bool = False) -> DataFrame:
+                 prefix: str = "cum_", exclusive: bool = False,
+                 offsets: DataFrame | None = None) -> DataFrame:
     """Add ``prefix + c`` = running sum of ``c`` in ``order`` within ``partition_cols``.
 
     ``bucket_col`` must be non-decreasing along ``order`` inside a partition
     and ``order`` must be a total order there (ties make the running sum
-    depend on the tie order, exactly as with a plain window).
+    depend on the tie order, exactly as with a plain window). ``offsets``
+    (``partition_cols, bucket_col, _off_0, ...``) may be given when they are
+    already known (see ``bucket_offsets``).
     """
     parts = list(partition_cols)
-    totals = df.groupBy(*parts, bucket_col).agg(
-        *[F.sum(c).alias(f"_bt_{i}") for i, c in enumerate(sum_cols)])
-    earlier = Window.partitionBy(*parts).orderBy(bucket_col).rowsBetween(
-        Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *parts, bucket_col,
-        *[F.coalesce(F.sum(f"_bt_{i}").over(earlier), F.lit(0)).alias(f"_off_{i}")
-          for i in range(len(sum_cols))])
+    if offsets is None:
+        totals = df.groupBy(*parts, bucket_col).agg(
+            *[F.sum(c).alias(f"_bt_{i}") for i, c in enumerate(sum_cols)])
+        earlier = Window.partitionBy(*parts).orderBy(bucket_col).rowsBetween(
+            Window.unboundedPreceding, -1)
+        offsets = totals.select(
+            *parts, bucket_col,
+            *[F.coalesce(F.sum(f"_bt_{i}").over(earlier), F.lit(0)).alias(f"_off_{i}")
+              for i in range(len(sum_cols))])
     frame_end = -1 if exclusive else 0
     inside = Window.partitionBy(*parts, bucket_col).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, frame_end)
@@ -74,9 +78,27 @@ def auto_digits(n_rows: int | None, rows_per_bucket: int = ROWS_PER_BUCKET) -> i
     return int(min(7, max(3, math.ceil(math.log(need, 16)))))
 
 
+def bucket_offsets(df: DataFrame, bucket_col: str, partition_cols: Sequence[str] = ()):
+    """Rows per (partition, bucket) in one aggregate pass over ``df``, written
+    once to the shared checkpoint folder. Returns the offsets of every bucket
+    (a window over that small table) and the row count of every partition,
+    so a caller that needs both -- the stratified split needs class counts
+    for its quotas -- reads the input only once for them."""
+    from trellis.session import cut_lineage
+    parts = list(partition_cols)
+    totals = cut_lineage(df.groupBy(*parts, bucket_col).agg(F.count(F.lit(1)).alias("_n")),
+                         "bucket-totals")
+    per_part = {tuple(r[p] for p in parts): int(r["_n"])
+                for r in totals.groupBy(*parts).agg(F.sum("_n").alias("_n")).collect()}
+    earlier = Window.partitionBy(*parts).orderBy(bucket_col).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*parts, bucket_col,
+                            F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off_0"))
+    return offsets, per_part
+
+
 def hash_rank(df: DataFrame, key: str | Sequence[str], seed: int, partition_cols: Sequence[str] = (),
-              digits: int | None = None, rank_col: str = "rank", n_rows: int | None = None
-              ) -> DataFrame:
+              digits: int | None = None, rank_col: str = "rank", n_rows: int | None = None,
+              offsets: DataFrame | None = None) -> DataFrame:
     """1-based rank of every row in ``md5(key:seed)`` order within ``partition_cols``.
 
     Buckets are the leading ``digits`` hex digits of the hash: uniform by
@@ -85,13 +107,18 @@ def hash_rank(df: DataFrame, key: str | Sequence[str], seed: int, partition_cols
     """
     digits = digits or auto_digits(n_rows)
     keys = list(key) if isinstance(key, (list, tuple)) else [key]
-    h = df.withColumn(ORDER_HASH, hash_order(key, seed))
-    h = h.withColumn(BUCKET, hex_bucket(F.col(ORDER_HASH), digits)).withColumn("_one", F.lit(1))
+    h = with_hash_bucket(df, key, seed, digits).withColumn("_one", F.lit(1))
     ranked = running_sums(h, [F.col(ORDER_HASH), *[F.col(k) for k in keys]], ["_one"], BUCKET,
-                          partition_cols, prefix="_cum")
+                          partition_cols, prefix="_cum", offsets=offsets)
     return ranked.withColumnRenamed("_cum_one", rank_col).drop("_one", BUCKET)
 
 
+def with_hash_bucket(df: DataFrame, key, seed: int, digits: int) -> DataFrame:
+    """Order hash and its leading-digit bucket."""
+    h = df.withColumn(ORDER_HASH, hash_order(key, seed))
+    return h.withColumn(BUCKET, hex_bucket(F.col(ORDER_HASH), digits))
+
+
 def quantile_buckets(df: DataFrame, col: str, n_buckets: int = 256,
                      rel_error: float | None = None, out: str = BUCKET,
                      descending: bool = False) -> DataFrame:

@@ -16,12 +16,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trellis.operators.rank import BUCKET, ORDER_HASH, hash_rank, running_sums
+from trellis.operators.rank import (BUCKET, ORDER_HASH, bucket_offsets, hash_rank, running_sums,
+                                    with_hash_bucket)
 from trellis.functions.columns import hash_order, hex_bucket
 
 # Fixed values of the reference workflow.
 TEST_FRACTION = 0.2
 SEED = 42
+SPLIT_DIGITS = 4    # 65,536 hash buckets per class: ~8M rows each at 5e11 rows per class
 LEARNING_FRACTIONS = tuple(float(x) for x in np.linspace(0.1, 1.0, 5))
 
 
@@ -61,10 +63,13 @@ def stratified_split(df: DataFrame, key: str, label: str, test_fraction: float =
     Class counts (one row per class) reach the driver to fix the quotas; each
     row's rank inside its class decides ``test`` vs ``train``.
     """
-    counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
+    digits = digits or SPLIT_DIGITS
+    # one pass: rows per (class, hash bucket) give the class counts (quotas)
+    # and the bucket offsets; a second pass ranks inside the buckets
+    offsets, per_class = bucket_offsets(with_hash_bucket(df, key, seed, digits), BUCKET, [label])
+    counts = {k[0]: v for k, v in per_class.items()}
     quotas = stratum_quotas(counts, test_fraction)
-    ranked = hash_rank(df, key, seed, [label], digits=digits, rank_col="_rank",
-                       n_rows=max(counts.values(), default=0))
+    ranked = hash_rank(df, key, seed, [label], digits=digits, rank_col="_rank", offsets=offsets)
     return ranked.withColumn(
         split_col, F.when(F.col("_rank") <= _lookup(label, quotas), "test").otherwise("train")
     ).drop("_rank", ORDER_HASH)
