@@ -84,3 +84,10 @@ def test_kde_matches_numpy(spark):
     grid = np.linspace(x.min(), x.max(), 50)
     want = np.exp(-0.5 * ((grid[:, None] - x[None, :]) / h) ** 2).sum(axis=1) / (len(x) * h * math.sqrt(2 * math.pi))
     assert np.allclose([d for _, d in got], want, rtol=1e-10)
+
+
+def test_release_written_tables(spark):
+    from trellis.session import cut_lineage, release_tables
+    t = cut_lineage(spark.range(10), "tmp")
+    assert t.count() == 10
+    assert release_tables(spark) >= 1

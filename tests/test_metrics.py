@@ -141,3 +141,10 @@ def test_histogram_last_bin_closed(spark):
     df = spark.createDataFrame([(float(x),) for x in range(31)], "e double")
     h = metrics.histogram(df, "e", 30).collect()
     assert len(h) == 30 and sum(r.n for r in h) == 31 and h[-1].n == 2
+
+
+def test_calibration_summary(spark):
+    df = spark.createDataFrame([(1, 0.9), (0, 0.1), (1, 0.8), (0, 0.3)], "label int, s double")
+    r = curves.calibration_summary(df, "label", "s").first()
+    assert math.isclose(r.brier, (0.01 + 0.01 + 0.04 + 0.09) / 4)
+    assert r.ece >= 0.0

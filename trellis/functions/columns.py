@@ -7,11 +7,7 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import (ByteType, DecimalType, DoubleType, FloatType, IntegerType,
-                               LongType, NumericType, ShortType)
-
-INTEGRAL = (ByteType, ShortType, IntegerType, LongType)
-
+from pyspark.sql.types import DoubleType, FloatType, NumericType
 
 def col_(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -23,10 +19,6 @@ def numeric_columns(df: DataFrame, exclude: tuple[str, ...] | list[str] = ()) ->
             if isinstance(f.dataType, NumericType) and f.name not in set(exclude)]
 
 
-def is_floating(df: DataFrame, name: str) -> bool:
-    return isinstance(df.schema[name].dataType, (DoubleType, FloatType, DecimalType))
-
-
 def clean_double(c: str | Column) -> Column:
     """NaN -> NULL and -0.0 -> 0.0 (trap: Spark orders NaN above every number).
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from trellis.functions.columns import safe_div
 from trellis.operators.metrics import confusion_counts, metrics_from_counts
+from trellis.operators.prep import threshold_predict
 from trellis.operators.rank import ROWS_PER_BUCKET, running_sums, with_next
 from trellis.session import cut_lineage
 
@@ -135,7 +136,7 @@ def tuned_metrics(scored: DataFrame, label: str, score: str, threshold: float,
                   model: str | None = None, auc: float | None = None) -> DataFrame:
     """All five metrics re-computed at a tuned threshold (A17); the
     reference kept stale precision/recall here."""
-    pred = scored.withColumn("_tuned", F.when(F.col(score) >= F.lit(threshold), 1).otherwise(0))
+    pred = scored.withColumn("_tuned", threshold_predict(score, threshold))
     if auc is None:
         auc = roc_auc_value(scored, label, score)
     return metrics_from_counts(confusion_counts(pred, label, "_tuned"), model, auc) \

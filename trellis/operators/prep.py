@@ -159,7 +159,6 @@ def load_dataset(spark, path: str, label: str = "target", score: str = "quality"
     df = read_csv(spark, path, schema=schema, sep=sep)
     df = clean_numeric(df)
     df = dedup(df)
-    if label not in df.columns and score not in df.columns:
-        raise ValueError(f"target column {label!r} not found and no {score!r} to derive it from")
+    require_columns(df, [label] if score not in df.columns else [score])
     df = binary_label(df, score, label, threshold)
     return drop_leaks(df, [c for c in drop if c != label])

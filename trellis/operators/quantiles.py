@@ -154,10 +154,6 @@ def _walk(got, brackets, ranks) -> dict[tuple[str, int], float]:
     return values
 
 
-def _n_of(head, cols, c) -> int:
-    return int(head[f"n{cols.index(c)}"])
-
-
 def _narrow(df: DataFrame, brackets: dict[int, tuple[str, float, float]], ranks: dict[int, int],
             accuracy: int, max_collect: int, rounds: int = 8) -> dict[int, tuple[str, float, float]]:
     """Shrink brackets by ``percentile_approx`` rounds restricted to each

@@ -23,7 +23,6 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,31 +118,6 @@ def with_hash_bucket(df: DataFrame, key, seed: int, digits: int) -> DataFrame:
     return h.withColumn(BUCKET, hex_bucket(F.col(ORDER_HASH), digits))
 
 
-def quantile_buckets(df: DataFrame, col: str, n_buckets: int = 256,
-                     rel_error: float | None = None, out: str = BUCKET,
-                     descending: bool = False) -> DataFrame:
-    """Add a bucket id that is monotone in ``col`` using approximate quantiles.
-
-    One scan computes ``n_buckets - 1`` approximate cut points (a bounded list
-    on the driver); ``Bucketizer`` then maps values by binary search inside
-    the JVM. Repeated cut points (hot values) are merged, so a value that holds
-    a third of the rows simply gets a bucket of its own.
-    """
-    if rel_error is None:
-        rel_error = 1.0 / (4.0 * n_buckets)
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    cuts = df.approxQuantile(col, probs, rel_error) if n_buckets > 1 else []
-    splits = sorted({float(c) for c in cuts if c is not None})
-    splits = [float("-inf"), *splits, float("inf")]
-    if len(splits) < 3:
-        splits = [float("-inf"), 0.0, float("inf")]
-    b = Bucketizer(splits=splits, inputCol=col, outputCol=out, handleInvalid="keep")
-    res = b.transform(df).withColumn(out, F.col(out).cast("int"))
-    if descending:
-        res = res.withColumn(out, F.lit(len(splits)) - F.col(out))
-    return res
-
-
 def with_next(df: DataFrame, order: Sequence[str | Column], bucket_col: str, cols: Sequence[str],
               partition_cols: Sequence[str] = (), prefix: str = "next_") -> DataFrame:
     """Add the values of ``cols`` on the following row in ``order`` (``lead``)

@@ -106,7 +106,3 @@ def save_bundle(spark: SparkSession, model, path: str, description: str = BUNDLE
 
 def load_bundle(spark: SparkSession, path: str):
     return load_pipeline(f"{path}/model"), spark.read.parquet(f"{path}/metadata").first().asDict()
-
-
-def stamp(df: DataFrame, col: str = "created") -> DataFrame:
-    return df.withColumn(col, F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
