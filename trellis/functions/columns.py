@@ -109,6 +109,8 @@ def pairwise_corr(a: str, b: str) -> Column:
     All three are algebraic aggregates (partial aggregation, any scale).
     """
     x, y = F.col(a).cast("double"), F.col(b).cast("double")
+    if a == b:  # the diagonal is exactly 1 (NULL when constant), as in pandas
+        return F.when(F.stddev_pop(x) > 0, F.lit(1.0))
     xa = F.when(y.isNotNull(), x)
     yb = F.when(x.isNotNull(), y)
     den = F.stddev_pop(xa) * F.stddev_pop(yb)

@@ -47,8 +47,9 @@ def _collect_brackets(df: DataFrame, brackets: dict[int, tuple[str, float, float
         keep = x.isNotNull() & (x <= F.lit(b))
         items.append(F.when(keep, F.struct(F.lit(t).alias("t"),
                                            F.when(x >= F.lit(a), x).alias("v"))))
-    long = df.select(F.explode(F.array(*items)).alias("e")).where(F.col("e").isNotNull()) \
-        .select("e.t", "e.v")
+    # rows above every bracket produce nothing; the rest one entry per bracket
+    kept = F.filter(F.array(*items), lambda e: e.isNotNull())
+    long = df.select(F.explode(kept).alias("e")).select("e.t", "e.v")
     rows = long.groupBy("t", "v").count().collect()
     out: dict[int, tuple[int, list[tuple[float, int]]]] = {t: (0, []) for t in brackets}
     for r in rows:

@@ -224,6 +224,8 @@ def q_pos_weight(spark, d):
 
 
 def _corr_sql(a: str, b: str) -> str:
+    if a == b:
+        return f"CASE WHEN stddev_pop({a}) > 0 THEN CAST(1 AS DOUBLE) END"
     return (f"covar_pop({a}, {b}) / nullif(stddev_pop(CASE WHEN {b} IS NOT NULL THEN {a} END)"
             f" * stddev_pop(CASE WHEN {a} IS NOT NULL THEN {b} END), 0)")
 
