@@ -70,29 +70,48 @@ ROWS_PER_BUCKET = 1 << 21
 
 def auto_digits(n_rows: int | None, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
     """Hex digits of hash prefix so that a bucket holds ~``rows_per_bucket``
-    rows: 3 (4,096 buckets) up to 10^10 rows, then growing with the data."""
+    rows: at least 3 (4,096 buckets), growing with the data."""
     if not n_rows:
         return 3
     need = max(1.0, n_rows / rows_per_bucket)
     return int(min(7, max(3, math.ceil(math.log(need, 16)))))
 
 
-def bucket_offsets(df: DataFrame, bucket_col: str, partition_cols: Sequence[str] = ()):
-    """Rows per (partition, bucket) in one aggregate pass over ``df``, written
-    once to the shared checkpoint folder. Returns the offsets of every bucket
-    (a window over that small table) and the row count of every partition,
-    so a caller that needs both -- the stratified split needs class counts
-    for its quotas -- reads the input only once for them."""
-    from trellis.session import cut_lineage
+FINE_DIGITS = 5
+
+
+def bucket_offsets(hashed: DataFrame, partition_cols: Sequence[str] = (),
+                   sum_cols: Sequence[str] = ()):
+    """Offsets for ``hash_rank``/``running_sums`` with a resolution chosen
+    from the data, in one pass over the input.
+
+    Row counts (and sums of ``sum_cols``) per partition and *fine* hash
+    bucket (16**5 ranges) are aggregated once and persisted (a small table,
+    recomputable from its lineage). The exact partition sizes read from it
+    fix the *coarse* bucket resolution (``auto_digits``); coarse buckets are
+    prefixes of fine ones, so they stay monotone in the hash order, and their
+    offsets come from a window over the small table.
+
+    ``hashed`` must carry ``ORDER_HASH``. Returns ``(offsets, digits,
+    {partition: rows})``; offsets has ``_off_0`` (rows) then one ``_off_i`` per
+    sum column.
+    """
+    from trellis.session import keep
     parts = list(partition_cols)
-    totals = cut_lineage(df.groupBy(*parts, bucket_col).agg(F.count(F.lit(1)).alias("_n")),
-                         "bucket-totals")
+    fine = hex_bucket(F.col(ORDER_HASH), FINE_DIGITS).alias("_fine")
+    totals = keep(hashed.groupBy(*parts, fine).agg(
+        F.count(F.lit(1)).alias("_s0"),
+        *[F.sum(c).alias(f"_s{i + 1}") for i, c in enumerate(sum_cols)]))
     per_part = {tuple(r[p] for p in parts): int(r["_n"])
-                for r in totals.groupBy(*parts).agg(F.sum("_n").alias("_n")).collect()}
-    earlier = Window.partitionBy(*parts).orderBy(bucket_col).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*parts, bucket_col,
-                            F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off_0"))
-    return offsets, per_part
+                for r in totals.groupBy(*parts).agg(F.sum("_s0").alias("_n")).collect()}
+    digits = auto_digits(max(per_part.values(), default=0))
+    coarse = totals.groupBy(*parts, (F.col("_fine") / (16 ** (FINE_DIGITS - digits))).cast("long")
+                            .alias(BUCKET)).agg(*[F.sum(f"_s{i}").alias(f"_s{i}")
+                                                 for i in range(len(sum_cols) + 1)])
+    earlier = Window.partitionBy(*parts).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = coarse.select(*parts, BUCKET, *[F.coalesce(F.sum(f"_s{i}").over(earlier), F.lit(0))
+                                               .alias(f"_off_{i}") for i in range(len(sum_cols) + 1)])
+    return offsets, digits, per_part
 
 
 def hash_rank(df: DataFrame, key: str | Sequence[str], seed: int, partition_cols: Sequence[str] = (),
@@ -101,11 +120,15 @@ def hash_rank(df: DataFrame, key: str | Sequence[str], seed: int, partition_cols
     """1-based rank of every row in ``md5(key:seed)`` order within ``partition_cols``.
 
     Buckets are the leading ``digits`` hex digits of the hash: uniform by
-    construction, 16**digits ranges (sized from ``n_rows`` when not given).
-    Keys must be unique (row identity).
+    construction. Unless ``digits``/``offsets`` are given, ``bucket_offsets``
+    sizes them from the exact row count in the same pass that gives the
+    offsets. Keys must be unique (row identity).
     """
-    digits = digits or auto_digits(n_rows)
     keys = list(key) if isinstance(key, (list, tuple)) else [key]
+    if offsets is None and digits is None:
+        offsets, digits, _ = bucket_offsets(df.withColumn(ORDER_HASH, hash_order(key, seed)),
+                                            partition_cols)
+    digits = digits or auto_digits(n_rows)
     h = with_hash_bucket(df, key, seed, digits).withColumn("_one", F.lit(1))
     ranked = running_sums(h, [F.col(ORDER_HASH), *[F.col(k) for k in keys]], ["_one"], BUCKET,
                           partition_cols, prefix="_cum", offsets=offsets)

@@ -23,7 +23,6 @@ from trellis.functions.columns import hash_order, hex_bucket
 # Fixed values of the reference workflow.
 TEST_FRACTION = 0.2
 SEED = 42
-SPLIT_DIGITS = 4    # 65,536 hash buckets per class: ~8M rows each at 5e11 rows per class
 LEARNING_FRACTIONS = tuple(float(x) for x in np.linspace(0.1, 1.0, 5))
 
 
@@ -63,10 +62,9 @@ def stratified_split(df: DataFrame, key: str, label: str, test_fraction: float =
     Class counts (one row per class) reach the driver to fix the quotas; each
     row's rank inside its class decides ``test`` vs ``train``.
     """
-    digits = digits or SPLIT_DIGITS
-    # one pass: rows per (class, hash bucket) give the class counts (quotas)
-    # and the bucket offsets; a second pass ranks inside the buckets
-    offsets, per_class = bucket_offsets(with_hash_bucket(df, key, seed, digits), BUCKET, [label])
+    # one pass: rows per (class, hash bucket) give the class counts (quotas),
+    # the bucket resolution and the offsets; a second pass ranks in buckets
+    offsets, digits, per_class = bucket_offsets(df.withColumn(ORDER_HASH, hash_order(key, seed)), [label])
     counts = {k[0]: v for k, v in per_class.items()}
     quotas = stratum_quotas(counts, test_fraction)
     ranked = hash_rank(df, key, seed, [label], digits=digits, rank_col="_rank", offsets=offsets)
@@ -79,9 +77,9 @@ def random_split(df: DataFrame, key: str, test_fraction: float = TEST_FRACTION,
                  split_col: str = "split", digits: int | None = None) -> DataFrame:
     """Exact-size random split: the ``ceil(f * n)`` first rows in hash order are
     the test part (R2)."""
-    n = df.count()
-    n_test = _ceil_fraction(n, test_fraction)
-    ranked = hash_rank(df, key, seed, digits=digits, rank_col="_rank", n_rows=n)
+    offsets, digits, per = bucket_offsets(df.withColumn(ORDER_HASH, hash_order(key, seed)))
+    n_test = _ceil_fraction(sum(per.values()), test_fraction)
+    ranked = hash_rank(df, key, seed, digits=digits, rank_col="_rank", offsets=offsets)
     return ranked.withColumn(split_col, F.when(F.col("_rank") <= n_test, "test").otherwise("train")) \
         .drop("_rank", ORDER_HASH)
 
@@ -112,14 +110,17 @@ def learning_positions(folded: DataFrame, key: str, k: int, fold_col: str = "fol
     sum of k fold indicators gives all k positions at once. ``pos_f`` is NULL
     for rows that belong to fold f.
     """
-    from trellis.operators.rank import auto_digits
-    digits = digits or auto_digits(n_rows)
     ind = [f"_in{f}" for f in range(k)]
     h = folded.withColumn(ORDER_HASH, hash_order(key, seed))
-    h = h.withColumn(BUCKET, hex_bucket(F.col(ORDER_HASH), digits))
     for f in range(k):
         h = h.withColumn(ind[f], (F.col(fold_col) == f).cast("long"))
-    cum = running_sums(h, [F.col(ORDER_HASH), F.col(key)], ind, BUCKET, prefix="_c")
+    offsets = None
+    if digits is None:
+        off, digits, _ = bucket_offsets(h, (), ind)
+        # running_sums wants one offset column per summed column
+        offsets = off.select(BUCKET, *[F.col(f"_off_{i + 1}").alias(f"_off_{i}") for i in range(k)])
+    h = h.withColumn(BUCKET, hex_bucket(F.col(ORDER_HASH), digits))
+    cum = running_sums(h, [F.col(ORDER_HASH), F.col(key)], ind, BUCKET, prefix="_c", offsets=offsets)
     grank = sum((F.col(f"_c{c}") for c in ind), F.lit(0))
     out = cum
     for f in range(k):

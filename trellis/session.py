@@ -76,14 +76,28 @@ def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
 
 
 _WRITTEN: list[str] = []
+_KEPT: list[DataFrame] = []
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Persist a small derived table that is read more than once (memory,
+    spilling to disk). Unlike a local checkpoint it keeps its lineage, so
+    blocks lost with an executor are recomputed."""
+    from pyspark import StorageLevel
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _KEPT.append(df)
+    return df
 
 
 def release_tables(spark: SparkSession) -> int:
-    """Delete the tables this process wrote with ``cut_lineage``. DataFrames
-    read from them become unusable, so call it once their results are saved."""
+    """Delete the tables this process wrote with ``cut_lineage`` and drop the
+    ones it persisted with ``keep``. DataFrames read from written tables
+    become unusable, so call it once their results are saved."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     n = 0
+    while _KEPT:
+        _KEPT.pop().unpersist()
     while _WRITTEN:
         p = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
         n += bool(p.getFileSystem(conf).delete(p, True))
