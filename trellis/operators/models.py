@@ -217,17 +217,30 @@ def run_parallel(fn, items, parallelism: int):
 
 
 def cv_fold_scores(pipeline: Pipeline | Estimator, df: DataFrame, fold_col: str, k: int, name: str,
-                   label: str = "label", parallelism: int = 4) -> DataFrame:
+                   label: str = "label", parallelism: int = 4, keep_scored: bool = False,
+                   key: Sequence[str] = ()):
     """Positive-class F1 of ``pipeline`` on every held-out fold: long
     ``(model, fold, score)`` (M7). The same fold column for every model keeps
-    the paired test valid."""
+    the paired test valid. With ``keep_scored`` also the out-of-fold scored
+    rows ``(key..., label, prediction, p1)`` -- the leak-free input for
+    choosing a decision threshold."""
     ev = PositiveF1Evaluator(label, "prediction")
+    models_out = {}
 
     def one(f):
         m = pipeline.fit(df.where(F.col(fold_col) != f))
+        models_out[f] = m
         return (name, f, ev.evaluate(m.transform(df.where(F.col(fold_col) == f))))
     rows = run_parallel(one, range(k), parallelism)
-    return df.sparkSession.createDataFrame(rows, "model string, fold int, score double")
+    scores = df.sparkSession.createDataFrame(rows, "model string, fold int, score double")
+    if not keep_scored:
+        return scores
+    # out-of-fold predictions: every row scored by the model that did not see it
+    oof = None
+    for f in range(k):
+        part = score(models_out[f], df.where(F.col(fold_col) == f), label, key)
+        oof = part if oof is None else oof.unionByName(part)
+    return scores, oof
 
 
 def cv_regression_scores(pipeline, df: DataFrame, fold_col: str, k: int, name: str,

@@ -222,16 +222,17 @@ def type_prediction(df: DataFrame, key: str, label: str, features: Sequence[str]
 
 def full_report(raw: DataFrame, label: str, features: Sequence[str], score: str | None = None,
                 key: str | None = None, sizes: ModelSizes | None = None, cv_folds: int = 10,
-                thresholds: Sequence[int] = (6, 7, 8), tune_on: str = "train",
+                thresholds: Sequence[int] = (6, 7, 8), tune_on: str = "oof",
                 out_dir: str | None = None) -> dict:
     """The single-source script end to end, every table as a DataFrame.
 
     ``raw`` is the loaded, *not yet deduplicated* table (the threshold table
     is computed on it, as the reference does); everything else runs on the
-    deduplicated rows. The decision threshold is tuned on ``tune_on``
-    ('train' = out-of-fold-free training predictions, or 'test' to mirror the
-    reference, which tuned on the test rows). With ``out_dir`` the model
-    bundle is saved there.
+    deduplicated rows. The forest's decision threshold is chosen on
+    ``tune_on``: 'oof' (default) = out-of-fold predictions of the training
+    rows from the cross-validation, 'test' mirrors the reference (which
+    tuned on the test rows, an optimistic choice). With ``out_dir`` the
+    model bundles are saved there.
     """
     from trellis.operators import curves, explain
     from trellis.sources.io import save_bundle
@@ -255,24 +256,19 @@ def full_report(raw: DataFrame, label: str, features: Sequence[str], score: str
     out["class_distribution"] = profile.class_distribution(prepared, label)
     rf = res.fitted.get("Random Forest")
     gbt = res.fitted.get("Gradient Boosted Trees")
-    if rf is not None:
-        scored_test = models.score(rf, test, label, [key])
-        tune_rows = models.score(rf, train, label, [key]) if tune_on == "train" else scored_test
-        t = curves.best_threshold_value(tune_rows, label, "p1")
-        out["tuned_metrics"] = curves.tuned_metrics(scored_test, label, "p1", t, "Random Forest (tuned)")
-        out["calibration"] = curves.calibration_bins(scored_test, label, "p1")
-        out["roc_curve"] = curves.roc_curve(scored_test, label, "p1")
-        out["confusion_rf"] = metrics.confusion_matrix(scored_test, label)
-        out["importance_rf"] = models.feature_importance(rf, features, spark)
+    oof = None
     if rf is not None and gbt is not None:
         folded = split.stratified_kfold(train, key, label, k=cv_folds)
         folded = cut_lineage(profile.with_class_weights(folded, label, "weight"), "folds")
-        scores = models.cv_fold_scores(Pipeline(stages=[models.assembler(features), models.random_forest(
-            sizes.rf_trees, sizes.rf_depth, sizes.rf_min_split, label, "weight")]), folded, "fold", cv_folds,
-            "Random Forest", label).unionByName(models.cv_fold_scores(Pipeline(stages=[
-                models.assembler(features), models.boosted_trees(sizes.gbt_iter, sizes.gbt_depth, sizes.gbt_step,
-                                                                 label, "weight")]), folded, "fold", cv_folds,
-                "Gradient Boosted Trees", label))
+        rf_scores, oof = models.cv_fold_scores(
+            Pipeline(stages=[models.assembler(features), models.random_forest(
+                sizes.rf_trees, sizes.rf_depth, sizes.rf_min_split, label, "weight")]),
+            folded, "fold", cv_folds, "Random Forest", label, keep_scored=True, key=[key])
+        gbt_scores = models.cv_fold_scores(
+            Pipeline(stages=[models.assembler(features), models.boosted_trees(
+                sizes.gbt_iter, sizes.gbt_depth, sizes.gbt_step, label, "weight")]),
+            folded, "fold", cv_folds, "Gradient Boosted Trees", label)
+        scores = rf_scores.unionByName(gbt_scores)
         out["cv_scores"] = scores
         out["cv_summary"] = metrics.cv_summary(scores)
         out["t_test"] = metrics.paired_t_test(scores, "Random Forest", "Gradient Boosted Trees")
@@ -286,4 +282,13 @@ def full_report(raw: DataFrame, label: str, features: Sequence[str], score: str
         if out_dir:
             save_bundle(spark, gbt, f"{out_dir}/bundle_gbt")
             save_bundle(spark, rf, f"{out_dir}/bundle_rf")
+    if rf is not None:
+        scored_test = models.score(rf, test, label, [key])
+        tune_rows = oof if (tune_on == "oof" and oof is not None) else scored_test
+        t = curves.best_threshold_value(tune_rows, label, "p1")
+        out["tuned_metrics"] = curves.tuned_metrics(scored_test, label, "p1", t, "Random Forest (tuned)")
+        out["calibration"] = curves.calibration_bins(scored_test, label, "p1")
+        out["roc_curve"] = curves.roc_curve(scored_test, label, "p1")
+        out["confusion_rf"] = metrics.confusion_matrix(scored_test, label)
+        out["importance_rf"] = models.feature_importance(rf, features, spark)
     return out
