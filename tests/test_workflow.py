@@ -38,3 +38,11 @@ def test_classification_with_tuning(spark):
                                   rf_grid={"numTrees": [5], "maxDepth": [3, 4], "min_samples_split": [5]},
                                   gbt_grid={"maxIter": [3], "maxDepth": [2], "stepSize": [0.1]})
     assert [r.model for r in res.comparison.collect()] == ["Random Forest", "Gradient Boosted Trees"]
+
+
+def test_classification_with_smote(spark):
+    rows = [(f"k{i}", 1 if (i * 7) % 10 < 2 else 0, float(i % 13), float((i * 3) % 7)) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, label int, a double, b double")
+    res = workflow.classification(df, "k", "label", ["a", "b"], workflow.ModelSizes.small(),
+                                  learners=("lr", "rf"), resample="smote", iqr=False)
+    assert len(res.comparison.collect()) == 2

@@ -776,6 +776,16 @@ def q_ml_model_comparison(spark, d):
     return flagship(spark, d)
 
 
+@query("ml_model_comparison_smote")
+def q_ml_model_comparison_smote(spark, d):
+    """The same comparison with SMOTE on the training rows instead of weights."""
+    from trellis.plans import workflow
+    df = workflow.lineitem_frame(spark, d)
+    res = workflow.classification(df, "row_key", "label", MODEL_FEATURES, workflow.ModelSizes.small(),
+                                  resample="smote")
+    return r6(res.comparison)
+
+
 # --------------------------------------------------------------------------- SMOTE
 
 def labelled_documents(spark, d):
