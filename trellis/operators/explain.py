@@ -158,7 +158,19 @@ def _pack_leaves(leaves):
     return packed
 
 
-def shap_values_numpy(X, packed, n_features: int, leaf_chunk: int = 256):
+def shap_values_numpy(X, packed, n_features: int, leaf_chunk: int = 256, row_chunk: int = 1024):
+    """Row-chunked driver of ``_shap_block`` (bounded worker memory: about
+    row_chunk x leaf_chunk x depth doubles per temporary)."""
+    import numpy as np
+    phi = np.zeros((X.shape[0], n_features))
+    base = 0.0
+    for a in range(0, max(X.shape[0], 1), row_chunk):
+        part, base = _shap_block(X[a:a + row_chunk], packed, n_features, leaf_chunk)
+        phi[a:a + row_chunk] = part
+    return phi, base
+
+
+def _shap_block(X, packed, n_features: int, leaf_chunk: int = 256):
     """Exact path-dependent TreeSHAP for a block of rows (leaf-path form).
 
     Per leaf with distinct path features F (|F| = m), one-fractions o_j (the
