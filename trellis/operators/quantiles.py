@@ -41,6 +41,8 @@ def _collect_brackets(df: DataFrame, brackets: dict[int, tuple[str, float, float
                       ) -> dict[int, tuple[int, list[tuple[float, int]]]]:
     """One grouped pass: per target id, rows below the bracket (counted) and
     the distinct values inside it with their counts."""
+    if not brackets:
+        return {}
     items = []
     for t, (c, a, b) in brackets.items():
         x = F.col(c).cast("double")
