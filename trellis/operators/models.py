@@ -105,7 +105,7 @@ def logistic_regression(n_weight: float, label: str = "label", weight_col: str |
 
 def random_forest(num_trees: int = 100, max_depth: int | None = None, min_samples_split: int = 2,
                   label: str = "label", weight_col: str | None = None, features: str = "features",
-                  seed: int = SEED, max_bins: int = 64) -> RandomForestClassifier:
+                  seed: int = SEED, max_bins: int = 32) -> RandomForestClassifier:
     depth = MAX_TREE_DEPTH if max_depth is None else min(max_depth, MAX_TREE_DEPTH)
     rf = RandomForestClassifier(featuresCol=features, labelCol=label, numTrees=num_trees,
                                 maxDepth=depth, featureSubsetStrategy="sqrt", seed=seed,
@@ -118,7 +118,7 @@ def random_forest(num_trees: int = 100, max_depth: int | None = None, min_sample
 
 def boosted_trees(max_iter: int = 200, max_depth: int = 6, step_size: float = 0.1,
                   label: str = "label", weight_col: str | None = None, features: str = "features",
-                  seed: int = SEED, max_bins: int = 64) -> GBTClassifier:
+                  seed: int = SEED, max_bins: int = 32) -> GBTClassifier:
     gbt = GBTClassifier(featuresCol=features, labelCol=label, maxIter=max_iter, maxDepth=max_depth,
                         stepSize=step_size, seed=seed, maxBins=max_bins)
     if weight_col:
@@ -127,7 +127,7 @@ def boosted_trees(max_iter: int = 200, max_depth: int = 6, step_size: float = 0.
 
 
 def rf_regressor(num_trees: int = RF_REGRESSOR_TREES, label: str = "label", features: str = "features",
-                 max_depth: int | None = None, seed: int = SEED, max_bins: int = 64) -> RandomForestRegressor:
+                 max_depth: int | None = None, seed: int = SEED, max_bins: int = 32) -> RandomForestRegressor:
     depth = MAX_TREE_DEPTH if max_depth is None else min(max_depth, MAX_TREE_DEPTH)
     return RandomForestRegressor(featuresCol=features, labelCol=label, numTrees=num_trees,
                                  maxDepth=depth, featureSubsetStrategy="all", seed=seed, maxBins=max_bins)
