@@ -49,3 +49,22 @@ def test_composite_key_split(spark):
                                  (F.col("id") % 3 == 0).cast("int").alias("y"))
     out = split.stratified_split(df, ["a", "b"], "y")
     assert out.where(F.col("split") == "test").count() == 120
+
+
+import pytest
+
+from trellis.operators import profile
+
+
+@pytest.mark.parametrize("n0,n1,train0,test0,train1,test1,diff", [
+    (1175, 184, 940, 235, 147, 37, 0.08),
+    (3136, 825, 2508, 628, 660, 165, 0.03),
+    (4311, 1009, 3449, 862, 807, 202, 0.02),
+])
+def test_split_reproduces_reference_tables(spark, n0, n1, train0, test0, train1, test1, diff):
+    df = spark.range(n0 + n1).select(F.col("id").alias("k"), (F.col("id") >= n0).cast("int").alias("y"))
+    sp = split.stratified_split(df, "k", "y")
+    chk = {r["class"]: r for r in profile.split_verification(sp, "y").collect()}
+    assert (chk[0].train_n, chk[0].test_n, chk[1].train_n, chk[1].test_n) == (train0, test0, train1, test1)
+    assert round(chk[0].diff_pp, 2) == diff and round(chk[1].diff_pp, 2) == diff
+    assert chk[0].within_tol and chk[1].within_tol
