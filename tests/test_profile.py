@@ -36,12 +36,15 @@ def test_iqr_skips_binary_columns_by_default(spark):
     assert profile.iqr_columns(df, None) == ["x"]
 
 
-def test_threshold_sensitivity_golden_counts(spark):
-    # red: 855 / 217 / 18 positives at >= 6 / 7 / 8 of 1,599 rows
-    scores = [8] * 18 + [7] * (217 - 18) + [6] * (855 - 217) + [5] * (1599 - 855)
+@pytest.mark.parametrize("n,p6,p7,p8", [(1599, 855, 217, 18), (4898, 3258, 1060, 180)])
+def test_threshold_sensitivity_golden_counts(spark, n, p6, p7, p8):
+    # positives at >= 6 / 7 / 8 of the raw rows, both published tables
+    scores = [8] * p8 + [7] * (p7 - p8) + [6] * (p6 - p7) + [5] * (n - p6)
     df = spark.createDataFrame([(s,) for s in scores], "quality int")
     got = {r.threshold: (r.n_pos, r.n_neg) for r in profile.threshold_sensitivity(df).collect()}
-    assert got == {6: (855, 744), 7: (217, 1382), 8: (18, 1581)}
+    assert got == {6: (p6, n - p6), 7: (p7, n - p7), 8: (p8, n - p8)}
+    pct = {r.threshold: r.pos_pct for r in profile.threshold_sensitivity(df).collect()}
+    assert math.isclose(pct[7], p7 * 100.0 / n)
 
 
 @pytest.mark.parametrize("counts,expect", [
