@@ -130,8 +130,8 @@ def learning_positions(folded: DataFrame, key: str, k: int, fold_col: str = "fol
 
 def learning_sizes(n_train: int, fractions: Sequence[float] = LEARNING_FRACTIONS) -> list[int]:
     """Absolute subset sizes ``floor(frac * n_train)`` (float product, as the
-    reference's ``astype(int)``)."""
-    return [int(fr * n_train) for fr in fractions]
+    reference's ``astype(int)``), at least one row."""
+    return [min(max(int(fr * n_train), 1), max(n_train, 1)) for fr in fractions]
 
 
 def learning_subset_counts(positions: DataFrame, label: str, k: int, fold_col: str = "fold",
