@@ -46,3 +46,21 @@ def test_classification_with_smote(spark):
     res = workflow.classification(df, "k", "label", ["a", "b"], workflow.ModelSizes.small(),
                                   learners=("lr", "rf"), resample="smote", iqr=False)
     assert len(res.comparison.collect()) == 2
+
+
+def test_pooled_sources_keep_rare_marker(spark):
+    # the marker's rarer value is 20 % of the rows: an IQR rule on it would
+    # remove that whole source
+    big = spark.createDataFrame([(1 if i % 4 == 0 else 0, float(i), float(i % 7)) for i in range(400)],
+                                "label int, a double, b double")
+    small = spark.createDataFrame([(1 if i % 4 == 0 else 0, i + 0.5, float(i % 5)) for i in range(100)],
+                                  "label int, a double, b double")
+    out = workflow.combined([big, small], [0, 1], "row_key", "label", ["a", "b"],
+                            sizes=workflow.ModelSizes.small(), group_check=False)
+    assert len(out["comparison"].collect()) == 2
+    from trellis.operators import prep, profile
+    pooled = prep.union_sources([big, small], marker="type", markers=[0, 1])
+    assert profile.binary_columns(pooled, ["a", "b", "type"]) == {"type"}
+    # with the marker in the IQR rule the rare source would vanish
+    assert profile.iqr_filter(pooled, ["type"]).where("type = 1").count() == 0
+    assert profile.iqr_filter(pooled, ["a", "b"]).where("type = 1").count() > 0

@@ -24,7 +24,7 @@ DEFAULT_THRESHOLDS = (6, 7, 8)
 SPLIT_TOLERANCE_PP = 0.5
 
 
-def _binary_columns(df: DataFrame, cols: Sequence[str]) -> set[str]:
+def binary_columns(df: DataFrame, cols: Sequence[str]) -> set[str]:
     """Columns with at most two distinct non-null values (one aggregate)."""
     if not cols:
         return set()
@@ -59,7 +59,7 @@ def iqr_columns(df: DataFrame, cols: Sequence[str] | None, exclude: Sequence[str
         return list(cols)
     cand = numeric_columns(df, exclude)
     if skip_binary:
-        binary = _binary_columns(df, cand)
+        binary = binary_columns(df, cand)
         cand = [c for c in cand if c not in binary]
     return cand
 

@@ -90,8 +90,10 @@ def classification(df: DataFrame, key: str, label: str, features: Sequence[str],
     check = profile.split_verification(prepared, label)
     train = prepared.where(F.col("split") == "train")
     test = prepared.where(F.col("split") == "test")
-    if iqr:
-        train = profile.iqr_filter(train, list(features), exclude=[label])
+    if iqr:  # 0/1 marker columns are not cleaned: a rare value is not an outlier
+        binary = profile.binary_columns(train, list(features))
+        cols = [f for f in features if f not in binary]
+        train = profile.iqr_filter(train, cols, exclude=[label]) if cols else train
     if resample == "smote":
         from trellis.operators.resample import smote
         fitted_scaler = fit_standard_scaler(train, features)
