@@ -30,6 +30,7 @@ def main(argv=None) -> None:
     ap.add_argument("--key", default=None)
     ap.add_argument("--format", default="parquet", choices=["parquet", "csv"])
     ap.add_argument("--small", action="store_true", help="small learners (smoke runs)")
+    ap.add_argument("--folds", type=int, default=10, help="cross-validation folds for the t-test")
     ap.add_argument("--master", default=None)
     a = ap.parse_args(argv)
     spark = get_session(a.master)
@@ -39,7 +40,7 @@ def main(argv=None) -> None:
     feats = a.features.split(",") if a.features else [
         c for c in numeric_columns(labelled) if c not in (a.label, a.score, "type", a.key)]
     body = prep.drop_leaks(labelled, [c for c in ("quality", "type", a.score) if c != a.label])
-    tables = workflow.full_report(body, a.label, feats, key=a.key,
+    tables = workflow.full_report(body, a.label, feats, key=a.key, cv_folds=a.folds,
                                   sizes=workflow.ModelSizes.small() if a.small else None, out_dir=a.out_dir)
     if a.score in labelled.columns:
         from trellis.operators import profile
