@@ -6,10 +6,9 @@ statistic is found by bracketing:
 
 1. one aggregate gives ``count`` and ``percentile_approx`` cut points just
    below and above every wanted rank (rank error <= n / accuracy);
-2. one grouped pass keys every row at or below a bracket's upper end by
-   (target, value) -- rows under the lower end share one key per target, so
-   map-side combining turns them into a single counter -- and returns only
-   the distinct values inside the brackets with their counts;
+2. conditional counts give the rows below every bracket, and one grouped
+   pass over the rows *inside* some bracket returns the distinct values
+   there with their counts;
 3. the driver walks those few (value, count) pairs to the exact rank and
    interpolates.
 
@@ -39,26 +38,25 @@ def _plan(n: int, p: float) -> tuple[int, int, float]:
 
 def _collect_brackets(df: DataFrame, brackets: dict[int, tuple[str, float, float]]
                       ) -> dict[int, tuple[int, list[tuple[float, int]]]]:
-    """One grouped pass: per target id, rows below the bracket (counted) and
-    the distinct values inside it with their counts."""
+    """Per bracket: rows below it (conditional counts -- plain codegen'd
+    comparisons, no row expansion) and the distinct values inside it with
+    their counts (only rows inside some bracket are expanded and grouped)."""
     if not brackets:
         return {}
-    items = []
-    for t, (c, a, b) in brackets.items():
-        x = F.col(c).cast("double")
-        keep = x.isNotNull() & (x <= F.lit(b))
-        items.append(F.when(keep, F.struct(F.lit(t).alias("t"),
-                                           F.when(x >= F.lit(a), x).alias("v"))))
-    long = df.select(F.explode(F.array(*items)).alias("e")).where(F.col("e").isNotNull()) \
-        .select("e.t", "e.v")
+    below = df.agg(*[F.count(F.when(F.col(c) < F.lit(a), 1)).alias(f"b{t}")
+                     for t, (c, a, _) in brackets.items()]).first()
+    inside = {t: (F.col(c) >= F.lit(a)) & (F.col(c) <= F.lit(b)) for t, (c, a, b) in brackets.items()}
+    any_inside = F.lit(False)
+    for cond in inside.values():
+        any_inside = any_inside | cond
+    items = [F.when(inside[t], F.struct(F.lit(t).alias("t"), F.col(c).cast("double").alias("v")))
+             for t, (c, _, _) in brackets.items()]
+    long = df.where(any_inside).select(F.explode(F.array(*items)).alias("e")) \
+        .where(F.col("e").isNotNull()).select("e.t", "e.v")
     rows = long.groupBy("t", "v").count().collect()
-    out: dict[int, tuple[int, list[tuple[float, int]]]] = {t: (0, []) for t in brackets}
+    out: dict[int, tuple[int, list[tuple[float, int]]]] = {t: (int(below[f"b{t}"]), []) for t in brackets}
     for r in rows:
-        below, vals = out[r["t"]]
-        if r["v"] is None:
-            out[r["t"]] = (below + int(r["count"]), vals)
-        else:
-            vals.append((float(r["v"]), int(r["count"])))
+        out[r["t"]][1].append((float(r["v"]), int(r["count"])))
     for t in out:
         out[t][1].sort()
     return out
