@@ -142,7 +142,7 @@ def class_distribution(df: DataFrame, label: str, class_col: str = "class") -> D
 def class_weights(df: DataFrame, label: str, class_col: str = "class") -> DataFrame:
     """Balanced weights ``n / (k * n_c)`` per class."""
     counts = df.groupBy(F.col(label).alias(class_col)).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy()
+    w = Window.partitionBy()  # over the per-class table (one row per class)
     return counts.select(
         class_col, "n",
         safe_div(F.sum("n").over(w), F.count(F.lit(1)).over(w) * F.col("n"), zero=None)
@@ -173,7 +173,7 @@ def split_verification(df: DataFrame, label: str, split_col: str = "split",
     per = df.groupBy(F.col(label).alias("class")).agg(
         F.count(F.when(s == "train", 1)).alias("train_n"),
         F.count(F.when(s == "test", 1)).alias("test_n"))
-    w = Window.partitionBy()
+    w = Window.partitionBy()  # over the per-class table (one row per class)
     out = per.select(
         "class", "train_n", "test_n",
         safe_div(F.col("train_n") * F.lit(100.0), F.sum("train_n").over(w), zero=0.0).alias("train_pct"),
