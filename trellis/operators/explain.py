@@ -46,8 +46,9 @@ def local_explanation(attributions: DataFrame, max_display: int = LOCAL_MAX_DISP
     """Top ``max_display - 1`` features of each row by |phi| and one ``other``
     line that sums the rest (waterfall data, M11). Rows are independent, so
     the window is partitioned by the row key."""
-    w = Window.partitionBy(*keys).orderBy(F.abs("phi").desc(), F.col("feature")) if keys else \
-        Window.partitionBy(F.lit(1)).orderBy(F.abs("phi").desc(), F.col("feature"))
+    if not keys:
+        raise ValueError("local_explanation needs the row key columns (the window is per row)")
+    w = Window.partitionBy(*keys).orderBy(F.abs("phi").desc(), F.col("feature"))
     ranked = attributions.withColumn("rank", F.row_number().over(w))
     keep = max_display - 1
     top = ranked.where(F.col("rank") <= keep)
