@@ -14,7 +14,7 @@ def test_command_line_full_report(spark, tmp_path=None):
     out = os.path.join(folder, "out")
     run.main(["classify", path, out, "--small", "--folds", "3", "--format", "csv"])
     for name in ("comparison", "threshold_sensitivity", "split_check", "t_test", "tuned_metrics",
-                 "attribution_summary", "bundle_gbt"):
+                 "attribution_summary", "bundle_gbt", "learning_curve", "confusion_gradient_boosted_trees"):
         assert os.path.isdir(os.path.join(out, name)), name
     rows = spark.read.option("header", True).csv(os.path.join(out, "threshold_sensitivity")).collect()
     assert {int(r.threshold) for r in rows} == {6, 7, 8}

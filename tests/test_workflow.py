@@ -22,9 +22,10 @@ def test_full_report_tables(spark):
     from trellis.operators import prep
     labelled = prep.binary_label(raw, "quality", "target", 7)
     out = workflow.full_report(labelled.drop("quality"), "target", ["a", "b"],
-                               sizes=workflow.ModelSizes.small(), cv_folds=3)
+                               sizes=workflow.ModelSizes.small(), cv_folds=3, learning_folds=2)
     for name in ("comparison", "split_check", "vif", "tuned_metrics", "calibration", "roc_curve",
-                 "t_test", "cv_box", "attribution_summary", "local_explanation"):
+                 "t_test", "cv_box", "attribution_summary", "local_explanation", "learning_curve",
+                 "confusion_random_forest", "confusion_logistic_regression"):
         assert out[name].count() > 0, name
     t = out["t_test"].first()
     assert t.n == 3 and t.reliable is False

@@ -242,7 +242,7 @@ def type_prediction(df: DataFrame, key: str, label: str, features: Sequence[str]
 def full_report(raw: DataFrame, label: str, features: Sequence[str], score: str | None = None,
                 key: str | None = None, sizes: ModelSizes | None = None, cv_folds: int = 10,
                 thresholds: Sequence[int] = (6, 7, 8), tune_on: str = "oof",
-                out_dir: str | None = None) -> dict:
+                out_dir: str | None = None, learning_folds: int = 5) -> dict:
     """The single-source script end to end, every table as a DataFrame.
 
     ``raw`` is the loaded, *not yet deduplicated* table (the threshold table
@@ -301,6 +301,16 @@ def full_report(raw: DataFrame, label: str, features: Sequence[str], score: str
         if out_dir:
             save_bundle(spark, gbt, f"{out_dir}/bundle_gbt")
             save_bundle(spark, rf, f"{out_dir}/bundle_rf")
+    for title, model in res.fitted.items():
+        out["confusion_" + title.lower().replace(" ", "_")] = metrics.confusion_matrix(
+            models.score(model, test, label, [key]), label)
+    if rf is not None and learning_folds:
+        folded = split.stratified_kfold(train, key, label, k=learning_folds)
+        pos = split.learning_positions(folded, key, learning_folds)
+        pos = cut_lineage(profile.with_class_weights(pos, label, "weight"), "learning")
+        out["learning_curve"] = models.learning_curve(Pipeline(stages=[
+            models.assembler(features), models.random_forest(
+                sizes.rf_trees, sizes.rf_depth, sizes.rf_min_split, label, "weight")]), pos, learning_folds, label)
     if rf is not None:
         scored_test = models.score(rf, test, label, [key])
         tune_rows = oof if (tune_on == "oof" and oof is not None) else scored_test
@@ -308,6 +318,5 @@ def full_report(raw: DataFrame, label: str, features: Sequence[str], score: str
         out["tuned_metrics"] = curves.tuned_metrics(scored_test, label, "p1", t, "Random Forest (tuned)")
         out["calibration"] = curves.calibration_bins(scored_test, label, "p1")
         out["roc_curve"] = curves.roc_curve(scored_test, label, "p1")
-        out["confusion_rf"] = metrics.confusion_matrix(scored_test, label)
         out["importance_rf"] = models.feature_importance(rf, features, spark)
     return out
