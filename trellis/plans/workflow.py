@@ -52,9 +52,9 @@ def prepare(df: DataFrame, key: str, label: str, features: Sequence[str], test_f
             seed: int = 42, checkpoint: bool = True) -> DataFrame:
     """Split exactly and keep only what the models need; cut the lineage.
 
-    The input is written once first: the split reads it three times (class
-    counts, bucket totals, ranks) and must not recompute upstream shuffles
-    such as the dedup for each read."""
+    The input is written once first: the split reads it twice (bucket
+    totals with the class counts, then ranks) and must not recompute
+    upstream shuffles such as the dedup for each read."""
     base = df.select(key, label, *features)
     if checkpoint:
         base = cut_lineage(base, "input")
