@@ -81,7 +81,7 @@ FINE_DIGITS = 5
 
 
 def bucket_offsets(hashed: DataFrame, partition_cols: Sequence[str] = (),
-                   sum_cols: Sequence[str] = ()):
+                   sum_cols: Sequence[str] = (), with_sums: bool = False):
     """Offsets for ``hash_rank``/``running_sums`` with a resolution chosen
     from the data, in one pass over the input.
 
@@ -102,8 +102,11 @@ def bucket_offsets(hashed: DataFrame, partition_cols: Sequence[str] = (),
     totals = keep(hashed.groupBy(*parts, fine).agg(
         F.count(F.lit(1)).alias("_s0"),
         *[F.sum(c).alias(f"_s{i + 1}") for i, c in enumerate(sum_cols)]))
-    per_part = {tuple(r[p] for p in parts): int(r["_n"])
-                for r in totals.groupBy(*parts).agg(F.sum("_s0").alias("_n")).collect()}
+    part_rows = totals.groupBy(*parts).agg(
+        *[F.sum(f"_s{i}").alias(f"_s{i}") for i in range(len(sum_cols) + 1)]).collect()
+    per_part = {tuple(r[p] for p in parts): int(r["_s0"]) for r in part_rows}
+    sums = {tuple(r[p] for p in parts): [r[f"_s{i}"] or 0 for i in range(len(sum_cols) + 1)]
+            for r in part_rows}
     digits = auto_digits(max(per_part.values(), default=0))
     coarse = totals.groupBy(*parts, (F.col("_fine") / (16 ** (FINE_DIGITS - digits))).cast("long")
                             .alias(BUCKET)).agg(*[F.sum(f"_s{i}").alias(f"_s{i}")
@@ -111,6 +114,8 @@ def bucket_offsets(hashed: DataFrame, partition_cols: Sequence[str] = (),
     earlier = Window.partitionBy(*parts).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     offsets = coarse.select(*parts, BUCKET, *[F.coalesce(F.sum(f"_s{i}").over(earlier), F.lit(0))
                                                .alias(f"_off_{i}") for i in range(len(sum_cols) + 1)])
+    if with_sums:
+        return offsets, digits, per_part, sums
     return offsets, digits, per_part
 
 

@@ -103,6 +103,14 @@ def kfold(df: DataFrame, key: str, k: int = 5, seed: int = SEED, fold_col: str =
 def learning_positions(folded: DataFrame, key: str, k: int, fold_col: str = "fold",
                        seed: int = SEED, digits: int | None = None, n_rows: int | None = None
                        ) -> DataFrame:
+    """Position of every row inside the training part of every fold (R7);
+    see ``learning_positions_with_counts``."""
+    return learning_positions_with_counts(folded, key, k, fold_col, seed, digits)[0]
+
+
+def learning_positions_with_counts(folded: DataFrame, key: str, k: int, fold_col: str = "fold",
+                                   seed: int = SEED, digits: int | None = None
+                                   ) -> tuple[DataFrame, dict[int, int] | None]:
     """Position of every row inside the training part of every fold.
 
     Training rows of fold f are ordered by the global hash order; the
@@ -114,9 +122,10 @@ def learning_positions(folded: DataFrame, key: str, k: int, fold_col: str = "fol
     h = folded.withColumn(ORDER_HASH, hash_order(key, seed))
     for f in range(k):
         h = h.withColumn(ind[f], (F.col(fold_col) == f).cast("long"))
-    offsets = None
+    offsets, counts = None, None
     if digits is None:
-        off, digits, _ = bucket_offsets(h, (), ind)
+        off, digits, _, sums = bucket_offsets(h, (), ind, with_sums=True)
+        counts = {f: int(sums[()][f + 1]) for f in range(k)} if () in sums else {f: 0 for f in range(k)}
         # running_sums wants one offset column per summed column
         offsets = off.select(BUCKET, *[F.col(f"_off_{i + 1}").alias(f"_off_{i}") for i in range(k)])
     h = h.withColumn(BUCKET, hex_bucket(F.col(ORDER_HASH), digits))
@@ -125,7 +134,7 @@ def learning_positions(folded: DataFrame, key: str, k: int, fold_col: str = "fol
     out = cum
     for f in range(k):
         out = out.withColumn(f"pos_{f}", F.when(F.col(fold_col) != f, grank - F.col(f"_c_in{f}")))
-    return out.drop(*ind, *[f"_c{c}" for c in ind], ORDER_HASH, BUCKET)
+    return out.drop(*ind, *[f"_c{c}" for c in ind], ORDER_HASH, BUCKET), counts
 
 
 def learning_sizes(n_train: int, fractions: Sequence[float] = LEARNING_FRACTIONS) -> list[int]:
@@ -135,11 +144,14 @@ def learning_sizes(n_train: int, fractions: Sequence[float] = LEARNING_FRACTIONS
 
 
 def learning_subset_counts(positions: DataFrame, label: str, k: int, fold_col: str = "fold",
-                           fractions: Sequence[float] = LEARNING_FRACTIONS) -> DataFrame:
-    """Size, rows and positives of every (fold, size) training subset."""
-    sizes = positions.groupBy(fold_col).count().collect()
-    n = sum(r["count"] for r in sizes)
-    per_fold = {r[fold_col]: r["count"] for r in sizes}
+                           fractions: Sequence[float] = LEARNING_FRACTIONS,
+                           fold_counts: dict[int, int] | None = None) -> DataFrame:
+    """Size, rows and positives of every (fold, size) training subset.
+    ``fold_counts`` (from ``learning_positions_with_counts``) saves a pass."""
+    if fold_counts is None:
+        fold_counts = {r[fold_col]: r["count"] for r in positions.groupBy(fold_col).count().collect()}
+    per_fold = fold_counts
+    n = sum(per_fold.values())
     aggs, items = [], []
     for f in range(k):
         n_train = n - per_fold.get(f, 0)

@@ -373,8 +373,8 @@ GROUP BY ALL""")
 def q_learning_subsets(spark, d):
     from trellis.operators import split
     folded = split.stratified_kfold(events(spark, d), "event_id", "label", k=5)
-    pos = split.learning_positions(folded, "event_id", 5)
-    return split.learning_subset_counts(pos, "label", 5)
+    pos, counts = split.learning_positions_with_counts(folded, "event_id", 5)
+    return split.learning_subset_counts(pos, "label", 5, fold_counts=counts)
 
 
 @query("fixed_sample", f"""
