@@ -94,3 +94,17 @@ def test_polarity_flags_sign_flip(spark):
     res = profile.polarity_check(df, "label", "grp", ["x"]).collect()
     assert len(res) == 2 and all(r.feature == "x" for r in res)
     assert any(r.sign_flip for r in res)
+
+
+def test_vif_centered_matches_regression_with_intercept(spark):
+    rnd = np.random.default_rng(2)
+    x = rnd.normal(size=(400, 3)) + np.array([5.0, -2.0, 1.0])
+    x[:, 1] = 0.8 * x[:, 0] + rnd.normal(scale=0.5, size=400)
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double")
+    got = {r.feature: r.vif for r in profile.vif(df, centered=True).collect()}
+    for i, name in enumerate("abc"):
+        y = x[:, i]
+        others = np.column_stack([np.ones(len(x)), np.delete(x, i, axis=1)])
+        beta, *_ = np.linalg.lstsq(others, y, rcond=None)
+        r2 = 1 - ((y - others @ beta) ** 2).sum() / ((y - y.mean()) ** 2).sum()
+        assert math.isclose(got[name], 1 / (1 - r2), rel_tol=1e-8)
