@@ -240,7 +240,7 @@ def q_corr_matrix(spark, d):
 @query("label_corr_rank", f"""
 WITH {LI_SQL}, lb AS (SELECT *, CASE WHEN q10 >= 7 THEN 1 ELSE 0 END AS label FROM li),
 a AS ({" UNION ALL ".join(f"SELECT '{c}' AS feature, round({_corr_sql(c, 'label')}, 6) AS r FROM lb" for c in FEATURES)})
-SELECT feature, r, row_number() OVER (ORDER BY r DESC NULLS LAST, feature) AS rank FROM a""")
+SELECT feature, r, CAST(row_number() OVER (ORDER BY r DESC NULLS LAST, feature) AS INTEGER) AS rank FROM a""")
 def q_label_corr_rank(spark, d):
     res = profile.label_correlation(labelled_lineitem(spark, d), "label", FEATURES)
     return res.select("feature", F.round("r", 6).alias("r"), "rank")
