@@ -14,6 +14,9 @@ import duckdb
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN"}
+
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
 
@@ -65,6 +68,12 @@ def compare(spark, sf_dir: str, name: str, con=None) -> dict:
     if sorted(scols) != sorted(dcols):
         res["status"] = f"COLUMNS spark={scols} duck={dcols}"
         return res
+    stypes = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
+              for f in sdf.schema.fields}
+    dtypes = {d[0]: str(d[1]) for d in cur.description}
+    if stypes != dtypes:
+        res["status"] = f"TYPES spark={stypes} duck={dtypes}"
+        return res
     a, b = canon(srows, scols), canon(drows, dcols)
     if a == b:
         res["status"] = "ok"
