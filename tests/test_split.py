@@ -68,3 +68,10 @@ def test_split_reproduces_reference_tables(spark, n0, n1, train0, test0, train1,
     assert (chk[0].train_n, chk[0].test_n, chk[1].train_n, chk[1].test_n) == (train0, test0, train1, test1)
     assert round(chk[0].diff_pp, 2) == diff and round(chk[1].diff_pp, 2) == diff
     assert chk[0].within_tol and chk[1].within_tol
+
+
+def test_assert_unique_key(spark):
+    df = spark.createDataFrame([(1,), (2,), (2,)], "k int")
+    with pytest.raises(ValueError):
+        split.assert_unique_key(df, "k")
+    split.assert_unique_key(df.distinct(), "k")

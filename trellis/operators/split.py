@@ -165,3 +165,14 @@ def learning_subset_counts(positions: DataFrame, label: str, k: int, fold_col: s
     # one pass of conditional counts; only the one-row result is unpivoted
     one = positions.agg(*aggs)
     return one.select(F.explode(F.array(*items)).alias("s")).select("s.*")
+
+
+def assert_unique_key(df: DataFrame, key) -> None:
+    """Raise if ``key`` (a column or a list of columns) repeats: splits and
+    folds rank rows by a hash of the key, so a repeated key would tie. One
+    grouped pass; it stops at the first repeated key found."""
+    keys = list(key) if isinstance(key, (list, tuple)) else [key]
+    dup = df.groupBy(*keys).count().where(F.col("count") > 1).limit(1).collect()
+    if dup:
+        raise ValueError(f"key {keys} is not unique, e.g. {dup[0].asDict()}; "
+                         "dedup and use prep.row_key for a content key")
