@@ -40,5 +40,7 @@ def test_command_line_other_entries(spark):
     assert spark.read.parquet(os.path.join(folder, "type", "report")).count() == 5
     a = _merged_csv(folder, "a.csv", 150, with_type=False)
     b = _merged_csv(folder, "b.csv", 200, with_type=False)
-    run.main(["combined", a, os.path.join(folder, "combined"), "--second", b, "--small"])
+    run.main(["combined", a, os.path.join(folder, "combined"), "--second", b, "--small", "--folds", "3"])
     assert spark.read.parquet(os.path.join(folder, "combined", "polarity")).count() == 4  # 2 features x 2 sources
+    for name in ("t_test", "calibration", "learning_curve", "attribution_summary", "bundle_gbt", "report_txt"):
+        assert os.path.isdir(os.path.join(folder, "combined", name)), name

@@ -25,11 +25,15 @@ from trellis.functions.columns import numeric_columns
 from trellis.operators import prep, profile
 from trellis.plans import workflow
 from trellis.session import get_session
-from trellis.sources.io import read_csv, save_bundle, write_table
+from trellis.sources.io import read_csv, save_bundle, write_table, write_text_report
 
 # Fixed values of the reference workflow.
 TYPE_CODES = {"red": 0, "white": 1}
 
+SUMMARY_TABLES = ("comparison", "metrics", "report", "split_check", "threshold_sensitivity", "tuned_metrics",
+                  "t_test", "cv_summary", "cv", "vif", "importance_rf", "importance", "attribution_summary",
+                  "polarity")
+
 
 def _read(spark, path: str):
     raw = read_csv(spark, path, infer=True) if path.endswith(".csv") else spark.read.parquet(path)
@@ -81,10 +85,8 @@ def main(argv=None) -> None:
             frames.append(prep.drop_leaks(df, [c for c in ("quality", a.type_col, a.score) if c != a.label]))
         feats = chosen or _features(frames[0], (a.label, a.key))
         out = workflow.combined(frames, [0, 1], a.key or "row_key", a.label, feats, marker=a.type_col,
-                                sizes=sizes)
+                                sizes=sizes, report=True, cv_folds=a.folds, out_dir=a.out_dir)
         tables = {k: v for k, v in out.items() if k != "fitted"}
-        for name, model in out["fitted"].items():
-            save_bundle(spark, model, f"{a.out_dir}/bundle_{name.lower().replace(' ', '_')}")
 
     elif a.entry == "score":
         df = prep.encode_category(raw, a.type_col, TYPE_CODES) if a.type_col in raw.columns else raw
@@ -109,6 +111,10 @@ def main(argv=None) -> None:
 
     for name, df in tables.items():
         write_table(df, f"{a.out_dir}/{name}", fmt=a.format, single_file=name != "attributions")
+    # the human-readable summary: the small report tables as text
+    summary = {n: tables[n] for n in SUMMARY_TABLES if n in tables}
+    if summary:
+        write_text_report(summary, f"{a.out_dir}/report_txt")
 
 
 if __name__ == "__main__":

@@ -170,17 +170,24 @@ def lineitem_frame(spark, sf_dir: str) -> DataFrame:
 
 def combined(frames: Sequence[DataFrame], markers: Sequence[int], key: str, label: str,
              features: Sequence[str], marker: str = "type", group_check: bool = True,
-             sizes: ModelSizes | None = None, checkpoint: bool = True) -> dict:
+             sizes: ModelSizes | None = None, checkpoint: bool = True, report: bool = False,
+             cv_folds: int = 10, out_dir: str | None = None) -> dict:
     """Entry B: pool several sources (dedup per source, then a source marker
     column), model with the marker as a feature, and check the feature-label
     relation per source against the pooled one (Simpson's paradox, A28).
     The IQR rule skips the 0/1 marker by default, so a rare source is not
-    removed as an outlier."""
+    removed as an outlier. With ``report`` the whole single-source report
+    (curves, calibration, CV t-test, learning curve, attributions, bundles)
+    runs on the pooled table."""
     pooled = prep.union_sources(frames, marker=marker, markers=markers)
     pooled = prep.row_key(pooled, key) if key not in pooled.columns else pooled
     feats = [*features, marker]
-    res = classification(pooled, key, label, feats, sizes, learners=("rf", "gbt"), checkpoint=checkpoint)
-    out = {"comparison": res.comparison, "split_check": res.split_check, "fitted": res.fitted}
+    if report:
+        out = full_report(pooled, label, feats, key=key, sizes=sizes, cv_folds=cv_folds, out_dir=out_dir)
+        out["fitted"] = {}
+    else:
+        res = classification(pooled, key, label, feats, sizes, learners=("rf", "gbt"), checkpoint=checkpoint)
+        out = {"comparison": res.comparison, "split_check": res.split_check, "fitted": res.fitted}
     if group_check:
         out["polarity"] = profile.polarity_check(pooled, label, marker, list(features))
         out["correlation"] = profile.corr_matrix(pooled, [*features, marker, label])
