@@ -302,8 +302,12 @@ def full_report(raw: DataFrame, label: str, features: Sequence[str], score: str
         att, base, kind = explain.tree_attributions(test, [key], features, gbt.stages[-1])
         out["attributions"] = att
         out["attribution_summary"] = explain.global_importance(att)
-        pick = prep.first_positive(models.score(gbt, test, label, [key]), key).select(key)
-        out["local_explanation"] = explain.local_explanation(att.join(pick, key), keys=[key])
+        # explain the picked row alone (a top-1), not every row then a filter
+        picked = prep.first_positive(models.score(gbt, test, label, [key]), key).select(key).first()
+        if picked is not None:
+            one, _, _ = explain.tree_attributions(test.where(F.col(key) == F.lit(picked[0])), [key],
+                                                  features, gbt.stages[-1])
+            out["local_explanation"] = explain.local_explanation(one, keys=[key])
         out["attribution_base"] = spark.createDataFrame([(base, kind)], "base double, output string")
         if out_dir:
             save_bundle(spark, gbt, f"{out_dir}/bundle_gbt")
