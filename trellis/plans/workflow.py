@@ -239,6 +239,7 @@ def type_prediction(df: DataFrame, key: str, label: str, features: Sequence[str]
                              models.boosted_trees(sizes.gbt_iter, sizes.gbt_depth, sizes.gbt_step,
                                                   label, "weight")]).fit(train)
     scored = models.score(model, test, label, [key])
+    scored = cut_lineage(scored, "scored") if checkpoint else scored   # four tables read it
     return {"report": metrics.classification_report(scored, label),
             "confusion": metrics.confusion_matrix(scored, label),
             "roc_curve": curves.roc_curve(scored, label, "p1"),
@@ -322,8 +323,8 @@ def full_report(raw: DataFrame, label: str, features: Sequence[str], score: str
         out["learning_curve"] = models.learning_curve(Pipeline(stages=[
             models.assembler(features), models.random_forest(
                 sizes.rf_trees, sizes.rf_depth, sizes.rf_min_split, label, "weight")]), pos, learning_folds, label)
-    if rf is not None:
-        scored_test = models.score(rf, test, label, [key])
+    if rf is not None:  # scored once; four tables read it
+        scored_test = cut_lineage(models.score(rf, test, label, [key]), "scored")
         tune_rows = oof if (tune_on == "oof" and oof is not None) else scored_test
         t = curves.best_threshold_value(tune_rows, label, "p1")
         out["tuned_metrics"] = curves.tuned_metrics(scored_test, label, "p1", t, "Random Forest (tuned)")
