@@ -212,6 +212,7 @@ def score_regression(df: DataFrame, key: str, target: str, features: Sequence[st
                             models.rf_regressor(trees, target, max_depth=max_depth)])
     model = pipe.fit(train)
     pred = model.transform(test).select(F.col(target).alias("actual"), F.col("prediction").alias("predicted"))
+    pred = cut_lineage(pred, "scored") if checkpoint else pred   # metrics, histogram, KDE, 2-D counts
     resid = pred.select((F.col("actual") - F.col("predicted")).alias("residual"))
     folded = split.kfold(train, key, k)
     folded = cut_lineage(folded, "folds") if checkpoint else folded
