@@ -148,3 +148,26 @@ def test_calibration_summary(spark):
     r = curves.calibration_summary(df, "label", "s").first()
     assert math.isclose(r.brier, (0.01 + 0.01 + 0.04 + 0.09) / 4)
     assert r.ece >= 0.0
+
+
+def test_threshold_predict_inclusive_and_residual(spark):
+    from trellis.operators import prep
+    df = spark.createDataFrame([(0.5, 2.0, 1.5), (0.4999, 1.0, 1.5)], "p double, y double, yhat double")
+    got = [(r.pred, r.res) for r in df.select(prep.threshold_predict("p", 0.5).alias("pred"),
+                                               prep.residual("y", "yhat").alias("res")).collect()]
+    assert got == [(1, 0.5), (0, -0.5)]
+
+
+def test_joint_counts_shared_range(spark):
+    df = spark.createDataFrame([(0.0, 0.0), (10.0, 10.0), (10.0, 0.0)], "actual double, predicted double")
+    cells = {(r.bin_x, r.bin_y): r.n for r in metrics.joint_counts(df, "actual", "predicted", 10).collect()}
+    assert cells == {(0, 0): 1, (9, 9): 1, (9, 0): 1}
+
+
+def test_split_report_strings(spark):
+    from trellis.functions.report import split_report
+    from trellis.operators import profile
+    rows = [(0, "train")] * 3 + [(0, "test")] + [(1, "train")] + [(1, "test")]
+    chk = profile.split_verification(spark.createDataFrame(rows, "label int, split string"), "label")
+    rep = {r["class"]: r for r in split_report(chk).collect()}
+    assert rep[0]["Train %"] == "75.00%" and rep[0]["Test %"] == "50.00%" and rep[0]["Diff (pp)"] == "25.00"
