@@ -152,14 +152,20 @@ def score(model, df: DataFrame, label: str = "label", key: Sequence[str] = ()) -
 
 
 def evaluate(model, test: DataFrame, name: str, label: str = "label") -> DataFrame:
-    """Metric row of a fitted model on untouched test rows (A13). The scored
-    rows are written once: the confusion counts and the AUC table both read
-    them, so the model's inference runs a single time."""
+    """Metric row of a fitted model on untouched test rows."""
+    return evaluate_scored(model, test, name, label)[0]
+
+
+def evaluate_scored(model, test: DataFrame, name: str, label: str = "label",
+                    key: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Metric row plus the scored test rows ``(key..., label, prediction,
+    p1)``. The scored rows are written once: the confusion counts, the AUC
+    table and any later report read them, so inference runs a single time."""
     from trellis.session import cut_lineage
-    sc = cut_lineage(score(model, test, label), "scored")
+    sc = cut_lineage(score(model, test, label, key), "scored")
     stage = model.stages[-1] if isinstance(model, PipelineModel) else model
     has_prob = "probabilityCol" in [p.name for p in stage.params]
-    return binary_metrics(sc, label, "prediction", "p1" if has_prob else None, name)
+    return binary_metrics(sc, label, "prediction", "p1" if has_prob else None, name), sc
 
 
 # --------------------------------------------------------------------------- tuning

@@ -46,6 +46,7 @@ class ClassificationResult:
     split_check: DataFrame
     comparison: DataFrame
     fitted: dict = field(default_factory=dict)
+    scored: dict = field(default_factory=dict)   # model title -> written scored test rows
 
 
 def prepare(df: DataFrame, key: str, label: str, features: Sequence[str], test_fraction: float = 0.2,
@@ -143,19 +144,21 @@ def classification(df: DataFrame, key: str, label: str, features: Sequence[str],
 
     def fit(name):
         if name == "baseline":
-            return None, None, metrics.majority_baseline(train, test, label)
+            return None, None, metrics.majority_baseline(train, test, label), None
         if tune and name in ("rf", "gbt"):
             title, model = tuned(name)
         else:
             title, stages = build(name)
             model = Pipeline(stages=stages).fit(train)
-        return title, model, models.evaluate(model, test, title, label)
+        row, scored = models.evaluate_scored(model, test, title, label, [key])
+        return title, model, row, scored
 
     # independent learners run as concurrent Spark jobs; rows keep the order
     results = models.run_parallel(fit, list(learners), parallelism)
-    fitted = {t: m for t, m, _ in results if m is not None}
-    rows = [r for _, _, r in results]
-    return ClassificationResult(prepared, check, metrics.compare_models(rows), fitted)
+    fitted = {t: m for t, m, _, _ in results if m is not None}
+    scored = {t: sc for t, m, _, sc in results if m is not None}
+    rows = [r for _, _, r, _ in results]
+    return ClassificationResult(prepared, check, metrics.compare_models(rows), fitted, scored)
 
 
 def lineitem_frame(spark, sf_dir: str) -> DataFrame:
@@ -305,7 +308,7 @@ def full_report(raw: DataFrame, label: str, features: Sequence[str], score: str
         out["attributions"] = att
         out["attribution_summary"] = explain.global_importance(att)
         # explain the picked row alone (a top-1), not every row then a filter
-        picked = prep.first_positive(models.score(gbt, test, label, [key]), key).select(key).first()
+        picked = prep.first_positive(res.scored["Gradient Boosted Trees"], key).select(key).first()
         if picked is not None:
             one, _, _ = explain.tree_attributions(test.where(F.col(key) == F.lit(picked[0])), [key],
                                                   features, gbt.stages[-1])
@@ -314,9 +317,8 @@ def full_report(raw: DataFrame, label: str, features: Sequence[str], score: str
         if out_dir:
             save_bundle(spark, gbt, f"{out_dir}/bundle_gbt")
             save_bundle(spark, rf, f"{out_dir}/bundle_rf")
-    for title, model in res.fitted.items():
-        out["confusion_" + title.lower().replace(" ", "_")] = metrics.confusion_matrix(
-            models.score(model, test, label, [key]), label)
+    for title, scored in res.scored.items():   # the rows evaluation already wrote
+        out["confusion_" + title.lower().replace(" ", "_")] = metrics.confusion_matrix(scored, label)
     if rf is not None and learning_folds:
         folded = split.stratified_kfold(train, key, label, k=learning_folds)
         pos = split.learning_positions(folded, key, learning_folds)
@@ -324,8 +326,8 @@ def full_report(raw: DataFrame, label: str, features: Sequence[str], score: str
         out["learning_curve"] = models.learning_curve(Pipeline(stages=[
             models.assembler(features), models.random_forest(
                 sizes.rf_trees, sizes.rf_depth, sizes.rf_min_split, label, "weight")]), pos, learning_folds, label)
-    if rf is not None:  # scored once; four tables read it
-        scored_test = cut_lineage(models.score(rf, test, label, [key]), "scored")
+    if rf is not None:  # scored once by the evaluation; four tables read it
+        scored_test = res.scored["Random Forest"]
         tune_rows = oof if (tune_on == "oof" and oof is not None) else scored_test
         t = curves.best_threshold_value(tune_rows, label, "p1")
         out["tuned_metrics"] = curves.tuned_metrics(scored_test, label, "p1", t, "Random Forest (tuned)")
