@@ -91,3 +91,18 @@ def test_release_written_tables(spark):
     t = cut_lineage(spark.range(10), "tmp")
     assert t.count() == 10
     assert release_tables(spark) >= 1
+
+
+def test_parquet_sink_and_table_source(spark):
+    folder = tempfile.mkdtemp(prefix="trellis-pq-")
+    df = spark.createDataFrame([(1, 0.5), (2, 1.5)], "a int, b double")
+    io.write_table(df, f"{folder}/t.parquet")
+    back = io.read_table(spark, folder, "t")
+    assert sorted(tuple(r) for r in back.collect()) == [(1, 0.5), (2, 1.5)]
+
+
+def test_sniff_delimiter():
+    assert io.sniff_delimiter("a;b;c") == ";"
+    assert io.sniff_delimiter("a,b") == ","
+    assert io.sniff_delimiter("a\tb\tc") == "\t"
+    assert io.sniff_delimiter("single") == ","
