@@ -75,3 +75,17 @@ def test_assert_unique_key(spark):
     with pytest.raises(ValueError):
         split.assert_unique_key(df, "k")
     split.assert_unique_key(df.distinct(), "k")
+
+
+def test_repeated_keys_rank_deterministically(spark):
+    rows = [(i % 50, float(i)) for i in range(400)]   # keys repeat 8 times
+    df = spark.createDataFrame(rows, "k int, v double")
+    a = {(r.k, r.v): r.split for r in split.random_split(df, "k").collect()}
+    b = {(r.k, r.v): r.split for r in split.random_split(df.repartition(13), "k").collect()}
+    assert a == b and sum(s == "test" for s in a.values()) == 80
+
+
+def test_split_with_map_column(spark):
+    df = spark.range(50).select(F.col("id").alias("k"), (F.col("id") % 2).cast("int").alias("y"),
+                                F.create_map(F.lit("a"), F.col("id")).alias("m"))
+    assert split.stratified_split(df, "k", "y").where("split = 'test'").count() == 10

@@ -25,6 +25,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from trellis.functions.columns import hash_order, hex_bucket
 
@@ -134,8 +135,12 @@ def hash_rank(df: DataFrame, key: str | Sequence[str], seed: int, partition_cols
         offsets, digits, _ = bucket_offsets(df.withColumn(ORDER_HASH, hash_order(key, seed)),
                                             partition_cols)
     digits = digits or auto_digits(n_rows)
+    # a content hash settles ties if a key repeats (rows with equal content
+    # are interchangeable); unique keys never reach it
+    hashable = [f.name for f in df.schema.fields if not isinstance(f.dataType, MapType)]
+    ties = [F.xxhash64(*[F.col(c) for c in hashable])] if hashable else []
     h = with_hash_bucket(df, key, seed, digits).withColumn("_one", F.lit(1))
-    ranked = running_sums(h, [F.col(ORDER_HASH), *[F.col(k) for k in keys]], ["_one"], BUCKET,
+    ranked = running_sums(h, [F.col(ORDER_HASH), *[F.col(k) for k in keys], *ties], ["_one"], BUCKET,
                           partition_cols, prefix="_cum", offsets=offsets)
     return ranked.withColumnRenamed("_cum_one", rank_col).drop("_one", BUCKET)
 
