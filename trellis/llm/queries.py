@@ -3,9 +3,46 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from trellis.llm import fingerprint, url_filter
-from trellis.llm.common import table
+from trellis.llm import decontaminate, fingerprint, packing, quality_pu, secrets_crf, toxicity, url_filter
+from trellis.llm.common import id_remainder, table
+
+TOKENIZER = "word_bpe_49k.json"
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+    return public_tokenizers.path(TOKENIZER)
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path()).drop("ids")
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(decontaminate.match(table(spark, sf_dir, "documents"),
+                                                    table(spark, sf_dir, "benchmark"))).drop("longest")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), id_remainder(F.col("_id"), 5) != 0)
+    return _judged(toxicity.score(docs, model), id_remainder(F.col("doc_id"), 5) == 0)
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets_crf.report(secrets_crf.scan(table(spark, sf_dir, "documents")))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_pu.train(docs, table(spark, sf_dir, "labels"), id_remainder(F.col("_id"), 3) != 1)
+    return _judged(quality_pu.score(docs, model), id_remainder(F.col("doc_id"), 3) == 1)
+
+
+def _judged(scored: DataFrame, held_out) -> DataFrame:
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 # The rules of the contract (host, path, verdict).
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
@@ -22,13 +59,39 @@ def op9_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_packing": op1_packing,
+    "op2_decontamination": op2_decontamination,
+    "op3_toxicity": op3_toxicity,
+    "op4_secret_scan": op4_secret_scan,
     "op5_url_filter": op5_url_filter,
+    "op6_quality": op6_quality,
     "op9_weighted_fingerprints": op9_weighted_fingerprints,
 }
 
 _RULE_VALUES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
+# one window of each distinct length for short items; the words of a text as a list
+_BENCH_WORDS = """regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"""
+
 ORACLE = {
+    "op2_decontamination": f"""
+WITH d AS (SELECT row_number() OVER () AS rn, doc_id, {_BENCH_WORDS} AS w FROM documents),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_BENCH_WORDS} AS w FROM benchmark),
+b2 AS (SELECT item, w, least(10, len(w)) AS k FROM b WHERE len(w) > 0),
+bw AS (SELECT DISTINCT item, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS win
+       FROM (SELECT item, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM b2)),
+ks AS (SELECT DISTINCT k FROM bw),
+dw AS (SELECT rn, i, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS win
+       FROM (SELECT rn, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, ks WHERE len(w) >= k)),
+m AS (SELECT rn, i, dw.k, item FROM dw JOIN bw ON dw.win = bw.win AND dw.k = bw.k),
+hit AS (SELECT rn, count(DISTINCT p) AS n_hit FROM (SELECT rn, unnest(range(i, i + k)) AS p FROM m) GROUP BY rn),
+its AS (SELECT rn, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+        FROM (SELECT DISTINCT rn, item FROM m) GROUP BY rn)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (rn) LEFT JOIN its USING (rn)""",
     "op5_url_filter": f"""
 WITH rules(r_host, r_path, r_verdict) AS (VALUES {_RULE_VALUES}),
 rest AS (SELECT row_number() OVER () AS rn, page_id,
