@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 10
@@ -177,40 +177,40 @@ def read_blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int)
     return [*blocks, Benchmark(block, window)] if block else blocks
 
 
-def match(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW,
-          item_col: str = "item_id", item_text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), prefix: str = "") -> DataFrame:
-    """Per document row: ``keep``, then (names with ``prefix``) ``n_words``, ``hits`` (starts
-    and ends of the runs of hit words), ``items`` (ids as text, sorted) and ``longest``
-    (words of the longest verbatim match)."""
-    d = docs.select(*[F.col(c) for c in keep], F.col(text_col).alias("_text"))
-    names = [f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields[:-1]]
-    spark = docs.sparkSession
-    blocks = [spark.sparkContext.broadcast(b) for b in read_blocks(benchmark, item_col, item_text_col, window)]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            counts, hits, items, longest = [], [], [], []
-            shard, size = [], 0
-            texts = pdf["_text"].tolist()
+MATCH = "n_words long, hits array<long>, items array<string>, longest long"
+
+
+def match_column(benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, item_col: str = "item_id",
+                 item_text_col: str = "text") -> Column:
+    """For each row's text ``struct<n_words, hits, items, longest>``: ``hits`` are the starts
+    and ends of the runs of hit words, ``items`` the item ids as text, sorted, ``longest`` the words
+    of the longest verbatim match. Only the text goes to Python."""
+    context = benchmark.sparkSession.sparkContext
+    blocks = [context.broadcast(b) for b in read_blocks(benchmark, item_col, item_text_col, window)]
+
+    @F.pandas_udf(MATCH)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            out, shard, size = [], [], 0
+            texts = texts.tolist()
             for k, text in enumerate(texts):
                 shard.append(words(text))
                 size += len(shard[-1])
                 if size >= SHARD_WORDS or k == len(texts) - 1:
-                    for n, h, i, b in _judge(shard, [x.value for x in blocks]):
+                    for n, h, items, longest in _judge(shard, [x.value for x in blocks]):
                         edge = np.flatnonzero(np.diff(np.concatenate([[0], h.view(np.int8), [0]])))
-                        counts.append(n)
-                        hits.append(edge.tolist())
-                        items.append(i)
-                        longest.append(b)
+                        out.append((n, edge.tolist(), items, longest))
                     shard, size = [], 0
-            out = pdf.drop(columns="_text")
-            for name, values in zip(made, (counts, hits, items, longest)):
-                out[name] = values
-            yield out
+            yield pd.DataFrame(out, columns=["n_words", "hits", "items", "longest"])
+
+    return run(F.col(text_col))
+
 
-    made = [prefix + c for c in ("n_words", "hits", "items", "longest")]
-    kinds = ("long", "array<long>", "array<string>", "long")
-    return d.mapInPandas(run, ", ".join([*names, *(f"`{c}` {k}" for c, k in zip(made, kinds))]))
+def match(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+          window: int = WINDOW, item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """Per document row: ``id_col, n_words, hits, items, longest``."""
+    found = match_column(benchmark, text_col, window, item_col, item_text_col)
+    return docs.select(F.col(id_col), found.alias("match")).select(id_col, "match.*")
 
 
 def _judge(shard: list[list[bytes]], blocks: list[Benchmark]) -> list[tuple[int, np.ndarray, list[str], int]]:
@@ -237,5 +237,4 @@ def digest(matched: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` without a benchmark window."""
-    kept = match(docs, benchmark, text_col, window, keep=tuple(docs.columns), prefix="_dc_")
-    return kept.where(F.size("_dc_hits") == 0).select(*docs.columns)
+    return docs.where(F.size(match_column(benchmark, text_col, window)["hits"]) == 0)

@@ -27,7 +27,9 @@ Queues are the components of a mixture: more than ``MAX_QUEUES`` sources raise a
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,52 +43,88 @@ WINDOW = 4096
 GRAIN = 64
 END_ID = 2
 MAX_QUEUES = 50_000
-CHUNK_CHARS = 8 << 20
-CACHE_WORDS = 300_000
+CHUNK_IDS = 4 << 20
+CACHE_WORDS = 350_000
 
 
-class WordIds:
-    """Ids of a text, word by word. The tokenizer cuts at white space before
-    anything else, so a text's ids are those of its words in turn; each distinct
-    word of a task is encoded once. Texts with a special token's brackets are
-    encoded whole."""
+class PlainIds(dict):
+    """Lower-case word of Latin letters -> its ids as bytes: the model alone, on the word's
+    bytes in the byte-level alphabet."""
+
+    def __init__(self, model, code: str):
+        super().__init__()
+        self.tokenize, self.code = model.tokenize, code
+        # bytes that are no printable Latin-1 character move behind it
+        printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        self.alphabet = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in printable)}
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        mapped = word if word.isascii() else word.encode().decode("latin-1").translate(self.alphabet)
+        v = self[word] = array(self.code, [t.id for t in self.tokenize(mapped)]).tobytes() if word else b""
+        return v
+
+
+class WordIds(dict):
+    """word -> its ids as bytes, filled on demand and emptied when it grows too large.
+
+    Tokenizers of this kind drop white space and cut at it, and between letters and
+    signs, before anything else, so a text's ids are those of its words in turn. A word
+    of Latin letters needs the model alone (its bytes in the byte-level alphabet), any other
+    the whole tokenizer. A probe text tells whether a tokenizer is of this kind; else, and
+    where a text has a special token's brackets, texts are encoded whole."""
+
+    PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([^\w\s'’]*)")  # letters, then signs
+    #: a full stop or comma right after a letter and before white space is a word of its own
+    STOP = re.compile(r"(?<=[^\W\d_])([.,])(?=[ \n]|$)")
+    SIMPLE = frozenset(" \n.,abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZàâäáãåçèéêëíìîïñóòôöõúùûüßÀÂÄÁÃÅÇÈÉÊËÍÌÎÏÑÓÒÔÖÕÚÙÛÜ")
+    PROBE = "The Größe, of x's  re-do it... 42nd señor\nÇa va!? $5.00 (AB,cd) naïve. ½ end."
 
     def __init__(self, tokenizer_path: str):
+        super().__init__()
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(tokenizer_path)
-        self.cache: dict[str, np.ndarray] = {}
         self.dtype = np.dtype("<u2") if self.tok.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.end = array(self.code, [END_ID]).tobytes()
+        self.plain = PlainIds(self.tok.model, self.code)
+        self.by_word = self._joined(self.PROBE) == self._whole(self.PROBE)
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of each text with the end id."""
-        split = [self.words(t) for t in texts]
-        cache = self.cache
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        fresh = list({w for ws in split for w in ws if w not in cache})
-        for k in range(0, len(fresh), 4096):
-            part = fresh[k:k + 4096]
-            for w, ids in zip(part, self._encode_words(part)):
-                cache[w] = ids
-        end = np.array([END_ID], self.dtype).tobytes()
-        return [np.frombuffer(b"".join([*map(cache.__getitem__, ws), end]), self.dtype) for ws in split]
-
-    @staticmethod
-    def words(text: str | None) -> list[str]:
-        if not text:
-            return []
-        if "<|" in text:
-            return [text]
-        return text.lower().split(" ") if text.isascii() else text.split(" ")
+    def __missing__(self, word: str) -> bytes:
+        if len(self) > CACHE_WORDS // 8:
+            self.clear()
+        low = word.lower()
+        found = self.PLAIN.fullmatch(low) if len(low) == len(word) else None
+        if found and found[2]:
+            v = self.plain[found[1]] + self[found[2]]
+        elif found:
+            v = self.plain[low]
+        else:
+            v = array(self.code, self.tok.encode(word, add_special_tokens=False).ids).tobytes()
+        self[word] = v
+        return v
 
-    def _encode_words(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes()
-                for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
+    def _whole(self, text: str) -> bytes:
+        return array(self.code, self.tok.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _joined(self, text: str) -> bytes:
+        if self.SIMPLE.issuperset(text) and not any(x in text for x in ("..", ".,", ",.", ",,")):
+            # every stop and comma is a word of its own, and so is the rest
+            text = text.lower().replace(".", " . ").replace(",", " , ").replace("\n", " ")
+            return b"".join(map(self.plain.__getitem__, text.split(" ")))
+        return b"".join(map(self.__getitem__, self.STOP.sub(r" \1", text).replace("\n", " ").split(" ")))
+
+    def encode(self, text: str | None) -> bytes:
+        """Ids of a text with the end id."""
+        if not text:
+            return self.end
+        return (self._joined(text) if self.by_word and "<|" not in text else self._whole(text)) + self.end
 
 
 def tokenise(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """``doc_id, source, chunk, pos, n, ids``: ``pos`` counts the ids of the same source
-    earlier in the chunk, a run of rows of about ``CHUNK_CHARS`` characters in one task."""
+    earlier in the chunk, a run of rows of about ``CHUNK_IDS`` ids in one task."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
                     F.col(source_col).cast("string").alias("source"),
                     F.spark_partition_id().cast("long").alias("part"))
@@ -94,22 +132,23 @@ def tokenise(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, s
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = WordIds(tokenizer_path)
-        chunk, chars, seen = 0, 0, {}
+        chunk, total, seen = 0, 0, {}
         for pdf in batches:
             for lo in range(0, len(pdf), 256):
                 part = pdf.iloc[lo:lo + 256]
-                ids = words.encode([t if isinstance(t, str) else None for t in part["text"]])
+                ids = [words.encode(t if isinstance(t, str) else None) for t in part["text"]]
                 sources = [s if isinstance(s, str) else None for s in part["source"]]
                 pos = []
-                for s, x in zip(sources, ids):
+                n = [len(x) // words.dtype.itemsize for x in ids]
+                for s, k in zip(sources, n):
                     pos.append(seen.get(s, 0))
-                    seen[s] = pos[-1] + len(x)
+                    seen[s] = pos[-1] + k
                 yield pd.DataFrame({"doc_id": part["doc_id"], "source": sources,
                                     "chunk": part["part"] * (1 << 32) + chunk, "pos": pos,
-                                    "n": [len(x) for x in ids], "ids": [x.tobytes() for x in ids]})
-                chars += sum(map(len, ids))
-                if chars > CHUNK_CHARS:
-                    chunk, chars, seen = chunk + 1, 0, {}
+                                    "n": n, "ids": ids})
+                total += sum(n)
+                if total > CHUNK_IDS:
+                    chunk, total, seen = chunk + 1, 0, {}
 
     return d.mapInPandas(run, f"doc_id {kind}, source string, chunk long, pos long, n long, ids binary")
 
@@ -124,43 +163,65 @@ class Schedule:
         share = whole if weights is None else np.asarray(weights, float)
         self.quantum = window * (share / share.sum())
 
-    def sent(self, rounds: np.ndarray, queues: slice | int = slice(None)) -> np.ndarray:
-        """Ids sent by the queues before each round: ``[round, queue]`` or ``[round]``."""
-        q, t = self.quantum[queues], self.totals[queues]
-        earned = np.multiply.outer(rounds.astype(float), q)
-        return np.minimum(t, self.grain * np.floor(earned / self.grain).astype(np.int64))
-
-    def pieces(self, queue: int, start: int, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Cuts ids ``start..start+length`` of a queue: offsets of the pieces
-        inside, and their places in the stream."""
-        q = float(self.quantum[queue])
-        first = max(0, int(start / q) - 1)
-        last = int((start + length + self.grain) / q) + 2
-        if last - first > 4 * length + 64:  # a rare source: one grain takes many rounds
-            marks = np.arange(start // self.grain, (start + length) // self.grain + 2)
-            near = (marks * self.grain / q).astype(np.int64)
-            rounds = np.unique(np.concatenate([near - 1, near, near + 1, near + 2]).clip(0))
-        else:
-            rounds = np.arange(first, last + 1)
-        before, after = self.sent(rounds, queue), self.sent(rounds + 1, queue)
-        live = (after > before) & (after > start) & (before < start + length)
-        rounds, before = rounds[live], before[live]
-        begin = np.maximum(before, start)
-        # earlier queues have had their turn in this round, later ones not
-        turn = self.sent(rounds + 1, slice(0, queue)).sum(1) + self.sent(rounds, slice(queue, None)).sum(1)
-        place = turn + begin - before
-        end = np.append(begin[1:], start + length)
+    def sent(self, rounds: np.ndarray) -> np.ndarray:
+        """Ids sent by every queue before each round: ``[round, queue]``."""
+        earned = np.multiply.outer(rounds.astype(float), self.quantum)
+        return np.minimum(self.totals, self.grain * np.floor(earned / self.grain).astype(np.int64))
+
+    def pieces(self, queue: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Cuts many documents, each the ids ``start..start+length`` of its queue, at
+        grants and window edges: ``(document, offset, place)`` of every piece, ``place`` being
+        its first id's place in the stream."""
+        doc, rounds = self._rounds(queue, start, length)
+        q = queue[doc]
+        before, after = self._own(q, rounds), self._own(q, rounds + 1)
+        live = (after > before) & (after > start[doc]) & (before < (start + length)[doc])
+        doc, rounds, before, after, q = doc[live], rounds[live], before[live], after[live], q[live]
+        begin = np.maximum(before, start[doc])
+        end = np.minimum(after, (start + length)[doc])
+        place = self._turn(q, rounds) + begin - before
         # window edges inside a piece
-        extra = [np.arange(-(-(p + 1) // self.window) * self.window, p + e - b, self.window)
-                 for p, b, e in zip(place.tolist(), begin.tolist(), end.tolist())]
-        if any(map(len, extra)):
-            more = np.concatenate(extra)
-            owner = np.repeat(np.arange(len(place)), [len(x) for x in extra])
-            begin = np.concatenate([begin, begin[owner] + more - place[owner]])
-            place = np.concatenate([place, more])
-            order = np.argsort(begin, kind="stable")
-            begin, place = begin[order], place[order]
-        return begin - start, place
+        edges = (place + end - begin - 1) // self.window - place // self.window
+        part = np.arange(int((edges + 1).sum())) - np.repeat(np.cumsum(edges + 1) - edges - 1, edges + 1)
+        doc, begin, place = (np.repeat(x, edges + 1) for x in (doc, begin, place))
+        moved = np.where(part > 0, (place // self.window + part) * self.window, place)
+        return doc, begin + moved - place - start[doc], moved
+
+    def _rounds(self, queue, start, length) -> tuple[np.ndarray, np.ndarray]:
+        """Documents and the rounds that may send some of their ids, flat."""
+        q = self.quantum[queue]
+        first = np.maximum(0, (start / q).astype(np.int64) - 1)
+        last = ((start + length + self.grain) / q).astype(np.int64) + 2
+        count = last - first + 1
+        rare = count > 4 * length + 64  # one grain of a rare source takes many rounds
+        doc = np.repeat(np.flatnonzero(~rare), count[~rare])
+        at = np.arange(len(doc)) - np.repeat(np.cumsum(count[~rare]) - count[~rare], count[~rare])
+        docs, rounds = [doc], [first[doc] + at]
+        for d in np.flatnonzero(rare).tolist():
+            marks = np.arange(start[d] // self.grain, (start[d] + length[d]) // self.grain + 2)
+            near = (marks * self.grain / q[d]).astype(np.int64)
+            r = np.unique(np.concatenate([near - 1, near, near + 1, near + 2]).clip(0))
+            docs.append(np.full(len(r), d))
+            rounds.append(r)
+        return np.concatenate(docs), np.concatenate(rounds)
+
+    def _own(self, q: np.ndarray, rounds: np.ndarray) -> np.ndarray:
+        grains = np.floor(rounds.astype(float) * self.quantum[q] / self.grain).astype(np.int64)
+        return np.minimum(self.totals[q], self.grain * grains)
+
+    def _turn(self, q: np.ndarray, rounds: np.ndarray) -> np.ndarray:
+        """Ids in the stream before the turn of queue ``q`` in each round: earlier queues
+        have had theirs in this round, later ones not. Rounds repeat, so each is summed once."""
+        uniq, back = np.unique(rounds, return_inverse=True)
+        out = np.empty(len(q), np.int64)
+        for lo in range(0, len(uniq), 4096):  # bounded memory for many queues
+            part = uniq[lo:lo + 4096]
+            now = self.sent(part)
+            grants = self.sent(part + 1) - now
+            ahead = np.cumsum(grants, axis=1) - grants + now.sum(1, keepdims=True)
+            mine = (back >= lo) & (back < lo + 4096)
+            out[mine] = ahead[back[mine] - lo, q[mine]]
+        return out
 
 
 def pack(docs: DataFrame, tokenizer_path: str, targets: dict[str, float] | None = None, window: int = WINDOW,
@@ -191,19 +252,22 @@ def pack(docs: DataFrame, tokenizer_path: str, targets: dict[str, float] | None
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            cols: list[list] = [[] for _ in range(9)]
-            for doc, source, at, n, raw in zip(pdf["doc_id"], pdf["source"], pdf["at"], pdf["n"], pdf["ids"]):
-                ids = np.frombuffer(raw, f"<u{len(raw) // n}").astype("<u4").tobytes()
-                begin, place = schedule.pieces(number[source if isinstance(source, str) else None], at, n)
-                ends = [*begin[1:].tolist(), n]
-                parts = [ids[4 * a:4 * b] for a, b in zip(begin.tolist(), ends)]
-                k = len(parts)
-                for c, v in zip(cols, ([doc] * k, [source] * k, begin.tolist(),
-                                       [b - a for a, b in zip(begin.tolist(), ends)], map(zlib.crc32, parts), [n] * k,
-                                       (place // window).tolist(), (place % window).tolist(), parts)):
-                    c.extend(v)
-            yield pd.DataFrame(dict(zip(("doc_id", "source", "start", "length", "ids_crc32", "doc_tokens",
-                                         "sequence_id", "offset", "ids"), cols)))
+            if not len(pdf):
+                continue
+            queue = np.array([number[s if isinstance(s, str) else None] for s in pdf["source"]])
+            length = pdf["n"].to_numpy()
+            doc, begin, place = schedule.pieces(queue, pdf["at"].to_numpy(), length)
+            order = np.lexsort((begin, doc))
+            doc, begin, place = doc[order], begin[order], place[order]
+            end = np.append(begin[1:], 0)
+            final = np.append(doc[1:] != doc[:-1], True)
+            end[final] = length[doc[final]]
+            ids = [np.frombuffer(raw, f"<u{len(raw) // n}").astype("<u4").tobytes() for raw, n in zip(pdf["ids"], length)]
+            parts = [ids[d][4 * a:4 * b] for d, a, b in zip(doc.tolist(), begin.tolist(), end.tolist())]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[doc], "source": pdf["source"].to_numpy()[doc],
+                                "start": begin, "length": end - begin, "ids_crc32": [zlib.crc32(p) for p in parts],
+                                "doc_tokens": length[doc], "sequence_id": place // window, "offset": place % window,
+                                "ids": parts})
 
     return placed.mapInPandas(cut, f"doc_id {kind}, source string, start long, length long, ids_crc32 long, "
                                    "doc_tokens long, sequence_id long, offset long, ids binary")

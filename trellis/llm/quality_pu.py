@@ -152,19 +152,22 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: Column, id_col: str =
     return nn_pu(pos, unl, prior)
 
 
-def score(docs: DataFrame, model: Network | None, text_col: str = "text") -> DataFrame:
-    """All rows and columns of ``docs`` with the column ``score`` (replaced, if there is one)."""
-    d = docs.drop("score")
+def score_column(model: Network | None, text_col: str = "text") -> Column:
+    """The score of each row's text. Only the text goes to Python."""
+
+    @F.pandas_udf("double")
+    def run(texts: pd.Series) -> pd.Series:
+        x = np.array([measures(t) for t in texts]).reshape(-1, N_FEATURES)
+        return pd.Series(model.score(x) if model else np.ones(len(texts)))
+
+    return run(F.col(text_col))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            x = np.array([measures(t) for t in pdf[text_col]]).reshape(-1, N_FEATURES)
-            yield pdf.assign(score=model.score(x) if model else np.ones(len(pdf)))
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields), "score double"])
-    return d.mapInPandas(run, schema)
+def score(docs: DataFrame, model: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col, score`` for every row."""
+    return docs.select(F.col(id_col), score_column(model, text_col).alias("score"))
 
 
 def keep_good(docs: DataFrame, model: Network | None, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the model takes for good (score of 0.5 or more)."""
-    return score(docs, model, text_col).where("score >= 0.5").select(*docs.columns)
+    return docs.where(score_column(model, text_col) >= 0.5)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trellis.llm import decontaminate, fingerprint, packing, quality_pu, secrets_crf, toxicity, url_filter
+from trellis.llm import (decontaminate, fingerprint, lm_score, minhash_join, packing, quality_pu, repeats, secrets_crf,
+                         toxicity, url_filter)
 from trellis.llm.common import id_remainder, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -54,10 +55,24 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_score.score_documents(table(spark, sf_dir, "documents"), id_remainder(F.col("doc_id"), 10) != 0)
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens",
+                         "base_score", "score")
+
+
 def op9_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_join.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85).drop("n_links")
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_decontamination": op2_decontamination,
@@ -65,7 +80,10 @@ QUERIES = {
     "op4_secret_scan": op4_secret_scan,
     "op5_url_filter": op5_url_filter,
     "op6_quality": op6_quality,
+    "op7_repeats": op7_repeats,
+    "op8_lm_scores": op8_lm_scores,
     "op9_weighted_fingerprints": op9_weighted_fingerprints,
+    "op10_near_duplicates": op10_near_duplicates,
 }
 
 _RULE_VALUES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)

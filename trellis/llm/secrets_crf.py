@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trellis.llm.common import hash_sample
@@ -325,25 +325,43 @@ def all_spans(text: str, decoder: Decoder, classes: TokenClasses) -> list[tuple[
     return sorted(spans)
 
 
-def scan(docs: DataFrame, model: Crf | None = None, id_col: str = "doc_id", text_col: str = "text",
-         keep: tuple[str, ...] = ()) -> DataFrame:
-    """``docs`` rows as ``id_col, *keep, text, spans`` with ``spans array<struct<kind,start,end>>``;
-    start and end count code points, the end is exclusive."""
-    model = model or train(docs, id_col, text_col)
-    d = docs.select(F.col(id_col), *keep, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    fields = [f"{f.name} {f.dataType.simpleString()}" for f in d.schema.fields[:-1]]
+SPANS = "array<struct<kind:string,start:long,end:long>>"
+
+
+def scan_column(model: Crf, text_col: str = "text") -> Column:
+    """``struct<redacted, spans>`` of each row's text; start and end count code
+    points, the end is exclusive. Only the text goes to Python."""
 
-    def tag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf(f"redacted string, spans {SPANS}")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         decoder, classes = model.decoder(), TokenClasses()
-        for pdf in batches:
-            spans = [all_spans(x, decoder, classes) for x in pdf["_text"]]
-            out = pdf.drop(columns="_text")
-            out["redacted"] = [redact(x, s) if s else x for x, s in zip(pdf["_text"], spans)]
-            out["spans"] = [[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in s] for s in spans]
-            yield out
-
-    return d.mapInPandas(tag, ", ".join([*fields, "redacted string",
-                                         "spans array<struct<kind:string,start:long,end:long>>"]))
+        for texts in batches:
+            texts = [t if isinstance(t, str) else "" for t in texts]
+            spans = [all_spans(t, decoder, classes) for t in texts]
+            yield pd.DataFrame({"redacted": [redact(t, s) if s else t for t, s in zip(texts, spans)],
+                                "spans": [[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in s] for s in spans]})
+
+    return run(F.col(text_col))
+
+
+def scan(docs: DataFrame, model: Crf | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per input row: ``id_col, redacted, spans``."""
+    model = model or train(docs, id_col, text_col)
+    return docs.select(F.col(id_col), scan_column(model, text_col).alias("scan")).select(id_col, "scan.*")
+
+
+def redact_documents(docs: DataFrame, model: Crf | None = None, id_col: str = "doc_id", text_col: str = "text",
+                     length_col: str = "n_chars") -> DataFrame:
+    """All rows of ``docs``; secrets in their texts are replaced by a mark, and the length column follows."""
+    model = model or train(docs, id_col, text_col)
+    d = docs.select(F.struct(*docs.columns).alias("row"), scan_column(model, text_col).alias("scan"))
+    found = F.size("scan.spans") > 0
+    text = F.when(found, F.col("scan.redacted")).otherwise(F.col("row")[text_col])
+    new = {text_col: text}
+    if length_col in docs.columns:
+        new[length_col] = F.when(found, F.length("scan.redacted").cast(docs.schema[length_col].dataType)) \
+            .otherwise(F.col("row")[length_col])
+    return d.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def redact(text: str, spans: list[tuple[int, int, int]], mark: str = "[SECRET]") -> str:

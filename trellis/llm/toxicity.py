@@ -251,12 +251,10 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: Column, id_col: str =
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, score`` for every row."""
-    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    """``id_col, score`` for every row. Only the text goes to Python."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "score": [model.score(t) for t in pdf["text"]]})
+    @F.pandas_udf("double")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([model.score(t) for t in texts], dtype=float)
 
-    kind = d.schema["id"].dataType.simpleString()
-    return d.mapInPandas(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col), run(F.col(text_col)).alias("score"))
