@@ -89,3 +89,22 @@ def test_split_with_map_column(spark):
     df = spark.range(50).select(F.col("id").alias("k"), (F.col("id") % 2).cast("int").alias("y"),
                                 F.create_map(F.lit("a"), F.col("id")).alias("m"))
     assert split.stratified_split(df, "k", "y").where("split = 'test'").count() == 10
+
+
+def test_splits_and_folds_keep_rows_with_nulls(spark):
+    df = spark.range(2000).select(F.when(F.col("id") % 10 != 0, F.col("id")).alias("k"), F.col("id"),
+                                  F.when(F.col("id") % 7 != 0, (F.col("id") % 5 == 0).cast("int")).alias("y"))
+    sp = split.stratified_split(df, "k", "y")
+    assert sp.count() == 2000 and sp.where("split = 'test'").count() == 400
+    assert split.random_split(df, "k").where("split = 'test'").count() == 400
+    folds = split.stratified_kfold(df, "k", "y", k=4).groupBy("y", "fold").count().collect()
+    assert sum(r["count"] for r in folds) == 2000 and len(folds) == 12
+    for y in (0, 1, None):
+        sizes = [r["count"] for r in folds if r.y == y]
+        assert max(sizes) - min(sizes) <= 1
+    assert split.kfold(df, "k", k=3).groupBy("fold").count().count() == 3
+
+
+def test_quotas_with_a_null_class():
+    q = split.stratum_quotas({0: 3, 1: 3, None: 3}, 0.5)
+    assert sum(q.values()) == 5 and q[0] == 2 and q[1] == 2 and q[None] == 1

@@ -40,12 +40,13 @@ def hash_order(key, seed: int) -> Column:
 
     It depends on the key only, never on partitioning or file order, and the
     same expression in DuckDB gives the same order. A composite key (a list
-    of columns) is joined with an unprintable separator first.
+    of columns) is joined with an unprintable separator first; a NULL key
+    counts as the character U+0000, so its row has a place in the order too.
     """
     if isinstance(key, (list, tuple)):
         k = F.concat_ws("\u0001", *[F.coalesce(col_(c).cast("string"), F.lit("\u0000")) for c in key])
     else:
-        k = col_(key).cast("string")
+        k = F.coalesce(col_(key).cast("string"), F.lit("\u0000"))
     return F.md5(F.concat(k, F.lit(f":{seed}")))
 
 

@@ -33,6 +33,17 @@ ORDER_HASH = "_h"
 BUCKET = "_bucket"
 
 
+def join_null_safe(df: DataFrame, other: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Inner join on ``cols`` where NULL equals NULL; the columns of ``other``
+    other than ``cols`` are added."""
+    renamed = other.select(*[F.col(c).alias(f"_r_{c}") for c in cols],
+                           *[c for c in other.columns if c not in cols])
+    cond = F.lit(True)
+    for c in cols:
+        cond = cond & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
+    return df.join(renamed, cond).drop(*[f"_r_{c}" for c in cols])
+
+
 def running_sums(df: DataFrame, order: Sequence[str | Column], sum_cols: Sequence[str],
                  bucket_col: str, partition_cols: Sequence[str] = (),
                  prefix: str = "cum_", exclusive: bool = False,
@@ -58,7 +69,7 @@ def running_sums(df: DataFrame, order: Sequence[str | Column], sum_cols: Sequenc
     frame_end = -1 if exclusive else 0
     inside = Window.partitionBy(*parts, bucket_col).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, frame_end)
-    joined = df.join(offsets, on=[*parts, bucket_col], how="inner")
+    joined = join_null_safe(df, offsets, [*parts, bucket_col])
     out = joined.select(
         *df.columns,
         *[(F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(f"_off_{i}")).alias(prefix + c)
@@ -82,16 +93,18 @@ FINE_DIGITS = 5
 
 
 def bucket_offsets(hashed: DataFrame, partition_cols: Sequence[str] = (),
-                   sum_cols: Sequence[str] = (), with_sums: bool = False):
+                   sum_cols: Sequence[str] = (), with_sums: bool = False, digits: int | None = None):
     """Offsets for ``hash_rank``/``running_sums`` with a resolution chosen
     from the data, in one pass over the input.
 
     Row counts (and sums of ``sum_cols``) per partition and *fine* hash
     bucket (16**5 ranges) are aggregated once and persisted (a small table,
     recomputable from its lineage). The exact partition sizes read from it
-    fix the *coarse* bucket resolution (``auto_digits``); coarse buckets are
-    prefixes of fine ones, so they stay monotone in the hash order, and their
-    offsets come from a window over the small table.
+    fix the *coarse* bucket resolution (``auto_digits``, or ``digits`` if given);
+    coarse buckets are prefixes of fine ones, so they stay monotone in the hash
+    order, and their offsets come from a window over the small table. Where the
+    data needs more digits than the fine buckets have, they are aggregated
+    again at that resolution. NULL partition values are a partition of their own.
 
     ``hashed`` must carry ``ORDER_HASH``. Returns ``(offsets, digits,
     {partition: rows})``; offsets has ``_off_0`` (rows) then one ``_off_i`` per
@@ -99,19 +112,25 @@ def bucket_offsets(hashed: DataFrame, partition_cols: Sequence[str] = (),
     """
     from trellis.session import keep
     parts = list(partition_cols)
-    fine = hex_bucket(F.col(ORDER_HASH), FINE_DIGITS).alias("_fine")
-    totals = keep(hashed.groupBy(*parts, fine).agg(
-        F.count(F.lit(1)).alias("_s0"),
-        *[F.sum(c).alias(f"_s{i + 1}") for i, c in enumerate(sum_cols)]))
+
+    def totals_at(n_digits: int) -> DataFrame:
+        fine = hex_bucket(F.col(ORDER_HASH), n_digits).alias("_fine")
+        return keep(hashed.groupBy(*parts, fine).agg(
+            F.count(F.lit(1)).alias("_s0"),
+            *[F.sum(c).alias(f"_s{i + 1}") for i, c in enumerate(sum_cols)]))
+
+    totals = totals_at(FINE_DIGITS)
     part_rows = totals.groupBy(*parts).agg(
         *[F.sum(f"_s{i}").alias(f"_s{i}") for i in range(len(sum_cols) + 1)]).collect()
     per_part = {tuple(r[p] for p in parts): int(r["_s0"]) for r in part_rows}
     sums = {tuple(r[p] for p in parts): [r[f"_s{i}"] or 0 for i in range(len(sum_cols) + 1)]
             for r in part_rows}
-    digits = auto_digits(max(per_part.values(), default=0))
-    coarse = totals.groupBy(*parts, (F.col("_fine") / (16 ** (FINE_DIGITS - digits))).cast("long")
-                            .alias(BUCKET)).agg(*[F.sum(f"_s{i}").alias(f"_s{i}")
-                                                 for i in range(len(sum_cols) + 1)])
+    digits = digits or auto_digits(max(per_part.values(), default=0))
+    fine_digits = max(FINE_DIGITS, digits)
+    if fine_digits > FINE_DIGITS:
+        totals = totals_at(fine_digits)
+    coarse = totals.groupBy(*parts, F.shiftright("_fine", 4 * (fine_digits - digits)).alias(BUCKET)).agg(
+        *[F.sum(f"_s{i}").alias(f"_s{i}") for i in range(len(sum_cols) + 1)])
     earlier = Window.partitionBy(*parts).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     offsets = coarse.select(*parts, BUCKET, *[F.coalesce(F.sum(f"_s{i}").over(earlier), F.lit(0))
                                                .alias(f"_off_{i}") for i in range(len(sum_cols) + 1)])
@@ -165,6 +184,6 @@ def with_next(df: DataFrame, order: Sequence[str | Column], bucket_col: str, col
                                                *[F.col(c).alias(f"_f_{c}") for c in cols])
     wb = Window.partitionBy(*parts).orderBy(bucket_col)
     nxt = firsts.select(*parts, bucket_col, *[F.lead(f"_f_{c}").over(wb).alias(f"_nb_{c}") for c in cols])
-    out = x.join(nxt, on=[*parts, bucket_col], how="inner")
+    out = join_null_safe(x, nxt, [*parts, bucket_col])
     return out.select(*df.columns, *[F.coalesce(F.col(f"_nx_{c}"), F.col(f"_nb_{c}")).alias(prefix + c)
                                      for c in cols])

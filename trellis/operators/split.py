@@ -3,7 +3,9 @@
 Row order is ``md5(key:seed)``: it depends only on the key, so the result is
 identical for any partitioning or file order, and any engine with ``md5``
 reproduces it. Ranks come from the two-level running sum in ``rank.py``
-(no single-task window). Keys must identify rows uniquely.
+(no single-task window). Keys must identify rows uniquely. No row is lost: a NULL
+class is a class of its own (last in ties), and a NULL key is hashed like any
+other (rows that share a key are ordered by a hash of their content).
 """
 
 from __future__ import annotations
@@ -42,7 +44,11 @@ def stratum_quotas(counts: dict, test_fraction: float = TEST_FRACTION) -> dict:
     base = {c: (k * n_test) // n for c, k in counts.items()}
     rem = {c: (k * n_test) % n for c, k in counts.items()}
     left = n_test - sum(base.values())
-    for c in sorted(counts, key=lambda c: (-rem[c], c))[:left]:
+    known = [c for c in counts if c is not None]
+    order = sorted(known, key=lambda c: (-rem[c], c))
+    if len(known) < len(counts):  # the NULL class comes after its equals
+        order.insert(sum(rem[c] >= rem[None] for c in known), None)
+    for c in order[:left]:
         base[c] += 1
     return base
 
@@ -50,7 +56,7 @@ def stratum_quotas(counts: dict, test_fraction: float = TEST_FRACTION) -> dict:
 def _lookup(col: str, mapping: dict) -> Column:
     expr = None
     for k, v in mapping.items():
-        cond = F.col(col) == F.lit(k)
+        cond = F.col(col).eqNullSafe(F.lit(k))
         expr = F.when(cond, F.lit(v)) if expr is None else expr.when(cond, F.lit(v))
     return expr if expr is not None else F.lit(None)
 

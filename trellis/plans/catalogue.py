@@ -307,6 +307,30 @@ def q_stratified_split(spark, d):
     return split_events(spark, d).select("event_id", "label", "split")
 
 
+MD5_GAP = "md5(coalesce(CAST(k AS VARCHAR), chr(0)) || chr(1) || CAST(event_id AS VARCHAR) || ':42')"
+
+
+@query("stratified_split_nulls", f"""
+WITH ev AS (SELECT CASE WHEN event_id % 10 = 0 THEN NULL ELSE event_id END AS k, event_id,
+                   CASE WHEN event_type = 'error' THEN NULL WHEN value > 100 THEN 1 ELSE 0 END AS label FROM events),
+c AS (SELECT label, count(*) AS n_c FROM ev GROUP BY 1),
+t AS (SELECT sum(n_c) AS n, (sum(n_c) + 4) // 5 AS n_test FROM c),
+qq AS (SELECT label, (n_c * n_test) // n AS base, (n_c * n_test) % n AS rem, n_test FROM c, t),
+qr AS (SELECT *, row_number() OVER (ORDER BY rem DESC, label NULLS LAST) AS rr,
+              n_test - sum(base) OVER () AS leftover FROM qq),
+quota AS (SELECT label, base + CASE WHEN rr <= leftover THEN 1 ELSE 0 END AS quota FROM qr)
+SELECT ev.event_id, ev.label,
+       CASE WHEN row_number() OVER (PARTITION BY ev.label ORDER BY {MD5_GAP}) <= quota THEN 'test' ELSE 'train' END AS split
+FROM ev JOIN quota ON ev.label IS NOT DISTINCT FROM quota.label""")
+def q_stratified_split_nulls(spark, d):
+    """A class that is missing for error events and a key with missing parts: no row is lost."""
+    from trellis.operators import split
+    ev = read_table(spark, d, "events").select(
+        F.when(F.col("event_id") % 10 != 0, F.col("event_id")).alias("k"), "event_id",
+        F.when(F.col("event_type") != "error", (F.col("value") > 100).cast("int")).alias("label"))
+    return split.stratified_split(ev, ["k", "event_id"], "label").select("event_id", "label", "split")
+
+
 @query("split_verification", f"""
 WITH {EV_SQL}, {QUOTA_SQL},
 per AS (SELECT label AS class, count(*) FILTER (WHERE split = 'train') AS train_n,
