@@ -25,6 +25,11 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sized(df: DataFrame, rows: int, per_task: int = 250_000) -> DataFrame:
+    """``df`` in as many tasks as its counted ``rows`` need; never more than it has."""
+    return df.coalesce(max(1, -(-rows // per_task)))
+
+
 def lower_az(c: Column) -> Column:
     """Lower-case A-Z only, so the result does not hang on Unicode tables."""
     return F.translate(c, UPPER, UPPER.lower())

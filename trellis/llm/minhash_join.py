@@ -14,9 +14,9 @@ large family of near copies stays together at any depth) is cut into blocks by h
 and each pair of blocks is a task of its own, so no task holds a whole group and
 nothing is capped. Comparison is by sketch first: a pair goes on if as many tokens
 agree as a pair at the threshold reaches in all but ``MISS`` of cases. Links are then
-confirmed on full sets, in two rounds: a spanning forest of the most
-alike pairs of each block first, and after merging what it confirms, all pairs between
-documents that are still in different components. Pairs inside a component
+confirmed on full sets, in two rounds: each document's most alike partners in
+a cell first, and after merging what they confirm, all pairs between documents
+that are still in different components. Pairs inside a component
 need no look, as only components are returned.
 
 Every step is a join, a grouping or a map over rows keyed by vertex, node or pair.
@@ -39,11 +39,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trellis.llm.common import broadcast_if, shared_table
+from trellis.llm.common import broadcast_if, shared_table, sized
 from trellis.llm.components import connected_components
+from trellis.llm.hashing import Hasher, mix
 
 SKETCH = 96
 LEAF = 400
+STAYS = 0.6  # a node of which a branch keeps this share is compared as it is
 MAX_LEVELS = 8
 LEVELS_AIMED = 3
 MISS = 1e-6
@@ -53,41 +55,27 @@ BROADCAST_ROWS = 1_000_000
 NULL_ID = -(1 << 63)
 
 
-def words(text: str | None) -> list[bytes]:
-    """Lower-cased (A-Z) runs of anything but space and the characters 9 to 13."""
-    return text.encode("utf-8", "surrogatepass").lower().split() if isinstance(text, str) else []
+class Shingler:
+    """Sorted distinct 64-bit shingle hashes of a text. Words are runs of anything but space and
+    the characters 9 to 13, A-Z lower-cased; their hashes come from one prefix sum over the bytes."""
 
+    def __init__(self, size: int):
+        self.size, self.hasher = size, Hasher(41)
 
-class WordHashes(dict):
-    """word -> 64-bit hash, emptied when it grows past ``most``."""
-
-    most = 400_000
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-        if len(self) >= self.most:
-            self.clear()
-        v = self[word] = xxhash.xxh3_64_intdigest(word)
-        return v
-
-
-def shingle_set(text: str | None, size: int, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct hashes of the shingles."""
-    ws = words(text)
-    if not ws:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, ws), np.uint64, len(ws))
-    width = min(size, len(ws))
-    out = np.full(len(h) - width + 1, width, np.uint64)
-    for k in range(width):
-        out = _mix(out ^ h[k:len(h) - width + 1 + k])
-    return np.unique(out)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    def __call__(self, text: str | None) -> np.ndarray:
+        raw = text.encode("utf-8", "surrogatepass").lower() if isinstance(text, str) else b""
+        a = np.frombuffer(raw, np.uint8)
+        inside = np.zeros(len(a) + 2, np.int8)
+        inside[1:-1] = (a != 32) & ((a < 9) | (a > 13))
+        edge = np.flatnonzero(np.diff(inside))
+        if not len(edge):
+            return np.zeros(0, np.uint64)
+        h = self.hasher.of(self.hasher.prefix(a), edge[::2], edge[1::2])
+        width = min(self.size, len(h))
+        out = np.full(len(h) - width + 1, width, np.uint64)
+        for k in range(width):
+            out = mix(out ^ h[k:len(h) - width + 1 + k])
+        return np.unique(out)
 
 
 def sketch_seeds(count: int = SKETCH) -> np.ndarray:
@@ -95,12 +83,11 @@ def sketch_seeds(count: int = SKETCH) -> np.ndarray:
 
 
 def sketch(shingles: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-    """The minwise token under each hash function, 32 bits of it."""
+    """The minwise token under each hash function (multiplication by an odd number), 32 bits of it."""
     out = np.empty(len(seeds), np.uint64)
     for k, s in enumerate(seeds):
-        x = shingles * s
-        out[k] = (x ^ (x >> np.uint64(32))).min()
-    return (_mix(out) >> np.uint64(32)).astype(np.uint32)
+        out[k] = (shingles * s).min()
+    return (mix(out) >> np.uint64(32)).astype(np.uint32)
 
 
 def document_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -109,11 +96,11 @@ def document_sets(docs: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
-        hashes, seeds = WordHashes(), sketch_seeds()
+        shingles, seeds = Shingler(size), sketch_seeds()
         for pdf in batches:
             n, v, sig = [], [], []
             for text in pdf["text"]:
-                s = shingle_set(text, size, hashes)
+                s = shingles(text)
                 n.append(len(s))
                 v.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 sig.append(sketch(s, seeds).tobytes() if len(s) else None)
@@ -137,30 +124,35 @@ def least_agreement(threshold: float, size: int = SKETCH, miss: float = MISS) ->
 
 
 def leaves(vertices: DataFrame, trees: int) -> DataFrame:
-    """``node, size, v``: the nodes where branching ended, of two vertices or more."""
-    level = vertices.select("v", "sig", F.explode(F.array(*[F.lit(t) for t in range(trees)])).alias("t"))
-    level = level.select("v", F.xxhash64("t", F.expr(f"hex(substring(sig, (t % {SKETCH}) * 4 + 1, 4))")).alias("node"))
+    """``node, size, v``: the nodes where branching ended, of two vertices or more. A node ends as
+    a leaf, too, when branching keeps most of it together: more levels would not split it."""
+    rows = total = vertices.count() * trees
+    level = vertices.select("v", F.lit(0).alias("above"), "sig", F.explode(F.array(*[F.lit(t) for t in range(trees)])).alias("t"))
+    level = level.select("v", "above", F.xxhash64("t", F.expr(f"hex(substring(sig, (t % {SKETCH}) * 4 + 1, 4))")).alias("node"))
     done = []
     for depth in range(1, MAX_LEVELS + 1):
-        sizes = level.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        level = shared_table(level.join(sizes, "node"), "path-nodes")
-        last = depth == MAX_LEVELS
-        done.append(level if last else level.where(F.col("size") <= LEAF))
-        level = level.where(F.col("size") > LEAF).select("node", "v")
-        if last or not level.limit(1).count():
+        sizes = sized(level.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), rows)
+        level = shared_table(sized(level.join(sizes, "node"), rows), "path-nodes")
+        ends = F.lit(True) if depth == MAX_LEVELS else \
+            (F.col("size") <= LEAF) | (F.col("size") >= STAYS * F.col("above")) & (F.col("above") > 0)
+        done.append(level.where(ends).select("node", "size", "v"))
+        level = level.where(~ends).select("node", F.col("size").alias("above"), "v")
+        rows = level.count()
+        if not rows:
             break
         picked = F.expr(f"hex(substring(sig, cast(pmod(xxhash64(node, {depth}), {SKETCH}) as int) * 4 + 1, 4))")
-        level = level.join(vertices.select("v", "sig"), "v").select("v", F.xxhash64("node", picked).alias("node"))
+        level = sized(level.join(vertices.select("v", "sig"), "v"), rows) \
+            .select("v", "above", F.xxhash64("node", picked).alias("node"))
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out
+    return shared_table(sized(out, total), "path-leaves") if len(done) > 1 else out
 
 
 def candidate_pairs(leaf: DataFrame, vertices: DataFrame, percent: int, forest: bool) -> DataFrame:
     """Pairs ``a, b`` of vertices that share a leaf, are in different components
-    (``root``) and agree in enough tokens. ``forest``: only a spanning forest of the most
-    alike pairs in each pair of blocks."""
+    (``root``) and agree in enough tokens. ``forest``: for each vertex of a cell only its most
+    alike partners before and after it."""
     x = leaf.join(vertices.select("v", "root", "n", "sig"), "v")
     x = x.withColumn("blocks", F.ceil(F.col("size") / LEAF).cast("int"))
     x = x.withColumn("mine", F.pmod(F.xxhash64("v", "node"), F.col("blocks")).cast("int"))
@@ -168,93 +160,92 @@ def candidate_pairs(leaf: DataFrame, vertices: DataFrame, percent: int, forest:
     x = x.select(F.xxhash64("node", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"),
                  (F.col("mine") <= F.col("other")).alias("low"), (F.col("mine") >= F.col("other")).alias("high"),
                  "v", "root", "n", "sig")
-    # a cell whose vertices are of one component holds nothing to find
-    split = x.groupBy("cell").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("cell")
-    x = x.join(split, "cell").repartition("cell").sortWithinPartitions("cell", "v")
+    if not forest:
+        # a cell whose vertices are of one component holds nothing to find
+        split = x.groupBy("cell").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1")
+        x = x.join(split.select("cell"), "cell")
+    x = x.repartition("cell").sortWithinPartitions("cell", "v")
     need = least_agreement(percent / 100.0)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, open_ = [], None
+        held = None
         for pdf in batches:
             if not len(pdf):
                 continue
-            cells = pdf["cell"].to_numpy()
-            edge = np.flatnonzero(np.diff(cells)) + 1
-            for part in (pdf.iloc[a:b] for a, b in zip([0, *edge], [*edge, len(pdf)])):
-                if part["cell"].iloc[0] != open_ and held:
-                    yield compare_cell(pd.concat(held), percent, need, forest)
-                    held = []
-                open_ = part["cell"].iloc[0]
-                held.append(part)
-        if held:
-            yield compare_cell(pd.concat(held), percent, need, forest)
+            held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            cells = held["cell"].to_numpy()
+            cut = int(np.searchsorted(cells, cells[-1])) if cells[0] != cells[-1] else 0
+            if cut:  # the last cell may go on in the next batch
+                yield compare_cells(held.iloc[:cut], percent, need, forest)
+                held = held.iloc[cut:].reset_index(drop=True)
+        if held is not None:
+            yield compare_cells(held, percent, need, forest)
 
     return x.mapInPandas(run, "a binary, b binary").distinct()
 
 
-def compare_cell(cell: pd.DataFrame, percent: int, need: int, forest: bool) -> pd.DataFrame:
-    """Exhaustive comparison of the low with the high vertices of a cell by sketch."""
-    cell = cell.drop_duplicates("v")
-    sigs = np.frombuffer(b"".join(cell["sig"]), np.uint32).reshape(len(cell), -1)
-    v = cell["v"].to_numpy()
-    _, root = np.unique(cell["root"].to_numpy(), return_inverse=True)
-    n = cell["n"].to_numpy()
-    low, high = cell["low"].to_numpy(), cell["high"].to_numpy()
+def compare_cells(rows: pd.DataFrame, percent: int, need: int, forest: bool) -> pd.DataFrame:
+    """Exhaustive comparison of the low with the high vertices of each cell by sketch: rows of a
+    cell are neighbours, so row ``i`` meets row ``i + 1``, then ``i + 2`` and so on, all cells at once."""
+    cell = rows["cell"].to_numpy()
+    sigs = np.frombuffer(b"".join(rows["sig"]), np.uint32).reshape(len(rows), -1)
+    v, n = rows["v"].to_numpy(), rows["n"].to_numpy()
+    root = np.unique(rows["root"].to_numpy(), return_inverse=True)[1]
+    low, high = rows["low"].to_numpy(), rows["high"].to_numpy()
     first, second, score = [], [], []
-    for i in range(len(cell)):
-        # i < j once each: rows of one block are low and high at the same time
-        js = np.flatnonzero((low[i] & high) | (high[i] & low))
-        js = js[(js > i) & (root[js] != root[i])]
-        js = js[100 * np.minimum(n[js], n[i]) >= percent * np.maximum(n[js], n[i])]
-        if len(js):
-            same = (sigs[js] == sigs[i]).sum(1)
-            ok = same >= need
-            first += [i] * int(ok.sum())
-            second += js[ok].tolist()
-            score += same[ok].tolist()
-    if forest and first:
-        up = list(range(len(cell)))
-
-        def find(k: int) -> int:
-            while up[k] != k:
-                up[k] = up[up[k]]
-                k = up[k]
-            return k
-
-        keep = []
-        for e in np.argsort(-np.array(score), kind="stable").tolist():
-            a, b = find(first[e]), find(second[e])
-            if a != b:
-                up[a] = b
-                keep.append(e)
-        first, second = [first[e] for e in keep], [second[e] for e in keep]
-    return pd.DataFrame({"a": v[first] if first else [], "b": v[second] if second else []})
+    i, step = np.arange(len(rows)), 0
+    while True:
+        step += 1
+        i = i[i + step < len(rows)]
+        i = i[cell[i + step] == cell[i]]
+        if not len(i):
+            break
+        j = i + step
+        ok = (root[i] != root[j]) & (low[i] & high[j] | high[i] & low[j]) & \
+            (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+        a, b = i[ok], j[ok]
+        if len(a):
+            same = (sigs[a] == sigs[b]).sum(1)
+            near = same >= need
+            first.append(a[near])
+            second.append(b[near])
+            score.append(same[near])
+    first, second, score = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (first, second, score))
+    if forest and len(first):
+        best = []
+        for side in (first, second):
+            order = np.lexsort((-score, side))
+            best.append(order[np.append(True, np.diff(side[order]) != 0)])
+        keep = np.unique(np.concatenate(best))
+        first, second = first[keep], second[keep]
+    return pd.DataFrame({"a": v[first], "b": v[second]})
 
 
 def confirm(pairs: DataFrame, vertices: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs whose full sets reach the threshold. Texts travel, once for each pair:
     they compress better than sets."""
-    pairs = shared_table(pairs, "near-pairs")
-    ends = pairs.select(F.col("a").alias("v")).union(pairs.select(F.col("b").alias("v"))).distinct()
-    who = shared_table(vertices.select("v", "id", "h").join(ends, "v"), "near-ends")
+    pairs = shared_table(sized(pairs, vertices.count(), 20_000), "near-pairs")
+    rows = pairs.count()
+    ends = sized(pairs.select(F.col("a").alias("v")).union(pairs.select(F.col("b").alias("v"))).distinct(), rows)
+    who = shared_table(sized(vertices.select("v", "id", "h").join(ends, "v"), rows), "near-ends")
     texts = docs.select("id", "h", "text").join(broadcast_if(who, who.count(), BROADCAST_ROWS), ["id", "h"])
     texts = shared_table(texts.select("v", "text"), "near-texts")
     x = pairs.join(texts.select(F.col("v").alias("a"), F.col("text").alias("text_a")), "a") \
         .join(texts.select(F.col("v").alias("b"), F.col("text").alias("text_b")), "b")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, last, seen = WordHashes(), None, None
+        shingles, last, seen = Shingler(size), None, None
         for pdf in batches:
             ok = []
             for b, ta, tb in zip(pdf["b"], pdf["text_a"], pdf["text_b"]):
                 if b != last:
-                    last, seen = b, shingle_set(tb, size, hashes)
-                s = shingle_set(ta, size, hashes)
+                    last, seen = b, shingles(tb)
+                s = shingles(ta)
                 both = len(np.intersect1d(s, seen, assume_unique=True))
                 ok.append(100 * both >= percent * (len(s) + len(seen) - both))
             yield pdf.loc[ok, ["a", "b"]]
 
-    return shared_table(x.mapInPandas(run, "a binary, b binary").distinct(), "near-links")
+    return shared_table(sized(x.mapInPandas(run, "a binary, b binary").distinct(), rows), "near-links")
 
 
 def _rooted(vertices: DataFrame, links: DataFrame) -> DataFrame:
@@ -275,13 +266,14 @@ def _judge(d: DataFrame, size: int, percent: int) -> DataFrame:
     """``id, h, n, component, stays, n_links`` for each row of ``d (id, h, text)``; ``component`` is
     the least id of the component, ``stays`` marks its first row by (id, text hash)."""
     sets = shared_table(document_sets(d, size), "near-sets")
+    rows = sets.count()
     vertices = sets.where("n > 0").groupBy("v").agg(
         F.min(F.struct("id", "h")).alias("who"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    vertices = shared_table(vertices.select("v", "who.id", "who.h", "n", "sig"), "near-vertices")
+    vertices = shared_table(sized(vertices, rows, 20_000).select("v", "who.id", "who.h", "n", "sig"), "near-vertices")
     leaf = leaves(vertices, trees_for(percent / 100.0))
     apart = vertices.withColumn("root", F.col("v"))
     links = confirm(candidate_pairs(leaf, apart, percent, forest=True), vertices, d, size, percent)
-    rooted = shared_table(_rooted(vertices, links), "near-rooted")
+    rooted = shared_table(sized(_rooted(vertices, links), rows, 20_000), "near-rooted")
     rest = confirm(candidate_pairs(leaf, rooted, percent, forest=False), vertices, d, size, percent)
     links = links.unionByName(rest)
     degree = links.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("k"))

@@ -41,6 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trellis.llm.common import broadcast_if, shared_table
+from trellis.llm.hashing import Hasher, mix
 
 LENGTH = 400
 TRIGGER = 8
@@ -54,46 +55,10 @@ PHRASE, LOOSE, SURE = 0, 1, 2
 NULL_ID = -(1 << 63)
 
 
-class Hasher:
-    """Polynomial prefix hashes modulo 2**64 over random byte values: the hash of any
-    substring in constant time. Two bases give independent names."""
-
-    def __init__(self, seed: int):
-        rng = np.random.default_rng(seed)
-        self.value = rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.base = int(rng.integers(1 << 40, 1 << 62)) * 8 + 3
-        self.inverse = pow(self.base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def prefix(self, raw: np.ndarray) -> np.ndarray:
-        n = len(raw)
-        if len(self.up) < n + 1:
-            size = max(n + 1, 2 * len(self.up))
-            self.up, self.down = (_powers(b, size) for b in (self.base, self.inverse))
-        out = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.value[raw] * self.up[:n], out=out[1:])
-        return out
-
-    def of(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return _mix((prefix[end] - prefix[start]) * self.down[start])
-
-
-def _powers(base: int, size: int) -> np.ndarray:
-    out = np.full(size, base & ((1 << 64) - 1), np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def triggers(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Places of the strong and of the weak triggers (strong ones are weak, too)."""
     n = len(raw) - TRIGGER + 1
-    h = _mix(np.ndarray((n,), "<u8", raw, strides=(1,)))
+    h = mix(np.ndarray((n,), "<u8", raw, strides=(1,)))
     weak = np.flatnonzero(h >> np.uint64(64 - WEAK_BITS) == 0)
     return weak[h[weak] >> np.uint64(64 - STRONG_BITS) == 0], weak
 
@@ -143,7 +108,7 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             pc, pf = core_hash.prefix(a), full_hash.prefix(a)
             core = core_hash.of(pc, t, t + CORE)
             place = ((t - first) * LENGTH + (last - t + LENGTH)).astype(np.uint64)
-            full = _mix(full_hash.of(pf, first, last + LENGTH) ^ place * np.uint64(0x9E3779B97F4A7C15))
+            full = mix(full_hash.of(pf, first, last + LENGTH) ^ place * np.uint64(0x9E3779B97F4A7C15))
             for c, v in zip(cols, (core, full, np.full(len(t), doc), t, first, last)):
                 c.append(v)
             for x, y in none:
