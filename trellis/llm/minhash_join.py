@@ -13,7 +13,9 @@ Leaves are compared exhaustively, in blocks: a node that would not get small (a
 large family of near copies stays together at any depth) is cut into blocks by hash
 and each pair of blocks is a task of its own, so no task holds a whole group and
 nothing is capped. Comparison is by sketch first: a pair goes on if as many tokens
-agree as a pair at the threshold reaches in all but ``MISS`` of cases. Links are then
+agree as a pair at the threshold reaches in all but ``MISS`` of cases, and if their
+odd sketches (parities of the sets in ``ODD_BITS`` bins) do not prove that they
+differ in too many elements. Links are then
 confirmed on full sets, in two rounds: each document's most alike partners in
 a cell first, and after merging what they confirm, all pairs between documents
 that are still in different components. Pairs inside a component
@@ -44,6 +46,7 @@ from trellis.llm.components import connected_components
 from trellis.llm.hashing import Hasher, mix
 
 SKETCH = 96
+ODD_BITS = 512
 LEAF = 400
 STAYS = 0.6  # a node of which a branch keeps this share is compared as it is
 MAX_LEVELS = 8
@@ -90,23 +93,32 @@ def sketch(shingles: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     return (mix(out) >> np.uint64(32)).astype(np.uint32)
 
 
+def odd_sketch(shingles: np.ndarray) -> np.ndarray:
+    """``ODD_BITS`` parities of the set's counts by the top bits of its hashes. Two sketches differ
+    in at most as many bits as the sets do in elements."""
+    bins = np.bincount((shingles >> np.uint64(64 - ODD_BITS.bit_length() + 1)).astype(np.int64), minlength=ODD_BITS)
+    return np.packbits(bins & 1)
+
+
 def document_sets(docs: DataFrame, size: int) -> DataFrame:
     """``id, h`` (a hash of the text), ``n`` (set size), ``v`` (digest of the set; null for
-    an empty one), ``sig`` (its minwise tokens)."""
+    an empty one), ``sig`` (its minwise tokens), ``mark`` (a byte of each token, then the odd sketch)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
         shingles, seeds = Shingler(size), sketch_seeds()
         for pdf in batches:
-            n, v, sig = [], [], []
+            n, v, sig, mark = [], [], [], []
             for text in pdf["text"]:
                 s = shingles(text)
                 n.append(len(s))
                 v.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                sig.append(sketch(s, seeds).tobytes() if len(s) else None)
-            yield pd.DataFrame({"id": pdf["id"].astype("Int64"), "h": pdf["h"], "n": n, "v": v, "sig": sig})
+                tokens = sketch(s, seeds) if len(s) else None
+                sig.append(tokens.tobytes() if len(s) else None)
+                mark.append(tokens.astype(np.uint8).tobytes() + odd_sketch(s).tobytes() if len(s) else None)
+            yield pd.DataFrame({"id": pdf["id"].astype("Int64"), "h": pdf["h"], "n": n, "v": v, "sig": sig, "mark": mark})
 
-    return docs.select("id", "h", "text").mapInPandas(run, "id long, h long, n long, v binary, sig binary")
+    return docs.select("id", "h", "text").mapInPandas(run, "id long, h long, n long, v binary, sig binary, mark binary")
 
 
 def trees_for(threshold: float, levels: int = LEVELS_AIMED, miss: float = MISS) -> int:
@@ -153,13 +165,13 @@ def candidate_pairs(leaf: DataFrame, vertices: DataFrame, percent: int, forest:
     """Pairs ``a, b`` of vertices that share a leaf, are in different components
     (``root``) and agree in enough tokens. ``forest``: for each vertex of a cell only its most
     alike partners before and after it."""
-    x = leaf.join(vertices.select("v", "root", "n", "sig"), "v")
+    x = leaf.join(vertices.select("v", "root", "n", "mark"), "v")
     x = x.withColumn("blocks", F.ceil(F.col("size") / LEAF).cast("int"))
     x = x.withColumn("mine", F.pmod(F.xxhash64("v", "node"), F.col("blocks")).cast("int"))
     x = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     x = x.select(F.xxhash64("node", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"),
                  (F.col("mine") <= F.col("other")).alias("low"), (F.col("mine") >= F.col("other")).alias("high"),
-                 "v", "root", "n", "sig")
+                 "v", "root", "n", "mark")
     if not forest:
         # a cell whose vertices are of one component holds nothing to find
         split = x.groupBy("cell").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1")
@@ -188,7 +200,8 @@ def compare_cells(rows: pd.DataFrame, percent: int, need: int, forest: bool) ->
     """Exhaustive comparison of the low with the high vertices of each cell by sketch: rows of a
     cell are neighbours, so row ``i`` meets row ``i + 1``, then ``i + 2`` and so on, all cells at once."""
     cell = rows["cell"].to_numpy()
-    sigs = np.frombuffer(b"".join(rows["sig"]), np.uint32).reshape(len(rows), -1)
+    marks = np.frombuffer(b"".join(rows["mark"]), np.uint8).reshape(len(rows), -1)
+    tokens, odd = marks[:, :SKETCH], np.ascontiguousarray(marks[:, SKETCH:]).view(np.uint64)
     v, n = rows["v"].to_numpy(), rows["n"].to_numpy()
     root = np.unique(rows["root"].to_numpy(), return_inverse=True)[1]
     low, high = rows["low"].to_numpy(), rows["high"].to_numpy()
@@ -205,7 +218,11 @@ def compare_cells(rows: pd.DataFrame, percent: int, need: int, forest: bool) ->
             (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
         a, b = i[ok], j[ok]
         if len(a):
-            same = (sigs[a] == sigs[b]).sum(1)
+            # similar enough sets differ in at most this share of their sizes' sum
+            apart = np.bitwise_count(odd[a] ^ odd[b]).sum(1, dtype=np.int64)
+            ok = apart * (100 + percent) <= (100 - percent) * (n[a] + n[b])
+            a, b = a[ok], b[ok]
+            same = (tokens[a] == tokens[b]).sum(1)
             near = same >= need
             first.append(a[near])
             second.append(b[near])
@@ -268,12 +285,13 @@ def _judge(d: DataFrame, size: int, percent: int) -> DataFrame:
     sets = shared_table(document_sets(d, size), "near-sets")
     rows = sets.count()
     vertices = sets.where("n > 0").groupBy("v").agg(
-        F.min(F.struct("id", "h")).alias("who"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    vertices = shared_table(sized(vertices, rows, 20_000).select("v", "who.id", "who.h", "n", "sig"), "near-vertices")
+        F.min(F.struct("id", "h")).alias("who"), F.first("n").alias("n"), F.first("sig").alias("sig"),
+        F.first("mark").alias("mark"))
+    vertices = shared_table(sized(vertices, rows, 20_000).select("v", "who.id", "who.h", "n", "sig", "mark"), "near-vertices")
     leaf = leaves(vertices, trees_for(percent / 100.0))
     apart = vertices.withColumn("root", F.col("v"))
     links = confirm(candidate_pairs(leaf, apart, percent, forest=True), vertices, d, size, percent)
-    rooted = shared_table(sized(_rooted(vertices, links), rows, 20_000), "near-rooted")
+    rooted = shared_table(sized(_rooted(vertices.drop("sig"), links), rows, 20_000), "near-rooted")
     rest = confirm(candidate_pairs(leaf, rooted, percent, forest=False), vertices, d, size, percent)
     links = links.unionByName(rest)
     degree = links.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("k"))
