@@ -14,8 +14,11 @@ in the corpus, too. Windows (strings of that length) are not looked at one by on
   equality for ``LENGTH`` bytes counts, not the order of unequal suffixes.
 * Parse. Cores are counted over the corpus. A core that occurs once has no repeated
   window; if all phrases of a core are equal, all their windows are repeated.
-  Only where phrases share a core but differ (the ends of repeated passages)
-  their windows are compared one by one, once for each distinct phrase.
+  Only where phrases share a core but differ (the ends of repeated passages, and
+  shared passages that are too short) their windows are looked at, once for each
+  distinct phrase: first strings of ``LENGTH - GRID`` bytes at every ``GRID``-th place
+  before the trigger, of which each window holds one; then, one by one, the windows
+  whose string occurs in another phrase, too.
 * Windows without any trigger (texts of a very short period) are compared directly.
   Those that are equal within a batch are repeated for sure and leave as ranges, with one
   of each kind for the comparison with other batches.
@@ -45,8 +48,9 @@ from trellis.llm.hashing import Hasher, mix
 
 LENGTH = 400
 TRIGGER = 8
-STRONG_BITS, WEAK_BITS = 7, 4
-CORE = 100
+STRONG_BITS, WEAK_BITS = 7, 5
+CORE = 64
+GRID = 30
 BROADCAST_ROWS = 400_000
 
 #: kinds of rows: a phrase, a window without trigger, a range that is repeated for sure
@@ -126,64 +130,93 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             twice = sorted(p for places in loose.values() if len(places) > 1 for p in places)
             if twice:
                 d, i = (np.array(x, np.int64) for x in zip(*twice))
-                cut = np.flatnonzero((np.diff(d) != 0) | (np.diff(i) != 1)) + 1
+                cut = np.flatnonzero((np.diff(d) != 0) | (np.diff(i) != 1) | (np.diff(i >> 19) != 0)) + 1
                 a, b = np.concatenate([[0], cut]), np.concatenate([cut - 1, [len(d) - 1]])
                 zero = np.zeros(len(a), np.uint64)
                 yield _rows(pdf, zero, zero, d[a], i[a], i[a], i[b], SURE)
 
 
 def _rows(pdf, core, full, doc, t, first, last, kind: int) -> pd.DataFrame:
+    # trigger, its distance from the first and to the last window in one number; the kind in the core's low bits
+    place = (t << 20) | (t - first << 10) | (t - last) if kind != SURE else (t << 20) | (last - first)
+    core = (core & ~np.uint64(3)) | np.uint64(kind)
     return pd.DataFrame({"core": core.view(np.int64), "full": full.view(np.int64), "id": pdf["id"].to_numpy()[doc],
-                         "h": pdf["h"].to_numpy()[doc], "t": t, "first": first, "last": last, "kind": kind})
+                         "h": pdf["h"].to_numpy()[doc], "place": place})
 
 
-def _edge_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The windows of the phrases in ``need`` (core, full, t, first, last) of each text, by name."""
-    one, two = Hasher(31), Hasher(37)
-    for pdf in batches:
-        cols: list[list] = [[] for _ in range(5)]
-        for text, need in zip(pdf["text"], pdf["need"]):
-            a = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-            p1, p2 = one.prefix(a), two.prefix(a)
-            for x in need:
-                at = np.arange(x["first"], x["last"] + 1)
-                for c, v in zip(cols, (one.of(p1, at, at + LENGTH), two.of(p2, at, at + LENGTH),
-                                       np.full(len(at), x["core"]), np.full(len(at), x["full"]), at - x["t"])):
-                    c.append(v)
-        if cols[0]:
-            w1, w2, core, full, at = (np.concatenate(c) for c in cols)
-            yield pd.DataFrame({"w1": w1.view(np.int64), "w2": w2.view(np.int64), "core": core, "full": full, "at": at})
+def _windows_of(place):
+    """First and last window start of a phrase or a single window."""
+    t = F.shiftright(place, 20)
+    return (t - F.shiftright(place, 10).bitwiseAND(F.lit(1023))).alias("first"), \
+        (t - place.bitwiseAND(F.lit(1023))).alias("last")
+
+
+def _strings(step: int, length: int):
+    """Names of strings of the phrases in ``need`` (core, full, place, marks) of each text: with
+    ``step`` > 1 the grid strings, else the windows whose grid place is in ``marks``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        one, two = Hasher(31), Hasher(37)
+        for pdf in batches:
+            cols: list[list] = [[] for _ in range(5)]
+            for text, need in zip(pdf["text"], pdf["need"]):
+                a = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+                p1, p2 = one.prefix(a), two.prefix(a)
+                for x in need:
+                    t = x["place"] >> 20
+                    far, near = x["place"] >> 10 & 1023, x["place"] & 1023
+                    if step > 1:
+                        back = np.arange(near // step, far // step + 1) * step
+                    else:
+                        back = np.concatenate([np.arange(max(near, m), min(far, m + GRID - 1) + 1) for m in x["marks"]])
+                    at = t - back
+                    for c, v in zip(cols, (one.of(p1, at, at + length), two.of(p2, at, at + length),
+                                           np.full(len(at), x["core"]), np.full(len(at), x["full"]), back)):
+                        c.append(v)
+            if cols[0]:
+                w1, w2, core, full, back = (np.concatenate(c) for c in cols)
+                # the place before the trigger is part of the name
+                w1 = mix(w1 ^ back.astype(np.uint64))
+                yield pd.DataFrame({"w1": w1.view(np.int64), "w2": w2.view(np.int64), "core": core, "full": full, "back": back})
+
+    return run
+
+
+def _shared_strings(d: DataFrame, need: DataFrame, step: int, length: int, name: str) -> DataFrame:
+    """``core, full, back`` (a sorted list) of the strings that another phrase has at the same place."""
+    need = shared_table(need.groupBy("id", "h").agg(F.collect_list(F.struct(
+        *[c for c in need.columns if c not in ("id", "h")])).alias("need")), f"{name}-need")
+    texts = d.join(broadcast_if(need, need.count(), BROADCAST_ROWS), ["id", "h"]).select("text", "need")
+    found = shared_table(texts.mapInPandas(_strings(step, length), "w1 long, w2 long, core long, full long, back int"), name)
+    same = found.groupBy("w1", "w2").agg(F.min("full").alias("f0"), F.max("full").alias("f1")).where("f0 != f1")
+    return found.join(same.select("w1", "w2"), ["w1", "w2"]).groupBy("core", "full").agg(
+        F.sort_array(F.collect_set("back")).alias("back"))
 
 
 def repeated_windows(d: DataFrame) -> DataFrame:
     """``id, h, first, last``: ranges of window starts whose windows are repeated, for ``d (id, h, text)``."""
-    rows = shared_table(d.mapInPandas(_parse, "core long, full long, id long, h long, t int, first int, last int, "
-                                              "kind int"), "repeat-phrases")
+    rows = shared_table(d.mapInPandas(_parse, "core long, full long, id long, h long, place long"), "repeat-phrases")
+    kind = F.col("core").bitwiseAND(F.lit(3))
     # a core's phrases: how many, and whether they are all equal
-    cores = rows.where(F.col("kind") != SURE).groupBy("kind", "core").agg(
-        F.count(F.lit(1)).alias("n"), F.min("full").alias("f0"), F.max("full").alias("f1")).where("n > 1")
-    cores = cores.select("kind", "core", (F.col("f0") == F.col("f1")).alias("equal"))
-    shared = shared_table(rows.join(cores, ["kind", "core"]), "repeat-shared")
-    sure = shared.where("equal").unionByName(rows.where(F.col("kind") == SURE).withColumn("equal", F.lit(True))) \
-        .select("id", "h", "first", "last")
+    cores = rows.where(kind != SURE).groupBy("core").agg(F.count(F.lit(1)).alias("n"), F.min("full").alias("f0"),
+                                                         F.max("full").alias("f1")).where("n > 1")
+    shared = shared_table(rows.join(cores.select("core", (F.col("f0") == F.col("f1")).alias("equal")), "core"),
+                          "repeat-shared")
+    ranges = _windows_of(F.col("place"))
+    certain = rows.where(kind == SURE).select("id", "h", F.shiftright("place", 20).alias("first"), (
+        F.shiftright("place", 20) + F.col("place").bitwiseAND(F.lit((1 << 20) - 1))).alias("last"))
+    sure = shared.where("equal").select("id", "h", *ranges).unionByName(certain)
     mixed = shared.where(~F.col("equal"))
-    names = shared_table(mixed.groupBy("kind", "core", "full").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "h", "t", "first", "last")).alias("at")), "repeat-names")
-    twice = mixed.join(names.where("n > 1").select("kind", "core", "full"), ["kind", "core", "full"]) \
-        .select("id", "h", "first", "last")
-    need = names.where(F.col("kind") == PHRASE).groupBy("at.id", "at.h").agg(F.collect_list(F.struct(
-        "core", "full", F.col("at.t").alias("t"), F.col("at.first").alias("first"), F.col("at.last").alias("last"))).alias("need"))
-    need = shared_table(need, "repeat-need")
-    once = d.join(broadcast_if(need, need.count(), BROADCAST_ROWS), ["id", "h"]).select("text", "need")
-    windows = shared_table(once.mapInPandas(_edge_windows, "w1 long, w2 long, core long, full long, at int"),
-                           "repeat-windows")
-    same = windows.groupBy("w1", "w2").agg(F.min("full").alias("f0"), F.max("full").alias("f1")).where("f0 != f1")
-    found = windows.join(same.select("w1", "w2"), ["w1", "w2"]).groupBy("core", "full").agg(
-        F.sort_array(F.collect_set("at")).alias("at"))
-    single = mixed.where(F.col("kind") == PHRASE).join(names.where((F.col("n") == 1) & (F.col("kind") == PHRASE)).select("core", "full"), ["core", "full"])
-    edges = single.join(found, ["core", "full"]).select("id", "h", F.explode("at").alias("at"), "t")
-    edges = edges.select("id", "h", (F.col("t") + F.col("at")).alias("first"), (F.col("t") + F.col("at")).alias("last"))
-    return sure.unionByName(twice).unionByName(edges)
+    names = shared_table(mixed.groupBy("core", "full").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "h", "place")).alias("at")), "repeat-names")
+    twice = mixed.join(names.where("n > 1").select("core", "full"), ["core", "full"]).select("id", "h", *ranges)
+    need = names.where(kind == PHRASE).select("at.id", "at.h", "core", "full", "at.place")
+    marks = _shared_strings(d, need, GRID, LENGTH - GRID, "repeat-grid").withColumnRenamed("back", "marks")
+    found = _shared_strings(d, need.join(marks, ["core", "full"]), 1, LENGTH, "repeat-windows")
+    single = mixed.join(names.where((F.col("n") == 1) & (kind == PHRASE)).select("core", "full"), ["core", "full"])
+    edges = single.join(found, ["core", "full"]).select("id", "h", "place", F.explode("back").alias("b")) \
+        .select("id", "h", (F.shiftright("place", 20) - F.col("b")).alias("first"))
+    return sure.unionByName(twice).unionByName(edges.withColumn("last", F.col("first")))
 
 
 def merge_ranges(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
