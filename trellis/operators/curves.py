@@ -25,7 +25,7 @@ from trellis.session import cut_lineage
 CALIBRATION_BINS = 10
 FALLBACK_THRESHOLD = 0.5
 MIN_CURVE_BUCKETS = 16
-MAX_CURVE_BUCKETS = 65_536
+SKETCH_CUTS = 4_096   # cut points asked of one quantile sketch
 
 
 def score_counts(scored: DataFrame, label: str, score: str, n_buckets: int | None = None
@@ -48,10 +48,15 @@ def score_counts(scored: DataFrame, label: str, score: str, n_buckets: int | Non
     head = dist.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"), F.count(F.lit(1)).alias("m")).first()
     P, N, m = int(head["P"] or 0), int(head["N"] or 0), int(head["m"])
     if n_buckets is None:
-        n_buckets = int(min(MAX_CURVE_BUCKETS, max(MIN_CURVE_BUCKETS, math.ceil(m / ROWS_PER_BUCKET))))
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    cuts = dist.approxQuantile("score", probs, 1.0 / (4 * n_buckets)) if m else []
-    splits = [float("-inf"), *sorted({float(c) for c in cuts}), float("inf")]
+        n_buckets = int(max(MIN_CURVE_BUCKETS, math.ceil(m / ROWS_PER_BUCKET)))
+    asked = min(n_buckets, SKETCH_CUTS)
+    cuts = dist.approxQuantile("score", [i / asked for i in range(1, asked)], 1.0 / (4 * asked)) if m else []
+    cuts = sorted({float(c) for c in cuts})
+    more = -(-n_buckets // asked)
+    if more > 1 and len(cuts) > 1:  # more buckets than the sketch tells apart: even cuts between its points
+        cuts = [a + (b - a) * k / more for a, b in zip(cuts, cuts[1:]) for k in range(more)] + cuts[-1:]
+        cuts = sorted(set(cuts))
+    splits = [float("-inf"), *cuts, float("inf")]
     if len(splits) < 3:
         splits = [float("-inf"), 0.0, float("inf")]
     b = Bucketizer(splits=splits, inputCol="score", outputCol="_b", handleInvalid="keep")

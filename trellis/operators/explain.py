@@ -43,16 +43,17 @@ def global_importance(attributions: DataFrame) -> DataFrame:
 
 def local_explanation(attributions: DataFrame, max_display: int = LOCAL_MAX_DISPLAY,
                       keys: Sequence[str] = ()) -> DataFrame:
-    """Top ``max_display - 1`` features of each row by |phi| and one ``other``
-    line that sums the rest (waterfall data, M11). Rows are independent, so
-    the window is partitioned by the row key."""
+    """All features of each row by |phi| if there are at most ``max_display``, else
+    the top ``max_display - 1`` and one ``other`` line that sums the rest (waterfall
+    data, M11). Rows are independent, so the window is partitioned by the row key."""
     if not keys:
         raise ValueError("local_explanation needs the row key columns (the window is per row)")
     w = Window.partitionBy(*keys).orderBy(F.abs("phi").desc(), F.col("feature"))
     ranked = attributions.withColumn("rank", F.row_number().over(w))
-    keep = max_display - 1
-    top = ranked.where(F.col("rank") <= keep)
-    rest = ranked.where(F.col("rank") > keep).groupBy(*keys).agg(
+    ranked = ranked.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    shown = (F.col("_n") <= max_display) | (F.col("rank") < max_display)
+    top = ranked.where(shown).drop("_n")
+    rest = ranked.where(~shown).groupBy(*keys).agg(
         F.lit("other").alias("feature"), F.lit(None).cast("double").alias("value"),
         F.sum("phi").alias("phi"), F.lit(max_display).alias("rank"))
     return top.unionByName(rest.select(*keys, "feature", "value", "phi", F.col("rank").cast("int")),

@@ -207,6 +207,28 @@ def grid_search(pipeline_stages: Sequence, estimator, grid: dict, train: DataFra
     return fitted.bestModel, table
 
 
+def grid_search_parts(make, grid: dict, folded: DataFrame, fold_col: str, k: int, label: str = "label",
+                      parallelism: int = 4):
+    """Grid search where every fit prepares its own training part: ``make(params)`` gives a
+    function from a training part to a fitted model (see ``fitter``). Validation rows are the real
+    rows of the fold, so oversampling never reaches them. Returns (model of the best parameters
+    on all rows, table of mean F1)."""
+    keys = list(grid)
+    sets = [dict(zip(keys, values)) for values in product(*[grid[x] for x in keys])]
+    ev = PositiveF1Evaluator(label, "prediction")
+
+    def one(task):
+        params, f = task
+        m = make(params)(folded.where(F.col(fold_col) != f))
+        return ev.evaluate(m.transform(folded.where(F.col(fold_col) == f)))
+    scores = run_parallel(one, [(p, f) for p in sets for f in range(k)], parallelism)
+    means = [sum(scores[i * k:(i + 1) * k]) / k for i in range(len(sets))]
+    best = max(range(len(sets)), key=lambda i: (means[i], -i))
+    rows = [(", ".join(f"{n}={v}" for n, v in p.items()), m) for p, m in zip(sets, means)]
+    table = folded.sparkSession.createDataFrame(rows, "params string, mean_f1 double")
+    return make(sets[best])(folded), table
+
+
 def run_parallel(fn, items, parallelism: int):
     """Run independent fits as concurrent Spark jobs (as ``CrossValidator``
     does with ``parallelism``); results keep the input order."""
@@ -216,28 +238,29 @@ def run_parallel(fn, items, parallelism: int):
         return [fn(x) for x in items]
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
         futures = [pool.submit(fn, x) for x in items]
-    out = []
-    for x, fut in zip(items, futures):
-        try:
-            out.append(fut.result())
-        except Exception:  # a concurrent fit lost a broadcast block: refit alone
-            out.append(fn(x))
-    return out
+    return [f.result() for f in futures]
 
 
-def cv_fold_scores(pipeline: Pipeline | Estimator, df: DataFrame, fold_col: str, k: int, name: str,
+def fitter(model):
+    """``fit(train part) -> model``: an estimator's ``fit``, or the function itself, which
+    may impute, weight or oversample the part it gets -- and nothing else."""
+    return model.fit if isinstance(model, Estimator) else model
+
+
+def cv_fold_scores(pipeline, df: DataFrame, fold_col: str, k: int, name: str,
                    label: str = "label", parallelism: int = 4, keep_scored: bool = False,
                    key: Sequence[str] = ()):
     """Positive-class F1 of ``pipeline`` on every held-out fold: long
     ``(model, fold, score)`` (M7). The same fold column for every model keeps
-    the paired test valid. With ``keep_scored`` also the out-of-fold scored
-    rows ``(key..., label, prediction, p1)`` -- the leak-free input for
-    choosing a decision threshold."""
+    the paired test valid. ``pipeline`` is an estimator or a function from a
+    training part to a fitted model (see ``fitter``). With ``keep_scored`` also
+    the out-of-fold scored rows ``(key..., label, prediction, p1)`` -- the
+    leak-free input for choosing a decision threshold."""
     ev = PositiveF1Evaluator(label, "prediction")
     models_out = {}
 
     def one(f):
-        m = pipeline.fit(df.where(F.col(fold_col) != f))
+        m = fitter(pipeline)(df.where(F.col(fold_col) != f))
         models_out[f] = m
         return (name, f, ev.evaluate(m.transform(df.where(F.col(fold_col) == f))))
     rows = run_parallel(one, range(k), parallelism)
@@ -253,14 +276,14 @@ def cv_fold_scores(pipeline: Pipeline | Estimator, df: DataFrame, fold_col: str,
 
 
 def cv_regression_scores(pipeline, df: DataFrame, fold_col: str, k: int, name: str,
-                         label: str = "label") -> DataFrame:
+                         label: str = "label", parallelism: int = 4) -> DataFrame:
     """RMSE per held-out fold for a regressor."""
-    rows = []
-    for f in range(k):
-        m = pipeline.fit(df.where(F.col(fold_col) != f))
+    def one(f):
+        m = fitter(pipeline)(df.where(F.col(fold_col) != f))
         pred = m.transform(df.where(F.col(fold_col) == f))
         mse = pred.agg(F.avg(F.pow(F.col(label) - F.col("prediction"), 2))).first()[0]
-        rows.append((name, f, math.sqrt(mse) if mse is not None else None))
+        return (name, f, math.sqrt(mse) if mse is not None else None)
+    rows = run_parallel(one, range(k), parallelism)
     return df.sparkSession.createDataFrame(rows, "model string, fold int, score double")
 
 
@@ -274,7 +297,7 @@ def feature_importance(model, features: Sequence[str], spark) -> DataFrame:
         .orderBy(F.col("importance").desc(), F.col("feature"))
 
 
-def learning_curve(pipeline: Pipeline, positions: DataFrame, k: int, label: str = "label",
+def learning_curve(pipeline, positions: DataFrame, k: int, label: str = "label",
                    fold_col: str = "fold", parallelism: int = 4) -> DataFrame:
     """Training and CV F1 per training-subset size (M9): for every fold and
     size, fit on the first ``size`` training rows (hash order) and score both
@@ -291,7 +314,7 @@ def learning_curve(pipeline: Pipeline, positions: DataFrame, k: int, label: str
         f, j, size = task
         held = positions.where(F.col(fold_col) == f)
         sub = positions.where(F.col(f"pos_{f}") <= size)
-        m = pipeline.fit(sub)
+        m = fitter(pipeline)(sub)
         return (j, size, f, ev.evaluate(m.transform(sub)), ev.evaluate(m.transform(held)))
     rows = run_parallel(one, tasks, parallelism)
     per = positions.sparkSession.createDataFrame(

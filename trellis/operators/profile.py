@@ -226,6 +226,27 @@ def polarity_check(df: DataFrame, label: str, group: str, cols: Sequence[str] |
     return out
 
 
+def _vif_of_gram(g: np.ndarray) -> list[float | None]:
+    """``G_ii (G^-1)_ii``; for a singular matrix each column's own regression on
+    the others (pseudo-inverse): infinite for columns that depend on others,
+    finite for the rest, NULL for a column without variation."""
+    d = np.sqrt(np.diag(g))
+    live = np.flatnonzero(d > 0)
+    r = g[np.ix_(live, live)] / np.outer(d[live], d[live])
+    vals: list[float | None] = [None] * len(g)
+    if len(live) and np.linalg.matrix_rank(r, tol=1e-12, hermitian=True) == len(live):
+        inv = np.linalg.inv(g[np.ix_(live, live)])
+        for k, i in enumerate(live):
+            vals[i] = float(g[i, i] * inv[k, k])
+        return vals
+    for k, i in enumerate(live):
+        rest = np.delete(np.arange(len(live)), k)
+        x = r[rest, k]
+        left = 1.0 - float(x @ np.linalg.pinv(r[np.ix_(rest, rest)], rcond=1e-10, hermitian=True) @ x)
+        vals[i] = float("inf") if left < 1e-10 else 1.0 / left
+    return vals
+
+
 def vif(df: DataFrame, cols: Sequence[str] | None = None, centered: bool = False) -> DataFrame:
     """Variance inflation factors ``(feature, vif)``, sorted descending.
 
@@ -251,11 +272,7 @@ def vif(df: DataFrame, cols: Sequence[str] | None = None, centered: bool = False
     if centered and n:
         s = np.array([row[f"s{i}"] or 0.0 for i in range(k)])
         g = g - np.outer(s, s) / n
-    try:
-        inv = np.linalg.inv(g)
-        vals = [float(g[i, i] * inv[i, i]) for i in range(k)]
-    except np.linalg.LinAlgError:
-        vals = [float("inf")] * k
+    vals = _vif_of_gram(g)
     schema = StructType([StructField("feature", StringType()), StructField("vif", DoubleType())])
     res = df.sparkSession.createDataFrame(list(zip(cols, vals)), schema)
-    return res.orderBy(F.col("vif").desc(), F.col("feature"))
+    return res.orderBy(F.col("vif").desc_nulls_last(), F.col("feature"))

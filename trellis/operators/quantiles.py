@@ -13,8 +13,9 @@ statistic is found by bracketing:
    interpolates.
 
 When a bracket would be too wide to return (enormous tables, or an
-approximation that missed the rank), the bracket is narrowed by further
-``percentile_approx`` rounds restricted to it before the final pass. Nothing
+approximation that missed the rank), the brackets of all columns are narrowed
+together by further ``percentile_approx`` rounds restricted to them before the
+final pass (two aggregates a round, whatever the number of columns). Nothing
 unbounded moves to one task or the driver, and a value that holds a third of
 the rows collapses to one (value, count) pair.
 """
@@ -111,20 +112,23 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     # expected bracket size is ~4n/accuracy; narrow first only if that is large
     big = {t: br for t, br in brackets.items()
            if br[1] != -INF and 4.0 * eps * n_of[br[0]] > max_collect}
-    if big:
-        narrowed = {}
-        for t, br in big.items():  # lo and hi ranks may need separate brackets
-            sub = _narrow(df, {0: br}, {0: ranks[t][0]}, accuracy, max_collect)[0]
-            narrowed[t] = (br[0], sub[1], _narrow(df, {0: br}, {0: ranks[t][-1]}, accuracy,
-                                                   max_collect)[0][2])
-        brackets.update(narrowed)
+    if big:  # one bracket for each wanted rank; all of them shrink in the same passes
+        parts = {}
+        for t in big:
+            for r in sorted(set(ranks[t])):
+                parts[len(brackets) + len(parts)] = (t, r)
+        narrowed = _narrow(df, {u: brackets[t] for u, (t, _) in parts.items()}, {u: r for u, (_, r) in parts.items()},
+                           accuracy, max_collect)
+        for t in big:
+            del brackets[t], ranks[t]
+        for u, (_, r) in parts.items():
+            brackets[u], ranks[u] = narrowed[u], [r]
     values = _walk(_collect_brackets(df, brackets), brackets, ranks)
     missing = [(brackets[t][0], r) for t in brackets for r in ranks[t] if (brackets[t][0], r) not in values]
     if missing:  # the approximation missed: narrow from the full range, then collect
         retry = {i: (c, -INF, INF) for i, (c, _) in enumerate(missing)}
         rr = {i: [r] for i, (_, r) in enumerate(missing)}
-        narrowed = {i: _narrow(df, {0: retry[i]}, {0: rr[i][0]}, accuracy, max_collect)[0]
-                    for i in retry}
+        narrowed = _narrow(df, retry, {i: r[0] for i, r in rr.items()}, accuracy, max_collect)
         values.update(_walk(_collect_brackets(df, narrowed), narrowed, rr))
     out: dict[tuple[str, float], float | None] = {}
     for (c, p), spec in plans.items():
@@ -155,18 +159,20 @@ def _walk(got, brackets, ranks) -> dict[tuple[str, int], float]:
 
 
 def _narrow(df: DataFrame, brackets: dict[int, tuple[str, float, float]], ranks: dict[int, int],
-            accuracy: int, max_collect: int, rounds: int = 8) -> dict[int, tuple[str, float, float]]:
+            accuracy: int, max_collect: int) -> dict[int, tuple[str, float, float]]:
     """Shrink brackets by ``percentile_approx`` rounds restricted to each
-    bracket until it holds at most ``max_collect`` rows (or stops shrinking,
-    which means it is made of a few repeated values -- cheap to collect)."""
+    bracket until it holds at most ``max_collect`` rows. All brackets share each round's two
+    aggregates. Where the sketch makes no headway, the bracket is cut at the middle of
+    its value range, which always does: a bracket ends when it is small or
+    one value wide, so nothing large is ever collected."""
     eps = 1.0 / accuracy
     state = {}
     counts = _bracket_counts(df, brackets)
     for t, (c, a, b) in brackets.items():
         below, inside = counts[t]
         state[t] = [c, a, b, below, inside]
-    for _ in range(rounds):
-        todo = [t for t, s in state.items() if s[4] > max_collect]
+    while True:
+        todo = [t for t, s in state.items() if s[4] > max_collect and s[1] < s[2]]
         if not todo:
             break
         aggs = []
@@ -176,18 +182,26 @@ def _narrow(df: DataFrame, brackets: dict[int, tuple[str, float, float]], ranks:
             x = F.when((F.col(c) >= F.lit(a)) & (F.col(c) <= F.lit(b)), F.col(c))
             aggs.append(F.percentile_approx(x, [min(max(p - 2 * eps, 0.0), 1.0),
                                                 min(max(p + 2 * eps, 0.0), 1.0)], accuracy).alias(f"q{t}"))
+            aggs += [F.min(x).alias(f"mn{t}"), F.max(x).alias(f"mx{t}")]
         row = df.agg(*aggs).first()
-        proposal = {t: (state[t][0], float(row[f"q{t}"][0]), float(row[f"q{t}"][1])) for t in todo
-                    if row[f"q{t}"]}
-        checked = _bracket_counts(df, proposal)
-        progressed = False
-        for t, (c, a, b) in proposal.items():
-            below, inside = checked[t]
-            if below <= ranks[t] < below + inside and inside < state[t][4]:
-                state[t] = [c, a, b, below, inside]
-                progressed = True
-            else:
-                state[t][4] = 0  # cannot narrow further: collect as is
-        if not progressed:
-            break
+        tries = {}
+        for k, t in enumerate(todo):
+            c, mn, mx = state[t][0], float(row[f"mn{t}"]), float(row[f"mx{t}"])
+            state[t][1:3] = [mn, mx]
+            tries[3 * k] = (c, float(row[f"q{t}"][0]), float(row[f"q{t}"][1]))
+            mid = mn + (mx - mn) / 2
+            tries[3 * k + 1], tries[3 * k + 2] = (c, mn, mid), (c, math.nextafter(mid, INF), mx)
+        checked = _bracket_counts(df, tries)
+        for k, t in enumerate(todo):
+            for u in range(3 * k, 3 * k + 3):
+                below, inside = checked[u]
+                if below <= ranks[t] < below + inside and inside < state[t][4]:
+                    state[t] = [*tries[u], below, inside]
+                    break
+            else:  # the middle cannot be told from an end: both ends hold one value each
+                c, mn, mx = state[t][:3]
+                ends = {0: (c, mn, mn), 1: (c, mx, mx)}
+                for u, (below, inside) in _bracket_counts(df, ends).items():
+                    if below <= ranks[t] < below + inside:
+                        state[t] = [*ends[u], below, inside]
     return {t: (s[0], s[1], s[2]) for t, s in state.items()}

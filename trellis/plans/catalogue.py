@@ -279,6 +279,14 @@ def q_vif_uncentered(spark, d):
     return r6(profile.vif(lineitem(spark, d), VIF_COLS))
 
 
+@query("vif_singular", _vif_sql() + """
+UNION ALL SELECT 'zero', CAST(NULL AS DOUBLE)""")
+def q_vif_singular(spark, d):
+    """A column without variation leaves the others' factors finite."""
+    li = lineitem(spark, d).withColumn("zero", F.lit(0.0))
+    return r6(profile.vif(li, [*VIF_COLS, "zero"]))
+
+
 # --------------------------------------------------------------------------- splits
 
 MD5_EV = "md5(CAST(event_id AS VARCHAR) || ':42')"
@@ -765,6 +773,32 @@ def q_linear_shap_global(spark, d):
     return r6(global_importance(linear_attr_frame(spark, d)))
 
 
+def _picked_attributions(spark, d):
+    from trellis.operators.explain import linear_attributions
+    li = labelled_lineitem(spark, d)
+    order = [F.col("label").desc(), "l_orderkey", "l_linenumber", *FEATURES]
+    pick = li.orderBy(*order).limit(1)   # the P9 row: first positive, else first
+    return linear_attributions(pick, ["l_orderkey", "l_linenumber"], LINEAR_COEF, background=li)
+
+
+@query("local_explanation_folded", f"""
+WITH {_lin_sql()},
+pick AS (SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax FROM lil
+         ORDER BY label DESC, l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax LIMIT 1),
+r AS (SELECT feature, value, phi, CAST(row_number() OVER (ORDER BY abs(phi) DESC, feature) AS INTEGER) AS rank
+      FROM att JOIN pick USING (l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax))
+SELECT 4 AS shown, feature, round(value, 6) AS value, round(phi, 6) AS phi, rank FROM r
+UNION ALL SELECT 3, feature, round(value, 6), round(phi, 6), rank FROM r WHERE rank < 3
+UNION ALL SELECT 3, 'other', NULL, round(sum(phi), 6), 3 FROM r WHERE rank >= 3""")
+def q_local_explanation_folded(spark, d):
+    """As many features as the limit are all shown; one more, and the rest is summed."""
+    from trellis.operators.explain import local_explanation
+    att = _picked_attributions(spark, d)
+    parts = [local_explanation(att, limit, ["l_orderkey", "l_linenumber"]).select(
+        F.lit(limit).alias("shown"), "feature", "value", "phi", F.col("rank").cast("int")) for limit in (4, 3)]
+    return r6(parts[0].unionByName(parts[1]))
+
+
 @query("local_explanation", f"""
 WITH {_lin_sql()},
 pick AS (SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax FROM lil
@@ -773,11 +807,8 @@ SELECT feature, round(value, 6) AS value, round(phi, 6) AS phi,
        CAST(row_number() OVER (ORDER BY abs(phi) DESC, feature) AS INTEGER) AS rank
 FROM att JOIN pick USING (l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax)""")
 def q_local_explanation(spark, d):
-    from trellis.operators.explain import linear_attributions, local_explanation
-    li = labelled_lineitem(spark, d)
-    order = [F.col("label").desc(), "l_orderkey", "l_linenumber", *FEATURES]
-    pick = li.orderBy(*order).limit(1)   # the P9 row: first positive, else first
-    att = linear_attributions(pick, ["l_orderkey", "l_linenumber"], LINEAR_COEF, background=li)
+    from trellis.operators.explain import local_explanation
+    att = _picked_attributions(spark, d)
     return r6(local_explanation(att, keys=["l_orderkey", "l_linenumber"])
               .select("feature", "value", "phi", F.col("rank").cast("int")))
 
@@ -787,10 +818,16 @@ def q_local_explanation(spark, d):
 MODEL_FEATURES = ["l_extendedprice", "l_discount", "l_tax"]
 
 
+def lineitem_frame(spark, sf_dir: str) -> DataFrame:
+    """lineitem as a labelled modelling table: dedup at load, the 0-9 score and its label, a content key."""
+    li = lineitem(spark, sf_dir).select("q10", "l_extendedprice", "l_discount", "l_tax", "l_linestatus")
+    return prep.row_key(prep.binary_label(prep.dedup(li), "q10", "label", 7), "row_key")
+
+
 def flagship(spark, d):
     """Model comparison (baseline, LR, RF, GBT) on a leak-safe split."""
     from trellis.plans import workflow
-    df = workflow.lineitem_frame(spark, d)
+    df = lineitem_frame(spark, d)
     res = workflow.classification(df, "row_key", "label", MODEL_FEATURES, workflow.ModelSizes.small())
     return r6(res.comparison)
 
@@ -804,7 +841,7 @@ def q_ml_model_comparison(spark, d):
 def q_ml_model_comparison_smote(spark, d):
     """The same comparison with SMOTE on the training rows instead of weights."""
     from trellis.plans import workflow
-    df = workflow.lineitem_frame(spark, d)
+    df = lineitem_frame(spark, d)
     res = workflow.classification(df, "row_key", "label", MODEL_FEATURES, workflow.ModelSizes.small(),
                                   resample="smote")
     return r6(res.comparison)
@@ -848,7 +885,7 @@ def q_smote_counts(spark, d):
 def model_split(spark, d):
     """Prepared lineitem modelling table with its exact stratified split."""
     from trellis.plans import workflow
-    df = workflow.lineitem_frame(spark, d)
+    df = lineitem_frame(spark, d)
     return workflow.prepare(df, "row_key", "label", MODEL_FEATURES + ["q10"], checkpoint=True)
 
 
@@ -909,7 +946,7 @@ def q_rf_regression_metrics(spark, d):
 
     from trellis.operators import metrics, models, split
     from trellis.plans import workflow
-    df = workflow.lineitem_frame(spark, d).withColumn("score", F.col("q10").cast("double"))
+    df = lineitem_frame(spark, d).withColumn("score", F.col("q10").cast("double"))
     sp = split.random_split(df, "row_key")
     pipe = Pipeline(stages=[models.assembler(MODEL_FEATURES),
                             models.rf_regressor(20, "score", max_depth=8)])
@@ -1051,9 +1088,24 @@ def q_actual_vs_predicted(spark, d):
 
 # --------------------------------------------------------------------------- entries B and C
 
-@query("combined_polarity")
+def _pooled_corr(cols, where=""):
+    return " UNION ALL ".join(f"SELECT {'type AS grp, ' if where else ''}'{c}' AS feature, {_corr_sql(c, 'label')} AS r "
+                              f"FROM pooled{' GROUP BY type' if where else ''}" for c in cols)
+
+
+@query("combined_polarity", f"""
+WITH {LI_SQL},
+pooled AS (SELECT DISTINCT CAST(CASE WHEN l_linestatus = 'F' THEN 0 ELSE 1 END AS VARCHAR) AS type,
+                  CASE WHEN q10 >= 7 THEN 1 ELSE 0 END AS label, l_extendedprice, l_discount, l_tax
+           FROM li WHERE l_linestatus IN ('F', 'O')),
+g AS ({_pooled_corr(["l_extendedprice", "l_discount", "l_tax"], "group")}),
+p AS ({_pooled_corr(["l_extendedprice", "l_discount", "l_tax"])})
+SELECT g.feature, g.grp AS "group", round(g.r, 6) AS r_group, round(p.r, 6) AS r_pooled,
+       coalesce(sign(g.r) * sign(p.r) < 0, false) AS sign_flip
+FROM g JOIN p USING (feature)""")
 def q_combined_polarity(spark, d):
-    """Entry B on two sources (line status F and O as the two data sets)."""
+    """Entry B on two sources (line status F and O as the two data sets): the
+    feature-label relation of each source beside the pooled one."""
     from trellis.plans import workflow
     li = lineitem(spark, d)
     li = prep.binary_label(li, "q10", "label", LABEL_THRESHOLD)
@@ -1061,15 +1113,15 @@ def q_combined_polarity(spark, d):
     f = li.where(F.col("l_linestatus") == "F").select(*cols)
     o = li.where(F.col("l_linestatus") == "O").select(*cols)
     out = workflow.combined([f, o], [0, 1], "row_key", "label", MODEL_FEATURES,
-                            sizes=workflow.ModelSizes.small())
-    return r6(out["comparison"])
+                            sizes=workflow.ModelSizes.small(), models_too=False)
+    return r6(out["polarity"])
 
 
 @query("score_regression_cv")
 def q_score_regression_cv(spark, d):
     """Entry C (score): forest regressor on the 0-9 score, 5-fold RMSE summary."""
     from trellis.plans import workflow
-    df = workflow.lineitem_frame(spark, d).withColumn("score", F.col("q10").cast("double"))
+    df = lineitem_frame(spark, d).withColumn("score", F.col("q10").cast("double"))
     out = workflow.score_regression(df, "row_key", "score", MODEL_FEATURES, k=5, trees=20, max_depth=8)
     return r6(out["cv"])
 
@@ -1078,7 +1130,7 @@ def q_score_regression_cv(spark, d):
 def q_type_prediction_report(spark, d):
     """Entry C (type): which source (line status) does a row come from."""
     from trellis.plans import workflow
-    df = workflow.lineitem_frame(spark, d).withColumn(
+    df = lineitem_frame(spark, d).withColumn(
         "is_open", F.when(F.col("l_linestatus") == "O", 1).otherwise(0))
     out = workflow.type_prediction(df, "row_key", "is_open", MODEL_FEATURES, workflow.ModelSizes.small())
     return r6(out["report"])

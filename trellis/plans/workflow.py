@@ -19,17 +19,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trellis.operators import metrics, models, prep, profile, split
-from trellis.operators.transform import fit_standard_scaler
+from trellis.operators.transform import fit_median_imputer, fit_standard_scaler
 from trellis.session import cut_lineage
 
 
+#: suffixes of the columns that fitted preprocessing adds
+IMPUTED, SCALED = "__i", "__z"
+
+
 @dataclass
 class ModelSizes:
-    """Learner sizes. ``small()`` is for smoke runs. The untuned forest uses
-    depth 20 (the middle of the reference's grid): Spark grows trees level by
-    level, and "no limit" (depth 30) is only reached through ``tune=True``."""
+    """Learner sizes. ``small()`` is for smoke runs. ``rf_depth`` None is the
+    largest depth Spark grows (30), which stands for "no limit"."""
     rf_trees: int = 100
-    rf_depth: int | None = 20
+    rf_depth: int | None = None
     rf_min_split: int = 5
     gbt_iter: int = 200
     gbt_depth: int = 6
@@ -161,20 +164,10 @@ def classification(df: DataFrame, key: str, label: str, features: Sequence[str],
     return ClassificationResult(prepared, check, metrics.compare_models(rows), fitted, scored)
 
 
-def lineitem_frame(spark, sf_dir: str) -> DataFrame:
-    """The driver's lineitem as a labelled modelling table: dedup at load, the
-    0-9 score and its label, a content key."""
-    from trellis.plans.catalogue import lineitem
-    li = lineitem(spark, sf_dir).select("q10", "l_extendedprice", "l_discount", "l_tax", "l_linestatus")
-    li = prep.dedup(li)
-    li = prep.binary_label(li, "q10", "label", 7)
-    return prep.row_key(li, "row_key")
-
-
 def combined(frames: Sequence[DataFrame], markers: Sequence[int], key: str, label: str,
              features: Sequence[str], marker: str = "type", group_check: bool = True,
              sizes: ModelSizes | None = None, checkpoint: bool = True, report: bool = False,
-             cv_folds: int = 10, out_dir: str | None = None) -> dict:
+             cv_folds: int = 10, out_dir: str | None = None, models_too: bool = True) -> dict:
     """Entry B: pool several sources (dedup per source, then a source marker
     column), model with the marker as a feature, and check the feature-label
     relation per source against the pooled one (Simpson's paradox, A28).
@@ -188,6 +181,8 @@ def combined(frames: Sequence[DataFrame], markers: Sequence[int], key: str, labe
     if report:
         out = full_report(pooled, label, feats, key=key, sizes=sizes, cv_folds=cv_folds, out_dir=out_dir)
         out["fitted"] = {}
+    elif not models_too:  # the relations alone
+        out = {}
     else:
         res = classification(pooled, key, label, feats, sizes, learners=("rf", "gbt"), checkpoint=checkpoint)
         out = {"comparison": res.comparison, "split_check": res.split_check, "fitted": res.fitted}
@@ -228,20 +223,22 @@ def score_regression(df: DataFrame, key: str, target: str, features: Sequence[st
 
 
 def type_prediction(df: DataFrame, key: str, label: str, features: Sequence[str],
-                    sizes: ModelSizes | None = None, checkpoint: bool = True) -> dict:
-    """Entry C (type): exact stratified split, boosted trees with the fixed
-    parameters and ``scale_pos_weight = neg/pos``, accuracy, per-class report,
-    confusion matrix, ROC curve and AUC, importances."""
+                    sizes: ModelSizes | None = None, checkpoint: bool = True, weighted: bool = False) -> dict:
+    """Entry C (type): exact stratified split, boosted trees (100 of depth 6, step 0.1, unless
+    ``sizes`` says else), accuracy, per-class report, confusion matrix, ROC curve and
+    AUC, importances. ``weighted`` weights the positives by ``neg/pos``."""
     from trellis.operators import curves
-    sizes = sizes or ModelSizes()
+    sizes = sizes or ModelSizes(gbt_iter=100, gbt_depth=6, gbt_step=0.1)
     prepared = prepare(df, key, label, features, checkpoint=checkpoint)
     train = prepared.where(F.col("split") == "train")
     test = prepared.where(F.col("split") == "test")
-    pw = profile.pos_weight(train, label).first()["pos_weight"] or 1.0
-    train = models.with_positive_weight(train, label, pw)
-    model = Pipeline(stages=[models.assembler(features),
+    if weighted:
+        pw = profile.pos_weight(train, label).first()["pos_weight"] or 1.0
+        train = models.with_positive_weight(train, label, pw)
+    imputer = fit_median_imputer(train, features, suffix=IMPUTED)
+    model = Pipeline(stages=[imputer.as_stage(), models.assembler([f + IMPUTED for f in features]),
                              models.boosted_trees(sizes.gbt_iter, sizes.gbt_depth, sizes.gbt_step,
-                                                  label, "weight")]).fit(train)
+                                                  label, "weight" if weighted else None)]).fit(train)
     scored = models.score(model, test, label, [key])
     scored = cut_lineage(scored, "scored") if checkpoint else scored   # four tables read it
     return {"report": metrics.classification_report(scored, label),

@@ -90,13 +90,20 @@ def load_pipeline(path: str):
     return PipelineModel.load(path)
 
 
+def _preprocessing(model) -> dict[str, str]:
+    """Which fitted preprocessing the stages of a pipeline carry (see ``operators.transform``)."""
+    sql = [s.getStatement() for s in getattr(model, "stages", []) if hasattr(s, "getStatement")]
+    held = {"imputer": any("coalesce(CAST(" in x for x in sql), "scaler": any(") / CAST(" in x for x in sql)}
+    return {k: "included_in_pipeline" if v else "none" for k, v in held.items()}
+
+
 def save_bundle(spark: SparkSession, model, path: str, description: str = BUNDLE_DESCRIPTION,
                 extra: dict | None = None) -> None:
     """Production bundle (S8): the fitted pipeline plus a one-row metadata table
-    with the creation time (ISO) and a description."""
+    with the creation time (ISO), a description, and whether the pipeline holds
+    an imputer and a scaler (read from its stages)."""
     save_model(model, f"{path}/model")
-    meta = {"created": _dt.datetime.now().isoformat(), "description": description,
-            "scaler": "included_in_pipeline", "imputer": "included_in_pipeline"}
+    meta = {"created": _dt.datetime.now().isoformat(), "description": description, **_preprocessing(model)}
     if extra:
         meta.update({k: json.dumps(v) if not isinstance(v, str) else v for k, v in extra.items()})
     cols = sorted(meta)
