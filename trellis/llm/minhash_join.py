@@ -16,8 +16,8 @@ nothing is capped. Comparison is by sketch first: a pair goes on if as many toke
 agree as a pair at the threshold reaches in all but ``MISS`` of cases, and if their
 odd sketches (parities of the sets in ``ODD_BITS`` bins) do not prove that they
 differ in too many elements. Links are then
-confirmed on full sets, in two rounds: each document's most alike partners in
-a cell first, and after merging what they confirm, all pairs between documents
+confirmed on full sets, in two rounds: each document's most alike partner before it
+in a cell first, and after merging what they confirm, all pairs between documents
 that are still in different components. Pairs inside a component
 need no look, as only components are returned.
 
@@ -163,8 +163,8 @@ def leaves(vertices: DataFrame, trees: int) -> DataFrame:
 
 def candidate_pairs(leaf: DataFrame, vertices: DataFrame, percent: int, forest: bool) -> DataFrame:
     """Pairs ``a, b`` of vertices that share a leaf, are in different components
-    (``root``) and agree in enough tokens. ``forest``: for each vertex of a cell only its most
-    alike partners before and after it."""
+    (``root``) and agree in enough tokens. ``forest``: for each vertex of a cell only the most
+    alike one before it."""
     x = leaf.join(vertices.select("v", "root", "n", "mark"), "v")
     x = x.withColumn("blocks", F.ceil(F.col("size") / LEAF).cast("int"))
     x = x.withColumn("mine", F.pmod(F.xxhash64("v", "node"), F.col("blocks")).cast("int"))
@@ -228,12 +228,9 @@ def compare_cells(rows: pd.DataFrame, percent: int, need: int, forest: bool) ->
             second.append(b[near])
             score.append(same[near])
     first, second, score = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (first, second, score))
-    if forest and len(first):
-        best = []
-        for side in (first, second):
-            order = np.lexsort((-score, side))
-            best.append(order[np.append(True, np.diff(side[order]) != 0)])
-        keep = np.unique(np.concatenate(best))
+    if forest and len(first):  # the most alike partner before each vertex
+        order = np.lexsort((-score, second))
+        keep = order[np.append(True, np.diff(second[order]) != 0)]
         first, second = first[keep], second[keep]
     return pd.DataFrame({"a": v[first], "b": v[second]})
 
@@ -293,11 +290,16 @@ def _judge(d: DataFrame, size: int, percent: int) -> DataFrame:
     links = confirm(candidate_pairs(leaf, apart, percent, forest=True), vertices, d, size, percent)
     rooted = shared_table(sized(_rooted(vertices.drop("sig"), links), rows, 20_000), "near-rooted")
     rest = confirm(candidate_pairs(leaf, rooted, percent, forest=False), vertices, d, size, percent)
+    # what the second round confirms joins components: vertices there are their roots
+    at = lambda c: rooted.select(F.col("v").alias(c), F.col("root").alias(f"r{c}"))
+    joins = rest.join(at("a"), "a").join(at("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    joins = connected_components(shared_table(sized(joins.distinct(), rest.count()), "near-joins"))
+    roots = rooted.select("v", "root").join(joins.select(F.col("vertex").alias("root"), F.col("root").alias("top")),
+                                            "root", "left").select("v", F.coalesce("top", "root").alias("root"))
     links = links.unionByName(rest)
     degree = links.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("k"))
     named = sets.select("id", "h", "n", "v") \
-        .join(connected_components(links).withColumnRenamed("vertex", "v"), "v", "left").join(degree, "v", "left") \
-        .withColumn("root", F.coalesce("root", "v"))
+        .join(roots, "v", "left").join(degree, "v", "left")
     first = F.min(F.struct((F.col("id") == NULL_ID).alias("none"), "id", "h"))
     named = named.join(named.where("root is not null").groupBy("root").agg(first.alias("first")), "root", "left")
     return named.select(
