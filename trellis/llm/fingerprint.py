@@ -31,7 +31,6 @@ from trellis.llm.common import lower_az, shared_table
 from trellis.operators.rank import with_next
 
 SAMPLES = 16
-LANES = 4
 ROWS_PER_RANGE = 20_000
 #: stands for a null id inside the job, so that joins and groups need no null-safe keys
 NULL_ID = -(1 << 63)
@@ -43,19 +42,25 @@ def _uniform(h: Column, shift: int) -> Column:
     return (F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << 21) - 1)) + F.lit(0.5)) / F.lit(_UNIT)
 
 
-def packed_sample(term: Column, weight: Column, j: Column) -> Column:
-    """The bid of ``term`` with ``weight`` under hash function ``j``: its ``ln a`` in
-    the high bits and 30 bits that name ``(term, t)`` below, so ``min`` picks the
-    sample. Null where the weight is 0."""
-    h1, h2 = F.xxhash64(term, j * 2), F.xxhash64(term, j * 2 + 1)
-    r = -F.log(_uniform(h1, 0) * _uniform(h1, 21))
-    ln_c = F.log(-F.log(_uniform(h1, 42) * _uniform(h2, 0)))
-    b = _uniform(h2, 21)
-    t = F.floor(F.log(weight) / r + b)
-    ln_a = ln_c - r * (t - b + F.lit(1.0))
-    score = F.floor((F.greatest(F.least(ln_a, F.lit(63.0)), F.lit(-63.0)) + 64.0) * F.lit(float(1 << 26)))
-    name = F.xxhash64(h2, t).bitwiseAND(F.lit((1 << 30) - 1))
-    return F.when(weight > 0, F.shiftleft(score, 30).bitwiseOR(name))
+def bids(x: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep, a, b``: the bid of ``term`` under hash function ``lane`` with the weights ``a`` and ``b``: its
+    ``ln a`` in the high bits and 30 bits that name ``(term, t)`` below, so ``min`` picks the
+    sample. Null where the weight is 0 (its logarithm is null). Each step names what the next
+    ones use more than once, so that it is computed once."""
+    x = x.select(*keep, F.log("a").alias("a"), F.log("b").alias("b"), F.xxhash64("term", "lane").alias("h1"),
+                 F.xxhash64("lane", "term").alias("h2"))
+    x = x.select(*keep, "a", "b", "h2", (-F.log(_uniform(F.col("h1"), 0) * _uniform(F.col("h1"), 21))).alias("r"),
+                 F.log(-F.log(_uniform(F.col("h1"), 42) * _uniform(F.col("h2"), 0))).alias("ln_c"),
+                 _uniform(F.col("h2"), 21).alias("u"))
+    x = x.select(*keep, "h2", "r", "ln_c", "u", *[F.floor(F.col(s) / F.col("r") + F.col("u")).alias(f"t{s}") for s in "ab"])
+
+    def packed(t: str) -> Column:
+        ln_a = F.col("ln_c") - F.col("r") * (F.col(t) - F.col("u") + 1.0)
+        score = F.floor((F.greatest(F.least(ln_a, F.lit(63.0)), F.lit(-63.0)) + 64.0) * F.lit(float(1 << 26)))
+        bid = F.shiftleft(score, 30).bitwiseOR(F.xxhash64("h2", t).bitwiseAND(F.lit((1 << 30) - 1)))
+        return F.when(F.col(t).isNotNull(), bid)
+
+    return x.select(*keep, packed("ta").alias("a"), packed("tb").alias("b"))
 
 
 def words(text: Column) -> Column:
@@ -82,14 +87,10 @@ def fingerprints(pairs: DataFrame, keys: list[str], samples: int = SAMPLES) -> D
     x = x.select(*keys, F.xxhash64("col.l", "col.r").alias("term"),
                  in_a.cast("long").alias("a"), (~in_a | shared).cast("long").alias("b"))
     x = x.groupBy(*keys, "term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    # the hash functions are dealt over lanes, so that generated code stays small
-    each = -(-samples // LANES)
-    bids = [packed_sample(F.col("term"), F.col(s).cast("double"), F.col("lane") * each + i).alias(f"{s}{i}")
-            for i in range(each) for s in "ab"]
-    lanes = F.explode(F.array(*[F.lit(v) for v in range(LANES)])).alias("lane")
-    x = x.select(*keys, "term", "a", "b", lanes).select(*keys, "lane", *bids)
-    x = x.groupBy(*keys, "lane").agg(*[F.min(f"{s}{i}").alias(f"{s}{i}") for i in range(each) for s in "ab"])
-    x = x.groupBy(*keys).agg(*[F.max(F.when(F.col("lane") == j // each, F.col(f"{s}{j % each}"))).alias(f"{s}_{j}")
+    lanes = F.explode(F.array(*[F.lit(v) for v in range(samples)])).alias("lane")
+    x = bids(x.select(*keys, "term", "a", "b", lanes), [*keys, "lane"])
+    x = x.groupBy(*keys, "lane").agg(F.min("a").alias("a"), F.min("b").alias("b"))
+    x = x.groupBy(*keys).agg(*[F.max(F.when(F.col("lane") == j, F.col(s))).alias(f"{s}_{j}")
                                for j in range(samples) for s in "ab"])
     sig = lambda s: F.when(F.col(f"{s}_0").isNotNull(),
                            F.array(*[F.hash(f"{s}_{j}") for j in range(samples)]))
