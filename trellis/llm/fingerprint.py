@@ -31,6 +31,7 @@ from trellis.llm.common import lower_az, shared_table
 from trellis.operators.rank import with_next
 
 SAMPLES = 16
+TASK_CHARS = 3 << 20
 ROWS_PER_RANGE = 20_000
 #: stands for a null id inside the job, so that joins and groups need no null-safe keys
 NULL_ID = -(1 << 63)
@@ -136,6 +137,9 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     nb = _with_neighbours(k)
     repeated = k.where("copies > 1").limit(1).count() > 0
     one = d.groupBy("id", "h").agg(F.first("text").alias("text")) if repeated else d
+    # tasks by the characters to handle, so that a task's terms fit in memory
+    chars = k.agg(F.sum("n").alias("n")).first()["n"] or 0
+    one = one.repartition(max(1, chars // TASK_CHARS), "id", "h")
     # what each document lends to its predecessor: a prefix of the length needed
     need = nb.select(F.col("nx_id").alias("id"), F.col("nx_h").alias("h"), F.col("id").alias("to_id"),
                      F.col("h").alias("to_h"), F.floor(F.col("n") / 4).cast("int").alias("q"))
