@@ -5,8 +5,8 @@ import os
 
 import pytest
 
-import __spark_entry__ as entry
 from tests.plan_shapes import shape
+from trellis.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
 PYTHON_ALLOWED = {"residual_kde"}   # numpy partial sums in mapInPandas
@@ -14,9 +14,9 @@ PYTHON_ALLOWED = {"residual_kde"}   # numpy partial sums in mapInPandas
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(catalogue.ORACLE))
 def test_plan_shape(spark, name):
-    s = shape(entry.queries()[name](spark, SF))
+    s = shape(catalogue.QUERIES[name](spark, SF))
     assert s["nested_or_cartesian"] == 0, s
     if name not in PYTHON_ALLOWED and not name.startswith("smote"):
         assert s["python"] == 0, s
