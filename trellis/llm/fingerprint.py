@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 from trellis.llm.common import lower_az, shared_table
 from trellis.operators.rank import with_next
 
-SAMPLES = 16
+#: a likeness has a standard error of at most 1 / (2 sqrt(SAMPLES))
+SAMPLES = 64
 TASK_CHARS = 3 << 20
 ROWS_PER_RANGE = 20_000
 #: stands for a null id inside the job, so that joins and groups need no null-safe keys
@@ -44,11 +45,11 @@ def _uniform(h: Column, shift: int) -> Column:
 
 
 def bids(x: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep, a, b``: the bid of ``term`` under hash function ``lane`` with the weights ``a`` and ``b``: its
+    """``keep, a, b``: the bid of ``term`` under hash function ``lane`` with weights of logarithm ``a`` and ``b``: its
     ``ln a`` in the high bits and 30 bits that name ``(term, t)`` below, so ``min`` picks the
     sample. Null where the weight is 0 (its logarithm is null). Each step names what the next
     ones use more than once, so that it is computed once."""
-    x = x.select(*keep, F.log("a").alias("a"), F.log("b").alias("b"), F.xxhash64("term", "lane").alias("h1"),
+    x = x.select(*keep, "a", "b", F.xxhash64("term", "lane").alias("h1"),
                  F.xxhash64("lane", "term").alias("h2"))
     x = x.select(*keep, "a", "b", "h2", (-F.log(_uniform(F.col("h1"), 0) * _uniform(F.col("h1"), 21))).alias("r"),
                  F.log(-F.log(_uniform(F.col("h1"), 42) * _uniform(F.col("h2"), 0))).alias("ln_c"),
@@ -89,18 +90,19 @@ def fingerprints(pairs: DataFrame, keys: list[str], samples: int = SAMPLES) -> D
                  in_a.cast("long").alias("a"), (~in_a | shared).cast("long").alias("b"))
     x = x.groupBy(*keys, "term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     lanes = F.explode(F.array(*[F.lit(v) for v in range(samples)])).alias("lane")
+    x = x.select(*keys, "term", F.log("a").alias("a"), F.log("b").alias("b"))  # once a term, not once a lane
     x = bids(x.select(*keys, "term", "a", "b", lanes), [*keys, "lane"])
     x = x.groupBy(*keys, "lane").agg(F.min("a").alias("a"), F.min("b").alias("b"))
-    x = x.groupBy(*keys).agg(*[F.max(F.when(F.col("lane") == j, F.col(s))).alias(f"{s}_{j}")
-                               for j in range(samples) for s in "ab"])
-    sig = lambda s: F.when(F.col(f"{s}_0").isNotNull(),
-                           F.array(*[F.hash(f"{s}_{j}") for j in range(samples)]))
+    x = x.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("lane", F.hash("a").alias("a"), F.hash("b").alias("b"),
+                                                                  F.col("a").isNull().alias("no_a"),
+                                                                  F.col("b").isNull().alias("no_b")))).alias("got"))
+    sig = lambda s: F.when(~F.col("got")[0][f"no_{s}"], F.col(f"got.{s}"))
     return x.select(*keys, sig("a").alias("sig_a"), sig("b").alias("sig_b"))
 
 
 def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
     """Share of equal samples; two texts without words are alike."""
-    same = sum(((a[j] == b[j]).cast("double") for j in range(samples)), F.lit(0.0)) / F.lit(float(samples))
+    same = F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda v: v)) / F.lit(float(samples))
     return F.when(a.isNull() & b.isNull(), 1.0).when(a.isNull() | b.isNull(), 0.0).otherwise(same)
 
 
