@@ -6,8 +6,10 @@ tokens are kept of each set. In every one of several independent trees a node
 chooses one minwise coordinate (by a hash of its path) and branches its documents
 by their token there; a node of one document ends, one of at most ``LEAF`` is a
 leaf, a larger one branches again. A pair of Jaccard similarity J stays
-together for k levels with probability ``J ** k``; the number of trees makes a miss after
-``LEVELS_AIMED`` levels in all of them less likely than ``MISS``.
+together for k levels with probability ``J ** k``. Past ``LEVELS_AIMED`` levels a node branches by
+``BRANCHES`` coordinates, each giving children of its own, so that a pair is likely to stay together under
+one of them at any depth; the number of trees makes a miss after ``MAX_LEVELS`` levels in all of them
+less likely than ``MISS``.
 
 Leaves are compared exhaustively, in blocks: a node that would not get small (a
 large family of near copies stays together at any depth) is cut into blocks by hash
@@ -51,6 +53,7 @@ LEAF = 400
 STAYS = 0.6  # a node of which a branch keeps this share is compared as it is
 MAX_LEVELS = 8
 LEVELS_AIMED = 3
+BRANCHES = 2  # coordinates by which a node past LEVELS_AIMED branches
 MISS = 1e-6
 BROADCAST_ROWS = 1_000_000
 
@@ -121,8 +124,23 @@ def document_sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("id", "h", "text").mapInPandas(run, "id long, h long, n long, v binary, sig binary, mark binary")
 
 
-def trees_for(threshold: float, levels: int = LEVELS_AIMED, miss: float = MISS) -> int:
-    return max(1, math.ceil(math.log(miss) / math.log(1.0 - threshold ** levels)))
+def meets(threshold: float) -> float:
+    """Least probability that a pair at the threshold shares a node of one tree at every depth."""
+    below = 1.0
+    for _ in range(MAX_LEVELS - LEVELS_AIMED):
+        below = 1.0 - (1.0 - threshold * below) ** BRANCHES
+    return threshold ** LEVELS_AIMED * below
+
+
+def miss_of(threshold: float, trees: int, size: int = SKETCH) -> float:
+    """Probability that a pair at the threshold shares no leaf, over the number of its ``size`` tokens that
+    agree: all trees draw from the same tokens."""
+    return sum(math.comb(size, k) * threshold ** k * (1 - threshold) ** (size - k) * (1.0 - meets(k / size)) ** trees
+               for k in range(size + 1))
+
+
+def trees_for(threshold: float, miss: float = MISS) -> int:
+    return next(t for t in range(1, 1 << 16) if miss_of(threshold, t) <= miss)
 
 
 def least_agreement(threshold: float, size: int = SKETCH, miss: float = MISS) -> int:
@@ -152,9 +170,15 @@ def leaves(vertices: DataFrame, trees: int) -> DataFrame:
         rows = level.count()
         if not rows:
             break
-        picked = F.expr(f"hex(substring(sig, cast(pmod(xxhash64(node, {depth}), {SKETCH}) as int) * 4 + 1, 4))")
+        ways = BRANCHES if depth >= LEVELS_AIMED else 1
+        rows *= ways
+        # the ways of a node go by different coordinates
+        picked = F.expr(f"hex(substring(sig, cast(pmod(xxhash64(node, {depth}) + way * {SKETCH // BRANCHES}, {SKETCH}) as int) * 4 + 1, 4))")
+        child = F.xxhash64("node", picked) if ways == 1 else F.xxhash64("node", "way", picked)
         level = sized(level.join(vertices.select("v", "sig"), "v"), rows) \
-            .select("v", "above", F.xxhash64("node", picked).alias("node"))
+            .withColumn("way", F.explode(F.array(*[F.lit(w) for w in range(ways)]))) \
+            .select("v", "above", child.alias("node"))
+        total = max(total, rows)
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
