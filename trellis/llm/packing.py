@@ -28,6 +28,7 @@ Queues are the components of a mixture: more than ``MAX_QUEUES`` sources raise a
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -72,12 +73,14 @@ class WordIds(dict):
     Tokenizers of this kind drop white space and cut at it, and between letters and
     signs, before anything else, so a text's ids are those of its words in turn. A word
     of Latin letters needs the model alone (its bytes in the byte-level alphabet), any other
-    the whole tokenizer. A probe text tells whether a tokenizer is of this kind; else, and
+    the whole tokenizer, words with combining marks among them (a mark may join the letter before it). A probe text tells whether a tokenizer is of this kind; else, and
     where a text has a special token's brackets, texts are encoded whole."""
 
     PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([^\w\s'’]*)")  # letters, then signs
     #: a full stop or comma right after a letter and before white space is a word of its own
     STOP = re.compile(r"(?<=[^\W\d_])([.,])(?=[ \n]|$)")
+    #: marks, and characters newer than Python's tables, which may be marks or letters
+    JOINING = frozenset(("Mn", "Mc", "Me", "Cn"))
     SIMPLE = frozenset(" \n.,abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZàâäáãåçèéêëíìîïñóòôöõúùûüßÀÂÄÁÃÅÇÈÉÊËÍÌÎÏÑÓÒÔÖÕÚÙÛÜ")
     PROBE = "The Größe, of x's  re-do it... 42nd señor\nÇa va!? $5.00 (AB,cd) naïve. ½ end."
 
@@ -96,6 +99,8 @@ class WordIds(dict):
             self.clear()
         low = word.lower()
         found = self.PLAIN.fullmatch(low) if len(low) == len(word) else None
+        if found and not found[2].isascii() and any(unicodedata.category(c) in self.JOINING for c in found[2]):
+            found = None
         if found and found[2]:
             v = self.plain[found[1]] + self[found[2]]
         elif found:
