@@ -828,7 +828,7 @@ def flagship(spark, d):
     """Model comparison (baseline, LR, RF, GBT) on a leak-safe split."""
     from trellis.plans import workflow
     df = lineitem_frame(spark, d)
-    res = workflow.classification(df, "row_key", "label", MODEL_FEATURES, workflow.ModelSizes.small())
+    res = workflow.classification(df, "row_key", "label", MODEL_FEATURES)
     return r6(res.comparison)
 
 
@@ -842,8 +842,7 @@ def q_ml_model_comparison_smote(spark, d):
     """The same comparison with SMOTE on the training rows instead of weights."""
     from trellis.plans import workflow
     df = lineitem_frame(spark, d)
-    res = workflow.classification(df, "row_key", "label", MODEL_FEATURES, workflow.ModelSizes.small(),
-                                  resample="smote")
+    res = workflow.classification(df, "row_key", "label", MODEL_FEATURES, resample="smote")
     return r6(res.comparison)
 
 
@@ -1132,5 +1131,5 @@ def q_type_prediction_report(spark, d):
     from trellis.plans import workflow
     df = lineitem_frame(spark, d).withColumn(
         "is_open", F.when(F.col("l_linestatus") == "O", 1).otherwise(0))
-    out = workflow.type_prediction(df, "row_key", "is_open", MODEL_FEATURES, workflow.ModelSizes.small())
+    out = workflow.type_prediction(df, "row_key", "is_open", MODEL_FEATURES)
     return r6(out["report"])
