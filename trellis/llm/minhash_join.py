@@ -300,9 +300,10 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return d.withColumn("h", F.xxhash64("text"))
 
 
-def _judge(d: DataFrame, size: int, percent: int) -> DataFrame:
-    """``id, h, n, component, stays, n_links`` for each row of ``d (id, h, text)``; ``component`` is
-    the least id of the component, ``stays`` marks its first row by (id, text hash)."""
+def _judge(d: DataFrame, size: int, percent: int, every_link: bool = False) -> DataFrame:
+    """``id, h, n, component, stays`` for each row of ``d (id, h, text)``; ``component`` is the least id
+    of the component, ``stays`` marks its first row by (id, text hash). ``every_link``: all candidate pairs
+    are confirmed, and ``n_links`` counts the other rows that are linked to each."""
     sets = shared_table(document_sets(d, size), "near-sets")
     rows = sets.count()
     vertices = sets.where("n > 0").groupBy("v").agg(
@@ -311,34 +312,42 @@ def _judge(d: DataFrame, size: int, percent: int) -> DataFrame:
     vertices = shared_table(sized(vertices, rows, 20_000).select("v", "who.id", "who.h", "n", "sig", "mark"), "near-vertices")
     leaf = leaves(vertices, trees_for(percent / 100.0))
     apart = vertices.withColumn("root", F.col("v"))
-    links = confirm(candidate_pairs(leaf, apart, percent, forest=True), vertices, d, size, percent)
+    links = confirm(candidate_pairs(leaf, apart, percent, forest=not every_link), vertices, d, size, percent)
     rooted = shared_table(sized(_rooted(vertices.drop("sig"), links), rows, 20_000), "near-rooted")
-    rest = confirm(candidate_pairs(leaf, rooted, percent, forest=False), vertices, d, size, percent)
-    # what the second round confirms joins components: vertices there are their roots
-    at = lambda c: rooted.select(F.col("v").alias(c), F.col("root").alias(f"r{c}"))
-    joins = rest.join(at("a"), "a").join(at("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    joins = connected_components(shared_table(sized(joins.distinct(), rest.count()), "near-joins"))
-    roots = rooted.select("v", "root").join(joins.select(F.col("vertex").alias("root"), F.col("root").alias("top")),
-                                            "root", "left").select("v", F.coalesce("top", "root").alias("root"))
-    links = links.unionByName(rest)
-    degree = links.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("k"))
-    named = sets.select("id", "h", "n", "v") \
-        .join(roots, "v", "left").join(degree, "v", "left")
+    if every_link:
+        roots = rooted.select("v", "root")
+    else:
+        rest = confirm(candidate_pairs(leaf, rooted, percent, forest=False), vertices, d, size, percent)
+        # what the second round confirms joins components: vertices there are their roots
+        at = lambda c: rooted.select(F.col("v").alias(c), F.col("root").alias(f"r{c}"))
+        joins = rest.join(at("a"), "a").join(at("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+        joins = connected_components(shared_table(sized(joins.distinct(), rest.count()), "near-joins"))
+        roots = rooted.select("v", "root").join(joins.select(F.col("vertex").alias("root"), F.col("root").alias("top")),
+                                                "root", "left").select("v", F.coalesce("top", "root").alias("root"))
+    named = sets.select("id", "h", "n", "v").join(roots, "v", "left")
+    counted = []
+    if every_link:
+        copies = sets.where("n > 0").groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+        ends = links.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x"))
+        linked = ends.select(F.col("x.a").alias("to"), F.col("x.b").alias("v")).join(copies, "v") \
+            .groupBy(F.col("to").alias("v")).agg(F.sum("c").alias("k"))
+        named = named.join(copies, "v", "left").join(linked, "v", "left")
+        counted = [(F.coalesce("c", F.lit(1)) - 1 + F.coalesce("k", F.lit(0))).alias("n_links")]
     first = F.min(F.struct((F.col("id") == NULL_ID).alias("none"), "id", "h"))
     named = named.join(named.where("root is not null").groupBy("root").agg(first.alias("first")), "root", "left")
     return named.select(
-        "id", "h", "n", F.coalesce("first.id", "id").alias("component"), F.coalesce("k", F.lit(0)).alias("n_links"),
+        "id", "h", "n", F.coalesce("first.id", "id").alias("component"), *counted,
         F.coalesce((F.col("id") == F.col("first.id")) & (F.col("h") == F.col("first.h")), F.lit(True)).alias("stays"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, id_col: str = "doc_id",
-                    text_col: str = "text") -> DataFrame:
-    """Per input row: ``doc_id, n_shingles, component_id, kept, n_links`` (confirmed links
-    of its set among those that join the component)."""
+                    text_col: str = "text", every_link: bool = False) -> DataFrame:
+    """Per input row: ``doc_id, n_shingles, component_id, kept``; with ``every_link`` also ``n_links``, the
+    other rows that reach the threshold with it (copies too), which confirms every candidate pair."""
     real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
-    return _judge(_keyed(docs, id_col, text_col), size, percent).select(
+    return _judge(_keyed(docs, id_col, text_col), size, percent, every_link).select(
         real("id").alias("doc_id"), F.col("n").alias("n_shingles"), real("component").alias("component_id"),
-        (F.col("id") == F.col("component")).alias("kept"), "n_links")
+        (F.col("id") == F.col("component")).alias("kept"), *["n_links"] * every_link)
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id",

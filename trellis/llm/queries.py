@@ -70,7 +70,7 @@ def op9_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash_join.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85).drop("n_links")
+    return minhash_join.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
 
 
 QUERIES = {
