@@ -304,7 +304,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bound
 
 
 def all_spans(text: str, decoder: Decoder, classes: TokenClasses) -> list[tuple[int, int, int]]:
-    """Base spans and the model's spans that do not touch one of them."""
+    """Base spans and what the model's spans cover beyond them."""
     spans = base_spans(text)
     c, file = tokenise(text, classes)
     tags = decoder.tags(c, file) if len(c) else {}
@@ -318,13 +318,22 @@ def all_spans(text: str, decoder: Decoder, classes: TokenClasses) -> list[tuple[
                 found.append([*places[k], k])
         taken = list(spans)
         for a, b, _ in found:
-            part = text[a:b]
-            if b - a >= MIN_CRF_CHARS and any(x.isdigit() for x in part) \
-                    and all(b <= s or a >= e for s, _, e in taken):
-                spans.append((a, 3, b))
+            if b - a >= MIN_CRF_CHARS and any(x.isdigit() for x in text[a:b]):
+                spans += [(s, 3, e) for s, e in _beyond(text, a, b, taken)]
     return sorted(spans)
 
 
+def _beyond(text: str, a: int, b: int, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The parts of ``a..b`` outside the sorted spans ``taken`` that hold a letter or digit, without white space around."""
+    out = []
+    for s, e in [*((s, e) for s, _, e in taken if s < b and e > a), (b, b)]:
+        part = text[a:s]
+        if any(x.isalnum() for x in part):
+            out.append((a + len(part) - len(part.lstrip()), a + len(part.rstrip())))
+        a = max(a, e)
+    return out
+
+
 SPANS = "array<struct<kind:string,start:long,end:long>>"
 
 
