@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trellis.llm import (decontaminate, fingerprint, lm_score, minhash_join, packing, quality_pu, repeats, secrets_crf,
-                         toxicity, url_filter)
+                         shard_tree, toxicity, url_filter)
 from trellis.llm.common import id_remainder, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -73,6 +73,14 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_join.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
 
 
+
+SHARDS = 40
+
+
+def op11_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_tree.digest(table(spark, sf_dir, "documents"), SHARDS, SHARDS + 1)
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_decontamination": op2_decontamination,
@@ -84,6 +92,7 @@ QUERIES = {
     "op8_lm_scores": op8_lm_scores,
     "op9_weighted_fingerprints": op9_weighted_fingerprints,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_hash_tree_shards": op11_hash_tree_shards,
 }
 
 _RULE_VALUES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
@@ -92,7 +101,49 @@ _RULE_VALUES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 _BENCH_WORDS = """regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"""
 
+# CRC-32 in SQL: the table of the reflected polynomial by its rule, then one step a byte
+_CRC_TABLE = """crc_t AS (SELECT list(list_reduce([b] || range(8), lambda t, k: xor(t >> 1, 3988292384 * (t & 1)))
+    ORDER BY b) AS crc_table FROM range(256) r(b))"""
+
+
+def _crc(text: str) -> str:
+    return f"""xor(list_reduce([4294967295::BIGINT] || list_transform(regexp_extract_all(hex(encode({text})), '..'),
+    lambda x: ('0x' || x)::BIGINT), lambda s, b: xor(crc_table[(xor(s, b) & 255) + 1], s >> 8)), 4294967295)"""
+
+
+def _shard_sql(shards: int, out: str) -> str:
+    """A row's shard: the draws of every attempt by level, the smallest wins; the first attempt on a live place counts."""
+    places = shard_tree.tree(shards)
+    rows = ", ".join(f"('{p.region}', '{p.rack}', '{p.name}', {'NULL' if p.shard is None else p.shard})" for p in places)
+    def draw(node: str, weight: str) -> str:
+        return f"""-ln((('0x' || substr(md5(concat_ws('|', key, attempt, {node})), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)
+            / {weight}"""
+    def level(name: str, node: str, up: str, parent: str) -> str:
+        return f"""{out}_{name} AS (SELECT key, attempt, arg_min(node, draw) AS node FROM (SELECT u.key, u.attempt, n.node,
+            {draw('n.node', 'n.weight')} AS draw FROM {up} u JOIN (SELECT {node} AS node, {parent} AS parent,
+            count(*)::DOUBLE AS weight FROM {out}_places GROUP BY 1, 2) n ON n.parent = u.node) GROUP BY 1, 2)"""
+    return f"""{out}_places(region, rack, place, shard) AS (VALUES {rows}),
+{out}_try AS (SELECT key, attempt, '' AS node FROM keys, range({shard_tree.ATTEMPTS}) a(attempt)),
+{level('region', 'region', f'{out}_try', "''")}, {level('rack', 'rack', f'{out}_region', 'region')},
+{level('place', 'place', f'{out}_rack', 'rack')},
+{out}_found AS (SELECT key, arg_min(p.shard, l.attempt) AS shard FROM {out}_place l JOIN {out}_places p ON p.place = l.node
+    WHERE p.shard IS NOT NULL GROUP BY key),
+{out}_last AS (SELECT key, arg_min(shard, draw) AS shard FROM (SELECT k.key, p.shard, {draw('p.place', '1.0').replace('attempt', '-1')} AS draw
+    FROM keys k, {out}_places p WHERE p.shard IS NOT NULL) GROUP BY key),
+{out} AS (SELECT key, coalesce(f.shard, l.shard) AS shard FROM {out}_last l LEFT JOIN {out}_found f USING (key))"""
+
+
 ORACLE = {
+    "op11_hash_tree_shards": f"""
+WITH {_CRC_TABLE},
+d AS (SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS key, CAST(octet_length(encode(coalesce(text, ''))) + 16 AS BIGINT) AS size,
+      CAST({_crc("coalesce(text, '')")} AS BIGINT) AS text_crc32 FROM documents, crc_t),
+keys AS (SELECT DISTINCT key FROM d),
+{_shard_sql(SHARDS, 'now')},
+{_shard_sql(SHARDS + 1, 'later')},
+p AS (SELECT d.*, n.shard, g.shard AS grown_shard FROM d JOIN now n USING (key) JOIN later g USING (key))
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard
+    ORDER BY md5(concat_ws(':', key, size, text_crc32, grown_shard)), doc_id NULLS FIRST) - 1 AS slot, grown_shard FROM p""",
     "op2_decontamination": f"""
 WITH d AS (SELECT row_number() OVER () AS rn, doc_id, {_BENCH_WORDS} AS w FROM documents),
 b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_BENCH_WORDS} AS w FROM benchmark),
