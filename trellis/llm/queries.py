@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trellis.llm import (decontaminate, fingerprint, lm_score, minhash_join, packing, quality_pu, repeats, secrets_crf,
+from trellis.llm import (decontaminate, fingerprint, lm_score, minhash_join, packing, prefix_trie, quality_pu, repeats, secrets_crf,
                          shard_tree, toxicity, url_filter)
 from trellis.llm.common import id_remainder, table
 
@@ -81,6 +81,10 @@ def op11_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_tree.digest(table(spark, sf_dir, "documents"), SHARDS, SHARDS + 1)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_decontamination": op2_decontamination,
@@ -93,6 +97,7 @@ QUERIES = {
     "op9_weighted_fingerprints": op9_weighted_fingerprints,
     "op10_near_duplicates": op10_near_duplicates,
     "op11_hash_tree_shards": op11_hash_tree_shards,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
 _RULE_VALUES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
@@ -134,6 +139,31 @@ def _shard_sql(shards: int, out: str) -> str:
 
 
 ORACLE = {
+    "op12_prefix_trie": f"""
+WITH {_CRC_TABLE},
+t AS (SELECT conv_id, turn, length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '') AS e,
+      CAST(length(coalesce(text, '')) AS BIGINT) AS points FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, e, points, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(e)) AS pos FROM t),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS base, {_crc('CAST(conv_id AS VARCHAR)')} % 6 AS h
+      FROM (SELECT DISTINCT conv_id FROM t), crc_t),
+n AS (SELECT conv_id AS base, count(*) AS n FROM own GROUP BY 1),
+r AS (SELECT c.conv_id, o.pos, o.e, o.points FROM c JOIN own o ON o.conv_id = c.base AND o.pos <= h
+      UNION ALL SELECT o.conv_id, o.pos - h + least(h, coalesce(n.n, 0)), o.e, o.points
+      FROM own o JOIN c USING (conv_id) LEFT JOIN n ON n.base = c.base WHERE o.pos > h),
+m AS (SELECT conv_id, pos AS depth, points, list(e) OVER (PARTITION BY conv_id ORDER BY pos) AS path,
+             pos = max(pos) OVER (PARTITION BY conv_id) AS ends FROM r
+      UNION ALL SELECT conv_id, 0, 0, [], conv_id NOT IN (SELECT conv_id FROM r) FROM c),
+nodes AS (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(points) AS points,
+          sha256(coalesce(string_agg(CASE WHEN ends THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '')) AS ends_sha256
+          FROM m GROUP BY path, depth),
+kids AS (SELECT list_slice(path, 1, depth - 1) AS path, count(*) AS k FROM nodes WHERE depth > 0 GROUP BY 1),
+full_nodes AS (SELECT n.*, coalesce(k, 0) AS k, p.conv_id AS parent_conv_id FROM nodes n LEFT JOIN kids USING (path)
+      LEFT JOIN nodes p ON n.depth > 0 AND p.path = list_slice(n.path, 1, n.depth - 1)),
+totals AS (SELECT list_slice(path, 1, a) AS path, sum((k = 0)::INT) AS n_leaves, sum((n_convs - 1) * points) AS saved
+      FROM (SELECT *, unnest(range(depth + 1)) AS a FROM full_nodes) GROUP BY 1)
+SELECT conv_id, CAST(depth AS BIGINT) AS depth, parent_conv_id, n_convs, CAST(k AS BIGINT) AS n_children,
+       CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, ends_sha256
+FROM full_nodes JOIN totals USING (path)""",
     "op11_hash_tree_shards": f"""
 WITH {_CRC_TABLE},
 d AS (SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS key, CAST(octet_length(encode(coalesce(text, ''))) + 16 AS BIGINT) AS size,
