@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trellis.llm import (decontaminate, fingerprint, lm_score, minhash_join, packing, prefix_trie, quality_pu, repeats, secrets_crf,
+from trellis.llm import (conversation_repair, decontaminate, fingerprint, lm_score, minhash_join, packing, prefix_trie, quality_pu, repeats, secrets_crf,
                          shard_tree, toxicity, url_filter)
 from trellis.llm.common import id_remainder, table
 
@@ -85,6 +85,10 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_decontamination": op2_decontamination,
@@ -98,6 +102,7 @@ QUERIES = {
     "op10_near_duplicates": op10_near_duplicates,
     "op11_hash_tree_shards": op11_hash_tree_shards,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 _RULE_VALUES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
@@ -138,7 +143,59 @@ def _shard_sql(shards: int, out: str) -> str:
 {out} AS (SELECT key, coalesce(f.shard, l.shard) AS shard FROM {out}_last l LEFT JOIN {out}_found f USING (key))"""
 
 
+def _edit(letter: str, cost: str, rest: str) -> str:
+    """An edit before the rest: nine digits of cost, then the letters, so that texts compare as wanted."""
+    return f"printf('%09d', {cost} + CAST(substr({rest}, 1, 9) AS INT)) || '{letter}' || substr({rest}, 10)"
+
+
+def _repair_step(state: int) -> str:
+    """The best without inserts from a state: delete, keep where the role fits, or a new role."""
+    fits = {0: "role_no IN (0, 1)", 1: "role_no = 1", 2: "role_no = 2", 3: "role_no = 1"}[state]
+    then = {0: "CASE role_no WHEN 0 THEN b1 ELSE b2 END", 1: "b2", 2: "b3", 3: "b2"}[state]
+    given = {0: "b2", 1: "b2", 2: "b3", 3: "b2"}[state]
+    return f"""least({_edit('D', '2', f'b{state}')}, CASE WHEN NOT lost THEN {_edit('R', '1 + extra', given)} ELSE '~' END,
+        CASE WHEN NOT lost AND {fits} THEN {_edit('K', 'extra', f'({then})')} ELSE '~' END) AS x{state}"""
+
+
 ORACLE = {
+    "op13_conversation_repair": f"""
+WITH RECURSIVE {_CRC_TABLE},
+z AS (SELECT conv_id, coalesce(CAST(conv_id AS VARCHAR), ' ') AS c, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+      {_crc("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS harm
+      FROM conversations, crc_t),
+d AS (SELECT c, turn, CASE WHEN harm = 4 THEN 'user' ELSE role END AS role,
+      CASE harm WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+      unnest(range(CASE harm WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM z WHERE harm <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text)) AS pos,
+      rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM d),
+f AS (SELECT *, body = '' AS blank, row_number() OVER (PARTITION BY c, role, text ORDER BY pos) > 1 AS again,
+      right(body, 1) NOT IN ('.', '!', '?') AS cut, substr(role, 1, 1) AS initial,
+      lag(substr(role, 1, 1)) OVER (PARTITION BY c ORDER BY pos) AS earlier FROM o),
+r AS (SELECT *, blank OR again AS lost, CASE WHEN NOT blank AND NOT again AND cut THEN 5 ELSE 0 END AS extra,
+      CASE initial WHEN 's' THEN 0 WHEN 'u' THEN 1 WHEN 'a' THEN 2 ELSE 3 END AS role_no FROM f),
+sums AS (SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, sum(blank::INT) AS blank,
+         sum((again AND NOT blank)::INT) AS duplicate, sum((extra > 0)::INT) AS truncated,
+         sum((pos > 1 AND earlier || initial NOT IN ('su', 'ua', 'au'))::INT) AS illegal, count(*) AS n FROM r GROUP BY c),
+dp AS (SELECT c, n + 1 AS pos, '000000000' AS b0, '000000010II' AS b1, '000000005I' AS b2, '000000000' AS b3 FROM sums
+       UNION ALL
+       SELECT c, pos, least(x0, {_edit('I', '5', 'x2')}, {_edit('II', '10', 'x3')}), least(x1, {_edit('I', '5', 'x2')}, {_edit('II', '10', 'x3')}),
+              least(x2, {_edit('I', '5', 'x3')}), least(x3, {_edit('I', '5', 'x2')})
+       FROM (SELECT dp.c, r.pos, {_repair_step(0)}, {_repair_step(1)}, {_repair_step(2)}, {_repair_step(3)}
+             FROM dp JOIN r ON r.c = dp.c AND r.pos = dp.pos - 1)),
+best AS (SELECT c, CAST(substr(b0, 1, 9) AS BIGINT) AS cost, substr(b0, 10) AS audit FROM dp WHERE pos = 1),
+walk AS (SELECT c, audit, 1 AS i, 1::BIGINT AS pos, 0 AS q, [] :: VARCHAR[] AS lines FROM best
+         UNION ALL
+         SELECT c, audit, i + 1, pos + (e <> 'I')::INT, CASE e WHEN 'D' THEN q WHEN 'K' THEN role_no + 1 WHEN 'I' THEN given ELSE given END,
+                CASE e WHEN 'D' THEN lines WHEN 'K' THEN lines || [role || ':' || text]
+                ELSE lines || [CASE given WHEN 2 THEN 'user' ELSE 'assistant' END || ':' || CASE e WHEN 'R' THEN text ELSE '' END] END
+         FROM (SELECT w.*, substr(w.audit, w.i, 1) AS e, CASE w.q WHEN 2 THEN 3 ELSE 2 END AS given, r.role, r.text, r.role_no
+               FROM walk w LEFT JOIN r ON r.c = w.c AND r.pos = w.pos WHERE w.i <= length(w.audit))),
+done AS (SELECT c, sha256(array_to_string(lines, chr(10))) AS h FROM walk WHERE i = length(audit) + 1)
+SELECT a.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank,
+       CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+       CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit,
+       coalesce(h, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, c FROM z) a LEFT JOIN sums USING (c) LEFT JOIN best USING (c) LEFT JOIN done USING (c)""",
     "op12_prefix_trie": f"""
 WITH {_CRC_TABLE},
 t AS (SELECT conv_id, turn, length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '') AS e,
