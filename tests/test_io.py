@@ -106,3 +106,18 @@ def test_sniff_delimiter():
     assert io.sniff_delimiter("a,b") == ","
     assert io.sniff_delimiter("a\tb\tc") == "\t"
     assert io.sniff_delimiter("single") == ","
+
+
+def test_scan_types_from_the_header_and_keeps_rejected_lines(spark):
+    rows = [(7.4, 9.4, 5, "red"), ("n/a", 9.0, 6, "red"), (1.0, 2.0, 3), ("", 10.0, 8, "white"), (1, 2, 3, "red", "more")]
+    for sep in (";", ","):
+        path = _csv(rows, sep)
+        got, bad = io.scan_csv(spark, path, text=["type"], whole=["quality"])
+        assert [f.dataType.simpleString() for f in got.schema] == ["double", "double", "int", "string"]
+        assert sorted(tuple(r) for r in got.collect() if r[0]) == [(7.4, 9.4, 5, "red")]
+        assert [r[1] for r in got.collect() if r[0] is None] == [10.0]      # an empty field is NULL, not an error
+        assert bad.count() == 3 and sep.join(["n/a", "9.0", "6", "red"]) in [r.line for r in bad.collect()]
+    with pytest.raises(ValueError):
+        io.scan_csv(spark, path, "a double, b double")
+    with pytest.raises(AnalysisException):
+        io.scan_csv(spark, "/nonexistent/trellis.csv")

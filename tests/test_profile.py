@@ -31,9 +31,10 @@ def test_iqr_boundary_kept_null_not_outlier(spark):
     assert 7.5 not in kept or hi >= 7.5
 
 
-def test_iqr_skips_binary_columns_by_default(spark):
+def test_iqr_skips_binary_columns_on_request_only(spark):
     df = spark.createDataFrame([(float(i), 1 if i < 10 else 0) for i in range(100)], "x double, type int")
-    assert profile.iqr_columns(df, None) == ["x"]
+    assert profile.iqr_columns(df, None, skip_binary=True) == ["x"]
+    assert profile.iqr_columns(df, None) == ["x", "type"]   # the rule cleans every numeric column
 
 
 @pytest.mark.parametrize("n,p6,p7,p8", [(1599, 855, 217, 18), (4898, 3258, 1060, 180)])

@@ -27,15 +27,19 @@ def at_least(c: str | Column) -> Column:
     return F.concat(F.lit(">= "), (F.col(c) if isinstance(c, str) else c).cast("string"))
 
 
+# The column titles of the reference's printed tables (threshold_report, split_report).
+THRESHOLD_TITLES = ("Threshold", "Good (1)", "Bad/Avg (0)", "Good %", "Imbalance Ratio")
+SPLIT_TITLES = ("class", "Train Count", "Train %", "Test Count", "Test %")
+
+
 def threshold_report(sensitivity: DataFrame) -> DataFrame:
     """The threshold table as the reference prints it."""
-    return sensitivity.select(at_least("threshold").alias("Threshold"), F.col("n_pos").alias("Good (1)"),
-                              F.col("n_neg").alias("Bad/Avg (0)"), pct("pos_pct").alias("Good %"),
-                              ratio("neg_per_pos").alias("Imbalance Ratio"))
+    cols = (at_least("threshold"), F.col("n_pos"), F.col("n_neg"), pct("pos_pct"), ratio("neg_per_pos"))
+    return sensitivity.select(*[c.alias(t) for c, t in zip(cols, THRESHOLD_TITLES)])
 
 
 def split_report(check: DataFrame) -> DataFrame:
     """The split verification table with formatted shares."""
-    return check.select("class", F.col("train_n").alias("Train Count"), pct("train_pct", 2).alias("Train %"),
-                        F.col("test_n").alias("Test Count"), pct("test_pct", 2).alias("Test %"),
+    cols = (F.col("class"), F.col("train_n"), pct("train_pct", 2), F.col("test_n"), pct("test_pct", 2))
+    return check.select(*[c.alias(t) for c, t in zip(cols, SPLIT_TITLES)],
                         F.format_string("%.2f", F.col("diff_pp")).alias("Diff (pp)"), "within_tol")

@@ -9,8 +9,9 @@ Mapping of the reference's learners:
   "unlimited" depth is Spark's maximum (30); ``min_samples_split = s`` is
   approximated by ``minInstancesPerNode = ceil(s / 2)``;
 * boosted trees -> ``GBTClassifier`` (first-order leaves; results are close
-  to, not equal to, second-order boosting); ``scale_pos_weight`` becomes a
-  row weight on the positives;
+  to, not equal to, second-order boosting) or, with ``booster="newton"``,
+  ``boosting.NewtonBoosting``; ``scale_pos_weight`` becomes a row weight on
+  the positives;
 * random-forest regressor with all features per split.
 
 Folds are a column (``foldCol``), produced by the exact split operators, so
@@ -49,6 +50,12 @@ GBT_GRID = {"maxIter": [100, 200], "maxDepth": [4, 6], "stepSize": [0.05, 0.1]}
 GBT_FIXED = {"maxIter": 200, "maxDepth": 6, "stepSize": 0.1}
 RF_REGRESSOR_TREES = 100
 
+#: MB of split statistics a task may hold: enough for one pass a level in forests of this size
+FOREST_MB = 512
+#: deep forests remember every row's node beside the rows (written out every 10 levels), so that a
+#: level's tasks carry the frontier and not all trees grown so far
+DEEP_TREES = {"cacheNodeIds": True, "checkpointInterval": 10, "maxMemoryInMB": FOREST_MB}
+
 
 # --------------------------------------------------------------------------- evaluation
 
@@ -110,7 +117,7 @@ def random_forest(num_trees: int = 100, max_depth: int | None = None, min_sample
     rf = RandomForestClassifier(featuresCol=features, labelCol=label, numTrees=num_trees,
                                 maxDepth=depth, featureSubsetStrategy="sqrt", seed=seed,
                                 minInstancesPerNode=max(1, math.ceil(min_samples_split / 2)),
-                                maxBins=max_bins)
+                                maxBins=max_bins, **DEEP_TREES)
     if weight_col:
         rf.setWeightCol(weight_col)
     return rf
@@ -118,7 +125,14 @@ def random_forest(num_trees: int = 100, max_depth: int | None = None, min_sample
 
 def boosted_trees(max_iter: int = 200, max_depth: int = 6, step_size: float = 0.1,
                   label: str = "label", weight_col: str | None = None, features: str = "features",
-                  seed: int = SEED, max_bins: int = 32) -> GBTClassifier:
+                  seed: int = SEED, max_bins: int = 32, booster: str = "gbt"):
+    """Boosted trees: Spark's first-order form, or the second-order one (``booster="newton"``, 256 bins)."""
+    if booster == "newton":
+        from trellis.operators.boosting import NewtonBoosting
+        return NewtonBoosting(featuresCol=features, labelCol=label, weightCol=weight_col, maxIter=max_iter,
+                              maxDepth=max_depth, stepSize=step_size)
+    if booster != "gbt":
+        raise ValueError(f"unknown booster {booster!r}")
     gbt = GBTClassifier(featuresCol=features, labelCol=label, maxIter=max_iter, maxDepth=max_depth,
                         stepSize=step_size, seed=seed, maxBins=max_bins)
     if weight_col:
@@ -130,7 +144,7 @@ def rf_regressor(num_trees: int = RF_REGRESSOR_TREES, label: str = "label", feat
                  max_depth: int | None = None, seed: int = SEED, max_bins: int = 32) -> RandomForestRegressor:
     depth = MAX_TREE_DEPTH if max_depth is None else min(max_depth, MAX_TREE_DEPTH)
     return RandomForestRegressor(featuresCol=features, labelCol=label, numTrees=num_trees,
-                                 maxDepth=depth, featureSubsetStrategy="all", seed=seed, maxBins=max_bins)
+                                 maxDepth=depth, featureSubsetStrategy="all", seed=seed, maxBins=max_bins, **DEEP_TREES)
 
 
 def with_positive_weight(df: DataFrame, label: str, pos_weight: float, out: str = "weight") -> DataFrame:
@@ -207,26 +221,43 @@ def grid_search(pipeline_stages: Sequence, estimator, grid: dict, train: DataFra
     return fitted.bestModel, table
 
 
-def grid_search_parts(make, grid: dict, folded: DataFrame, fold_col: str, k: int, label: str = "label",
-                      parallelism: int = 4):
-    """Grid search where every fit prepares its own training part: ``make(params)`` gives a
-    function from a training part to a fitted model (see ``fitter``). Validation rows are the real
-    rows of the fold, so oversampling never reaches them. Returns (model of the best parameters
-    on all rows, table of mean F1)."""
-    keys = list(grid)
-    sets = [dict(zip(keys, values)) for values in product(*[grid[x] for x in keys])]
+def grid_search_prepared(options: dict, learner, grid: dict, folded: DataFrame, fold_col: str, k: int,
+                         label: str = "label", parallelism: int = 2):
+    """Grid search where every fold prepares its own training part. ``options`` names the
+    preparations to try (a ``preparation.Preparation`` each); ``learner`` is an estimator or a function
+    from prepared rows to one. A fold's part is prepared and written once for all parameter sets;
+    validation rows are the fold's real rows, prepared with the training part's statistics. Returns
+    (pipeline of the best option refitted on all rows, table of mean F1, its preparation, its learner)."""
+    from trellis.operators.preparation import fit_learner
+    from trellis.session import cut_lineage
+    fitted = {(name, f): one for name, prep in options.items()
+              for f, one in prep.fit_folds(folded, fold_col, range(k)).items()}
+
+    def prepared(task):
+        held = PipelineModel(stages=fitted[task].stages).transform(folded.where(F.col(fold_col) == task[1]))
+        return (fitted[task].assembled(folded.where(F.col(fold_col) != task[1])), cut_lineage(held.select(label, "features"), "held"))
+    parts = dict(zip(fitted, run_parallel(prepared, fitted, parallelism)))
     ev = PositiveF1Evaluator(label, "prediction")
 
+    def with_params(params):
+        def make(rows):
+            est = learner if isinstance(learner, Estimator) else learner(rows)
+            return est.copy(param_grid(est, {n: [v] for n, v in params.items()})[0])
+        return make
+
     def one(task):
-        params, f = task
-        m = make(params)(folded.where(F.col(fold_col) != f))
-        return ev.evaluate(m.transform(folded.where(F.col(fold_col) == f)))
-    scores = run_parallel(one, [(p, f) for p in sets for f in range(k)], parallelism)
+        name, params, f = task
+        rows, held = parts[(name, f)]
+        return ev.evaluate(fit_learner(with_params(params), rows).transform(held))
+    keys = list(grid)
+    sets = [(name, dict(zip(keys, values))) for name in options for values in product(*[grid[x] for x in keys])]
+    scores = run_parallel(one, [(name, params, f) for name, params in sets for f in range(k)], parallelism)
     means = [sum(scores[i * k:(i + 1) * k]) / k for i in range(len(sets))]
-    best = max(range(len(sets)), key=lambda i: (means[i], -i))
-    rows = [(", ".join(f"{n}={v}" for n, v in p.items()), m) for p, m in zip(sets, means)]
+    name, params = sets[max(range(len(sets)), key=lambda i: (means[i], -i))]
+    rows = [(", ".join([n] * (len(options) > 1) + [f"{x}={v}" for x, v in p.items()]), m) for (n, p), m in zip(sets, means)]
     table = folded.sparkSession.createDataFrame(rows, "params string, mean_f1 double")
-    return make(sets[best])(folded), table
+    best = with_params(params)
+    return options[name].model(best)(folded), table, options[name], best
 
 
 def run_parallel(fn, items, parallelism: int):

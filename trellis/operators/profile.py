@@ -23,6 +23,9 @@ IQR_FACTOR = 1.5
 DEFAULT_THRESHOLDS = (6, 7, 8)
 SPLIT_TOLERANCE_PP = 0.5
 
+#: classes whose weights are looked up in a literal
+MOST_CLASSES = 100
+
 
 def binary_columns(df: DataFrame, cols: Sequence[str]) -> set[str]:
     """Columns with at most two distinct non-null values (one aggregate)."""
@@ -51,10 +54,10 @@ def iqr_bound_values(df: DataFrame, cols: Sequence[str], k: float = IQR_FACTOR
 
 
 def iqr_columns(df: DataFrame, cols: Sequence[str] | None, exclude: Sequence[str] = (),
-                skip_binary: bool = True) -> list[str]:
-    """Columns the IQR rule applies to: all numeric ones by default, minus
-    ``exclude`` and (by default) 0/1 marker columns, which the rule would wipe
-    out whenever the rarer value is under a quarter of the rows."""
+                skip_binary: bool = False) -> list[str]:
+    """Columns the IQR rule applies to: all numeric ones, minus ``exclude``. On request
+    (``skip_binary``) also without two-valued marker columns: the rule removes every row of the
+    rarer value where that is under a quarter of the rows."""
     if cols is not None:
         return list(cols)
     cand = numeric_columns(df, exclude)
@@ -150,10 +153,17 @@ def class_weights(df: DataFrame, label: str, class_col: str = "class") -> DataFr
 
 
 def with_class_weights(df: DataFrame, label: str, weight_col: str = "weight") -> DataFrame:
-    """Attach balanced weights to every row for ``weightCol`` (J3). The
-    per-class table has one row per class and is broadcast."""
-    w = class_weights(df, label, "_cls").select(F.col("_cls").alias(label), F.col("weight").alias(weight_col))
-    return df.join(F.broadcast(w), on=label, how="left")
+    """Attach balanced weights to every row for ``weightCol`` (J3). Up to ``MOST_CLASSES`` classes are
+    looked up in a literal (no join, a frequent class is no hot key); more are joined, as a
+    label of that many values is like any other key. A NULL class has no weight."""
+    w = class_weights(df, label, "_cls").where(F.col("_cls").isNotNull())
+    few = w.limit(MOST_CLASSES + 1).collect()
+    if len(few) > MOST_CLASSES:
+        return df.join(w.select(F.col("_cls").alias(label), F.col("weight").alias(weight_col)), on=label, how="left")
+    found = F.when(F.lit(False), F.lit(None).cast("double"))
+    for r in few:
+        found = found.when(F.col(label) == F.lit(r["_cls"]), F.lit(r["weight"]))
+    return df.withColumn(weight_col, found)
 
 
 def pos_weight(df: DataFrame, label: str) -> DataFrame:

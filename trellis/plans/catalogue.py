@@ -428,7 +428,8 @@ def events_with_gaps(spark, d):
     ev = events(spark, d).select(
         "event_id", "label", F.when(F.col("event_type") == "error", F.lit(None).cast("double"))
         .otherwise(F.col("value")).alias("value"))
-    return split.stratified_split(ev, "event_id", "label")
+    # the quantile passes and the transform read the split, which is not made again for each
+    return cut_lineage(split.stratified_split(ev, "event_id", "label"), "split")
 
 
 @query("median_impute", f"""
@@ -846,6 +847,83 @@ def q_ml_model_comparison_smote(spark, d):
     return r6(res.comparison)
 
 
+# --------------------------------------------------------------------------- preparation inside folds
+
+FOLDED_EVENTS_SQL = f"""{EV_SQL},
+fo AS (SELECT event_id, label, CASE WHEN event_type = 'error' THEN NULL ELSE value END AS value,
+       CAST((row_number() OVER (PARTITION BY label ORDER BY {MD5_EV}, event_id) - 1) % 5 AS INTEGER) AS fold FROM ev),
+ff AS (SELECT unnest(range(5)) AS f)"""
+
+
+@query("impute_scale_pipeline", f"""
+WITH {FOLDED_EVENTS_SQL},
+med AS (SELECT f, quantile_cont(value, 0.5) AS med FROM ff, fo WHERE fold <> f GROUP BY f),
+st AS (SELECT f, avg(coalesce(value, med)) AS mu, stddev_pop(coalesce(value, med)) AS sd
+       FROM med JOIN fo ON fold <> f GROUP BY f)
+SELECT event_id, fold, round((coalesce(value, med) - mu) / sd, 6) + 0 AS prepared
+FROM fo JOIN med ON med.f = fold JOIN st ON st.f = fold""")
+def q_impute_scale_pipeline(spark, d):
+    """Every row prepared by the preparation of the fold that holds it out: median, mean and
+    deviation of the other folds. The statistics of all folds come from one search and one aggregate."""
+    from trellis.operators import split
+    from trellis.operators.preparation import Preparation, fold_parts
+    ev = events(spark, d).select("event_id", "label", F.when(F.col("event_type") != "error", F.col("value")).alias("value"))
+    folded = cut_lineage(split.stratified_kfold(ev, "event_id", "label", k=5), "folds")
+    steps = Preparation("event_id", "label", ["value"], scale=True)
+    held = fold_parts(folded, steps, "fold", range(5)).where("part = 'validation'")
+    return r6(held.select(F.col("event_id").cast("long").alias("event_id"), "fold", F.col(steps.columns[0]).alias("prepared")))
+
+
+@query("fold_smote_counts", """
+WITH j AS (SELECT l.doc_id, l.quality AS label FROM labels l JOIN documents d USING (doc_id)),
+fo AS (SELECT label, (row_number() OVER (PARTITION BY label ORDER BY md5(CAST(doc_id AS VARCHAR) || ':42')) - 1) % 5 AS fold FROM j),
+ff AS (SELECT CAST(unnest(range(5)) AS INTEGER) AS f),
+tr AS (SELECT f, label, count(*) AS n FROM ff JOIN fo ON fold <> f GROUP BY f, label),
+few AS (SELECT f, label, (SELECT max(n) FROM tr t WHERE t.f = tr.f) - n AS more,
+               row_number() OVER (PARTITION BY f ORDER BY n, CAST(label AS VARCHAR)) AS k FROM tr)
+SELECT f AS fold, 'train' AS part, label, false AS synthetic, n AS n_rows FROM tr
+UNION ALL SELECT f, 'train', label, true, more FROM few WHERE k = 1 AND more > 0
+UNION ALL SELECT f, 'validation', label, false, count(*) FROM ff JOIN fo ON fold = f GROUP BY f, label""")
+def q_fold_smote_counts(spark, d):
+    """What the learner of every fold sees: SMOTE inside the training part, real rows held out."""
+    from trellis.operators import split
+    from trellis.operators.preparation import Preparation, fold_parts
+    docs = labelled_documents(spark, d)
+    folded = cut_lineage(split.stratified_kfold(docs, "doc_id", "label", k=5), "folds")
+    parts = fold_parts(folded, Preparation("doc_id", "label", ["n_chars", "n_words"], scale=True, resample="smote"), "fold", range(5))
+    return parts.groupBy("fold", "part", "label", "synthetic").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+# --------------------------------------------------------------------------- sources
+
+@query("csv_scan", """
+SELECT o_orderkey, o_orderstatus, round(o_totalprice, 6) + 0 AS o_totalprice FROM orders WHERE o_orderkey % 7 <> 0""")
+def q_csv_scan(spark, d):
+    """A CSV copy of ``orders`` under a sniffed delimiter, typed from its header without an inference
+    pass; lines whose price is no number are rejected, the others come through."""
+    rows, _ = _orders_csv(spark, d)
+    return r6(rows)
+
+
+@query("csv_rejected", """
+SELECT CAST(o_orderkey AS VARCHAR) AS key, o_orderstatus || ';n/a' AS rest FROM orders WHERE o_orderkey % 7 = 0""")
+def q_csv_rejected(spark, d):
+    _, rejected = _orders_csv(spark, d)
+    return rejected.select(F.substring_index("line", ";", 1).alias("key"), F.expr("substring(line, instr(line, ';') + 1)").alias("rest"))
+
+
+def _orders_csv(spark, d):
+    import uuid
+
+    from trellis.session import checkpoint_dir
+    from trellis.sources.io import scan_csv
+    path = f"{checkpoint_dir(spark).rstrip('/')}/orders-{uuid.uuid4().hex}"
+    price = F.when(F.col("o_orderkey") % 7 == 0, F.lit("n/a")).otherwise(F.col("o_totalprice").cast("string"))
+    read_table(spark, d, "orders").select("o_orderkey", "o_orderstatus", price.alias("o_totalprice")) \
+        .write.option("header", True).option("sep", ";").csv(path)
+    return scan_csv(spark, path, "o_orderkey bigint, o_orderstatus string, o_totalprice double")
+
+
 # --------------------------------------------------------------------------- SMOTE
 
 def labelled_documents(spark, d):
@@ -861,7 +939,32 @@ def labelled_documents(spark, d):
     return sc.transform(df)
 
 
-@query("smote")
+def _labelled_documents_sql() -> str:
+    z = lambda c: f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER ()"
+    return f"""raw AS (SELECT doc_id, quality AS label, CAST(n_chars AS DOUBLE) AS n_chars,
+      CAST(len(string_split_regex(text, '\\s+')) AS DOUBLE) AS n_words FROM labels JOIN documents USING (doc_id)),
+j AS (SELECT doc_id, label, {z('n_chars')} AS n_chars, {z('n_words')} AS n_words FROM raw)"""
+
+
+def _smote_sql(k: int, seed: int, feats: list[str]) -> str:
+    """Brute force: every pair of minority rows, the k nearest by distance, then by coordinates."""
+    d2 = " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in feats)
+    row = ", ".join(f"round(p.{c} + u * (s.{c} - p.{c}), 6) + 0 AS {c}" for c in feats)
+    return f"""cnt AS (SELECT label, count(*) AS n FROM j GROUP BY label),
+few AS (SELECT label, n, (SELECT max(n) FROM cnt) - n AS more FROM cnt ORDER BY n, CAST(label AS VARCHAR) LIMIT 1),
+p AS (SELECT CAST(j.doc_id AS VARCHAR) AS doc_id, j.label, {', '.join(feats)}, few.n, few.more, least({k}, few.n - 1) AS k,
+      row_number() OVER (ORDER BY md5(CAST(j.doc_id AS VARCHAR) || ':{seed}')) AS rank FROM j JOIN few USING (label)),
+s AS (SELECT a.doc_id, {', '.join('b.' + c for c in feats)}, row_number() OVER (PARTITION BY a.doc_id
+      ORDER BY {d2}, {', '.join('b.' + c for c in feats)}) - 1 AS slot FROM p a JOIN p b ON a.doc_id <> b.doc_id),
+c AS (SELECT p.*, unnest(range(more // n + CASE WHEN rank <= more % n THEN 1 ELSE 0 END)) AS copy FROM p WHERE n > 1),
+h AS (SELECT *, md5(doc_id || '|' || copy || '|{seed}') AS h FROM c),
+g AS (SELECT *, ('0x' || substr(h, 1, 8))::BIGINT % k AS slot, ('0x' || substr(h, 9, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u FROM h)
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, label, {', '.join(f'round({c}, 6) + 0 AS {c}' for c in feats)}, false AS synthetic FROM j
+UNION ALL
+SELECT p.doc_id || '#' || copy, label, {row}, true FROM g p JOIN s USING (doc_id, slot)"""
+
+
+@query("smote", f"WITH {_labelled_documents_sql()}, {_smote_sql(5, 42, ['n_chars', 'n_words'])}")
 def q_smote(spark, d):
     from trellis.operators.resample import smote
     return r6(smote(labelled_documents(spark, d), "doc_id", "label", ["n_chars", "n_words"]))

@@ -25,7 +25,7 @@ from trellis.functions.columns import numeric_columns
 from trellis.operators import prep, profile
 from trellis.plans import workflow
 from trellis.session import get_session
-from trellis.sources.io import read_csv, save_bundle, write_table, write_text_report
+from trellis.sources.io import save_bundle, scan_csv, write_table, write_text_report
 
 # Fixed values of the reference workflow.
 TYPE_CODES = {"red": 0, "white": 1}
@@ -35,9 +35,19 @@ SUMMARY_TABLES = ("comparison", "metrics", "report", "split_check", "threshold_s
                   "polarity")
 
 
-def _read(spark, path: str):
-    raw = read_csv(spark, path, infer=True) if path.endswith(".csv") else spark.read.parquet(path)
-    return prep.clean_numeric(raw)
+#: tables that grow with the rows or with distinct scores, written in parallel
+BY_ROW = ("attributions", "roc_curve", "roc_curve_gbt", "pr_curve", "pr_curve_gbt", "actual_vs_predicted", "rejected",
+          "rejected_second")
+
+
+def _read(spark, path: str, args, tables: dict):
+    """A parquet table, or a CSV typed by ``--schema`` or by its header; lines that do not fit are
+    written out as the table ``rejected``."""
+    if not path.endswith(".csv"):
+        return prep.clean_numeric(spark.read.parquet(path))
+    rows, rejected = scan_csv(spark, path, args.schema, text=[args.type_col], whole=[args.score, args.label])
+    tables["rejected" if "rejected" not in tables else "rejected_second"] = rejected
+    return prep.clean_numeric(rows)
 
 
 def _features(df, exclude) -> list[str]:
@@ -59,11 +69,15 @@ def main(argv=None) -> None:
     ap.add_argument("--format", default="parquet", choices=["parquet", "csv"])
     ap.add_argument("--small", action="store_true", help="small learners (smoke runs)")
     ap.add_argument("--folds", type=int, default=10, help="cross-validation folds")
+    ap.add_argument("--tune", action="store_true", help="grid search of forest and boosted trees")
+    ap.add_argument("--resample", choices=["smote"], default=None, help="oversample inside the training parts, no weights")
+    ap.add_argument("--schema", default=None, help="typed columns of a CSV, e.g. 'a double, quality int'")
     ap.add_argument("--master", default=None)
     a = ap.parse_args(argv)
     spark = get_session(a.master)
     sizes = workflow.ModelSizes.small() if a.small else None
-    raw = _read(spark, a.source)
+    rejected: dict = {}
+    raw = _read(spark, a.source, a, rejected)
     chosen = a.features.split(",") if a.features else None
     tables: dict = {}
 
@@ -72,7 +86,7 @@ def main(argv=None) -> None:
         feats = chosen or _features(labelled, (a.label, a.score, a.type_col, a.key))
         body = prep.drop_leaks(labelled, [c for c in ("quality", a.type_col, a.score) if c != a.label])
         tables = workflow.full_report(body, a.label, feats, key=a.key, cv_folds=a.folds, sizes=sizes,
-                                      out_dir=a.out_dir)
+                                      out_dir=a.out_dir, tune=a.tune, resample=a.resample)
         if a.score in labelled.columns:   # on the raw, non-deduplicated rows
             tables["threshold_sensitivity"] = profile.threshold_sensitivity(labelled, a.score)
 
@@ -80,12 +94,12 @@ def main(argv=None) -> None:
         if not a.second:
             raise SystemExit("combined needs --second")
         frames = []
-        for df in (raw, _read(spark, a.second)):
+        for df in (raw, _read(spark, a.second, a, rejected)):
             df = prep.binary_label(df, a.score, a.label, a.threshold)
             frames.append(prep.drop_leaks(df, [c for c in ("quality", a.type_col, a.score) if c != a.label]))
         feats = chosen or _features(frames[0], (a.label, a.key))
         out = workflow.combined(frames, [0, 1], a.key or "row_key", a.label, feats, marker=a.type_col,
-                                sizes=sizes, report=True, cv_folds=a.folds, out_dir=a.out_dir)
+                                sizes=sizes, report=True, cv_folds=a.folds, out_dir=a.out_dir, tune=a.tune)
         tables = {k: v for k, v in out.items() if k != "fitted"}
 
     elif a.entry == "score":
@@ -109,8 +123,8 @@ def main(argv=None) -> None:
         tables = {k: v for k, v in out.items() if k != "model"}
         save_bundle(spark, out["model"], f"{a.out_dir}/bundle_type")
 
-    for name, df in tables.items():
-        write_table(df, f"{a.out_dir}/{name}", fmt=a.format, single_file=name != "attributions")
+    for name, df in {**tables, **rejected}.items():
+        write_table(df, f"{a.out_dir}/{name}", fmt=a.format, single_file=name not in BY_ROW)
     # the human-readable summary: the small report tables as text
     summary = {n: tables[n] for n in SUMMARY_TABLES if n in tables}
     if summary:

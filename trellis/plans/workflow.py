@@ -12,21 +12,18 @@ instead of recomputing the lineage, and a lost executor only costs a re-read.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trellis.operators import metrics, models, prep, profile, split
-from trellis.operators.transform import fit_median_imputer, fit_standard_scaler
+from trellis.operators.preparation import WEIGHT, Preparation
+from trellis.operators.transform import fit_standard_scaler
 from trellis.session import cut_lineage
 
 
-#: suffixes of the columns that fitted preprocessing adds
-IMPUTED, SCALED = "__i", "__z"
-
-
 @dataclass
 class ModelSizes:
     """Learner sizes. ``small()`` is for smoke runs. ``rf_depth`` None is the
@@ -37,6 +34,7 @@ class ModelSizes:
     gbt_iter: int = 200
     gbt_depth: int = 6
     gbt_step: float = 0.1
+    booster: str = "gbt"          # or "newton", the second-order form
 
     @staticmethod
     def small() -> "ModelSizes":
@@ -50,6 +48,9 @@ class ClassificationResult:
     comparison: DataFrame
     fitted: dict = field(default_factory=dict)
     scored: dict = field(default_factory=dict)   # model title -> written scored test rows
+    train: DataFrame | None = None               # cleaned training rows, not yet imputed or resampled
+    recipes: dict = field(default_factory=dict)  # model title -> (Preparation, learner), as fitted
+    grids: dict = field(default_factory=dict)    # model title -> mean F1 per parameter set
 
 
 def prepare(df: DataFrame, key: str, label: str, features: Sequence[str], test_fraction: float = 0.2,
@@ -66,125 +67,120 @@ def prepare(df: DataFrame, key: str, label: str, features: Sequence[str], test_f
     return cut_lineage(sp, "split") if checkpoint else sp
 
 
+LEARNERS = ("baseline", "lr", "rf", "gbt")
+BASELINE, LR, RF, GBT = "Baseline", "Logistic Regression", "Random Forest", "Gradient Boosted Trees"
+
+
+def recipe(name: str, key: str, label: str, features: Sequence[str], sizes: ModelSizes, balanced: bool = True,
+           resample: str | None = None, scale_forest: bool = False) -> tuple[str, Preparation, object]:
+    """Title, preparation and learner of a model. Imputation, scaling, SMOTE and weights are part of
+    the preparation, so every fit learns them from its own training part. With SMOTE the linear model
+    and the forest see scaled rows (neighbours are searched there); boosted trees are never resampled,
+    they weight the positives by neg / pos."""
+    weight = "balanced" if balanced and not resample else None
+    if name == "lr":
+        prep = Preparation(key, label, features, scale=True, resample=resample, weight=weight)
+
+        def learner(rows: DataFrame):   # the penalty is set against the sum of the weights
+            total = rows.agg(F.sum(WEIGHT) if weight else F.count(F.lit(1))).first()[0]
+            return models.logistic_regression(float(total or 1.0), label, WEIGHT if weight else None)
+        return LR, prep, learner
+    if name == "rf":
+        return RF, Preparation(key, label, features, scale=scale_forest or bool(resample), resample=resample, weight=weight), \
+            models.random_forest(sizes.rf_trees, sizes.rf_depth, sizes.rf_min_split, label, WEIGHT if weight else None)
+    if name == "gbt":
+        prep = Preparation(key, label, features, weight="positive" if balanced or resample else None)
+        return GBT, prep, models.boosted_trees(sizes.gbt_iter, sizes.gbt_depth, sizes.gbt_step, label,
+                                               WEIGHT if prep.weight else None, booster=sizes.booster)
+    raise ValueError(f"unknown learner {name!r}")
+
+
 def classification(df: DataFrame, key: str, label: str, features: Sequence[str],
                    sizes: ModelSizes | None = None, iqr: bool = True, balanced: bool = True,
-                   learners: Sequence[str] = ("baseline", "lr", "rf", "gbt"),
+                   learners: Sequence[str] = LEARNERS,
                    checkpoint: bool = True, parallelism: int = 3, tune: bool = False,
                    rf_grid: dict | None = None, gbt_grid: dict | None = None,
-                   rf_folds: int = 5, gbt_folds: int = 3,
-                   resample: str | None = None) -> ClassificationResult:
-    """Entry A of the reference as one function: split, verify, clean train,
-    scale, fit baseline / logistic regression / random forest / boosted
-    trees and compare them on the test rows.
-
-    With ``tune`` the forest and the boosted trees are grid-searched on the
-    training rows (positive-class F1 over exact stratified folds, refit on
-    all training rows): the forest over ``rf_grid`` (default: the
-    reference's grid), the boosted trees over ``gbt_grid`` crossed with a
-    positive-class weight of 1 or neg/pos (``scale_pos_weight``).
-
-    ``resample='smote'`` oversamples the minority class of the cleaned
-    training rows instead of weighting (the first single-source flow of the
-    reference): neighbours are searched in standardized space, as SMOTE runs
-    after the scaler there, and the synthetic rows are mapped back to raw
-    units -- interpolation commutes with the affine scaling -- so the fitted
-    pipelines still apply to raw test rows."""
+                   rf_folds: int = 5, gbt_folds: int = 3, resample: str | None = None,
+                   iqr_columns: Sequence[str] | None = None, scale_forest: bool = False) -> ClassificationResult:
+    """Entry A of the reference as one function: split, verify, clean the training part, fit
+    baseline / logistic regression / random forest / boosted trees and compare them on the test rows.
+
+    NULL features are imputed by the training part's medians. ``resample='smote'`` oversamples the
+    minority class instead of weighting, inside every fit (see ``recipe``). The IQR rule cleans
+    ``iqr_columns`` (all features).
+
+    With ``tune`` the forest and the boosted trees are grid-searched on the training rows
+    (positive-class F1 over exact stratified folds, every fold prepared on its own training part,
+    refit on all training rows): the forest over ``rf_grid`` (default: the reference's grid), the
+    boosted trees over ``gbt_grid`` crossed with a positive-class weight of 1 or neg/pos."""
     sizes = sizes or ModelSizes()
     prepared = prepare(df, key, label, features, checkpoint=checkpoint)
     check = profile.split_verification(prepared, label)
     train = prepared.where(F.col("split") == "train")
     test = prepared.where(F.col("split") == "test")
-    if iqr:  # 0/1 marker columns are not cleaned: a rare value is not an outlier
-        binary = profile.binary_columns(train, list(features))
-        cols = [f for f in features if f not in binary]
-        train = profile.iqr_filter(train, cols, exclude=[label]) if cols else train
-    if resample == "smote":
-        from trellis.operators.resample import smote
-        fitted_scaler = fit_standard_scaler(train, features)
-        z = fitted_scaler.transform(train.select(key, label, *features))
-        over = smote(z, key, label, list(features))
-        train = over.select(key, label, *[
-            (F.col(c) * F.lit(fitted_scaler.stats[c][1]) + F.lit(fitted_scaler.stats[c][0] or 0.0)).alias(c)
-            for c in features])
-        balanced = False
-    if balanced:
-        train = profile.with_class_weights(train, label, "weight")
-    weight = "weight" if balanced else None
-    if tune and "gbt" in learners:
-        pw = profile.pos_weight(train, label).first()["pos_weight"] or 1.0
-        train = train.withColumn("w_one", F.lit(1.0)).withColumn(
-            "w_spw", F.when(F.col(label) == 1, F.lit(float(pw))).otherwise(F.lit(1.0)))
-    if checkpoint:  # every learner reads the cleaned, weighted training rows
+    cleaned = list(features) if iqr_columns is None else list(iqr_columns)
+    if iqr and cleaned:
+        train = profile.iqr_filter(train, cleaned)
+    if checkpoint:  # every learner prepares the cleaned training rows
         train = cut_lineage(train, "train")
 
-    scaler = fit_standard_scaler(train, features, suffix="__z")
-    scaled = [f + "__z" for f in features]
-    n_w = None
-    if "lr" in learners:
-        n_w = train.agg(F.sum(weight) if weight else F.count(F.lit(1))).first()[0] or 1.0
-
-    def build(name):
-        if name == "lr":
-            return "Logistic Regression", [scaler.as_stage(), models.assembler(scaled),
-                                           models.logistic_regression(float(n_w), label, weight)]
-        if name == "rf":
-            return "Random Forest", [models.assembler(features), models.random_forest(
-                sizes.rf_trees, sizes.rf_depth, sizes.rf_min_split, label, weight)]
-        if name == "gbt":
-            return "Gradient Boosted Trees", [models.assembler(features), models.boosted_trees(
-                sizes.gbt_iter, sizes.gbt_depth, sizes.gbt_step, label, weight)]
-        raise ValueError(f"unknown learner {name!r}")
-
-    def tuned(name):
-        k = rf_folds if name == "rf" else gbt_folds
-        folded = split.stratified_kfold(train, key, label, k=k)
+    def tuned(name, prep, learner):
+        folded = split.stratified_kfold(train, key, label, k=rf_folds if name == "rf" else gbt_folds)
         folded = cut_lineage(folded, f"{name}-folds") if checkpoint else folded
-        title, stages = build(name)
-        grid = dict(rf_grid or models.RF_GRID_RED) if name == "rf" else \
-            {**(gbt_grid or models.GBT_GRID), "weightCol": ["w_one", "w_spw"]}
-        best, _ = models.grid_search(stages[:-1], stages[-1], grid, folded, "fold", k, label)
-        return title, best
+        if name == "rf":
+            return models.grid_search_prepared({"": prep}, learner, dict(rf_grid or models.RF_GRID_RED), folded, "fold",
+                                               rf_folds, label)
+        options = {"weight=1": replace(prep, weight=None), "weight=neg/pos": replace(prep, weight="positive")}
+        unweighted = recipe(name, key, label, features, sizes, balanced=False)[2]
+
+        def learner_of(rows: DataFrame):
+            return unweighted.copy().setWeightCol(WEIGHT) if WEIGHT in rows.columns else unweighted
+        return models.grid_search_prepared(options, learner_of, dict(gbt_grid or models.GBT_GRID), folded, "fold",
+                                           gbt_folds, label)
 
     def fit(name):
         if name == "baseline":
-            return None, None, metrics.majority_baseline(train, test, label), None
+            return BASELINE, None, metrics.majority_baseline(train, test, label), None, None, None
+        title, prep, learner = recipe(name, key, label, features, sizes, balanced, resample, scale_forest)
+        grid = None
         if tune and name in ("rf", "gbt"):
-            title, model = tuned(name)
+            model, grid, prep, learner = tuned(name, prep, learner)
         else:
-            title, stages = build(name)
-            model = Pipeline(stages=stages).fit(train)
+            model = prep.model(learner)(train)
         row, scored = models.evaluate_scored(model, test, title, label, [key])
-        return title, model, row, scored
+        return title, model, row, scored, (prep, learner), grid
 
     # independent learners run as concurrent Spark jobs; rows keep the order
     results = models.run_parallel(fit, list(learners), parallelism)
-    fitted = {t: m for t, m, _, _ in results if m is not None}
-    scored = {t: sc for t, m, _, sc in results if m is not None}
-    rows = [r for _, _, r, _ in results]
-    return ClassificationResult(prepared, check, metrics.compare_models(rows), fitted, scored)
+    of = lambda i: {r[0]: r[i] for r in results if r[i] is not None}
+    return ClassificationResult(prepared, check, metrics.compare_models([r[2] for r in results]), of(1), of(3), train, of(4), of(5))
 
 
 def combined(frames: Sequence[DataFrame], markers: Sequence[int], key: str, label: str,
              features: Sequence[str], marker: str = "type", group_check: bool = True,
              sizes: ModelSizes | None = None, checkpoint: bool = True, report: bool = False,
-             cv_folds: int = 10, out_dir: str | None = None, models_too: bool = True) -> dict:
+             cv_folds: int = 10, out_dir: str | None = None, models_too: bool = True, tune: bool = False,
+             clean_marker: bool = False) -> dict:
     """Entry B: pool several sources (dedup per source, then a source marker
     column), model with the marker as a feature, and check the feature-label
     relation per source against the pooled one (Simpson's paradox, A28).
-    The IQR rule skips the 0/1 marker by default, so a rare source is not
-    removed as an outlier. With ``report`` the whole single-source report
+    The IQR rule cleans ``features``; with ``clean_marker`` also the marker, which removes
+    every row of a source that has under a quarter of the rows. With ``report`` the whole single-source report
     (curves, calibration, CV t-test, learning curve, attributions, bundles)
     runs on the pooled table."""
     pooled = prep.union_sources(frames, marker=marker, markers=markers)
     pooled = prep.row_key(pooled, key) if key not in pooled.columns else pooled
     feats = [*features, marker]
+    cleaned = feats if clean_marker else list(features)
     if report:
-        out = full_report(pooled, label, feats, key=key, sizes=sizes, cv_folds=cv_folds, out_dir=out_dir)
+        out = full_report(pooled, label, feats, key=key, sizes=sizes, cv_folds=cv_folds, out_dir=out_dir, tune=tune,
+                          iqr_columns=cleaned, scale_forest=True)
         out["fitted"] = {}
     elif not models_too:  # the relations alone
         out = {}
     else:
-        res = classification(pooled, key, label, feats, sizes, learners=("rf", "gbt"), checkpoint=checkpoint)
+        res = classification(pooled, key, label, feats, sizes, learners=("rf", "gbt"), checkpoint=checkpoint, tune=tune,
+                             iqr_columns=cleaned, scale_forest=True)
         out = {"comparison": res.comparison, "split_check": res.split_check, "fitted": res.fitted}
     if group_check:
         out["polarity"] = profile.polarity_check(pooled, label, marker, list(features))
@@ -232,13 +228,9 @@ def type_prediction(df: DataFrame, key: str, label: str, features: Sequence[str]
     prepared = prepare(df, key, label, features, checkpoint=checkpoint)
     train = prepared.where(F.col("split") == "train")
     test = prepared.where(F.col("split") == "test")
-    if weighted:
-        pw = profile.pos_weight(train, label).first()["pos_weight"] or 1.0
-        train = models.with_positive_weight(train, label, pw)
-    imputer = fit_median_imputer(train, features, suffix=IMPUTED)
-    model = Pipeline(stages=[imputer.as_stage(), models.assembler([f + IMPUTED for f in features]),
-                             models.boosted_trees(sizes.gbt_iter, sizes.gbt_depth, sizes.gbt_step,
-                                                  label, "weight" if weighted else None)]).fit(train)
+    steps = Preparation(key, label, features, weight="positive" if weighted else None)
+    model = steps.model(models.boosted_trees(sizes.gbt_iter, sizes.gbt_depth, sizes.gbt_step, label,
+                                             WEIGHT if weighted else None))(train)
     scored = models.score(model, test, label, [key])
     scored = cut_lineage(scored, "scored") if checkpoint else scored   # four tables read it
     return {"report": metrics.classification_report(scored, label),
@@ -251,16 +243,21 @@ def type_prediction(df: DataFrame, key: str, label: str, features: Sequence[str]
 def full_report(raw: DataFrame, label: str, features: Sequence[str], score: str | None = None,
                 key: str | None = None, sizes: ModelSizes | None = None, cv_folds: int = 10,
                 thresholds: Sequence[int] = (6, 7, 8), tune_on: str = "oof",
-                out_dir: str | None = None, learning_folds: int = 5) -> dict:
+                out_dir: str | None = None, learning_folds: int = 5, tune: bool = False,
+                resample: str | None = None, rf_grid: dict | None = None, gbt_grid: dict | None = None,
+                iqr_columns: Sequence[str] | None = None, scale_forest: bool = False) -> dict:
     """The single-source script end to end, every table as a DataFrame.
 
-    ``raw`` is the loaded, *not yet deduplicated* table (the threshold table
-    is computed on it, as the reference does); everything else runs on the
-    deduplicated rows. The forest's decision threshold is chosen on
-    ``tune_on``: 'oof' (default) = out-of-fold predictions of the training
-    rows from the cross-validation, 'test' mirrors the reference (which
-    tuned on the test rows, an optimistic choice). With ``out_dir`` the
-    model bundles are saved there.
+    ``raw`` is the loaded, *not yet deduplicated* table (the threshold table is computed on it, as the
+    reference does); everything else runs on the deduplicated rows. The profile of the training rows,
+    the cross-validations and the learning curve run on the cleaned training rows; every fold and
+    subset is imputed, scaled, resampled or weighted on its own, with the recipe of the model that was
+    fitted (the tuned one with ``tune``; SMOTE with ``resample='smote'``).
+
+    The forest's decision threshold is chosen on ``tune_on``: 'oof' (default) = out-of-fold predictions
+    of the training rows from the cross-validation, 'test' mirrors the reference (which tuned on the
+    test rows, an optimistic choice). The comparison ends with the forest at that threshold. With
+    ``out_dir`` the model bundles are saved there.
     """
     from trellis.operators import curves, explain
     from trellis.sources.io import save_bundle
@@ -273,62 +270,64 @@ def full_report(raw: DataFrame, label: str, features: Sequence[str], score: str
     if key is None:
         key = "row_key"
         df = prep.row_key(df, key)
-    res = classification(df, key, label, features, sizes)
-    out.update(comparison=res.comparison, split_check=res.split_check)
-    prepared = res.prepared
-    train = prepared.where(F.col("split") == "train")
-    test = prepared.where(F.col("split") == "test")
+    res = classification(df, key, label, features, sizes, tune=tune, resample=resample, rf_grid=rf_grid, gbt_grid=gbt_grid,
+                         iqr_columns=iqr_columns, scale_forest=scale_forest)
+    out["split_check"] = res.split_check
+    train, test = res.train, res.prepared.where(F.col("split") == "test")
     out["correlation"] = profile.corr_matrix(train, [*features, label])
     out["label_correlation"] = profile.label_correlation(train, label, features)
     out["vif"] = profile.vif(train, features)
-    out["class_distribution"] = profile.class_distribution(prepared, label)
-    rf = res.fitted.get("Random Forest")
-    gbt = res.fitted.get("Gradient Boosted Trees")
-    oof = None
-    if rf is not None and gbt is not None:
-        folded = split.stratified_kfold(train, key, label, k=cv_folds)
-        folded = cut_lineage(profile.with_class_weights(folded, label, "weight"), "folds")
-        rf_scores, oof = models.cv_fold_scores(
-            Pipeline(stages=[models.assembler(features), models.random_forest(
-                sizes.rf_trees, sizes.rf_depth, sizes.rf_min_split, label, "weight")]),
-            folded, "fold", cv_folds, "Random Forest", label, keep_scored=True, key=[key])
-        gbt_scores = models.cv_fold_scores(
-            Pipeline(stages=[models.assembler(features), models.boosted_trees(
-                sizes.gbt_iter, sizes.gbt_depth, sizes.gbt_step, label, "weight")]),
-            folded, "fold", cv_folds, "Gradient Boosted Trees", label)
-        scores = rf_scores.unionByName(gbt_scores)
-        out["cv_scores"] = scores
-        out["cv_summary"] = metrics.cv_summary(scores)
-        out["t_test"] = metrics.paired_t_test(scores, "Random Forest", "Gradient Boosted Trees")
-        out["cv_box"] = metrics.box_stats(scores)
-        att, base, kind = explain.tree_attributions(test, [key], features, gbt.stages[-1])
-        out["attributions"] = att
-        out["attribution_summary"] = explain.global_importance(att)
-        # explain the picked row alone (a top-1), not every row then a filter
-        picked = prep.first_positive(res.scored["Gradient Boosted Trees"], key).select(key).first()
-        if picked is not None:
-            one, _, _ = explain.tree_attributions(test.where(F.col(key) == F.lit(picked[0])), [key],
-                                                  features, gbt.stages[-1])
-            out["local_explanation"] = explain.local_explanation(one, keys=[key])
-        out["attribution_base"] = spark.createDataFrame([(base, kind)], "base double, output string")
-        if out_dir:
-            save_bundle(spark, gbt, f"{out_dir}/bundle_gbt")
-            save_bundle(spark, rf, f"{out_dir}/bundle_rf")
+    out["class_distribution"] = profile.class_distribution(train, label)
+    for title, table in res.grids.items():
+        out["grid_" + _slug(title)] = table
+
+    # cross-validation of both tree models on the same folds of the cleaned rows
+    folded = cut_lineage(split.stratified_kfold(train, key, label, k=cv_folds), "folds")
+    scores, oof = {}, None
+    for title in (RF, GBT):
+        steps, learner = res.recipes[title]
+        found = models.cv_fold_scores(steps.model(learner), folded, "fold", cv_folds, title, label,
+                                      keep_scored=title == RF, key=[key])
+        scores[title], oof = found if title == RF else (found, oof)
+    both = scores[RF].unionByName(scores[GBT])
+    out.update(cv_scores=both, cv_summary=metrics.cv_summary(both), cv_box=metrics.box_stats(both),
+               t_test=metrics.paired_t_test(both, RF, GBT))
+
+    # the boosted trees explain the test rows; the picked row is explained alone (a top-1)
+    gbt = res.fitted[GBT]
+    columns = res.recipes[GBT][0].columns
+    ready = PipelineModel(stages=gbt.stages[:-1]).transform(test)
+    att, base, kind = explain.tree_attributions(ready, [key], columns, gbt.stages[-1])
+    out["attributions"] = att
+    out["attribution_summary"] = explain.global_importance(att)
+    picked = prep.first_positive(res.scored[GBT], key).select(key).first()
+    if picked is not None:
+        one, _, _ = explain.tree_attributions(ready.where(F.col(key) == F.lit(picked[0])), [key], columns, gbt.stages[-1])
+        out["local_explanation"] = explain.local_explanation(one, keys=[key])
+    out["attribution_base"] = spark.createDataFrame([(base, kind)], "base double, output string")
+    if out_dir:
+        save_bundle(spark, gbt, f"{out_dir}/bundle_gbt")
+        save_bundle(spark, res.fitted[RF], f"{out_dir}/bundle_rf")
     for title, scored in res.scored.items():   # the rows evaluation already wrote
-        out["confusion_" + title.lower().replace(" ", "_")] = metrics.confusion_matrix(scored, label)
-    if rf is not None and learning_folds:
-        folded = split.stratified_kfold(train, key, label, k=learning_folds)
-        pos = split.learning_positions(folded, key, learning_folds)
-        pos = cut_lineage(profile.with_class_weights(pos, label, "weight"), "learning")
-        out["learning_curve"] = models.learning_curve(Pipeline(stages=[
-            models.assembler(features), models.random_forest(
-                sizes.rf_trees, sizes.rf_depth, sizes.rf_min_split, label, "weight")]), pos, learning_folds, label)
-    if rf is not None:  # scored once by the evaluation; four tables read it
-        scored_test = res.scored["Random Forest"]
-        tune_rows = oof if (tune_on == "oof" and oof is not None) else scored_test
-        t = curves.best_threshold_value(tune_rows, label, "p1")
-        out["tuned_metrics"] = curves.tuned_metrics(scored_test, label, "p1", t, "Random Forest (tuned)")
-        out["calibration"] = curves.calibration_bins(scored_test, label, "p1")
-        out["roc_curve"] = curves.roc_curve(scored_test, label, "p1")
-        out["importance_rf"] = models.feature_importance(rf, features, spark)
+        out["confusion_" + _slug(title)] = metrics.confusion_matrix(scored, label)
+    if learning_folds:
+        steps, learner = res.recipes[RF]
+        pos = split.learning_positions(split.stratified_kfold(train, key, label, k=learning_folds), key, learning_folds)
+        out["learning_curve"] = models.learning_curve(steps.model(learner), cut_lineage(pos, "learning"), learning_folds, label)
+
+    threshold = curves.best_threshold_value(oof if tune_on == "oof" else res.scored[RF], label, "p1")
+    tuned_row = curves.tuned_metrics(res.scored[RF], label, "p1", threshold, f"{RF} (tuned threshold)")
+    out["tuned_metrics"] = tuned_row
+    shared = [c for c in res.comparison.columns if c in tuned_row.columns]
+    out["comparison"] = res.comparison.unionByName(tuned_row.select(*shared, F.lit(len(LEARNERS)).alias("ord")))
+    for title in (RF, GBT):
+        scored, tail = res.scored[title], "" if title == RF else "_gbt"
+        out["calibration" + tail] = curves.calibration_bins(scored, label, "p1")
+        out["roc_curve" + tail] = curves.roc_curve(scored, label, "p1")
+        out["pr_curve" + tail] = curves.pr_curve(scored, label, "p1")
+        out["importance_rf" if title == RF else "importance_gbt"] = models.feature_importance(res.fitted[title], features, spark)
     return out
+
+
+def _slug(title: str) -> str:
+    return title.lower().replace(" ", "_")

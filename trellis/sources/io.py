@@ -8,11 +8,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 # Fixed values of the reference workflow.
 CANDIDATE_DELIMITERS = (",", ";", "\t", "|")
-BUNDLE_DESCRIPTION = "Complete production pipeline with preprocessing"
+
+BUNDLE_DESCRIPTION = "fitted preprocessing and model, ready to score raw rows"
+#: column that carries the text of a rejected line
+REJECTED = "_rejected_line"
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -31,6 +34,48 @@ def sniff_delimiter(header_line: str, candidates: Sequence[str] = CANDIDATE_DELI
     return best
 
 
+def header_line(spark: SparkSession, path: str) -> str:
+    """First line of the source (a one-row read); a missing file raises ``AnalysisException``."""
+    first = spark.read.text(path).limit(1).collect()
+    return first[0][0] if first else ""
+
+
+def header_schema(line: str, sep: str, text: Sequence[str] = (), whole: Sequence[str] = ()) -> StructType:
+    """Typed columns from a header line alone: ``text`` columns are strings, ``whole`` ones integers, all
+    others doubles. No data is read to guess types."""
+    names = [c.strip().strip('"') for c in line.split(sep)]
+    kind = lambda c: StringType() if c in text else IntegerType() if c in whole else DoubleType()
+    return StructType([StructField(c, kind(c)) for c in names])
+
+
+def scan_csv(spark: SparkSession, path: str, schema: StructType | str | None = None, sep: str | None = None,
+             text: Sequence[str] = (), whole: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """``(rows, rejected)`` of a CSV with header, typed from the start.
+
+    The delimiter is sniffed from the header line unless given, the schema comes from the caller or
+    from the header (``header_schema``); the data is read once, without an inference pass. Lines
+    that do not fit the schema (a word in a number column, missing or surplus fields) are not in
+    ``rows`` but in ``rejected``, one row a line with its text, so none is lost or turned into NULLs.
+    A schema whose names differ from the header's raises ``ValueError``, a missing file
+    ``AnalysisException``.
+    """
+    line = header_line(spark, path)
+    sep = sep or sniff_delimiter(line)
+    if schema is None:
+        schema = header_schema(line, sep, text, whole)
+    elif isinstance(schema, str):
+        schema = StructType.fromDDL(schema)
+    found = [c.strip().strip('"') for c in line.split(sep)]
+    if line and found != schema.names:
+        raise ValueError(f"the header has {found}, the schema {schema.names}")
+    typed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields) + f", `{REJECTED}` string"
+    parsed = F.from_csv("value", typed, {"sep": sep, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": REJECTED})
+    every = spark.read.text(path).where((F.col("value") != F.lit(line)) & (F.trim("value") != "")).select(parsed.alias("r"))
+    bad = F.col(f"r.{REJECTED}").isNotNull()
+    rows = every.where(~bad).select(*[F.col(f"r.`{c}`").alias(c) for c in schema.names])
+    return rows, every.where(bad).select(F.col(f"r.{REJECTED}").alias("line"))
+
+
 def read_csv(spark: SparkSession, path: str, schema: StructType | None = None,
              sep: str | None = None, infer: bool = False) -> DataFrame:
     """CSV scan with header (S1/S2). With ``sep=None`` the delimiter is sniffed
@@ -38,11 +83,11 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | None = None,
     schema, columns are strings unless ``infer`` asks for an inference pass.
 
     A missing file raises ``AnalysisException`` at once (S3); malformed rows
-    fail the job (``FAILFAST``) instead of turning silently into NULLs.
+    fail the job (``FAILFAST``) instead of turning silently into NULLs
+    (``scan_csv`` keeps them apart instead).
     """
     if sep is None:
-        first = spark.read.text(path).limit(1).collect()
-        sep = sniff_delimiter(first[0][0]) if first else ","
+        sep = sniff_delimiter(header_line(spark, path))
     reader = spark.read.option("header", True).option("sep", sep).option("mode", "FAILFAST")
     if schema is not None:
         reader = reader.schema(schema)
