@@ -36,3 +36,16 @@ def test_random_unicode(words):
             t += rng.choice(rng.choice((marks, "̧̀́̂̃̈", chars, " .,;!?'’-\n")))
         t = unicodedata.normalize("NFD", t) if k % 3 == 0 else t
         assert "<|" in t or words._joined(t) == words._whole(t), ascii(t)
+
+
+def test_every_letter_before_a_stop_and_a_comma(words):
+    bad = [hex(c) for c in (*range(0x41, 0xD800), *range(0xE000, 0x20000)) if chr(c).isalpha()
+           for t in (f"a{chr(c)}.", f"{chr(c)}, b", f"x {chr(c)}.") if words._joined(t) != words._whole(t)]
+    assert bad == []
+
+
+@pytest.mark.parametrize("text", ["TEKLİFİ. son", "BÜYÜKŞEHİRLERİ, ve", "बड़, और", "बड़. x", "ড়, এ", "शब्द."])
+def test_words_whose_last_letter_is_composed(words, text):
+    for form in ("NFC", "NFD"):
+        t = unicodedata.normalize(form, text)
+        assert words._joined(t) == words._whole(t)

@@ -32,6 +32,7 @@ import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -67,6 +68,14 @@ class PlainIds(dict):
         return v
 
 
+@lru_cache(1)
+def _ending_in_marks() -> str:
+    """Letters that end in a combining mark once they are lower-cased and composed, as U+0130 and the
+    letters that composition leaves apart; a stop behind one joins its mark."""
+    letters = (chr(c) for c in range(0x80, 0x30000) if chr(c).isalpha())
+    return "".join(c for c in letters if unicodedata.category(unicodedata.normalize("NFC", c.lower())[-1])[0] == "M")
+
+
 class WordIds(dict):
     """word -> its ids as bytes, filled on demand and emptied when it grows too large.
 
@@ -77,8 +86,6 @@ class WordIds(dict):
     where a text has a special token's brackets, texts are encoded whole."""
 
     PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([^\w\s'’]*)")  # letters, then signs
-    #: a full stop or comma right after a letter and before white space is a word of its own
-    STOP = re.compile(r"(?<=[^\W\d_])([.,])(?=[ \n]|$)")
     #: marks, and characters newer than Python's tables, which may be marks or letters
     JOINING = frozenset(("Mn", "Mc", "Me", "Cn"))
     SIMPLE = frozenset(" \n.,abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZàâäáãåçèéêëíìîïñóòôöõúùûüßÀÂÄÁÃÅÇÈÉÊËÍÌÎÏÑÓÒÔÖÕÚÙÛÜ")
@@ -92,6 +99,8 @@ class WordIds(dict):
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.end = array(self.code, [END_ID]).tobytes()
         self.plain = PlainIds(self.tok.model, self.code)
+        #: a full stop or comma right after a letter and before white space is a word of its own
+        self.stop = re.compile(rf"(?<=[^\W\d_{_ending_in_marks()}])([.,])(?=[ \n]|$)")
         self.by_word = self._joined(self.PROBE) == self._whole(self.PROBE)
 
     def __missing__(self, word: str) -> bytes:
@@ -118,7 +127,7 @@ class WordIds(dict):
             # every stop and comma is a word of its own, and so is the rest
             text = text.lower().replace(".", " . ").replace(",", " , ").replace("\n", " ")
             return b"".join(map(self.plain.__getitem__, text.split(" ")))
-        return b"".join(map(self.__getitem__, self.STOP.sub(r" \1", text).replace("\n", " ").split(" ")))
+        return b"".join(map(self.__getitem__, self.stop.sub(r" \1", text).replace("\n", " ").split(" ")))
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a text with the end id."""
