@@ -72,12 +72,12 @@ def test_linear_attributions_and_local_fold(spark):
 def test_tree_shap_equals_brute_force_shapley(spark):
     from itertools import combinations
 
-    from trellis.operators.explain import _pack_leaves, shap_values_numpy, tree_leaf_paths
+    from trellis.operators.explain import _unpacked, leaf_blocks, shap_values_numpy
     df = _data(spark, 200)
     m, _ = _fit(GBTClassifier(maxIter=3, maxDepth=3, seed=2), df)
-    leaves, _ = tree_leaf_paths(m, spark)
+    blocks, _ = leaf_blocks(m, spark)
     X = np.array([[r.a, r.b, r.c] for r in df.limit(20).collect()])
-    phi, base = shap_values_numpy(X, _pack_leaves(leaves), 3)
+    phi, base = shap_values_numpy(X, _unpacked(blocks.collect()), 3)
 
     def expect(x, S):
         tot = 0.0
@@ -99,3 +99,21 @@ def test_tree_shap_equals_brute_force_shapley(spark):
                     val += wgt * (expect(x, set(S) | {i}) - expect(x, set(S)))
             assert math.isclose(phi[r, i], val, abs_tol=1e-10)
         assert math.isclose(base, expect(x, set()), abs_tol=1e-12)
+
+
+def test_a_deep_forest_in_many_passes_over_its_leaf_blocks(spark, monkeypatch):
+    from trellis.operators import explain
+    df = _data(spark)
+    m, v = _fit(RandomForestClassifier(numTrees=12, maxDepth=30, seed=3, featureSubsetStrategy="all"), df)
+    whole, base, _ = tree_attributions(df, ["k"], ["a", "b", "c"], m)
+    monkeypatch.setattr(explain, "PASS_BYTES", 4_000)
+    monkeypatch.setattr(explain, "BLOCK_LEAVES", 16)
+    blocks, _ = explain.leaf_blocks(m, spark)
+    assert len(explain._passes(blocks.orderBy("tree", "block").collect())) > 3
+    parts, base2, _ = tree_attributions(df, ["k"], ["a", "b", "c"], m)
+    a, b = ({(r.k, r.feature): r.phi for r in x.collect()} for x in (whole, parts))
+    assert a.keys() == b.keys() and all(math.isclose(a[x], b[x], abs_tol=1e-9) for x in a)
+    assert math.isclose(base, base2, abs_tol=1e-9)
+    p = {r.k: r.p for r in m.transform(v).select("k", vector_to_array("probability")[1].alias("p")).collect()}
+    for k, want in p.items():
+        assert math.isclose(base2 + sum(b[(k, f)] for f in "abc"), want, abs_tol=1e-9)

@@ -171,3 +171,24 @@ def test_split_report_strings(spark):
     chk = profile.split_verification(spark.createDataFrame(rows, "label int, split string"), "label")
     rep = {r["class"]: r for r in split_report(chk).collect()}
     assert rep[0]["Train %"] == "75.00%" and rep[0]["Test %"] == "50.00%" and rep[0]["Diff (pp)"] == "25.00"
+
+
+def test_curves_of_scores_in_a_narrow_range_over_many_ranges(spark):
+    """All scores in [0.5, 0.5001], one held by a third of the rows: every range has its share and the
+    curve is the one of a single pass."""
+    rng = np.random.default_rng(8)
+    s = 0.5 + rng.integers(0, 4000, 6000) * 2.5e-8
+    s[::3] = 0.50005
+    y = (rng.random(6000) < 0.3).astype(int)
+    df = spark.createDataFrame(list(zip(map(int, y), map(float, s))), "label int, s double").repartition(7)
+    cum, P, N = curves.score_counts(df, "label", "s", parts=13)
+    got = cum.orderBy(F.col("score").desc()).toPandas()
+    values = np.unique(s)[::-1]
+    pos = np.array([y[s == v].sum() for v in values])
+    neg = np.array([(1 - y[s == v]).sum() for v in values])
+    assert (P, N) == (y.sum(), 6000 - y.sum())
+    assert np.array_equal(got.score, values) and np.array_equal(got.tps, pos.cumsum()) and np.array_equal(got.fps, neg.cumsum())
+    assert np.array_equal(got.next_pos[:-1].astype(int), pos[1:]) and np.isnan(got.next_neg.iloc[-1])
+    # one range exchange after the distinct scores, and none for the curve itself
+    plan = cum._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("rangepartitioning") == 0 and "Window" not in plan

@@ -1,6 +1,8 @@
+import pytest
 from pyspark.sql import functions as F
 
 from trellis.operators import split
+from trellis.session import cut_lineage
 
 
 def _df(spark, n=1000):
@@ -32,16 +34,29 @@ def test_folds_balanced(spark):
     assert sorted(r["count"] for r in g.groupBy("fold").count().collect()) == [333, 333, 334]
 
 
-def test_learning_positions_are_training_prefix_positions(spark):
-    df = _df(spark, 300)
-    f = split.stratified_kfold(df, "k", "y", k=3)
-    pos = split.learning_positions(f, "k", 3).toPandas()
+@pytest.mark.parametrize("digits,rows", [(3, 1000), (1, 5), (2, 1)])
+def test_learning_subsets_are_training_prefixes_in_hash_order(spark, monkeypatch, digits, rows):
     import hashlib
-    pos["h"] = [hashlib.md5(f"{k}:42".encode()).hexdigest() for k in pos.k]
-    for fold in range(3):
-        tr = pos[pos.fold != fold].sort_values("h")
-        assert list(tr[f"pos_{fold}"]) == list(range(1, len(tr) + 1))
-        assert pos[pos.fold == fold][f"pos_{fold}"].isna().all()
+    monkeypatch.setattr(split, "CUT_DIGITS", digits)
+    monkeypatch.setattr(split, "CUT_ROWS", rows)      # small ones are refined several times
+    f = cut_lineage(split.stratified_kfold(_df(spark, 300), "k", "y", k=3), "folds")
+    pdf = f.toPandas()
+    pdf["h"] = [hashlib.md5(f"{k}:42".encode()).hexdigest() for k in pdf.k]
+    cuts = split.learning_cuts(f, "k", 3)
+    assert len(cuts) == 15
+    for (fold, j), (size, last) in cuts.items():
+        train = pdf[pdf.fold != fold].sort_values("h")
+        assert size == split.learning_sizes(len(train))[j] and train.h.iloc[size - 1] == last
+        if j in (0, 3):
+            assert sorted(r.k for r in split.learning_subset(f, "k", fold, last).collect()) == sorted(train.k[:size])
+
+
+def test_learning_subsets_with_a_repeated_key_and_without_rows(spark):
+    df = spark.range(400).select(F.when(F.col("id") < 200, "same").otherwise(F.col("id").cast("string")).alias("k"),
+                                 (F.col("id") % 2).cast("int").alias("y"), (F.col("id") % 4).cast("int").alias("fold"))
+    counts = split.learning_subset_counts(df, "k", "y", 4).collect()
+    assert len(counts) == 20 and all(r.n_rows >= r.train_size for r in counts)
+    assert split.learning_subset_counts(df.where("false"), "k", "y", 4).count() == 0
 
 
 def test_composite_key_split(spark):
@@ -51,8 +66,6 @@ def test_composite_key_split(spark):
     assert out.where(F.col("split") == "test").count() == 120
 
 
-import pytest
-
 from trellis.operators import profile
 
 

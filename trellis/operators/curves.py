@@ -2,68 +2,77 @@
 
 Scores are first collapsed to distinct values with positive/negative counts
 (``groupBy(score)``, map-side combined, so a score held by a third of the rows
-is one row). Running counts over the distinct scores use the two-level
-scheme of ``rank.py`` with approximate-quantile buckets of the score, so no
-window ever holds the whole table in one task.
+is one row). Running counts over the distinct scores come from one range
+exchange: every range sums its own rows, the ranges' totals give the offsets,
+so no window ever holds the whole table in one task.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.ml.feature import Bucketizer
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trellis.functions.columns import safe_div
 from trellis.operators.metrics import confusion_counts, metrics_from_counts
 from trellis.operators.prep import threshold_predict
-from trellis.operators.rank import ROWS_PER_BUCKET, running_sums, with_next
 from trellis.session import cut_lineage
 
 # Fixed values of the reference workflow.
 CALIBRATION_BINS = 10
 FALLBACK_THRESHOLD = 0.5
-MIN_CURVE_BUCKETS = 16
-SKETCH_CUTS = 4_096   # cut points asked of one quantile sketch
 
 
-def score_counts(scored: DataFrame, label: str, score: str, n_buckets: int | None = None
+def _run(batches):
+    """Running counts of the sorted rows of one task, and the counts of the row after each (-1 after
+    the last)."""
+    pos = neg = 0
+    held = None
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        pdf = pdf.assign(cpos=pos + pdf["pos"].cumsum(), cneg=neg + pdf["neg"].cumsum())
+        pos, neg = int(pdf["cpos"].iloc[-1]), int(pdf["cneg"].iloc[-1])
+        rows = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+        after = {f"next_{c}": rows[c].shift(-1).fillna(-1).astype("int64") for c in ("pos", "neg")}
+        rows, held = rows.assign(**after).iloc[:-1], rows.iloc[-1:]
+        yield rows
+    if held is not None:
+        yield held.assign(next_pos=-1, next_neg=-1)
+
+
+def score_counts(scored: DataFrame, label: str, score: str, parts: int | None = None
                  ) -> tuple[DataFrame, int, int]:
-    """Distinct scores with ``pos``/``neg`` counts and the descending running
-    counts ``tps``/``fps`` (sklearn's binary curve), plus the class totals P
-    and N.
-
-    The raw table is read once: its distinct-score table is written to the
-    shared checkpoint folder, and every later pass (totals, bucket cut points,
-    running sums, next-point lookup) reads that smaller table. Bucket cut
-    points are approximate quantiles of the *distinct* scores, so every
-    bucket holds about the same number of curve points, and the number of
-    buckets grows with the number of distinct scores.
+    """Distinct scores with ``pos``/``neg`` counts, the descending running counts ``tps``/``fps``
+    (sklearn's binary curve) and the counts of the next lower score (``next_pos``/``next_neg``, NULL after
+    the last), plus the class totals P and N.
+
+    The raw table is read once. Its distinct scores go through one range exchange, whatever their
+    spread; every range sums up its own sorted rows and is written. The ranges' totals (one row each)
+    then give the offsets. So the written table is read twice: for the totals and for the curve.
+    ``parts`` fixes the number of ranges (default: by their size).
     """
     s = F.col(score).cast("double")
     base = scored.select(s.alias("score"), F.col(label).alias("_y")).where(F.col("score").isNotNull())
-    dist = cut_lineage(base.groupBy("score").agg(F.count(F.when(F.col("_y") == 1, 1)).alias("pos"),
-                                                 F.count(F.when(F.col("_y") == 0, 1)).alias("neg")))
-    head = dist.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"), F.count(F.lit(1)).alias("m")).first()
-    P, N, m = int(head["P"] or 0), int(head["N"] or 0), int(head["m"])
-    if n_buckets is None:
-        n_buckets = int(max(MIN_CURVE_BUCKETS, math.ceil(m / ROWS_PER_BUCKET)))
-    asked = min(n_buckets, SKETCH_CUTS)
-    cuts = dist.approxQuantile("score", [i / asked for i in range(1, asked)], 1.0 / (4 * asked)) if m else []
-    cuts = sorted({float(c) for c in cuts})
-    more = -(-n_buckets // asked)
-    if more > 1 and len(cuts) > 1:  # more buckets than the sketch tells apart: even cuts between its points
-        cuts = [a + (b - a) * k / more for a, b in zip(cuts, cuts[1:]) for k in range(more)] + cuts[-1:]
-        cuts = sorted(set(cuts))
-    splits = [float("-inf"), *cuts, float("inf")]
-    if len(splits) < 3:
-        splits = [float("-inf"), 0.0, float("inf")]
-    b = Bucketizer(splits=splits, inputCol="score", outputCol="_b", handleInvalid="keep")
-    # bucket ids grow as the score falls: the order of the curve
-    dist = b.transform(dist).withColumn("_bucket", (F.lit(len(splits)) - F.col("_b")).cast("int")).drop("_b")
-    cum = running_sums(dist, [F.col("score").desc()], ["pos", "neg"], "_bucket", prefix="c")
-    cum = cum.withColumnRenamed("cpos", "tps").withColumnRenamed("cneg", "fps")
+    dist = base.groupBy("score").agg(F.count(F.when(F.col("_y") == 1, 1)).alias("pos"),
+                                     F.count(F.when(F.col("_y") == 0, 1)).alias("neg"))
+    order = F.col("score").desc()
+    ranged = dist.repartitionByRange(parts, order) if parts else dist.repartitionByRange(order)
+    schema = "score double, pos long, neg long, part int, cpos long, cneg long, next_pos long, next_neg long"
+    runs = cut_lineage(ranged.sortWithinPartitions(order).select("*", F.spark_partition_id().alias("part"))
+                       .mapInPandas(_run, schema), "curve")
+    totals = runs.groupBy("part").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"),
+                                      F.max_by(F.struct("pos", "neg"), "score").alias("first")).orderBy("part").collect()
+    offsets, P, N = [], 0, 0
+    for i, r in enumerate(totals):
+        nxt = totals[i + 1]["first"] if i + 1 < len(totals) else (None, None)
+        offsets.append((r["part"], P, N, nxt[0], nxt[1]))
+        P, N = P + int(r["p"]), N + int(r["n"])
+    table = scored.sparkSession.createDataFrame(offsets, "part int, p0 long, n0 long, p1 long, n1 long")
+    cum = runs.join(table, "part").select(
+        "score", "pos", "neg", (F.col("cpos") + F.col("p0")).alias("tps"), (F.col("cneg") + F.col("n0")).alias("fps"),
+        *[F.when(F.col(f"next_{c}") >= 0, F.col(f"next_{c}")).otherwise(F.col(o)).alias(f"next_{c}")
+          for c, o in (("pos", "p1"), ("neg", "n1"))])
     return cum, P, N
 
 
@@ -102,7 +111,6 @@ def roc_curve(scored: DataFrame, label: str, score: str, drop_intermediate: bool
     cum, P, N = score_counts(scored, label, score)
     pts = cum
     if drop_intermediate:
-        pts = with_next(cum, [F.col("score").desc()], "_bucket", ["pos", "neg"])
         first = (F.col("tps") == F.col("pos")) & (F.col("fps") == F.col("neg"))
         last = F.col("next_pos").isNull()
         changes = (F.col("next_pos") != F.col("pos")) | (F.col("next_neg") != F.col("neg"))

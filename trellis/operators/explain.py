@@ -3,10 +3,10 @@
 * Linear models: ``phi_i = w_i * (x_i - mean_i)`` with the background mean of
   the data -- exact SHAP values for a linear model with independent features;
   pure column arithmetic.
-* Tree ensembles: see ``tree_shap`` -- the fitted trees (a table with one row
-  per node, bounded by the model size) are turned into leaf paths, broadcast,
-  and every partition computes exact path-dependent TreeSHAP for its rows
-  with numpy inside ``mapInPandas``.
+* Tree ensembles: the fitted trees (a table with one row per node) are
+  unfolded into a table of leaf paths, which passes over the rows take block by
+  block; every partition adds the exact path-dependent TreeSHAP of the pass's
+  leaves to its rows with numpy inside ``mapInPandas``.
 
 The result is always the long table ``(key..., feature, value, phi)`` so the
 global summary is a ``groupBy(feature)`` and a local explanation a filter.
@@ -62,102 +62,99 @@ def local_explanation(attributions: DataFrame, max_display: int = LOCAL_MAX_DISP
 
 # --------------------------------------------------------------------------- tree ensembles
 
-def _model_nodes(model, spark):
-    """Node table of a fitted tree ensemble via Spark ML persistence: the model
-    is written to the shared checkpoint folder and its ``data`` parquet (one
-    row per node, bounded by the model size) is read back."""
+#: leaves packed in one row, and bytes of leaf paths that one pass over the rows broadcasts
+BLOCK_LEAVES, PASS_BYTES = 4_096, 64 << 20
+
+LEAF_BLOCK = "tree int, block int, m int, bytes long, base double, v binary, f binary, lo binary, hi binary, z binary"
+
+
+def _model_nodes(model, spark) -> DataFrame:
+    """Node table of a fitted tree ensemble via Spark ML persistence: the model is written to the
+    shared checkpoint folder and its ``data`` parquet (one row per node) is read back."""
     import uuid
 
     from trellis.session import checkpoint_dir
     path = f"{checkpoint_dir(spark).rstrip('/')}/trees-{uuid.uuid4().hex}"
     model.write().overwrite().save(path)
-    rows = spark.read.parquet(f"{path}/data").select(
-        "treeID", "nodeData.id", "nodeData.prediction", "nodeData.impurityStats",
+    return spark.read.parquet(f"{path}/data").select(
+        F.col("treeID").cast("int").alias("tree"), "nodeData.id", "nodeData.prediction", "nodeData.impurityStats",
         "nodeData.leftChild", "nodeData.rightChild", "nodeData.split.featureIndex",
-        "nodeData.split.leftCategoriesOrThreshold", "nodeData.split.numCategories").collect()
-    return rows
+        "nodeData.split.leftCategoriesOrThreshold", "nodeData.split.numCategories")
 
 
-def tree_leaf_paths(model, spark, output: str = "auto"):
-    """Leaf paths of a Spark tree ensemble for path-dependent TreeSHAP.
+def leaf_blocks(model, spark) -> tuple[DataFrame, str]:
+    """``(blocks, kind)``: the leaf paths of a Spark tree ensemble as a written table, ``BLOCK_LEAVES`` leaves
+    with equally many path features a row.
 
-    Returns ``(leaves, kind)``; every leaf is ``(value, [(feature, lo, hi,
-    zero_fraction), ...])`` with one entry per distinct feature on its path
-    (intervals ``lo < x <= hi`` and cover fractions merged per feature).
-    ``value`` already carries the tree weight, so the model output is the sum
-    of reached leaf values:
+    A leaf has a value and one entry per distinct feature on its path: the interval ``lo < x <= hi``
+    and the product ``z`` of cover fractions. Trees are unfolded apart, by the executors. ``v`` already
+    carries the tree weight, so the model output is the sum of reached leaf values:
 
     * boosted classifier: margin ``F`` (``p = 1 / (1 + exp(-2F))``);
     * random-forest classifier: probability of class 1 (mean over trees);
     * forest / boosted regressor: the prediction.
     """
-    name = type(model).__name__
-    weights = list(model.treeWeights)
-    n_trees = len(weights)
-    boosted = name.startswith("GBT")
-    classifier = "Classification" in name
+    from trellis.session import cut_lineage
+    name, weights = type(model).__name__, list(model.treeWeights)
+    boosted, classifier = name.startswith("GBT"), "Classification" in name
     kind = "margin" if boosted and classifier else ("probability" if classifier else "prediction")
-    by_tree: dict[int, dict[int, object]] = {}
-    for r in _model_nodes(model, spark):
-        by_tree.setdefault(r["treeID"], {})[r["id"]] = r
-    leaves = []
-    for t, nodes in by_tree.items():
-        def cover(n):
-            st = n["impurityStats"]
-            return float(st[0]) if (boosted or not classifier) else float(sum(st))
-
-        def leaf_value(n):
-            if classifier and not boosted:
-                st = n["impurityStats"]
-                tot = float(sum(st))
-                return (st[1] / tot if tot > 0 and len(st) > 1 else 0.0) / n_trees
-            w = weights[t] if boosted else 1.0 / n_trees
-            return w * float(n["prediction"])
+    unfold = _unfolder([w if boosted else 1.0 / len(weights) for w in weights], classifier and not boosted)
+    nodes = _model_nodes(model, spark)
+    return cut_lineage(nodes.groupBy("tree").applyInPandas(unfold, LEAF_BLOCK), "leaf-blocks"), kind
+
+
+def _unfolder(weights: list[float], by_class: bool):
+    import numpy as np
+    import pandas as pd
 
+    def unfold(nodes: "pd.DataFrame") -> "pd.DataFrame":
+        tree = int(nodes["tree"].iloc[0])
+        nodes = nodes.set_index("id")
+        if (nodes["numCategories"].fillna(-1) > 0).any():
+            raise ValueError("categorical splits are not supported by tree attributions")
+        left, right = nodes["leftChild"].to_dict(), nodes["rightChild"].to_dict()
+        stats = nodes["impurityStats"].to_dict()
+        cover = {i: float(sum(st)) if by_class else float(st[0]) for i, st in stats.items()}
+        split = {i: (int(f), float(t[0])) for i, f, t in zip(nodes.index, nodes["featureIndex"], nodes["leftCategoriesOrThreshold"])
+                 if left[i] >= 0}
+        if by_class:
+            value = {i: (st[1] / cover[i] if cover[i] > 0 and len(st) > 1 else 0.0) for i, st in stats.items()}
+        else:
+            value = nodes["prediction"].to_dict()
+        leaves: dict[int, list] = {}
         stack = [(0, {})]
         while stack:
-            nid, conds = stack.pop()
-            n = nodes[nid]
-            if n["leftChild"] < 0:
-                leaves.append((leaf_value(n), [(f, lo, hi, z) for f, (lo, hi, z) in conds.items()]))
+            i, path = stack.pop()
+            if left[i] < 0:
+                leaves.setdefault(len(path), []).append((weights[tree] * value[i], [(f, *c) for f, c in path.items()]))
                 continue
-            if n["numCategories"] is not None and n["numCategories"] > 0:
-                raise ValueError("categorical splits are not supported by tree attributions")
-            f = int(n["featureIndex"])
-            thr = float(n["leftCategoriesOrThreshold"][0])
-            parent = cover(n)
-            for child, is_left in ((n["leftChild"], True), (n["rightChild"], False)):
-                c = nodes[child]
-                lo, hi, z = conds.get(f, (-math.inf, math.inf, 1.0))
-                if is_left:
-                    hi = min(hi, thr)
-                else:
-                    lo = max(lo, thr)
-                frac = cover(c) / parent if parent > 0 else 0.0
-                nc = dict(conds)
-                nc[f] = (lo, hi, z * frac)
-                stack.append((child, nc))
-    return leaves, kind
-
-
-def _pack_leaves(leaves):
-    """Group leaves by path length into dense arrays for vectorised evaluation."""
+            f, cut = split[i]
+            lo, hi, z = path.get(f, (-math.inf, math.inf, 1.0))
+            for child, interval in ((left[i], (lo, min(hi, cut))), (right[i], (max(lo, cut), hi))):
+                share = cover[child] / cover[i] if cover[i] > 0 else 0.0
+                stack.append((child, {**path, f: (*interval, z * share)}))
+        out = []
+        for m, items in sorted(leaves.items()):
+            for s in range(0, len(items), BLOCK_LEAVES):
+                part = items[s:s + BLOCK_LEAVES]
+                v = np.array([p[0] for p in part])
+                cols = np.array([[list(c) for c in p[1]] for p in part], float).reshape(len(part), m, 4)
+                base = float((v * cols[:, :, 3].prod(axis=1)).sum())
+                out.append((tree, len(out), m, 8 * len(part) * (1 + 4 * m), base, v.tobytes(),
+                            *[np.ascontiguousarray(cols[:, :, k]).tobytes() for k in range(4)]))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in LEAF_BLOCK.split(", ")])
+    return unfold
+
+
+def _unpacked(rows) -> list:
+    """Blocks as the arrays ``shap_values_numpy`` takes."""
     import numpy as np
-    groups = {}
-    for v, conds in leaves:
-        groups.setdefault(len(conds), []).append((v, conds))
-    packed = []
-    for m, items in groups.items():
-        v = np.array([it[0] for it in items], dtype=float)
-        if m == 0:
-            packed.append((0, v, None, None, None, None))
-            continue
-        f = np.array([[c[0] for c in it[1]] for it in items], dtype=np.int64)
-        lo = np.array([[c[1] for c in it[1]] for it in items], dtype=float)
-        hi = np.array([[c[2] for c in it[1]] for it in items], dtype=float)
-        z = np.array([[c[3] for c in it[1]] for it in items], dtype=float)
-        packed.append((m, v, f, lo, hi, z))
-    return packed
+    out = []
+    for r in rows:
+        v = np.frombuffer(r["v"])
+        f, lo, hi, z = (np.frombuffer(r[c]).reshape(len(v), r["m"]) for c in ("f", "lo", "hi", "z"))
+        out.append((r["m"], v, f.astype(np.int64), lo, hi, z))
+    return out
 
 
 def shap_values_numpy(X, packed, n_features: int, leaf_chunk: int = 256, row_chunk: int = 1024):
@@ -222,40 +219,57 @@ def _shap_block(X, packed, n_features: int, leaf_chunk: int = 256):
     return phi, base
 
 
+def _passes(sizes) -> list[list]:
+    """Blocks in order, in groups of at most ``PASS_BYTES`` bytes (or one block)."""
+    groups, size = [[]], 0
+    for r in sizes:
+        if groups[-1] and size + r["bytes"] > PASS_BYTES:
+            groups.append([])
+            size = 0
+        groups[-1].append((r["tree"], r["block"]))
+        size += r["bytes"]
+    return [g for g in groups if g]
+
+
 def tree_attributions(df: DataFrame, keys: Sequence[str], features: Sequence[str], model,
                       ) -> tuple[DataFrame, float, str]:
-    """Exact TreeSHAP for every row of ``df``: long ``(keys..., feature, value,
-    phi)``, plus the base value and the explained output (see
-    ``tree_leaf_paths``). The leaf paths (bounded by the model size) are a
-    broadcast variable; rows are processed in Arrow batches by
-    ``mapInPandas``, so any number of rows can be explained."""
+    """Exact TreeSHAP for every row of ``df``: long ``(keys..., feature, value, phi)``, plus the base value
+    and the explained output (see ``leaf_blocks``).
+
+    The leaf paths stay in a table. Each pass takes blocks of at most ``PASS_BYTES`` from it, broadcasts
+    them and adds their share to every row's attributions, in Arrow batches and without a shuffle; the rows are
+    written between passes. So neither the driver nor a worker holds more of the model than
+    one pass, however large the forest."""
     import numpy as np
     import pandas as pd
-    from pyspark.sql.types import DoubleType, StringType, StructField, StructType
-
-    spark = df.sparkSession
-    leaves, kind = tree_leaf_paths(model, spark)
-    packed = _pack_leaves(leaves)
-    feats = list(features)
-    d = len(feats)
-    key_fields = [df.schema[k] for k in keys]
-    schema = StructType([*key_fields, StructField("feature", StringType()),
-                         StructField("value", DoubleType()), StructField("phi", DoubleType())])
-
-    bc = spark.sparkContext.broadcast(packed)   # leaf paths: once per executor
-
-    def run(it):
-        leaves_packed = bc.value
-        for pdf in it:
-            X = pdf[feats].to_numpy(dtype=float)
-            phi, _ = shap_values_numpy(X, leaves_packed, d)
-            n = len(pdf)
-            out = {k: np.repeat(pdf[k].to_numpy(), d) for k in keys}
-            out["feature"] = np.tile(np.array(feats, dtype=object), n)
-            out["value"] = X.reshape(-1)
-            out["phi"] = phi.reshape(-1)
-            yield pd.DataFrame(out)
-
-    base = shap_values_numpy(np.zeros((1, d)), packed, d)[1]
-    att = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in feats]).mapInPandas(run, schema)
-    return att, base, kind
+
+    from trellis.session import cut_lineage
+    spark, feats = df.sparkSession, list(features)
+    blocks, kind = leaf_blocks(model, spark)
+    sizes = blocks.select("tree", "block", "bytes").orderBy("tree", "block").collect()   # one short row a block
+    base = float(blocks.agg(F.sum("base")).first()[0] or 0.0)
+    rows = df.select(*keys, F.array(*[F.col(c).cast("double") for c in feats]).alias("_x"),
+                     F.array(*[F.lit(0.0) for _ in feats]).alias("_phi"))
+
+    def adds(shared):
+        def run(batches):
+            for pdf in batches:
+                x = np.array(pdf["_x"].tolist(), float).reshape(len(pdf), len(feats))
+                phi, _ = shap_values_numpy(x, shared.value, len(feats))
+                old = np.array(pdf["_phi"].tolist(), float).reshape(phi.shape)
+                yield pdf.assign(_phi=pd.Series(list(old + phi), dtype=object, index=pdf.index))
+        return run
+
+    groups = _passes(sizes)
+    for i, group in enumerate(groups):
+        (t0, b0), (t1, b1) = group[0], group[-1]
+        place = F.struct("tree", "block")
+        ends = [F.struct(F.lit(t).alias("tree"), F.lit(b).alias("block")) for t, b in ((t0, b0), (t1, b1))]
+        shared = spark.sparkContext.broadcast(_unpacked(
+            blocks.where((place >= ends[0]) & (place <= ends[1])).orderBy("tree", "block").collect()))
+        rows = rows.mapInPandas(adds(shared), rows.schema)
+        if i + 1 < len(groups):
+            rows = cut_lineage(rows, "attributions")
+    names = F.array(*[F.lit(c) for c in feats])
+    long = rows.select(*keys, F.explode(F.arrays_zip(names.alias("feature"), F.col("_x").alias("value"), F.col("_phi").alias("phi"))).alias("a"))
+    return long.select(*keys, F.col("a.feature"), F.col("a.value"), F.col("a.phi")), base, kind

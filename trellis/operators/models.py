@@ -328,27 +328,23 @@ def feature_importance(model, features: Sequence[str], spark) -> DataFrame:
         .orderBy(F.col("importance").desc(), F.col("feature"))
 
 
-def learning_curve(pipeline, positions: DataFrame, k: int, label: str = "label",
+def learning_curve(pipeline, folded: DataFrame, key: str, k: int, label: str = "label",
                    fold_col: str = "fold", parallelism: int = 4) -> DataFrame:
-    """Training and CV F1 per training-subset size (M9): for every fold and
-    size, fit on the first ``size`` training rows (hash order) and score both
-    the subset and the held-out fold. Sizes and subsets come from
-    ``split.learning_positions``."""
-    from trellis.operators.split import learning_sizes
+    """Training and CV F1 per training-subset size (M9): for every fold and size, fit on the first
+    ``size`` training rows (hash order) and score both the subset and the held-out fold. ``pipeline`` is
+    an estimator or a function from a training part to a fitted model (see ``fitter``), so a subset is
+    prepared on its own rows. Subsets come from ``split.learning_cuts``."""
+    from trellis.operators.split import learning_cuts, learning_subset
     ev = PositiveF1Evaluator(label, "prediction")
-    per_fold = {r[fold_col]: r["count"] for r in positions.groupBy(fold_col).count().collect()}
-    n = sum(per_fold.values())
-    tasks = [(f, j, size) for f in range(k)
-             for j, size in enumerate(learning_sizes(n - per_fold.get(f, 0)))]
 
     def one(task):
-        f, j, size = task
-        held = positions.where(F.col(fold_col) == f)
-        sub = positions.where(F.col(f"pos_{f}") <= size)
+        (f, j), (size, last) = task
+        held = folded.where(F.col(fold_col) == f)
+        sub = learning_subset(folded, key, f, last, fold_col)
         m = fitter(pipeline)(sub)
         return (j, size, f, ev.evaluate(m.transform(sub)), ev.evaluate(m.transform(held)))
-    rows = run_parallel(one, tasks, parallelism)
-    per = positions.sparkSession.createDataFrame(
+    rows = run_parallel(one, learning_cuts(folded, key, k, fold_col).items(), parallelism)
+    per = folded.sparkSession.createDataFrame(
         rows, "size_idx int, train_size long, fold int, train_f1 double, cv_f1 double")
     return per.groupBy("size_idx").agg(F.avg("train_size").alias("mean_train_size"),
                                        F.avg("train_f1").alias("train_f1"),

@@ -219,21 +219,35 @@ def label_correlation(df: DataFrame, label: str, cols: Sequence[str] | None = No
 
 def polarity_check(df: DataFrame, label: str, group: str, cols: Sequence[str] | None = None
                    ) -> DataFrame:
-    """Simpson's-paradox check (A28): r(feature, label) inside every group and
-    pooled, flagging a sign that flips. ``rollup`` yields the group rows and
-    the pooled row in one aggregation."""
+    """Simpson's-paradox check (A28): r(feature, label) inside every group and pooled, flagging a sign
+    that flips. The table is aggregated once by group, to counts, means and co-moments; the pooled
+    figures are merged from the groups' (one row a group and feature), so no row is counted twice."""
     cols = list(cols) if cols is not None else numeric_columns(df, [label, group])
-    agg = df.rollup(group).agg(F.grouping(group).alias("_pooled"),
-                               *[pairwise_corr(c, label).alias(f"r{i}") for i, c in enumerate(cols)])
-    long = agg.select(F.col(group).cast("string").alias("group"), "_pooled", F.explode(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(f"r{i}").alias("r")) for i, c in enumerate(cols)]))
-        .alias("p")).select("group", "_pooled", "p.*")
-    w = Window.partitionBy("feature")  # (#groups + 1) rows per feature
-    long = long.withColumn("r_pooled", F.max(F.when(F.col("_pooled") == 1, F.col("r"))).over(w))
-    out = long.where(F.col("_pooled") == 0).select(
-        "feature", "group", F.col("r").alias("r_group"), "r_pooled",
-        F.coalesce(F.signum("r") * F.signum("r_pooled") < 0, F.lit(False)).alias("sign_flip"))
-    return out
+    y = F.col(label).cast("double")
+
+    def moments(c: str):
+        x = F.col(c).cast("double")
+        xa, yb = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+        return F.struct(F.lit(c).alias("feature"), F.count(F.when(x.isNotNull(), y)).alias("n"),
+                        F.avg(xa).alias("mx"), F.avg(yb).alias("my"), F.covar_pop(x, y).alias("cxy"),
+                        F.var_pop(xa).alias("cxx"), F.var_pop(yb).alias("cyy"), F.min(xa).alias("x0"), F.max(xa).alias("x1"),
+                        F.min(yb).alias("y0"), F.max(yb).alias("y1"))
+    long = df.groupBy(F.col(group).cast("string").alias("group")).agg(F.array(*[moments(c) for c in cols]).alias("a")) \
+        .select("group", F.explode("a").alias("m")).select("group", "m.*")
+    w = Window.partitionBy("feature")  # one row a group
+    merged = long.withColumns({"_mx": F.try_divide(F.sum(F.col("n") * F.col("mx")).over(w), F.sum("n").over(w)),
+                               "_my": F.try_divide(F.sum(F.col("n") * F.col("my")).over(w), F.sum("n").over(w))})
+
+    def pooled(a: str, b: str):
+        return F.sum(F.col("n") * (F.col(f"c{a}{b}") + (F.col(f"m{a}") - F.col(f"_m{a}")) * (F.col(f"m{b}") - F.col(f"_m{b}")))).over(w)
+
+    def r(cxy, cxx, cyy, varies):
+        den = F.sqrt(cxx) * F.sqrt(cyy)
+        return F.when(varies, F.try_divide(cxy, F.when(den != 0, den)))
+    inside = r(F.col("cxy"), F.col("cxx"), F.col("cyy"), (F.col("x0") < F.col("x1")) & (F.col("y0") < F.col("y1")))
+    varies = (F.min("x0").over(w) < F.max("x1").over(w)) & (F.min("y0").over(w) < F.max("y1").over(w))
+    out = merged.select("feature", "group", inside.alias("r_group"), r(pooled("x", "y"), pooled("x", "x"), pooled("y", "y"), varies).alias("r_pooled"))
+    return out.select("*", F.coalesce(F.signum("r_group") * F.signum("r_pooled") < 0, F.lit(False)).alias("sign_flip"))
 
 
 def _vif_of_gram(g: np.ndarray) -> list[float | None]:

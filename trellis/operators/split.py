@@ -10,6 +10,7 @@ other (rows that share a key are ordered by a hash of their content).
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Sequence
 from fractions import Fraction
 
@@ -106,41 +107,66 @@ def kfold(df: DataFrame, key: str, k: int = 5, seed: int = SEED, fold_col: str =
     return ranked.withColumn(fold_col, ((F.col("_rank") - 1) % k).cast("int")).drop("_rank", ORDER_HASH)
 
 
-def learning_positions(folded: DataFrame, key: str, k: int, fold_col: str = "fold",
-                       seed: int = SEED, digits: int | None = None, n_rows: int | None = None
-                       ) -> DataFrame:
-    """Position of every row inside the training part of every fold (R7);
-    see ``learning_positions_with_counts``."""
-    return learning_positions_with_counts(folded, key, k, fold_col, seed, digits)[0]
+#: hash digits that one refinement step of ``learning_cuts`` adds, and rows of a bucket that are looked at one by one
+CUT_DIGITS, CUT_ROWS = 3, 1_000
 
 
-def learning_positions_with_counts(folded: DataFrame, key: str, k: int, fold_col: str = "fold",
-                                   seed: int = SEED, digits: int | None = None
-                                   ) -> tuple[DataFrame, dict[int, int] | None]:
-    """Position of every row inside the training part of every fold.
+def learning_cuts(folded: DataFrame, key: str, k: int, fold_col: str = "fold", seed: int = SEED,
+                  fractions: Sequence[float] = LEARNING_FRACTIONS) -> dict[tuple[int, int], tuple[int, str]]:
+    """``{(fold, size number): (size, last hash)}`` of the training subsets (R7): the subset of a fold
+    and size is the first ``size`` rows outside the fold in hash order, that is the rows outside the
+    fold whose hash is at most the last hash (see ``learning_subset``).
 
-    Training rows of fold f are ordered by the global hash order; the
-    position is ``global rank - #rows of fold f up to here``, so one running
-    sum of k fold indicators gives all k positions at once. ``pos_f`` is NULL
-    for rows that belong to fold f.
+    Rows are counted by hash range and fold; only the ranges where a size falls are counted again at
+    a finer resolution, until they are small enough to look at their rows. No row is ranked, nothing but
+    counts is shuffled, and the driver holds counts of a few thousand ranges at a time.
     """
-    ind = [f"_in{f}" for f in range(k)]
-    h = folded.withColumn(ORDER_HASH, hash_order(key, seed))
-    for f in range(k):
-        h = h.withColumn(ind[f], (F.col(fold_col) == f).cast("long"))
-    offsets, counts = None, None
-    if digits is None:
-        off, digits, _, sums = bucket_offsets(h, (), ind, with_sums=True)
-        counts = {f: int(sums[()][f + 1]) for f in range(k)} if () in sums else {f: 0 for f in range(k)}
-        # running_sums wants one offset column per summed column
-        offsets = off.select(BUCKET, *[F.col(f"_off_{i + 1}").alias(f"_off_{i}") for i in range(k)])
-    h = h.withColumn(BUCKET, hex_bucket(F.col(ORDER_HASH), digits))
-    cum = running_sums(h, [F.col(ORDER_HASH), F.col(key)], ind, BUCKET, prefix="_c", offsets=offsets)
-    grank = sum((F.col(f"_c{c}") for c in ind), F.lit(0))
-    out = cum
-    for f in range(k):
-        out = out.withColumn(f"pos_{f}", F.when(F.col(fold_col) != f, grank - F.col(f"_c_in{f}")))
-    return out.drop(*ind, *[f"_c{c}" for c in ind], ORDER_HASH, BUCKET), counts
+    hashed = folded.select(hash_order(key, seed).alias(ORDER_HASH), F.col(fold_col).alias("_f"))
+    counts = {r["_f"]: r["count"] for r in hashed.groupBy("_f").count().collect()}
+    n = sum(counts.values())
+    sizes = {(f, j): s for f in range(k) for j, s in enumerate(learning_sizes(n - counts.get(f, 0), fractions)) if n > counts.get(f, 0)}
+    open_ = {c: ("", s) for c, s in sizes.items()}        # range prefix that holds the last row, rows still to go in it
+    digits = 0
+    while True:
+        prefixes = sorted({p for p, _ in open_.values()})
+        inside = hashed if not digits else hashed.where(F.substring(ORDER_HASH, 1, digits).isin(prefixes))
+        if not prefixes or digits >= 32:
+            break
+        digits = min(32, digits + CUT_DIGITS)
+        table: dict = {}
+        for r in inside.groupBy(F.substring(ORDER_HASH, 1, digits).alias("p"), "_f").count().collect():
+            table.setdefault(r["p"], {})[r["_f"]] = r["count"]
+        ranges = sorted(table)
+        most = 0
+        for c, (prefix, left) in open_.items():
+            for p in ranges[bisect_left(ranges, prefix):]:
+                here = sum(table[p].values()) - table[p].get(c[0], 0)
+                if left <= here:
+                    break
+                left -= here
+            open_[c] = (p, left)
+            most = max(most, sum(table[p].values()))
+        if most <= CUT_ROWS:
+            break
+    rows: dict = {}
+    if open_:   # equal hashes (a repeated key) are one row with a count
+        wanted = sorted({p for p, _ in open_.values()})
+        last = hashed.where(F.substring(ORDER_HASH, 1, digits).isin(wanted)).groupBy(ORDER_HASH, "_f").count()
+        for r in last.orderBy(ORDER_HASH).collect():
+            rows.setdefault(r[ORDER_HASH][:digits], []).append((r[ORDER_HASH], r["_f"], r["count"]))
+    cuts = {}
+    for c, (prefix, left) in open_.items():
+        for h, f, rows_here in rows[prefix]:
+            left -= rows_here if f != c[0] else 0
+            if left <= 0:
+                cuts[c] = (sizes[c], h)
+                break
+    return cuts
+
+
+def learning_subset(folded: DataFrame, key: str, fold: int, last: str, fold_col: str = "fold", seed: int = SEED) -> DataFrame:
+    """The training rows of ``fold`` up to the last hash of a subset: a narrow filter."""
+    return folded.where(~F.col(fold_col).eqNullSafe(F.lit(fold)) & (hash_order(key, seed) <= F.lit(last)))
 
 
 def learning_sizes(n_train: int, fractions: Sequence[float] = LEARNING_FRACTIONS) -> list[int]:
@@ -149,28 +175,21 @@ def learning_sizes(n_train: int, fractions: Sequence[float] = LEARNING_FRACTIONS
     return [min(max(int(fr * n_train), 1), max(n_train, 1)) for fr in fractions]
 
 
-def learning_subset_counts(positions: DataFrame, label: str, k: int, fold_col: str = "fold",
-                           fractions: Sequence[float] = LEARNING_FRACTIONS,
-                           fold_counts: dict[int, int] | None = None) -> DataFrame:
-    """Size, rows and positives of every (fold, size) training subset.
-    ``fold_counts`` (from ``learning_positions_with_counts``) saves a pass."""
-    if fold_counts is None:
-        fold_counts = {r[fold_col]: r["count"] for r in positions.groupBy(fold_col).count().collect()}
-    per_fold = fold_counts
-    n = sum(per_fold.values())
-    aggs, items = [], []
-    for f in range(k):
-        n_train = n - per_fold.get(f, 0)
-        for j, size in enumerate(learning_sizes(n_train, fractions)):
-            inside = F.col(f"pos_{f}") <= F.lit(size)
-            aggs += [F.count(F.when(inside, 1)).alias(f"n{f}_{j}"),
-                     F.coalesce(F.sum(F.when(inside, F.col(label))), F.lit(0)).cast("long").alias(f"p{f}_{j}")]
-            items.append(F.struct(F.lit(f).alias("fold"), F.lit(j).alias("size_idx"),
-                                  F.lit(size).cast("long").alias("train_size"),
-                                  F.col(f"n{f}_{j}").alias("n_rows"), F.col(f"p{f}_{j}").alias("n_pos")))
-    # one pass of conditional counts; only the one-row result is unpivoted
-    one = positions.agg(*aggs)
-    return one.select(F.explode(F.array(*items)).alias("s")).select("s.*")
+def learning_subset_counts(folded: DataFrame, key: str, label: str, k: int, fold_col: str = "fold", seed: int = SEED,
+                           fractions: Sequence[float] = LEARNING_FRACTIONS) -> DataFrame:
+    """Size, rows and positives of every (fold, size) training subset: one pass of conditional counts."""
+    cuts = learning_cuts(folded, key, k, fold_col, seed, fractions)
+    h, aggs, items = F.col(ORDER_HASH), [], []
+    for (f, j), (size, last) in cuts.items():
+        inside = ~F.col(fold_col).eqNullSafe(F.lit(f)) & (h <= F.lit(last))
+        aggs += [F.count(F.when(inside, 1)).alias(f"n{f}_{j}"),
+                 F.coalesce(F.sum(F.when(inside, F.col(label))), F.lit(0)).cast("long").alias(f"p{f}_{j}")]
+        items.append(F.struct(F.lit(f).alias("fold"), F.lit(j).alias("size_idx"), F.lit(size).cast("long").alias("train_size"),
+                              F.col(f"n{f}_{j}").alias("n_rows"), F.col(f"p{f}_{j}").alias("n_pos")))
+    if not items:
+        return folded.sparkSession.createDataFrame([], "fold int, size_idx int, train_size long, n_rows long, n_pos long")
+    # only the one-row result is unpivoted
+    return folded.withColumn(ORDER_HASH, hash_order(key, seed)).agg(*aggs).select(F.explode(F.array(*items)).alias("s")).select("s.*")
 
 
 def assert_unique_key(df: DataFrame, key) -> None:

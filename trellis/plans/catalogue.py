@@ -404,9 +404,8 @@ FROM grid LEFT JOIN tr ON tr.f = grid.f AND tr.pos <= grid.train_size
 GROUP BY ALL""")
 def q_learning_subsets(spark, d):
     from trellis.operators import split
-    folded = split.stratified_kfold(events(spark, d), "event_id", "label", k=5)
-    pos, counts = split.learning_positions_with_counts(folded, "event_id", 5)
-    return split.learning_subset_counts(pos, "label", 5, fold_counts=counts)
+    folded = cut_lineage(split.stratified_kfold(events(spark, d).select("event_id", "label"), "event_id", "label", k=5), "folds")
+    return split.learning_subset_counts(folded, "event_id", "label", 5)
 
 
 @query("fixed_sample", f"""
@@ -1014,33 +1013,75 @@ def q_lr_coefficients(spark, d):
     return spark.createDataFrame(rows, "feature string, coefficient double")
 
 
-def _tree_pipeline(kind: str, weight: str | None = "weight"):
-    from pyspark.ml import Pipeline
+def _model(kind: str, balanced: bool = True, **sizes):
+    """A function from a training part to a fitted pipeline, by default at the flows' sizes; the part's
+    medians and weights are fitted with it."""
+    from trellis.plans import workflow
+    _, steps, learner = workflow.recipe(kind, "row_key", "label", MODEL_FEATURES, workflow.ModelSizes(**sizes), balanced)
+    return steps.model(learner)
 
-    from trellis.operators import models
-    est = models.random_forest(20, 8, 5, "label", weight) if kind == "rf" else \
-        models.boosted_trees(20, 4, 0.1, "label", weight)
-    return Pipeline(stages=[models.assembler(MODEL_FEATURES), est])
+
+#: sizes of the learners that are fitted for every fold or subset (10 to 25 times a query) or explained leaf by leaf
+FOLD_SIZES = {"rf_trees": 20, "rf_depth": 8, "gbt_iter": 20, "gbt_depth": 4}
 
 
 @query("rf_feature_importance")
 def q_rf_feature_importance(spark, d):
-    from trellis.operators import models, profile
-    train, _ = _train_test(spark, d)
-    m = _tree_pipeline("rf").fit(profile.with_class_weights(train, "label", "weight"))
+    from trellis.operators import models
+    m = _model("rf")(_train_test(spark, d)[0])
     return models.feature_importance(m, MODEL_FEATURES, spark)
 
 
 @query("gbt_feature_importance")
 def q_gbt_feature_importance(spark, d):
     from trellis.operators import models
-    train, _ = _train_test(spark, d)
-    pw = train.agg(F.try_divide(F.count(F.when(F.col("label") == 0, 1)),
-                                F.count(F.when(F.col("label") == 1, 1)))).first()[0] or 1.0
-    m = _tree_pipeline("gbt").fit(models.with_positive_weight(train, "label", pw))
+    m = _model("gbt")(_train_test(spark, d)[0])
     return models.feature_importance(m, MODEL_FEATURES, spark)
 
 
+SPLIT_FEATURES = ["l_quantity", "l_discount", "l_tax"]
+
+
+def _gain_sql(features: list[str], reg: float, least: float) -> str:
+    """Search of the best first split: every distinct value of every feature as a cut."""
+    cells = " UNION ALL ".join(f"SELECT {i} AS f, '{c}' AS feature, {c} AS cut, sum(0.5 - y) AS g, count(*) * 0.25 AS h FROM r GROUP BY {c}"
+                               for i, c in enumerate(features))
+    value = lambda g, h: f"({g}) * ({g}) / (({h}) + {reg})"
+    return f"""cells AS ({cells}),
+s AS (SELECT f, feature, cut, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(g) OVER (PARTITION BY f) AS g,
+             sum(h) OVER (PARTITION BY f) AS h FROM cells WINDOW w AS (PARTITION BY f ORDER BY cut)),
+b AS (SELECT *, {value('gl', 'hl')} + {value('g - gl', 'h - hl')} - {value('g', 'h')} AS gain FROM s
+      WHERE hl >= {least} AND h - hl >= {least} ORDER BY gain DESC, f, cut LIMIT 1)"""
+
+
+@query("boost_first_split", f"""
+WITH {LI_SQL}, r AS (SELECT {', '.join(SPLIT_FEATURES)}, CAST(l_extendedprice >= 50000 AS INT) AS y FROM li),
+{_gain_sql(SPLIT_FEATURES, 1.0, 1.0)}
+SELECT feature, round(cut, 6) + 0 AS threshold, round(gain, 6) AS gain, round(-0.1 * gl / (hl + 1.0), 6) AS left_value,
+       round(-0.1 * (g - gl) / (h - hl + 1.0), 6) AS right_value FROM b""")
+def q_boost_first_split(spark, d):
+    """First split of the second-order boosted trees: feature, cut, gain and the two leaf values."""
+    import json
+
+    from trellis.operators import models
+    from trellis.operators.boosting import NewtonBoosting
+    rows = lineitem(spark, d).withColumn("y", (F.col("l_extendedprice") >= 50000).cast("int"))
+    model = NewtonBoosting(labelCol="y", maxIter=1, maxDepth=1, stepSize=0.1).fit(models.assembler(SPLIT_FEATURES).transform(rows))
+    feature, cut = model.first_split()
+    left, right = json.loads(model.getOrDefault(model.trees))[0]["leaves"]
+    return r6(spark.createDataFrame([(SPLIT_FEATURES[feature], cut, float(model.featureImportances[feature]), left, right)],
+                                    "feature string, threshold double, gain double, left_value double, right_value double"))
+
+
+@query("newton_comparison")
+def q_newton_comparison(spark, d):
+    """Second-order boosted trees of the reference's fixed size on a leak-safe split of lineitem."""
+    from trellis.plans import workflow
+    res = workflow.classification(lineitem_frame(spark, d), "row_key", "label", MODEL_FEATURES,
+                                  workflow.ModelSizes(booster="newton"), learners=("baseline", "gbt"))
+    return r6(res.comparison)
+
+
 @query("rf_regression_metrics")
 def q_rf_regression_metrics(spark, d):
     """Score regression: a forest predicts the 0-9 score from the features."""
@@ -1051,7 +1092,7 @@ def q_rf_regression_metrics(spark, d):
     df = lineitem_frame(spark, d).withColumn("score", F.col("q10").cast("double"))
     sp = split.random_split(df, "row_key")
     pipe = Pipeline(stages=[models.assembler(MODEL_FEATURES),
-                            models.rf_regressor(20, "score", max_depth=8)])
+                            models.rf_regressor(label="score")])
     m = pipe.fit(sp.where(F.col("split") == "train"))
     pred = m.transform(sp.where(F.col("split") == "test")).select(
         F.col("score").alias("actual"), F.col("prediction").alias("predicted"))
@@ -1073,12 +1114,11 @@ def q_grid_search_f1(spark, d):
 
 
 def _ml_fold_scores(spark, d):
-    from trellis.operators import models, profile, split
+    from trellis.operators import models, split
     train, _ = _train_test(spark, d)
-    folded = split.stratified_kfold(train, "row_key", "label", k=10)
-    folded = cut_lineage(profile.with_class_weights(folded, "label", "weight"))
-    a = models.cv_fold_scores(_tree_pipeline("rf"), folded, "fold", 10, "Random Forest")
-    b = models.cv_fold_scores(_tree_pipeline("gbt"), folded, "fold", 10, "Gradient Boosted Trees")
+    folded = cut_lineage(split.stratified_kfold(train, "row_key", "label", k=10), "folds")
+    a = models.cv_fold_scores(_model("rf", **FOLD_SIZES), folded, "fold", 10, "Random Forest")
+    b = models.cv_fold_scores(_model("gbt", **FOLD_SIZES), folded, "fold", 10, "Gradient Boosted Trees")
     return a.unionByName(b)
 
 
@@ -1090,21 +1130,17 @@ def q_ml_cv_t_test(spark, d):
 
 @query("learning_curve")
 def q_learning_curve(spark, d):
-    from pyspark.ml import Pipeline
-
     from trellis.operators import models, split
-    from trellis.operators import profile
     train, _ = _train_test(spark, d)
-    folded = split.stratified_kfold(train, "row_key", "label", k=5)
-    pos = split.learning_positions(folded, "row_key", 5)
-    pos = cut_lineage(profile.with_class_weights(pos, "label", "weight"))
-    return r6(models.learning_curve(_tree_pipeline("rf"), pos, 5))
+    folded = cut_lineage(split.stratified_kfold(train, "row_key", "label", k=5), "folds")
+    return r6(models.learning_curve(_model("rf", **FOLD_SIZES), folded, "row_key", 5))
 
 
 def _gbt_for_shap(spark, d):
+    from trellis.operators import models
     train, test = _train_test(spark, d)
-    model = _tree_pipeline("gbt", None).fit(train)
-    return model.stages[-1], test
+    gbt = models.boosted_trees(FOLD_SIZES["gbt_iter"], FOLD_SIZES["gbt_depth"])
+    return gbt.fit(models.assembler(MODEL_FEATURES).transform(train)), test
 
 
 @query("tree_shap")
@@ -1133,7 +1169,7 @@ def q_model_roundtrip(spark, d):
     from trellis.sources.io import load_pipeline, save_model
     from trellis.session import checkpoint_dir
     train, test = _train_test(spark, d)
-    model = _tree_pipeline("rf", None).fit(train)
+    model = _model("rf", balanced=False)(train)
     path = f"{checkpoint_dir(spark).rstrip('/')}/model-{uuid.uuid4().hex}"
     save_model(model, path)
     again = load_pipeline(path)

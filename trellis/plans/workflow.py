@@ -312,8 +312,8 @@ def full_report(raw: DataFrame, label: str, features: Sequence[str], score: str
         out["confusion_" + _slug(title)] = metrics.confusion_matrix(scored, label)
     if learning_folds:
         steps, learner = res.recipes[RF]
-        pos = split.learning_positions(split.stratified_kfold(train, key, label, k=learning_folds), key, learning_folds)
-        out["learning_curve"] = models.learning_curve(steps.model(learner), cut_lineage(pos, "learning"), learning_folds, label)
+        folded = cut_lineage(split.stratified_kfold(train, key, label, k=learning_folds), "learning")
+        out["learning_curve"] = models.learning_curve(steps.model(learner), folded, key, learning_folds, label)
 
     threshold = curves.best_threshold_value(oof if tune_on == "oof" else res.scored[RF], label, "p1")
     tuned_row = curves.tuned_metrics(res.scored[RF], label, "p1", threshold, f"{RF} (tuned threshold)")
