@@ -98,9 +98,24 @@ def _claim(marks: np.ndarray, a: int, b: int, reach: int, out: list) -> list[tup
     return [(x, y) for x, y in [*left, (tail, b)] if x <= y]
 
 
+#: texts and characters that are worked on, and handed on, at once
+PART_TEXTS, PART_CHARS = 256, 1 << 21
+
+
+def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A batch in parts of at most ``PART_TEXTS`` rows and, but for a longer text, ``PART_CHARS`` characters."""
+    for pdf in batches:
+        size = pdf["text"].str.len().to_numpy()
+        start = 0
+        while start < len(pdf):
+            end = start + 1 + int(np.searchsorted(np.cumsum(size[start + 1:start + PART_TEXTS]), PART_CHARS - size[start], side="right"))
+            yield pdf.iloc[start:end].reset_index(drop=True)
+            start = end
+
+
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     core_hash, full_hash = Hasher(23), Hasher(29)
-    for pdf in batches:
+    for pdf in _parts(batches):
         cols: list[list] = [[] for _ in range(6)]
         loose: dict[tuple[int, int], list] = {}
         for doc, text in enumerate(pdf["text"].tolist()):
@@ -157,7 +172,7 @@ def _strings(step: int, length: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         one, two = Hasher(31), Hasher(37)
-        for pdf in batches:
+        for pdf in _parts(batches):
             cols: list[list] = [[] for _ in range(5)]
             for text, need in zip(pdf["text"], pdf["need"]):
                 a = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
@@ -228,7 +243,7 @@ def merge_ranges(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _strip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
+    for pdf in _parts(batches):
         out = []
         for text, first, last in zip(pdf["text"], pdf["first"], pdf["last"]):
             raw = text.encode("utf-8", "surrogatepass")
