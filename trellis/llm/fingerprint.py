@@ -59,10 +59,14 @@ def bids(x: DataFrame, keep: list[str]) -> DataFrame:
     def packed(t: str) -> Column:
         ln_a = F.col("ln_c") - F.col("r") * (F.col(t) - F.col("u") + 1.0)
         score = F.floor((F.greatest(F.least(ln_a, F.lit(63.0)), F.lit(-63.0)) + 64.0) * F.lit(float(1 << 26)))
-        bid = F.shiftleft(score, 30).bitwiseOR(F.xxhash64("h2", t).bitwiseAND(F.lit((1 << 30) - 1)))
+        # |t| < 2^28, so the product is exact; an odd factor keeps its low 30 bits apart for every t
+        name = F.shiftrightunsigned("h2", 30).bitwiseXOR(F.col(t) * F.lit(2654435761))
+        bid = F.shiftleft(score, 30).bitwiseOR(name.bitwiseAND(F.lit((1 << 30) - 1)))
         return F.when(F.col(t).isNotNull(), bid)
 
-    return x.select(*keep, packed("ta").alias("a"), packed("tb").alias("b"))
+    # most terms weigh the same in both texts: one bid serves both
+    x = x.select(*keep, "h2", "r", "ln_c", "u", "ta", "tb", packed("ta").alias("a"))
+    return x.select(*keep, "a", F.when(F.col("tb") == F.col("ta"), F.col("a")).otherwise(packed("tb")).alias("b"))
 
 
 def words(text: Column) -> Column:
