@@ -77,7 +77,9 @@ def test_tree_shap_equals_brute_force_shapley(spark):
     m, _ = _fit(GBTClassifier(maxIter=3, maxDepth=3, seed=2), df)
     blocks, _ = leaf_blocks(m, spark)
     X = np.array([[r.a, r.b, r.c] for r in df.limit(20).collect()])
-    phi, base = shap_values_numpy(X, _unpacked(blocks.collect()), 3)
+    packed = _unpacked(blocks.collect())
+    leaves = [(v[i], list(zip(f[i], lo[i], hi[i], z[i]))) for _, v, f, lo, hi, z in packed for i in range(len(v))]
+    phi, base = shap_values_numpy(X, packed, 3)
 
     def expect(x, S):
         tot = 0.0

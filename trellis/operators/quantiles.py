@@ -6,9 +6,10 @@ statistic is found by bracketing:
 
 1. one aggregate gives ``count`` and ``percentile_approx`` cut points just
    below and above every wanted rank (rank error <= n / accuracy);
-2. conditional counts give the rows below every bracket, and one grouped
-   pass over the rows *inside* some bracket returns the distinct values
-   there with their counts;
+2. conditional counts give the rows below every bracket (a small column's
+   bracket is its whole range and needs none), and one grouped pass over the
+   rows *inside* some bracket returns the distinct values there with their
+   counts;
 3. the driver walks those few (value, count) pairs to the exact rank and
    interpolates.
 
@@ -44,8 +45,10 @@ def _collect_brackets(df: DataFrame, brackets: dict[int, tuple[str, float, float
     their counts (only rows inside some bracket are expanded and grouped)."""
     if not brackets:
         return {}
-    below = df.agg(*[F.count(F.when(F.col(c) < F.lit(a), 1)).alias(f"b{t}")
-                     for t, (c, a, _) in brackets.items()]).first()
+    started = {t: (c, a) for t, (c, a, _) in brackets.items() if a != -INF}   # nothing lies below the others
+    counts = df.agg(*[F.count(F.when(F.col(c) < F.lit(a), 1)).alias(f"b{t}") for t, (c, a) in started.items()]).first() \
+        if started else None
+    below = {t: int(counts[f"b{t}"]) if t in started else 0 for t in brackets}
     inside = {t: (F.col(c) >= F.lit(a)) & (F.col(c) <= F.lit(b)) for t, (c, a, b) in brackets.items()}
     any_inside = F.lit(False)
     for cond in inside.values():
@@ -55,7 +58,7 @@ def _collect_brackets(df: DataFrame, brackets: dict[int, tuple[str, float, float
     long = df.where(any_inside).select(F.explode(F.array(*items)).alias("e")) \
         .where(F.col("e").isNotNull()).select("e.t", "e.v")
     rows = long.groupBy("t", "v").count().collect()
-    out: dict[int, tuple[int, list[tuple[float, int]]]] = {t: (int(below[f"b{t}"]), []) for t in brackets}
+    out: dict[int, tuple[int, list[tuple[float, int]]]] = {t: (below[t], []) for t in brackets}
     for r in rows:
         out[r["t"]][1].append((float(r["v"]), int(r["count"])))
     for t in out:

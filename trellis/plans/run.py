@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from trellis.functions.columns import numeric_columns
 from trellis.operators import prep, profile
 from trellis.plans import workflow
-from trellis.session import get_session
+from trellis.session import get_session, release_tables
 from trellis.sources.io import save_bundle, scan_csv, write_table, write_text_report
 
 # Fixed values of the reference workflow.
@@ -129,6 +129,7 @@ def main(argv=None) -> None:
     summary = {n: tables[n] for n in SUMMARY_TABLES if n in tables}
     if summary:
         write_text_report(summary, f"{a.out_dir}/report_txt")
+    release_tables(spark)   # everything is saved: the run's intermediate tables go
 
 
 if __name__ == "__main__":

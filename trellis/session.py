@@ -71,10 +71,16 @@ def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    _WRITTEN.append(path)
+    track(path)
     return spark.read.parquet(path)
 
 
+def track(path: str) -> str:
+    """Note a table that this process wrote, for ``release_tables``."""
+    _WRITTEN.append(path)
+    return path
+
+
 _WRITTEN: list[str] = []
 _KEPT: list[DataFrame] = []
 
