@@ -32,7 +32,6 @@ import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -68,7 +67,6 @@ class PlainIds(dict):
         return v
 
 
-@lru_cache(1)
 def _ending_in_marks() -> str:
     """Letters that end in a combining mark once they are lower-cased and composed, as U+0130 and the
     letters that composition leaves apart; a stop behind one joins its mark."""
@@ -76,6 +74,10 @@ def _ending_in_marks() -> str:
     return "".join(c for c in letters if unicodedata.category(unicodedata.normalize("NFC", c.lower())[-1])[0] == "M")
 
 
+#: looked up once, on the driver; tasks get the letters
+JOINED_LETTERS = _ending_in_marks()
+
+
 class WordIds(dict):
     """word -> its ids as bytes, filled on demand and emptied when it grows too large.
 
@@ -100,7 +102,7 @@ class WordIds(dict):
         self.end = array(self.code, [END_ID]).tobytes()
         self.plain = PlainIds(self.tok.model, self.code)
         #: a full stop or comma right after a letter and before white space is a word of its own
-        self.stop = re.compile(rf"(?<=[^\W\d_{_ending_in_marks()}])([.,])(?=[ \n]|$)")
+        self.stop = re.compile(rf"([.,])(?<=[^\W\d_{JOINED_LETTERS}][.,])(?=[ \n]|$)")
         self.by_word = self._joined(self.PROBE) == self._whole(self.PROBE)
 
     def __missing__(self, word: str) -> bytes:
