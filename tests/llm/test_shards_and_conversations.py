@@ -268,3 +268,12 @@ def test_new_queries_equal_sql_on_the_small_tables(spark, name):
     sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
     from tests.oracle_compare import compare
     assert compare(spark, SF, name)["status"] == "ok"
+
+
+def test_a_forgotten_table_is_gone(spark):
+    from trellis.llm.common import forget, shared_table
+    kept, gone = (shared_table(spark.range(10), n) for n in ("kept", "gone"))
+    folder = gone.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:")
+    assert os.path.isdir(folder)
+    forget(gone)
+    assert not os.path.exists(folder) and kept.count() == 10

@@ -43,7 +43,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trellis.llm.common import broadcast_if, shared_table
+from trellis.llm.common import broadcast_if, forget, shared_table
 from trellis.llm.hashing import Hasher, mix
 
 LENGTH = 400
@@ -204,8 +204,11 @@ def _shared_strings(d: DataFrame, need: DataFrame, step: int, length: int, name:
     texts = d.join(broadcast_if(need, need.count(), BROADCAST_ROWS), ["id", "h"]).select("text", "need")
     found = shared_table(texts.mapInPandas(_strings(step, length), "w1 long, w2 long, core long, full long, back int"), name)
     same = found.groupBy("w1", "w2").agg(F.min("full").alias("f0"), F.max("full").alias("f1")).where("f0 != f1")
-    return found.join(same.select("w1", "w2"), ["w1", "w2"]).groupBy("core", "full").agg(
-        F.sort_array(F.collect_set("back")).alias("back"))
+    backs = shared_table(found.join(same.select("w1", "w2"), ["w1", "w2"]).groupBy("core", "full").agg(
+        F.sort_array(F.collect_set("back")).alias("back")), f"{name}-backs")
+    forget(found)
+    forget(need)
+    return backs
 
 
 def repeated_windows(d: DataFrame) -> DataFrame:
@@ -220,6 +223,8 @@ def repeated_windows(d: DataFrame) -> DataFrame:
     ranges = _windows_of(F.col("place"))
     certain = rows.where(kind == SURE).select("id", "h", F.shiftright("place", 20).alias("first"), (
         F.shiftright("place", 20) + F.col("place").bitwiseAND(F.lit((1 << 20) - 1))).alias("last"))
+    certain = shared_table(certain, "repeat-certain")
+    forget(rows)
     sure = shared.where("equal").select("id", "h", *ranges).unionByName(certain)
     mixed = shared.where(~F.col("equal"))
     names = shared_table(mixed.groupBy("core", "full").agg(
