@@ -1,2 +1,2 @@
-"""Training-data operators: ten distributed passes over a text corpus, each in
+"""Training-data operators: thirteen distributed passes over a corpus, each in
 a module of its own, and the queries that apply them (``queries``)."""
