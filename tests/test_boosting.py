@@ -1,5 +1,7 @@
 """Second-order boosted trees against a direct search and a plain numpy fit."""
 
+import json
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -98,3 +100,26 @@ def test_missing_features_and_no_rows_are_errors(spark):
         NewtonBoosting(featuresCol="v", maxIter=1).fit(bad)
     with pytest.raises(ValueError):
         models.boosted_trees(booster="other")
+
+
+def test_cells_give_the_same_trees(spark, monkeypatch):
+    from trellis.operators import boosting
+    df = spark.range(0, 4000, 1, 4).select(
+        F.pmod(F.xxhash64("id"), F.lit(9)).cast("double").alias("a"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(5)).cast("double").alias("b"),
+        F.pmod(F.xxhash64("id", F.lit(2)), F.lit(10)).alias("e"))
+    df = df.withColumn("label", (F.col("a") + F.col("b") + F.col("e") > 10).cast("int")).withColumn("weight", 1.0 + F.col("label"))
+    df = models.assembler(["a", "b"]).transform(df)
+
+    def fit():
+        model = models.boosted_trees(5, 3, 0.3, "label", "weight", booster="newton").fit(df)
+        return json.loads(model.getOrDefault(model.trees))
+    whole = fit()
+    monkeypatch.setattr(boosting, "ROWS", 100)
+    written = []
+    plain = boosting.cut_lineage
+    monkeypatch.setattr(boosting, "cut_lineage", lambda t, name: written.append(plain(t, name)) or written[-1])
+    by_cells = fit()
+    assert written[0].agg(F.sum("n")).first()[0] <= 9 * 5 * 2      # blocks of cells, not of 4000 rows
+    for a, b in zip(whole, by_cells):
+        assert a["levels"] == b["levels"]
+        assert np.allclose(a["leaves"], b["leaves"], atol=1e-9)
