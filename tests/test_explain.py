@@ -119,3 +119,26 @@ def test_a_deep_forest_in_many_passes_over_its_leaf_blocks(spark, monkeypatch):
     p = {r.k: r.p for r in m.transform(v).select("k", vector_to_array("probability")[1].alias("p")).collect()}
     for k, want in p.items():
         assert math.isclose(base2 + sum(b[(k, f)] for f in "abc"), want, abs_tol=1e-9)
+
+
+def test_equal_intervals_are_computed_once(monkeypatch):
+    """Rows between the same thresholds share their attributions, which equal those computed row by row."""
+    import numpy as np
+
+    from trellis.operators import explain
+    rng = np.random.default_rng(3)
+    inf = np.inf
+    packed = [(2, rng.normal(size=4), np.array([[0, 1]] * 4), np.array([[-inf, -inf], [-inf, 0.5], [0.3, -inf], [0.3, 0.2]]),
+               np.array([[0.3, 0.5], [0.3, inf], [inf, 0.2], [inf, inf]]), rng.uniform(0.1, 0.9, (4, 2)))]
+    x = rng.uniform(0, 1, (5000, 2))
+    x[:40, 0], x[40:80, 1] = 0.3, 0.5
+    x[80, 0], x[81, 1], x[82, 0], x[83, 1] = np.nan, np.nan, -inf, inf
+    whole, _ = explain.shap_values_numpy(x, packed, 2)
+    seen, plain = [], explain.shap_values_numpy
+    monkeypatch.setattr(explain, "shap_values_numpy", lambda a, *r: seen.append(len(a)) or plain(a, *r))
+    once = explain._IntervalShap(packed, 2)
+    got = np.concatenate([once(x[a:a + 500]) for a in range(0, 5000, 500)])
+    assert np.array_equal(got, whole) and sum(seen) < 20
+    monkeypatch.setattr(explain, "REMEMBERED", 3)
+    few = explain._IntervalShap(packed, 2)
+    assert np.array_equal(np.concatenate([few(x[a:a + 500]) for a in range(0, 5000, 500)]), whole)

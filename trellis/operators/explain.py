@@ -219,6 +219,44 @@ def _shap_block(X, packed, n_features: int, leaf_chunk: int = 256):
     return phi, base
 
 
+#: attributions that a task remembers
+REMEMBERED = 200_000
+
+
+class _IntervalShap:
+    """Attributions of rows under the leaves of one pass. A tree sees only between which thresholds a value
+    lies, so rows that agree in that for every feature share their attributions: they are computed
+    once and remembered (up to ``REMEMBERED`` of them)."""
+
+    def __init__(self, packed, n_features: int):
+        import numpy as np
+        self.packed, self.d = packed, n_features
+        self.cuts = []
+        for i in range(n_features):
+            ends = [e[f == i] for _, _, f, lo, hi, _ in packed for e in (lo, hi)]
+            ends = np.unique(np.concatenate(ends)) if ends else np.zeros(0)
+            self.cuts.append(ends[np.isfinite(ends)])
+        self.found: dict[bytes, int] = {}
+        self.phi = np.zeros((0, n_features))
+
+    def __call__(self, x):
+        import numpy as np
+        # a value that is no number lies in no interval: a place of its own
+        place = np.stack([np.where(np.isnan(x[:, i]), -1, np.searchsorted(c, x[:, i], side="left"))
+                          for i, c in enumerate(self.cuts)], 1).astype(np.int32)
+        place = np.where(np.isneginf(x), -2, place).astype(np.int32)   # nor does minus infinity
+        distinct, first, back = np.unique(place, axis=0, return_index=True, return_inverse=True)
+        keys = [row.tobytes() for row in distinct]
+        new = [i for i, k in enumerate(keys) if k not in self.found]
+        if new and len(self.found) + len(new) > REMEMBERED:
+            self.found, self.phi, new = {}, self.phi[:0], list(range(len(keys)))
+        if new:
+            fresh, _ = shap_values_numpy(x[first[new]], self.packed, self.d)
+            self.found.update((keys[i], len(self.phi) + j) for j, i in enumerate(new))
+            self.phi = np.concatenate([self.phi, fresh])
+        return self.phi[[self.found[k] for k in keys]][back.reshape(-1)]
+
+
 def _passes(sizes) -> list[list]:
     """Blocks in order, in groups of at most ``PASS_BYTES`` bytes (or one block)."""
     groups, size = [[]], 0
@@ -253,9 +291,10 @@ def tree_attributions(df: DataFrame, keys: Sequence[str], features: Sequence[str
 
     def adds(shared):
         def run(batches):
+            by_interval = _IntervalShap(shared.value, len(feats))
             for pdf in batches:
                 x = np.array(pdf["_x"].tolist(), float).reshape(len(pdf), len(feats))
-                phi, _ = shap_values_numpy(x, shared.value, len(feats))
+                phi = by_interval(x)
                 old = np.array(pdf["_phi"].tolist(), float).reshape(phi.shape)
                 yield pdf.assign(_phi=pd.Series(list(old + phi), dtype=object, index=pdf.index))
         return run
