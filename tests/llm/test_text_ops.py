@@ -292,6 +292,15 @@ def test_lm_table_is_normalised_and_learns():
     assert np.mean([table[3, h, (h + 1) % 20] for h in range(20)]) > math.log10(0.3)
 
 
+def test_lm_learns_from_every_counted_trigram():
+    """One context holds 3 of 10 ** 8 tokens, too few to be among a fixed number of draws."""
+    k = lm_score.CLASSES
+    codes = np.array([(h * k + h) * k + (h + 1) % 20 for h in range(20)] + [(99 * k + 99) * k + 98])
+    n = np.array([5_000_000] * 20 + [3])
+    table = lm_score.LogBilinear().train(codes, n).log_table()
+    assert table[99, 99, 98] > -1.0
+
+
 def test_lm_without_training_rows_or_documents(spark):
     docs = docs_frame(spark, [(1, "a b"), (2, None)])
     got = {r.doc_id: r for r in lm_score.score_documents(docs, F.lit(False)).collect()}

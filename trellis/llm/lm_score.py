@@ -8,7 +8,8 @@ noise-contrastive estimation on the class trigrams of *all* training tokens (cou
 Spark), and batched matrix products with a softmax turn it into a table of
 normalised log-probabilities, one row for each pair of context classes. A word's
 probability is its class's times its smoothed share of the class, so the model is
-normalised over words; the unigram base score uses the same counts.
+normalised over words; the unigram base score uses the same counts. Every step of the training
+takes all counted trigrams, so that its time does not grow with the corpus and no token is left out.
 
 Steps, all over the whole corpus:
 
@@ -43,7 +44,7 @@ from trellis.llm.common import shared_table
 TOP, RARE = 80, 32
 END = 0  # class and local number of the end; it is the context before a text, too
 CLASSES = 1 + TOP + RARE
-BLOCK_CHARS = 12 << 20
+BLOCK_CHARS = 3 << 20
 DIM = 24
 SMOOTH = 0.1
 
@@ -118,38 +119,34 @@ class LogBilinear:
         self.c = np.stack([np.eye(dim), np.eye(dim)]) * 0.5
         self.b = np.zeros(classes)
 
-    def train(self, codes: np.ndarray, counts: np.ndarray, steps: int = 1200, batch: int = 2048, noise: int = 10,
-              rate: float = 0.02, seed: int = 9) -> LogBilinear:
-        """Noise-contrastive estimation on trigram codes ``(h1 * K + h2) * K + w`` drawn by
-        their counts; the noise is the unigram distribution of the classes."""
+    def train(self, codes: np.ndarray, counts: np.ndarray, steps: int = 400, noise: int = 10, rate: float = 0.02) -> LogBilinear:
+        """Noise-contrastive estimation on trigram codes ``(h1 * K + h2) * K + w`` and their counts; the noise is
+        the unigram distribution of the classes. Nothing is drawn: every step takes the gradient of the whole
+        objective, all counted tokens against ``noise`` times the expected noise of their contexts."""
         k = len(self.b)
-        rng = np.random.default_rng(seed)
-        cum = np.cumsum(counts, dtype=float)
+        context, at = np.unique(codes // k, return_inverse=True)
+        h1, h2 = context // k, context % k
+        seen = np.zeros((len(context), k))
+        np.add.at(seen, (at, codes % k), counts / counts.sum())
         uni = np.bincount(codes % k, counts, k) + 0.5
         uni /= uni.sum()
-        cum_uni, log_noise = np.cumsum(uni), np.log(noise * uni)
+        both = (seen + noise * seen.sum(1, keepdims=True) * uni).astype(np.float32)
+        seen = seen.astype(np.float32)
+        log_noise = np.log(noise * uni)
+        one, two = (np.eye(k, dtype=np.float32)[h] for h in (h1, h2))
         self.b = np.log(uni)
         params = [self.r, self.q, self.c, self.b]
         state = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
         for step in range(1, steps + 1):
-            pick = codes[np.searchsorted(cum, rng.random(batch) * cum[-1], side="right").clip(max=len(codes) - 1)]
-            h1, h2, w = pick // (k * k), pick // k % k, pick % k
-            fake = np.searchsorted(cum_uni, rng.random((batch, noise))).clip(max=k - 1)
-            out = np.concatenate([w[:, None], fake], 1)
-            hidden = self.r[h1] @ self.c[0] + self.r[h2] @ self.c[1]
-            s = np.einsum("nd,nod->no", hidden, self.q[out]) + self.b[out] - log_noise[out]
-            err = 1.0 / (1.0 + np.exp(-np.clip(s, -30, 30)))
-            err[:, 0] -= 1.0
-            err /= batch
-            dh = np.einsum("no,nod->nd", err, self.q[out])
-            gq, gb, gr = np.zeros_like(self.q), np.zeros_like(self.b), np.zeros_like(self.r)
-            np.add.at(gq, out.ravel(), (err[:, :, None] * hidden[:, None, :]).reshape(-1, hidden.shape[1]))
-            np.add.at(gb, out.ravel(), err.ravel())
-            np.add.at(gr, h1, dh @ self.c[0].T)
-            np.add.at(gr, h2, dh @ self.c[1].T)
-            gc = np.stack([self.r[h1].T @ dh, self.r[h2].T @ dh])
+            hidden = ((self.r @ self.c[0])[h1] + (self.r @ self.c[1])[h2]).astype(np.float32)
+            s = hidden @ self.q.T.astype(np.float32) + (self.b - log_noise).astype(np.float32)
+            err = both / (1.0 + np.exp(-np.clip(s, -30, 30))) - seen
+            dh = err @ self.q.astype(np.float32)
+            d1, d2 = (one.T @ dh).astype(float), (two.T @ dh).astype(float)
+            grads = (d1 @ self.c[0].T + d2 @ self.c[1].T, (err.T @ hidden).astype(float),
+                     np.stack([self.r.T @ d1, self.r.T @ d2]), err.sum(0, dtype=float))
             slow = rate * (1.0 - 0.9 * step / steps)
-            for p, g, (a, v) in zip(params, (gr, gq, gc, gb), state):
+            for p, g, (a, v) in zip(params, grads, state):
                 a += 0.1 * (g - a)
                 v += 0.001 * (g * g - v)
                 p -= slow * (a / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-9)
@@ -240,7 +237,7 @@ def score_documents(docs: DataFrame, train_rows: Column, id_col: str = "doc_id",
     names = docs.sparkSession.createDataFrame([(w, k) for w, k in top.items()], "word binary, k int")
     classed = counted.join(F.broadcast(names), "word", "left")  # TOP rows
     cls = F.coalesce("k", F.col("rare") + (1 + TOP))
-    parts = max(1, packed.count())  # a task holds about one block
+    parts = max(1, -(-packed.count() // 2))  # a task holds about two blocks
     got = classed.select("block", F.struct("pos", "c", cls.alias("cls")).alias("x")).repartition(parts, "block") \
         .groupBy("block").agg(F.collect_list("x").alias("got"))
     # a block without words has no row there
