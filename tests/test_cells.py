@@ -76,3 +76,26 @@ def test_large_parts_are_not_written_row_by_row(spark, rows, small, monkeypatch)
     plain = rows.drop("features", "weight")
     model = Preparation("id", "label", FEATURES, weight="balanced").model(models.random_forest(5, 4, 2, "label", "weight"))(plain)
     assert model.transform(plain).count() == 6000
+
+
+def test_boosted_rounds_take_no_job_a_level(spark, rows, small, monkeypatch):
+    """All rounds are grown in one task: Spark's own learner is asked for a single stump, and the trees are its trees."""
+    asked = []
+    learn = cells.CellTrees._learn
+    monkeypatch.setattr(cells.CellTrees, "_learn", lambda self, *a, **k: asked.append(k) or learn(self, *a, **k))
+    sc = spark.sparkContext
+    sc.setJobGroup("rounds", "rounds")
+    try:
+        model = models.boosted_trees(60, 6, 0.1, "label", "weight").fit(rows)
+        jobs = len(sc.statusTracker().getJobIdsForGroup("rounds"))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert asked == [{"maxDepth": 0, "maxIter": 1}] and 0 < jobs < 60
+    assert model.getNumTrees == 60 and model.treeWeights == [1.0] + [0.1] * 59
+
+
+def test_more_cells_than_a_task_boosts(spark, rows, small, monkeypatch):
+    few = models.boosted_trees(4, 3, 0.2, "label", "weight").fit(rows)
+    monkeypatch.setattr(cells, "BOOST_CELLS", 10)
+    many = models.boosted_trees(4, 3, 0.2, "label", "weight").fit(rows)
+    assert np.allclose(probabilities(few, rows), probabilities(many, rows), atol=1e-9)
