@@ -70,8 +70,11 @@ def blocks(docs: DataFrame, train_rows: Column, id_col: str, text_col: str) -> D
         part = 0
         for pdf in batches:
             part = int(pdf["part"].iloc[0]) if len(pdf) else part
-            for i, text, train in zip(pdf["id"].astype(object).where(pdf["id"].notna(), None), pdf["text"], pdf["train"]):
-                state.add(i, words(text), bool(train))
+            ids = pdf["id"].astype(object).where(pdf["id"].notna(), None).tolist()
+            texts, train = pdf["text"].tolist()[::-1], pdf["train"].tolist()
+            del pdf
+            for i, use in zip(ids, train):   # a text is let go when it is packed, not with its batch
+                state.add(i, words(texts.pop()), bool(use))
                 if state.chars >= BLOCK_CHARS:
                     yield state.row(part << 32 | k)
                     k, state = k + 1, _Block()
@@ -170,20 +173,33 @@ def uniform_table(classes: int = CLASSES) -> np.ndarray:
 
 def _block_classes(vocab, rare, top: dict[bytes, int]) -> np.ndarray:
     get = top.get
-    return np.fromiter([END, *(get(bytes(w)) or 1 + TOP + r for w, r in zip(vocab, rare))], np.int64, len(vocab) + 1)
+    out = np.full(len(vocab) + 1, END, np.int32)
+    out[1:] = np.fromiter((get(bytes(w)) or 1 + TOP + r for w, r in zip(vocab, rare)), np.int32, len(vocab))
+    return out
 
 
 def _context(classes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Classes one and two tokens back; the end stands before a text's first token."""
     first = np.zeros(len(classes), bool)
     first[np.concatenate([[0], np.cumsum(lengths)[:-1]])] = True
-    one = np.concatenate([[END], classes[:-1]])
+    one, two = np.full((2, len(classes)), END, classes.dtype)
+    one[1:] = classes[:-1]
     one[first] = END
-    two = np.concatenate([[END], one[:-1]])
+    two[1:] = one[:-1]
     two[first] = END
     return two, one
 
 
+def _codes(classes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Trigram codes, below ``CLASSES ** 3``, of all tokens, computed in place: four bytes a token."""
+    code, one = _context(classes, lengths)
+    code *= CLASSES
+    code += one
+    code *= CLASSES
+    code += classes
+    return code
+
+
 def trigram_counts(packed: DataFrame, top: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     """Codes and counts of the class trigrams of all training tokens: dense sums in
     each task (``CLASSES ** 3`` cells), then by code."""
@@ -194,9 +210,8 @@ def trigram_counts(packed: DataFrame, top: dict[bytes, int]) -> tuple[np.ndarray
             for train, lengths, tokens, vocab, rare in zip(*(pdf[c] for c in ("train", "lengths", "tokens", "vocab", "rare"))):
                 lengths = np.asarray(lengths, np.int64)
                 c = _block_classes(vocab, rare, top)[np.frombuffer(tokens, np.int32)]
-                two, one = _context(c, lengths)
                 use = np.repeat(np.asarray(train, bool), lengths)
-                total += np.bincount(((two * CLASSES + one) * CLASSES + c)[use], minlength=len(total))
+                np.add.at(total, _codes(c, lengths)[use], 1)
         codes = np.flatnonzero(total)
         yield pd.DataFrame({"code": codes, "n": total[codes]})
 
@@ -254,20 +269,22 @@ def score_documents(docs: DataFrame, train_rows: Column, id_col: str = "doc_id",
                 lengths = np.asarray(row.lengths, np.int64)
                 tokens = np.frombuffer(row.tokens, np.int32)
                 size = 0 if row.pos is None else len(row.pos)
-                c, cls = np.full(size + 1, float(ends)), np.zeros(size + 1, np.int64)
+                c, cls = np.full(size + 1, float(ends)), np.zeros(size + 1, np.int32)
                 if size:
                     at = np.asarray(row.pos, np.int64) + 1
-                    c[at], cls[at] = np.asarray(row.c, float), np.asarray(row.cls, np.int64)
+                    c[at], cls[at] = np.asarray(row.c, float), np.asarray(row.cls, np.int32)
                 inside = np.where(cls > TOP, np.log10((c + SMOOTH) / (mass[cls, 0] + SMOOTH * (mass[cls, 1] + 1))), 0.0)
-                k = cls[tokens]
-                two, one = _context(k, lengths)
-                lp = flat[(two * CLASSES + one) * CLASSES + k] + inside[tokens]
-                base = (np.log10(c + SMOOTH) - base_norm)[tokens]
+                # one column of the block's tokens at a time
                 first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+                lp = inside[tokens]
+                lp += flat[_codes(cls[tokens], lengths)]
+                score = np.add.reduceat(lp, first)
+                del lp
+                base = np.add.reduceat((np.log10(c + SMOOTH) - base_norm)[tokens], first)
                 yield pd.DataFrame({
                     "doc_id": pd.Series(list(row.doc_ids), dtype=object), "train": list(row.train), "n_tokens": lengths,
-                    "n_known": np.add.reduceat((c > 0)[tokens].astype(np.int64), first), "train_tokens": n_train,
-                    "base_score": np.add.reduceat(base, first), "score": np.add.reduceat(lp, first)})
+                    "n_known": np.add.reduceat((c > 0)[tokens], first, dtype=np.int64), "train_tokens": n_train,
+                    "base_score": base, "score": score})
 
     return joined.mapInPandas(run, f"doc_id {kind}, train boolean, n_tokens long, n_known long, train_tokens long, "
                                    "base_score double, score double")
