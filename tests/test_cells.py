@@ -99,3 +99,71 @@ def test_more_cells_than_a_task_boosts(spark, rows, small, monkeypatch):
     monkeypatch.setattr(cells, "BOOST_CELLS", 10)
     many = models.boosted_trees(4, 3, 0.2, "label", "weight").fit(rows)
     assert np.allclose(probabilities(few, rows), probabilities(many, rows), atol=1e-9)
+
+
+def test_bins_count_the_cuts_below(spark):
+    cuts = [[-1.5, 0.0, 2.0], [], [0.5, float("inf")]]
+    values = [None, float("nan"), float("-inf"), -1.5, -1.0, -0.0, 0.0, 1e-300, 2.0, 2.5, float("inf")]
+    x = spark.createDataFrame([(v, v, v) for v in values], "x0 double, x1 double, x2 double")
+    got = [tuple(r) for r in cells.binned(x, cuts).select("b0", "b1", "b2").collect()]
+    want = x.select(*[cells._bin(F.col(f"x{i}"), c) for i, c in enumerate(cuts)]).collect()
+    assert got == [tuple(r) for r in want]
+    assert [g[0] for g in got] == [3, 3, 0, 0, 1, 1, 1, 2, 2, 3, 3]
+
+
+def test_cuts_of_parts_are_those_of_their_rows(spark):
+    h = lambda i, m: F.pmod(F.xxhash64("id", F.lit(i)), F.lit(m)).cast("double")
+    rows = spark.range(0, 5000, 1, 3).select(F.array(h(1, 5), h(2, 40), h(3, 3000)).alias("x"), h(4, 3).alias("f"))
+    conditions = [F.col("f") != 0, F.col("f") != 1, F.lit(False)]
+    assert cells.part_cuts(rows, 3, 32, conditions) == [cells.bin_cuts(rows.where(c), 3, 32) for c in conditions]
+    assert [len(c) for c in cells.bin_cuts(rows, 3, 32)] == [4, 31, 31]
+
+
+@pytest.fixture(scope="module")
+def folded(spark):
+    h = lambda i, m: F.pmod(F.xxhash64("id", F.lit(i)), F.lit(m)).cast("double")
+    df = spark.range(0, 9000, 1, 4).select("id", (h(1, 5000) / 7).alias("a"), h(2, 3).alias("b"), F.lit(1.5).alias("c"), h(3, 4).alias("e"))
+    return df.select("id", *FEATURES, (F.floor(F.col("a") / 200) + F.col("b") + F.col("e")).cast("double").alias("score"),
+                     h(4, 3).cast("int").alias("fold")).cache()
+
+
+def one_by_one(pipe, folded, k):
+    out = []
+    for f in range(k):
+        pred = pipe.fit(folded.where(F.col("fold") != f)).transform(folded.where(F.col("fold") == f))
+        out.append(pred.agg(F.sqrt(F.avg((F.col("score") - F.col("prediction")) ** 2))).first()[0])
+    return out
+
+
+def test_folds_together_equal_folds_one_by_one(spark, folded, small):
+    from pyspark.ml import Pipeline
+    pipe = Pipeline(stages=[models.assembler(FEATURES), models.rf_regressor(5, "score", max_depth=4)])
+    got = models.cv_regression_scores(pipe, folded, "fold", 3, "m", "score").orderBy("fold").collect()
+    assert [(r["model"], r["fold"]) for r in got] == [("m", 0), ("m", 1), ("m", 2)]
+    assert np.allclose([r["score"] for r in got], one_by_one(pipe, folded, 3), atol=1e-9)
+
+
+def test_folds_read_the_rows_a_fixed_number_of_times(spark, folded, small, monkeypatch):
+    """Every fold learns from cells that were summed for all folds; no fold's own rows are binned again."""
+    tables = []
+    table = cells.cell_table
+    monkeypatch.setattr(cells, "cell_table", lambda *a: tables.append(a[2:]) or table(*a))
+    from pyspark.ml import Pipeline
+    pipe = Pipeline(stages=[models.assembler(FEATURES), models.rf_regressor(3, "score", max_depth=3)])
+    assert models.cv_regression_scores(pipe, folded, "fold", 3, "m", "score").count() == 3
+    assert tables == [("fold",)]
+
+
+def test_folds_without_saving_learn_from_rows(spark, folded, small, monkeypatch):
+    from pyspark.ml import Pipeline
+    monkeypatch.setattr(cells.CellForestRegressor, "_most_cells", 3)
+    pipe = Pipeline(stages=[models.assembler(FEATURES), models.rf_regressor(3, "score", max_depth=3)])
+    got = models.cv_regression_scores(pipe, folded, "fold", 3, "m", "score").orderBy("fold").collect()
+    assert np.allclose([r["score"] for r in got], one_by_one(pipe, folded, 3), atol=1e-9)
+
+
+def test_folds_need_labels(spark, folded, small):
+    bad = folded.withColumn("score", F.when(F.col("id") != 17, F.col("score")))     # one row without
+    with pytest.raises(ValueError, match="label"):
+        models.cv_regression_scores(models.rf_regressor(2, "score", max_depth=2), models.assembler(FEATURES).transform(bad),
+                                    "fold", 3, "m", "score")
