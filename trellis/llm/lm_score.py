@@ -36,6 +36,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,11 +49,18 @@ CLASSES = 1 + TOP + RARE
 BLOCK_CHARS = 3 << 20
 DIM = 24
 SMOOTH = 0.1
+#: texts that a task turns into Python objects at a time
+TEXTS = 64
+#: A block is one row of several MB. Writers look at their size at every row and readers take a row group at a
+#: time, so that what a task holds does not grow with its file.
+BLOCK_FILES = {"parquet.block.size": 16 << 20, "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 1,
+               "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1}
 
 
-def words(text: str | None) -> list[bytes]:
+def words(text: str | bytes | None) -> list[bytes]:
     """Lower-cased (A-Z) runs of anything but space and the characters 9 to 13."""
-    return text.encode("utf-8", "surrogatepass").lower().split() if isinstance(text, str) else []
+    text = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text
+    return text.lower().split() if isinstance(text, bytes) else []
 
 
 def rare_class(word: bytes) -> int:
@@ -61,32 +70,33 @@ def rare_class(word: bytes) -> int:
 def blocks(docs: DataFrame, train_rows: Column, id_col: str, text_col: str) -> DataFrame:
     """Blocks of documents: ``block, doc_ids, train, lengths, tokens, vocab, counts, rare``;
     token ``k > 0`` is ``vocab[k - 1]``, 0 is an end."""
-    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), train_rows.alias("train"),
-                    F.spark_partition_id().cast("long").alias("part"))
+    is_text = docs.schema[text_col].dataType.typeName() in ("string", "varchar", "char")
+    d = docs.select(F.col(id_col).alias("id"), (F.col(text_col) if is_text else F.lit(None)).cast("binary").alias("text"),
+                    train_rows.alias("train"), F.spark_partition_id().cast("long").alias("part"))
     kind = d.schema["id"].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        k, state = 0, _Block()
-        part = 0
-        for pdf in batches:
-            part = int(pdf["part"].iloc[0]) if len(pdf) else part
-            ids = pdf["id"].astype(object).where(pdf["id"].notna(), None).tolist()
-            texts, train = pdf["text"].tolist()[::-1], pdf["train"].tolist()
-            del pdf
-            for i, use in zip(ids, train):   # a text is let go when it is packed, not with its batch
-                state.add(i, words(texts.pop()), bool(use))
-                if state.chars >= BLOCK_CHARS:
-                    yield state.row(part << 32 | k)
-                    k, state = k + 1, _Block()
-        if state.ids:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k, part, state = 0, 0, None
+        for batch in batches:
+            state = state or _Block(batch.schema.field("id").type)
+            for s in range(0, batch.num_rows, TEXTS):
+                few = batch.slice(s, TEXTS).to_pydict()
+                part = few["part"][0]
+                for i, text, use in zip(few["id"], few["text"], few["train"]):
+                    state.add(i, words(text), bool(use))
+                    if state.chars >= BLOCK_CHARS:
+                        yield state.row(part << 32 | k)
+                        k, state = k + 1, _Block(state.id_type)
+        if state and state.ids:
             yield state.row(part << 32 | k)
 
-    return d.mapInPandas(run, f"block long, doc_ids array<{kind}>, train array<boolean>, lengths array<int>, "
-                              "tokens binary, vocab array<binary>, counts array<long>, rare array<int>")
+    return d.mapInArrow(run, f"block long, doc_ids array<{kind}>, train array<boolean>, lengths array<int>, "
+                             "tokens binary, vocab array<binary>, counts array<long>, rare array<int>")
 
 
 class _Block:
-    def __init__(self):
+    def __init__(self, id_type: pa.DataType):
+        self.id_type = id_type
         self.number: dict[bytes, int] = {}
         self.ids, self.train, self.lengths, self.tokens, self.chars = [], [], [], [], 0
 
@@ -102,14 +112,24 @@ class _Block:
         self.tokens.append(x)
         self.chars += sum(map(len, ws)) + len(ws) + 1
 
-    def row(self, block: int) -> pd.DataFrame:
-        learnt = [t for t, use in zip(self.tokens, self.train) if use]
-        counts = np.bincount(np.concatenate(learnt), minlength=len(self.number) + 1) if learnt \
-            else np.zeros(len(self.number) + 1, np.int64)
+    def row(self, block: int) -> pa.RecordBatch:
+        counts = np.zeros(len(self.number) + 1, np.int64)
+        tokens = np.concatenate(self.tokens)
+        self.tokens = None
+        learnt = np.repeat(np.asarray(self.train, bool), self.lengths)
+        counts += np.bincount(tokens if learnt.all() else tokens[learnt], minlength=len(counts))
         vocab = list(self.number)
-        return pd.DataFrame([{"block": block, "doc_ids": self.ids, "train": self.train, "lengths": self.lengths,
-                              "tokens": np.concatenate(self.tokens).tobytes(), "vocab": vocab,
-                              "counts": counts[1:].tolist(), "rare": [rare_class(w) for w in vocab]}])
+        self.number = None
+        columns = {"block": pa.array([block], pa.int64()), "doc_ids": _one(pa.array(self.ids, self.id_type)),
+                   "train": _one(pa.array(self.train, pa.bool_())), "lengths": _one(pa.array(self.lengths, pa.int32())),
+                   "tokens": pa.array([tokens.tobytes()], pa.binary()), "vocab": _one(pa.array(vocab, pa.binary())),
+                   "counts": _one(pa.array(counts[1:])), "rare": _one(pa.array([rare_class(w) for w in vocab], pa.int32()))}
+        return pa.RecordBatch.from_pydict(columns)
+
+
+def _one(values: pa.Array) -> pa.ListArray:
+    """A list column of one row."""
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
 class LogBilinear:
@@ -172,9 +192,13 @@ def uniform_table(classes: int = CLASSES) -> np.ndarray:
 
 
 def _block_classes(vocab, rare, top: dict[bytes, int]) -> np.ndarray:
-    get = top.get
+    """Class of every local number. Arrow looks the words up; none becomes a Python object."""
+    vocab = vocab if isinstance(vocab, pa.Array) else pa.array(vocab, pa.binary())
+    names = pa.array(list(top), pa.binary())
+    at = pc.fill_null(pc.index_in(vocab, value_set=names), len(top)).to_numpy(zero_copy_only=False)
+    own = np.array([*top.values(), END], np.int32)[at]
     out = np.full(len(vocab) + 1, END, np.int32)
-    out[1:] = np.fromiter((get(bytes(w)) or 1 + TOP + r for w, r in zip(vocab, rare)), np.int32, len(vocab))
+    out[1:] = np.where(at < len(top), own, 1 + TOP + np.asarray(rare, np.int32))
     return out
 
 
@@ -204,18 +228,20 @@ def trigram_counts(packed: DataFrame, top: dict[bytes, int]) -> tuple[np.ndarray
     """Codes and counts of the class trigrams of all training tokens: dense sums in
     each task (``CLASSES ** 3`` cells), then by code."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CLASSES ** 3, np.int64)
-        for pdf in batches:
-            for train, lengths, tokens, vocab, rare in zip(*(pdf[c] for c in ("train", "lengths", "tokens", "vocab", "rare"))):
-                lengths = np.asarray(lengths, np.int64)
-                c = _block_classes(vocab, rare, top)[np.frombuffer(tokens, np.int32)]
-                use = np.repeat(np.asarray(train, bool), lengths)
+        for batch in batches:
+            for i in range(batch.num_rows):     # a block at a time
+                train, lengths, vocab, rare = (batch.column(c)[i].values for c in ("train", "lengths", "vocab", "rare"))
+                lengths = lengths.to_numpy(zero_copy_only=False).astype(np.int64)
+                tokens = np.frombuffer(batch.column("tokens")[i].as_buffer(), np.int32)
+                c = _block_classes(vocab, rare.to_numpy(zero_copy_only=False), top)[tokens]
+                use = np.repeat(train.to_numpy(zero_copy_only=False).astype(bool), lengths)
                 np.add.at(total, _codes(c, lengths)[use], 1)
         codes = np.flatnonzero(total)
-        yield pd.DataFrame({"code": codes, "n": total[codes]})
+        yield pa.RecordBatch.from_pydict({"code": pa.array(codes, pa.int32()), "n": pa.array(total[codes], pa.int64())})
 
-    rows = packed.select("train", "lengths", "tokens", "vocab", "rare").mapInPandas(run, "code int, n long") \
+    rows = packed.select("train", "lengths", "tokens", "vocab", "rare").mapInArrow(run, "code int, n long") \
         .groupBy("code").agg(F.sum("n").alias("n")).toPandas().sort_values("code")
     return rows["code"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
 
@@ -223,7 +249,7 @@ def trigram_counts(packed: DataFrame, top: dict[bytes, int]) -> tuple[np.ndarray
 def score_documents(docs: DataFrame, train_rows: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per input row: ``doc_id, train, n_tokens, n_known, train_tokens, base_score, score``."""
     kind = docs.schema[id_col].dataType.simpleString()
-    packed = shared_table(blocks(docs, train_rows, id_col, text_col), "lm-blocks")
+    packed = shared_table(blocks(docs, train_rows, id_col, text_col), "lm-blocks", BLOCK_FILES)
     vocab = packed.select("block", F.posexplode(F.arrays_zip("vocab", "counts", "rare")))
     by_word = Window.partitionBy("word")
     counted = vocab.select("block", "pos", F.col("col.vocab").alias("word"), F.col("col.counts").alias("n"),
