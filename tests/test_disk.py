@@ -71,3 +71,26 @@ def test_folds_travel_without_their_hash(spark):
     assert {r.k: r.fold for r in folded.collect()} == want
     exchange = folded._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression")
     assert len(exchange) == 2 and "md5" not in exchange[1].replace("conv(substring(md5", "")
+
+
+def _labelled(spark, n, k):
+    rows = [(f"k{i}", int((i * 7 + i // 5) % 10 < 4), float(i % 9), float((i * i) % 11), float(i % 4)) for i in range(n)]
+    df = spark.createDataFrame(rows, "k string, y int, a double, b double, c double")
+    return cut_lineage(split.stratified_kfold(df, "k", "y", k=k), "folds")
+
+
+def test_grid_search_reads_cells_and_keeps_no_fold(spark, monkeypatch):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.tuning import CrossValidator
+
+    from trellis.operators import cells, models
+    monkeypatch.setattr(cells, "ROWS", 400)
+    folded = models.with_positive_weight(_labelled(spark, 2500, 2), "y", 1.5)
+    stages, est = [models.assembler(["a", "b", "c"])], models.boosted_trees(2, 2, 0.1, "y", "weight")
+    grid = {"maxDepth": [1, 2]}
+    cv = CrossValidator(estimator=Pipeline(stages=[*stages, est]), estimatorParamMaps=models.param_grid(est, grid),
+                        evaluator=models.PositiveF1Evaluator("y"), foldCol="fold", numFolds=2).fit(folded)
+    monkeypatch.setattr(models, "CrossValidator", lambda **_: pytest.fail("rows of every fold were kept"))
+    best, table = models.grid_search(stages, est, grid, folded, "fold", 2, "y")
+    assert [r.mean_f1 for r in table.collect()] == pytest.approx(cv.avgMetrics, abs=1e-12)
+    assert best.stages[-1].getMaxDepth() == cv.bestModel.stages[-1].getMaxDepth()
