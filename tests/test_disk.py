@@ -40,6 +40,13 @@ def test_split_takes_first_rows_in_hash_order_without_a_shuffle(spark, repeats):
         assert "Exchange" not in _plan(split.random_split(unique, "k"))
 
 
+def test_split_of_repeated_composite_keys(spark):
+    df = cut_lineage(spark.createDataFrame([(i // 9, "a", i % 2) for i in range(90)], "k int, l string, y int"), "rows")
+    got = split.stratified_split(df, ["k", "l"], "y")
+    assert sorted((r.y, r.split, r["count"]) for r in got.groupBy("y", "split").count().collect()) == [
+        (0, "test", 9), (0, "train", 36), (1, "test", 9), (1, "train", 36)]
+
+
 def _shuffle_files(spark) -> set:
     tops = {os.path.dirname(str(f)) for f in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()}
     return {f for top in tops for _, _, names in os.walk(top) for f in names if f.startswith("shuffle_")}
@@ -94,3 +101,47 @@ def test_grid_search_reads_cells_and_keeps_no_fold(spark, monkeypatch):
     best, table = models.grid_search(stages, est, grid, folded, "fold", 2, "y")
     assert [r.mean_f1 for r in table.collect()] == pytest.approx(cv.avgMetrics, abs=1e-12)
     assert best.stages[-1].getMaxDepth() == cv.bestModel.stages[-1].getMaxDepth()
+
+
+def test_learning_curve_reads_the_rows_once_a_fold(spark, monkeypatch):
+    from trellis.operators import cells, models
+    from trellis.operators.preparation import WEIGHT, Preparation
+    monkeypatch.setattr(cells, "ROWS", 400)
+    folded = _labelled(spark, 1500, 2).withColumn("a", F.when(F.col("a") != 3, F.col("a")))
+    model = Preparation("k", "y", ["a", "b", "c"], weight="balanced").model(models.random_forest(3, 3, 5, "y", WEIGHT))
+    got = models.learning_curve(model, folded, "k", 2, "y").collect()
+    # a bare function is fitted subset by subset; the forest then reads the cells of each
+    want = models.learning_curve(lambda part: model(part), folded, "k", 2, "y").collect()
+    # smaller subsets are Spark's own draws of rows
+    large = [(r, w) for r, w in zip(got, want) if r.mean_train_size > 400]
+    assert len(got) == 5 and len(large) == 3 and all(tuple(r) == pytest.approx(tuple(w), abs=1e-12) for r, w in large)
+    calls = []
+    plain = type(model).__call__
+    monkeypatch.setattr(type(model), "__call__", lambda self, part: calls.append(part.count()) or plain(self, part))
+    models.learning_curve(model, folded, "k", 2, "y")
+    assert calls and max(calls) <= 400
+
+
+def test_fold_queries_leave_only_their_folds(spark, tmp_path):
+    from trellis.plans import catalogue
+    rows = [(i, 1, float(1 + i * 7 % 50), 900.0 + i, float(i % 5) / 100, float(i % 3) / 100, "O") for i in range(400)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, "
+                                "l_tax double, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    from trellis import session
+    known = set(session._WRITTEN)
+    folded = catalogue._folded(spark, str(tmp_path), 4)
+    assert folded.count() == 320 and folded.columns == ["row_key", "label", *catalogue.MODEL_FEATURES, "fold"]
+    left = [p for p in set(session._WRITTEN) - known if os.path.exists(p.removeprefix("file:"))]
+    assert len(left) == 1 and "folds-" in left[0]
+
+
+def test_scratch_tables_go(spark):
+    from trellis.session import scratch
+    with scratch(spark) as keep_table:
+        gone = cut_lineage(spark.range(5), "gone")
+        files = gone.inputFiles()
+        with scratch(spark) as inner:
+            kept = inner(cut_lineage(gone.selectExpr("id * 2 AS id"), "kept"))
+        keep_table(kept)
+        assert os.path.exists(files[0].removeprefix("file://"))
+    assert not os.path.exists(files[0].removeprefix("file://")) and kept.count() == 5
